@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opinara.llm import decontam
+from opinara.llm import decontam, mixing, quality, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +18,30 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled bad by the quality label of the document of its id."""
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return urlfilter.filter_urls(pages, pages.select("page_id", "url").join(labels, "page_id").select("url", "bad"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_decontamination": op5_decontamination}
+    return {
+        "op5_decontamination": op5_decontamination,
+        "op6_quality": op6_quality,
+        "op8_url_rules": op8_url_rules,
+        "op10_source_mix": op10_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_source_mix": mixing.oracle_sql()}
