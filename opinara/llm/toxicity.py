@@ -8,7 +8,8 @@ are turned into a probability by a logistic curve.
 
 A short list of seed words comes with fixed weights.  Labelled training rows add entries: words and word beginnings
 that are frequent among toxic rows and rare among the others, weighted by their log odds; the curve is fitted on the
-same bounded sample (``PER_CLASS`` rows of each class).  Every text is scored whole.
+same bounded sample (``PER_CLASS`` rows of each class, of which near copies of each other teach once: their words would
+else look like signals).  Every text is scored whole.
 
 Edge cases: null and empty texts have no match and the score of the curve at zero; repeated rows get equal scores;
 of overlapping matches that start at one place the heaviest counts; without labels the seeds and a fixed curve apply;
@@ -28,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinara.llm import textkit as tk
 from opinara.llm.labelled import held_out, labelled_texts
+from opinara.session import cut_lineage
 
 PER_CLASS = 3000
 THRESHOLD = 0.7
@@ -121,9 +124,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50
     return float(b[0]), max(float(b[1]), 0.0), max(float(b[2]), 0.0)
 
 
-def choose_entries(counts: pd.DataFrame, n_pos: int, n_neg: int, min_odds: float = 2.5) -> dict[str, float]:
+def choose_entries(counts: pd.DataFrame, n_pos: int, n_neg: int, min_odds: float = 3.0) -> dict[str, float]:
     """Entries from (entry, pos, neg) document counts: enough support and odds, and no shorter beginning as good."""
-    least = max(4, n_pos // 250)
+    least = max(4, n_pos // 100)
     c = counts[counts["pos"] >= least].copy()
     c["w"] = np.log((c["pos"] + 0.5) / (n_pos + 1)) - np.log((c["neg"] + 0.5) / (n_neg + 1))
     c = c[c["w"] >= min_odds]
@@ -142,10 +145,34 @@ def choose_entries(counts: pd.DataFrame, n_pos: int, n_neg: int, min_odds: float
     return {e: round(chosen[e], 6) for e in sorted(top)}
 
 
+def word_minima(text: str | None, n: int = 4) -> list[int]:
+    """The least of ``n`` hashes of the text's word pairs: near copies share most of them."""
+    words = fold(text or "").split()
+    h = tk.hash_words(words)
+    pairs = tk.mix(h[:-1] * tk.BASE + h[1:]) if len(h) > 1 else h
+    return [int((tk.mix(pairs + np.uint64(k * 0x9E37)) if len(pairs) else np.zeros(1, np.uint64)).min() >> np.uint64(1)) for k in range(n)]
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """One row of each label and group of near copies, from a bounded sample (doc_id, text, label)."""
+    keys = ["k0", "k1", "k2", "k3"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([word_minima(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(keys))
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, found.T)], [*b.schema.names, *keys])
+
+    out = rows.select("doc_id", "text", "label").mapInArrow(add, "doc_id long, text string, label int, " + ", ".join(f"{k} long" for k in keys))
+    for k in keys:
+        out = out.groupBy("label", k).agg(F.min(F.struct("doc_id", "text", *[x for x in keys if x != k])).alias("x")).select("label", k, "x.*")
+    return out.select("text", "label")
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, exceptions: tuple[str, ...] = EXCEPTIONS) -> dict:
     """Lexicon and curve from labelled rows whose remainder modulo 3 isn't 1."""
     seeds = {f" {fold(s).strip()} ": SEED_WEIGHT for s in SEEDS}
-    rows = labelled_texts(docs, labels, "toxic", per_class, 3, 1).select("text", "label")
+    sample = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = cut_lineage(distinct_texts(labelled_texts(sample, labels, "toxic", per_class, 3, 1)), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
