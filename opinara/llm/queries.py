@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import decontam, langid, media, mixing, quality, toxicity, urlfilter
+from opinara.llm import decontam, langid, media, mixing, ngram_join, quality, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.media_column(table(spark, sf_dir, "documents")))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "n_links", "copy_of", "n_words", "first")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_mpeg_audio": op2_mpeg_audio,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_language": op4_language,
         "op5_decontamination": op5_decontamination,
         "op6_quality": op6_quality,
