@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import decontam, langid, media, mixing, ngram_join, quality, toxicity, urlfilter
+from opinara.llm import decontam, langid, media, mixing, ngram_join, quality, substring_dedup, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is labelled bad by the quality label of the document of its id."""
     pages = table(spark, sf_dir, "pages")
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op5_decontamination": op5_decontamination,
         "op6_quality": op6_quality,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_url_rules": op8_url_rules,
         "op10_source_mix": op10_source_mix,
     }
