@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import decontam, langid, media, mixing, ngram_join, quality, substring_dedup, toxicity, urlfilter
+from opinara.llm import decontam, langid, maxent_lm, media, mixing, ngram_join, quality, substring_dedup, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, pages.select("page_id", "url").join(labels, "page_id").select("url", "bad"))
 
 
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_url_rules": op8_url_rules,
+        "op9_maxent_lm": op9_maxent_lm,
         "op10_source_mix": op10_source_mix,
     }
 
