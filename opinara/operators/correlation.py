@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara.functions import stats
 from opinara.functions.scalar import fisher_interval
@@ -46,7 +47,7 @@ def with_intervals(table: DataFrame) -> DataFrame:
     return table.withColumn("r_lo", lo).withColumn("r_hi", hi)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-values, Arrow batches over one row per pair."""
     return pd.Series([stats.pearson_p(a, int(b)) for a, b in zip(r, n, strict=True)])
