@@ -25,7 +25,7 @@ CORR = "CASE WHEN count(*) > 1 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x
 EUROPE = "SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'"
 RATERS = "SELECT l.doc_id AS post_id, quality AS rater_a, toxic AS rater_b, CASE WHEN n_chars % 7 = 0 THEN -99 WHEN n_chars > 1500 THEN 1 ELSE 0 END AS rater_c FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
 SURVEY = "SELECT c_custkey AS respondent_id, c_nationkey AS country, c_mktsegment AS segment, CASE WHEN c_custkey % 11 <> 0 THEN CAST(floor((c_acctbal + 1000) / 1100) + 1 AS INT) END AS item FROM customer"
-SOCIETY = f"{PAIRS}, soc AS (SELECT CAST(year AS VARCHAR) AS society, t1, t2, avg(x * y) AS x, abs({CORR}) AS y FROM pairs GROUP BY ALL)"
+SOCIETY = f"{PAIRS}, soc AS (SELECT CAST(year AS VARCHAR) AS society, t1, t2, round(avg(x * y), 9) AS x, round(abs({CORR}), 9) AS y FROM pairs GROUP BY ALL)"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -65,7 +65,7 @@ def the_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def society_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """society (a year), t1, t2, x (mean cross product, in the place of a similarity), y (absolute correlation)."""
     p = the_pairs(spark, sf).groupBy(F.col("year").cast("string").alias("society"), "t1", "t2")
-    return p.agg(F.avg(F.col("x") * F.col("y")).alias("x_"), F.abs(correlation.safe_corr(F.col("x"), F.col("y"))).alias("y_")).select("society", "t1", "t2", F.col("x_").alias("x"), F.col("y_").alias("y"))
+    return p.agg(F.round(F.avg(F.col("x") * F.col("y")), 9).alias("x_"), F.round(F.abs(correlation.safe_corr(F.col("x"), F.col("y"))), 9).alias("y_")).select("society", "t1", "t2", F.col("x_").alias("x"), F.col("y_").alias("y"))
 
 
 # --- panels -----------------------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ARROW_BYTES = 8 << 20
 
 
 def build_session(app: str = "opinara", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,6 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, limit: int = ARROW_BYTES) -> None:
+    """Lowers the size of Arrow batches to Python workers, so that texts of any length take bounded memory there."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    digits = "".join(c for c in now or "" if c.isdigit())
+    if now is None or not digits or not now.rstrip("b").isdigit() or int(digits) > limit or int(digits) <= 0:
+        spark.conf.set(key, str(limit))
+
+
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and returns the table read back.
 
