@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions import scalar
-from opinara.operators import adjustment, correlation, labels, panel, semantic, simulation, spectral, subsets, text
+from opinara.operators import adjustment, correlation, dimension, labels, panel, semantic, simulation, spectral, subsets, text
 from opinara.sources import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -652,6 +652,126 @@ def topic_subset_dispersion(spark, sf):
     return rounded(subsets.subset_ratios(m, "1996", "1998"), "min_ratio", "median_ratio", "max_ratio", "share_above_1")
 
 
+# --- further joins, tables and estimates ------------------------------------------------------------------------------
+@query("similarity_onto_pairs", f"WITH {PAIRS}, c AS (SELECT t1, t2, count(*) AS n FROM pairs GROUP BY ALL), s AS (SELECT t1, t2, avg(x*y) AS s FROM pairs WHERE year < 1998 AND t1 <> '1-URGENT' GROUP BY ALL) SELECT c.t1 || '_' || c.t2 AS key, n, {q6('s')} AS similarity FROM c LEFT JOIN s ON c.t1 = s.t1 AND c.t2 = s.t2")
+def similarity_onto_pairs(spark, sf):
+    p = the_pairs(spark, sf)
+    key = scalar.pair_key(F.col("t1"), F.col("t2")).alias("key")
+    sims = p.where("year < 1998 and t1 <> '1-URGENT'").groupBy("t1", "t2").agg(F.avg(F.col("x") * F.col("y")).alias("similarity")).select(key, "similarity").dropDuplicates(["key"])
+    return rounded(p.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n")).select(key, "n").join(sims, "key", "left"), "similarity")
+
+
+@query("region_user_counts", "SELECT r_name AS region, n_name AS country, count(DISTINCT o_custkey) AS users, count(*) AS posts FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def region_user_counts(spark, sf):
+    o, c, n, r = (ad.table(spark, sf, t) for t in ("orders", "customer", "nation", "region"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)  # nation and region are of fixed size
+    return rows.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("country")).agg(F.count_distinct("o_custkey").alias("users"), F.count(F.lit(1)).alias("posts"))
+
+
+@query("topics_in_every_year", f"WITH {PANEL} SELECT topic, count(DISTINCT year) AS years FROM panel GROUP BY topic HAVING count(DISTINCT year) = (SELECT count(DISTINCT year) FROM panel)")
+def topics_in_every_year(spark, sf):
+    p = the_panel(spark, sf)
+    total = p.agg(F.count_distinct("year").alias("all_years"))
+    return p.groupBy("topic").agg(F.count_distinct("year").alias("years")).join(F.broadcast(total)).where("years = all_years").select("topic", "years")
+
+
+@query("label_histogram", "WITH c AS (SELECT lang, quality, count(*) AS n FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY ALL) SELECT lang, quality, n, round(n / sum(n) OVER (PARTITION BY lang), 6) + 0.0 AS share FROM c")
+def label_histogram(spark, sf):
+    from pyspark.sql import Window
+
+    rows = ad.table(spark, sf, "labels").join(ad.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang", "quality").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy("lang"))))
+
+
+@query("least_row_per_group", "SELECT l_returnflag, l_linestatus, arg_min(l_orderkey * 10 + l_linenumber, l_extendedprice * 1e9 + l_orderkey * 10 + l_linenumber) AS line FROM lineitem GROUP BY ALL")
+def least_row_per_group(spark, sf):
+    rows = ad.table(spark, sf, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.min(F.struct("l_extendedprice", "line"))["line"].alias("line"))
+
+
+@query("weekly_events", "SELECT event_type AS topic, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS cnt, round(avg(value), 6) + 0.0 AS mean, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def weekly_events(spark, sf):
+    e = ad.event_opinions(spark, sf)
+    return rounded(e.groupBy("topic", F.to_date(F.date_trunc("week", "day")).alias("week")).agg(F.count(F.lit(1)).alias("cnt"), F.avg("opinion").alias("mean"), F.count_distinct("user_id").alias("users")), "mean")
+
+
+@query("conversation_summary", "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, round(avg(length(text)), 6) + 0.0 AS mean_length FROM conversations GROUP BY role")
+def conversation_summary(spark, sf):
+    return rounded(ad.table(spark, sf, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.avg(F.char_length("text")).alias("mean_length")), "mean_length")
+
+
+@query("shared_post_effect", f"WITH op AS ({OPINION}), a AS (SELECT * FROM op WHERE post_id % 3 <> 0), b AS (SELECT * FROM op WHERE post_id % 2 = 0), v AS (SELECT 'before' AS state, 'a' AS side, user_id, opinion FROM a UNION ALL SELECT 'before', 'b', user_id, opinion FROM b UNION ALL SELECT 'after', 'a', user_id, opinion FROM a WHERE post_id % 2 <> 0 UNION ALL SELECT 'after', 'b', user_id, opinion FROM b WHERE post_id % 3 = 0), m AS (SELECT state, user_id, avg(opinion) FILTER (side = 'a') AS x, avg(opinion) FILTER (side = 'b') AS y FROM v GROUP BY ALL) SELECT state, count(*) AS n, {q6(CORR)} AS r FROM m WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY state")
+def shared_post_effect(spark, sf):
+    a, b = _two_topics(spark, sf)
+    out = None
+    for state, x, y in (("before", a, b), ("after", panel.without_shared(a, b), panel.without_shared(b, a))):
+        mean = lambda t, n: t.groupBy("user_id").agg(F.avg("opinion").alias(n))
+        part = mean(x, "x").join(mean(y, "y"), "user_id").agg(F.count(F.lit(1)).alias("n"), correlation.safe_corr(F.col("x"), F.col("y")).alias("r")).select(F.lit(state).alias("state"), "n", "r")
+        out = part if out is None else out.unionAll(part)
+    return rounded(out, "r")
+
+
+@query("identical_share", f"WITH {PANEL}, v AS (SELECT user_id, topic, {q6('sum(total)/sum(cnt)')} AS a, {q6('avg(mean)')} AS b FROM panel GROUP BY ALL) SELECT topic, count(*) AS n, round(avg(CASE WHEN abs(a-b) < 1e-9 THEN 1.0 ELSE 0 END), 6) + 0.0 AS identical FROM v GROUP BY topic")
+def identical_share(spark, sf):
+    p = the_panel(spark, sf)
+    both = rounded(panel.pooled_average(p), "average").select("user_id", "topic", F.col("average").alias("a")).join(rounded(panel.mean_of_periods(p), "average").select("user_id", "topic", F.col("average").alias("b")), ["user_id", "topic"])
+    return rounded(both.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg((F.abs(F.col("a") - F.col("b")) < 1e-9).cast("double")).alias("identical")), "identical")
+
+
+_TYPES = "op AS (SELECT o_custkey AS user_id, p_type AS topic, avg(l_discount) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL), pr AS (SELECT a.topic AS t1, b.topic AS t2, a.value AS x, b.value AS y FROM op a JOIN op b ON a.user_id = b.user_id AND a.topic < b.topic)"
+
+
+@query("part_topic_pearson", f"WITH {_TYPES} SELECT t1, t2, count(*) AS n, {q6(CORR)} AS r FROM pr GROUP BY ALL")
+def part_topic_pearson(spark, sf):
+    return rounded(correlation.pairwise(correlation.topic_pairs(_type_values(spark, sf), ("user_id",))), "r")
+
+
+def _type_values(spark, sf):
+    """Topics of the third fact: part types, with a customer's mean discount as the opinion."""
+    l, o, p = ad.table(spark, sf, "lineitem"), ad.table(spark, sf, "orders"), ad.table(spark, sf, "part")
+    rows = l.select("l_orderkey", "l_partkey", "l_discount").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(p.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.groupBy(F.col("o_custkey").alias("user_id"), F.col("p_type").alias("topic")).agg(F.avg("l_discount").alias("value"))
+
+
+@query("random_topic_sets", f"WITH {_TYPES}, c AS (SELECT t1, t2, round(abs({CORR}), 9) AS y FROM pr GROUP BY ALL), tp AS (SELECT DISTINCT topic AS t FROM op), sub AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS subset, a, b, c FROM (SELECT x.t AS a, y.t AS b, z.t AS c FROM tp x JOIN tp y ON x.t < y.t JOIN tp z ON y.t < z.t)), m AS (SELECT subset, avg(y) AS mean FROM c JOIN sub ON t1 IN (a, b, sub.c) AND t2 IN (a, b, sub.c) GROUP BY ALL) SELECT count(*) AS sets, round(min(mean), 6) + 0.0 AS min_mean, round(quantile_cont(mean, 0.5), 6) + 0.0 AS median_mean, round(max(mean), 6) + 0.0 AS max_mean FROM m")
+def random_topic_sets(spark, sf):
+    table = correlation.pairwise(correlation.topic_pairs(_type_values(spark, sf), ("user_id",)))
+    rows = table.select(F.lit("all").alias("society"), "t1", "t2", F.round(F.abs("r"), 9).alias("y"))
+    topics = [r.p_type for r in ad.table(spark, sf, "part").select("p_type").distinct().limit(17).collect()]
+    m = subsets.subset_means(rows, topics, 3)
+    return rounded(m.agg(F.count(F.lit(1)).alias("sets"), F.min("mean").alias("min_mean"), F.percentile("mean", F.lit(0.5)).alias("median_mean"), F.max("mean").alias("max_mean")), "min_mean", "median_mean", "max_mean")
+
+
+@query("levina_bickel_dimension")
+def levina_bickel_dimension(spark, sf):
+    v = ad.keyword_vectors(spark, sf)
+    return rounded(dimension.levina_bickel(semantic.nearest(v, v.where("word % 20 = 0"), 12, 20_000)), "dimension")
+
+
+def _user_values(spark, sf):
+    return panel.pooled_average(the_panel(spark, sf)).select("user_id", "topic", F.col("average").alias("value"))
+
+
+@query("bagged_distances")
+def bagged_distances(spark, sf):
+    return rounded(dimension.bagged_distances(_user_values(spark, sf).where("user_id % 50 = 1"), list(ad.ORDER_TOPICS), max_rows=500_000), "distance")
+
+
+@query("spectral_coordinates")
+def spectral_coordinates(spark, sf):
+    return dimension.spectral_coordinates(_user_values(spark, sf))
+
+
+@query("dimension_estimate")
+def dimension_estimate(spark, sf):
+    return rounded(dimension.estimate(_user_values(spark, sf)), "dimension")
+
+
+@query("density_curves")
+def density_curves(spark, sf):
+    return dimension.density_curve(the_pairs(spark, sf).groupBy("t1", "year").agg(F.avg("x").alias("x")), "t1", "x")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
