@@ -37,15 +37,17 @@ from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 from opinara.llm.grouped import map_groups
-from opinara.session import cut_lineage
+from opinara.session import cut_lineage, small_batches
 
 LENGTH = 100
 GRAM = 28
 #: Different surroundings of one anchor that are compared in one bucket.
 HOT = 2048
 #: Text bytes behind one bucket of anchors, and bytes of covered text in one bucket of suffixes, about.
-ANCHOR_BUCKET, SUFFIX_BUCKET = 4 << 20, 1 << 20
+ANCHOR_BUCKET, SUFFIX_BUCKET = 4 << 20, 1 << 19
 NULL_ID = (1 << 63) - 1
+#: Runs of texts whose anchors are settled together before the shuffle.
+RUNS = 8
 _POSITION = np.uint64((1 << 31) - 1)
 
 
@@ -64,7 +66,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Anchors of a run of texts: doc, lo (first window), hi (last window), off (anchor minus lo), h (its hash), v (hash
     of the covered text and the anchor's place in it); places count within each text."""
-    none = {k: np.zeros(0, np.int64) for k in ("doc", "lo", "hi", "off")} | {k: np.zeros(0, np.uint64) for k in ("h", "v")}
+    none = {k: np.zeros(0, np.int32) for k in ("doc", "lo", "hi")} | {"off": np.zeros(0, np.uint8)} | {k: np.zeros(0, np.uint64) for k in ("h", "v")}
     if len(data) < LENGTH:
         return none
     prefix = tk.prefix_hash(data)
@@ -87,7 +89,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     off = place - lo
     v = tk.mix(tk.span_hash(prefix, lo, hi + LENGTH) + off.astype(np.uint64) * tk.BASE)
     base = offsets[doc]
-    return {"doc": doc, "lo": lo - base, "hi": hi - base, "off": off, "h": grams[place], "v": v}
+    return {"doc": doc.astype(np.int32), "lo": (lo - base).astype(np.int32), "hi": (hi - base).astype(np.int32), "off": off.astype(np.uint8), "h": grams[place], "v": v}
 
 
 def settle(v: np.ndarray, rank: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +136,7 @@ def doubling_ranks(data: np.ndarray, room: np.ndarray, depth: int, start: int =
     head = np.zeros(len(ok), np.uint64)
     for k in range(start):
         head = (head << np.uint64(8)) | data[ok + k]
-    ranks = {start: np.full(len(data), -1, np.int64)}
+    ranks = {start: np.full(len(data), -1, np.int32)}
     ranks[start][ok] = np.unique(head, return_inverse=True)[1]
     length = start
     while length < depth:
@@ -142,8 +144,8 @@ def doubling_ranks(data: np.ndarray, room: np.ndarray, depth: int, start: int =
         ok = ok[room[ok] >= longer]
         prior = ranks[length]
         # For ``depth`` the halves may overlap: both are ranks of strings of ``length``.
-        pair = (prior[ok] << 32) | prior[ok + longer - length]
-        ranks[longer] = np.full(len(data), -1, np.int64)
+        pair = (prior[ok].astype(np.int64) << 32) | prior[ok + longer - length]
+        ranks[longer] = np.full(len(data), -1, np.int32)
         ranks[longer][ok] = np.unique(pair, return_inverse=True)[1]
         length = longer
     return ranks
@@ -239,30 +241,35 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def _meet(docs: DataFrame, buckets: int) -> DataFrame:
     """Anchors, dealt out by bucket, and ranges that a batch settled by itself."""
 
+    def settled(parts: list[dict], ids: np.ndarray, keys: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        if not len(a["doc"]):
+            return
+        first, later = settle(a["v"], rank[a["doc"]], a["lo"])
+        rows = []
+        if len(later):
+            doc, lo, end = merge_by(*(a[k][later].astype(np.int64) for k in ("doc", "lo")), a["hi"][later].astype(np.int64) + LENGTH)
+            bucket = tk.mix(ids[doc].astype(np.uint64)) % np.uint64(buckets)
+            rows += [_pack(k, 0, ids, keys, doc[p], lo[p], end[p]) for k, p in _by_bucket(bucket.astype(np.int64))]
+        a = {k: x[first] for k, x in a.items()}
+        for k, p in _by_bucket((a["h"] % np.uint64(buckets)).astype(np.int64)):
+            rows.append(_pack(k, 1, ids, keys, a["doc"][p], a["lo"][p], a["hi"][p], a["h"][p], a["v"][p], a["off"][p]))
+        for s in range(0, len(rows), 2048):
+            yield _batch(rows[s : s + 2048], _MAP)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-            parts = []
+            rank = dense_rank(ids, keys)
+            parts: list[dict] = []
             for row, _, data, offsets in tk.doc_chunks(b.column(2)):
-                part = anchors(data, offsets)
-                part["doc"] = part["doc"] + row
-                parts.append(part)
-            if not parts:
-                continue
-            a = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            if not len(a["doc"]):
-                continue
-            first, later = settle(a["v"], dense_rank(ids, keys)[a["doc"]], a["lo"])
-            rows = []
-            if len(later):
-                doc, lo, end = merge_by(a["doc"][later], a["lo"][later], a["hi"][later] + LENGTH)
-                bucket = tk.mix(ids[doc].astype(np.uint64)) % np.uint64(buckets)
-                rows += [_pack(k, 0, ids, keys, doc[p], lo[p], end[p]) for k, p in _by_bucket(bucket.astype(np.int64))]
-            a = {k: x[first] for k, x in a.items()}
-            for k, p in _by_bucket((a["h"] % np.uint64(buckets)).astype(np.int64)):
-                rows.append(_pack(k, 1, ids, keys, a["doc"][p], a["lo"][p], a["hi"][p], a["h"][p], a["v"][p], a["off"][p]))
-            for s in range(0, len(rows), 2048):
-                yield _batch(rows[s : s + 2048], _MAP)
+                parts.append(anchors(data, offsets))
+                parts[-1]["doc"] += np.int32(row)
+                if len(parts) == RUNS:
+                    yield from settled(parts, ids, keys, rank)
+                    parts = []
+            if parts:
+                yield from settled(parts, ids, keys, rank)
 
     return docs.mapInArrow(run, _MAP)
 
@@ -309,7 +316,7 @@ def _slices(texts: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for row, stop, data, offsets in tk.doc_chunks(b.column(2), 4 * tk.CHUNK):
+            for row, stop, data, offsets in tk.doc_chunks(b.column(2)):
                 part = b.slice(row, stop - row)
                 counts = part.column(3).value_lengths().to_numpy()
                 doc = np.repeat(np.arange(row, stop), counts)
@@ -398,7 +405,9 @@ def removed_ranges(docs: DataFrame, text_bytes: int) -> DataFrame:
     step = max(ANCHOR_BUCKET, min(64 * ANCHOR_BUCKET, text_bytes >> 12))
     buckets = min(1 << 22, max(32, text_bytes // step))
     flat = cut_lineage(map_groups(_meet(docs, buckets), ["bucket"], _resolve, _FLAT), "anchors")
-    size = flat.where("kind = 1").agg(F.sum(F.col("end") - F.col("lo"))).first()[0] or 0
+    # Bytes that the requests deal out; hot ones send each window by itself.
+    covered = F.col("end") - F.col("lo")
+    size = flat.where("kind = 1").agg(F.sum(F.when(F.col("hot"), (covered - LENGTH + 1) * LENGTH).otherwise(covered).cast("long"))).first()[0] or 0
     known = flat.where("kind = 0").select("id", "key", "lo", "end")
     if not size:
         return known
@@ -411,6 +420,7 @@ def removed_ranges(docs: DataFrame, text_bytes: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``keep_text`` the kept text (bytes of characters that were
     cut in two are dropped), and the columns ``carry``; one row per document."""
+    small_batches(docs.sparkSession)
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(own.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *carry)
