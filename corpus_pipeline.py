@@ -16,11 +16,18 @@ from opinara.session import cut_lineage
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def sheltered(docs: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """``docs`` with its columns beside doc_id and text under names that no operator uses, those names, and all columns
+    in the order and under the names that bring them back."""
+    other = {c: f"_carried{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(other), list(other.values()), [f"{other[c]} as `{c}`" if c in other else c for c in docs.columns]
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quadratic discriminant rejects; fitted on labelled documents of its input."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = quality.classify(docs, model, keep=tuple(docs.columns))
-    return judged.where("predicted = 1").select(*docs.columns)
+    plain, carried, back = sheltered(docs)
+    return quality.classify(plain, model, keep=("text", *carried)).where("predicted = 1").selectExpr(*back)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +37,11 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def repeated_text_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later copies of repeated passages; a document all of whose text went is dropped."""
-    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = substring_dedup.remove_repeats(docs, keep_text=True, carry=carried)
+    plain, carried, back = sheltered(docs)
+    cut = substring_dedup.remove_repeats(plain, keep_text=True, carry=tuple(carried))
     # Texts that were empty before stay; n_removed tells them from those that became empty.
-    kept = cut.where("n_removed < n_bytes or n_bytes = 0").withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("long"))
-    return kept.select(*docs.columns)
+    kept = cut.where("n_removed < n_bytes or n_bytes = 0").withColumn("text", F.col("kept")).selectExpr(*back)
+    return kept.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
