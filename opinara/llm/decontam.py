@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinara.llm import textkit as tk
-from opinara.session import cut_lineage
+from opinara.session import cut_lineage, small_batches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -66,6 +66,7 @@ def item_windows(items: pd.DataFrame, window: int = WINDOW) -> dict:
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments of the positional index; ``vocabulary`` (word hashes) restricts the postings, not the positions."""
     spark = docs.sparkSession
+    small_batches(spark)
     only = None if vocabulary is None else spark.sparkContext.broadcast(np.asarray(vocabulary, np.uint64))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from opinara.llm.textkit import release
+
+#: Bytes of groups after which freed memory goes back to the system.
+RELEASE = 16 << 20
+
 
 def contiguous_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Tables of the rows with equal values in the first ``n_keys`` integer columns, which must be sorted."""
@@ -36,9 +41,15 @@ def map_groups(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for group in contiguous_groups(batches, n):
             out = function(group)
             if out is not None and out.num_rows:
                 yield out
+            seen += group.nbytes
+            if seen > RELEASE:
+                seen = 0
+                release()
+        release()
 
     return rows.mapInArrow(run, schema)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 from opinara.llm.labelled import held_out
+from opinara.session import small_batches
 
 #: Bytes of context; n-grams are one longer and must fit a 64-bit key.
 ORDER = 3
@@ -176,6 +177,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER,
 
     The rows of each language are chosen by a distributed top-k of id hashes; n-grams are counted where the rows are,
     summed by a shuffle, and only the sums of this bounded sample come to the driver."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
@@ -211,6 +213,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER,
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score; one row per input row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

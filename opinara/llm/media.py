@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinara.session import small_batches
+
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1?, layer), Hz of MPEG-1, samples per frame.
 BITRATES = {
     (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -242,6 +244,7 @@ def pad(raw: bytes, align: int = ALIGN) -> bytes:
 
 def media_column(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_bytes and media (binary): each text's UTF-8 bytes, padded, stored as an MPEG audio stream."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     names = [c for c in rows.columns if c != "_text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", n_bytes long, media binary"
@@ -264,6 +267,7 @@ def _slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterato
 
 def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), media_col: str = "media") -> DataFrame:
     """``keep`` and what ``parse`` finds: durations, seek offsets, checks, and digests of the payload and the stream."""
+    small_batches(media.sparkSession)
     rows = media.select(*keep, F.col(media_col).alias("_media"))
     names = list(keep)
     schema = (

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 from opinara.llm.labelled import held_out, labelled_texts
+from opinara.session import small_batches
 
 #: Labelled rows of each class that are fitted at most.
 PER_CLASS = 5000
@@ -142,6 +143,8 @@ def score(x: np.ndarray, model: dict | None) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "quality") -> dict | None:
     """Fits the model on labelled rows whose remainder modulo 3 isn't 1."""
 
+    small_batches(docs.sparkSession)
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = batch_statistics(b.column(0))
@@ -156,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label:
 
 def classify(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted and the columns named in ``keep``; one row per input row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in keep if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id"), F.col("text"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), *kept)

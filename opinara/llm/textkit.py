@@ -6,6 +6,8 @@ working memory of a kernel doesn't depend on the batch; within a run everything
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes in one run; a longer document is a run of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -28,6 +30,19 @@ GRAPH = np.ones(256, bool)
 GRAPH[9:14] = GRAPH[32] = False
 
 
+try:
+    _TRIM = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def release() -> None:
+    """Gives memory that a batch has freed back to the system: a Python worker stays alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -85,6 +100,7 @@ def doc_chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int,
         end = min(end, n)
         yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    release()
 
 
 def token_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
