@@ -20,9 +20,14 @@ def held_out(doc_id: Column, mod: int, value: int) -> Column:
 def sample_labels(labels: DataFrame, label: str, per_class: int, mod: int, value: int) -> DataFrame:
     """(doc_id, label) of at most ``per_class`` training rows of each class 0 and 1, those of the smallest hashes.
 
-    A distributed top-k per class, so its size is bounded by the parameter alone.  Ids with several labels count once,
+    A hash threshold first leaves about twice as many, so that the top-k that follows gathers few rows whatever the size
+    of the table; the sample's size is bounded by the parameter alone.  Ids with several labels count once,
     by their highest label."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), mod, value)).select("doc_id", F.col(label).cast("int").alias("label"))
+    size = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    share = {k: min(1.0, (2 * per_class + 1000) / max(size.get(k, 0), 1)) for k in (0, 1)}
+    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("label") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
+    rows = rows.where(near)
     parts = [rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     return reduce(DataFrame.unionAll, parts).groupBy("doc_id").agg(F.max("label").alias("label"))
 
