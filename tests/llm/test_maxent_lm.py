@@ -91,3 +91,13 @@ def test_empty_table(spark):
     only = spark.createDataFrame([(held, "a b")], "doc_id long, text string")
     r = lm.language_scores(only).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_most_frequent_tokens_fit(spark):
+    counts = spark.createDataFrame([(k, max(1, 400 // (k + 1))) for k in range(500)], "token long, c long")
+    for head in (1, 7, 60, 1000):
+        got = {r.token for r in lm.most_frequent(counts, head).collect()}
+        assert len(got) <= head and got == set(range(len(got)))
+        least = max(1, 400 // (len(got) + 1)) if len(got) < 500 else 0
+        assert len(got) + sum(1 for k in range(500) if max(1, 400 // (k + 1)) == least) > head or len(got) == 500
+    assert lm.most_frequent(counts.limit(0), 5).count() == 0
