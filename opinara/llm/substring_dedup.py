@@ -47,7 +47,7 @@ HOT = 2048
 ANCHOR_BUCKET, SUFFIX_BUCKET = 4 << 20, 1 << 19
 NULL_ID = (1 << 63) - 1
 #: Runs of texts whose anchors are settled together before the shuffle.
-RUNS = 8
+RUNS = 16
 _POSITION = np.uint64((1 << 31) - 1)
 
 
@@ -423,13 +423,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(own.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *carry)
+    base = docs.select(own.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     text_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = base.repartition("id", "key")
-    ranges = removed_ranges(dealt.select("id", "key", "text") if not carry else base.select("id", "key", "text").repartition("id", "key"), text_bytes)
-    lists = ranges.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "end")).alias("cut"))
+    lists = removed_ranges(dealt, text_bytes).groupBy("id", "key").agg(F.collect_list(F.struct("lo", "end")).alias("cut"))
     whole = dealt.join(lists, ["id", "key"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("key")))
-    rows = whole.select("id", "text", F.col("cut.lo").alias("lo"), F.col("cut.end").alias("end"), "nth", *carry)
+    if carry:
+        # Carried columns join by themselves: with them beside the text, the two uses of the texts would be two shuffles.
+        beside = docs.select(own.alias("id"), F.xxhash64(text).alias("key"), F.struct(*carry).alias("c")).groupBy("id", "key").agg(F.collect_list("c").alias("carried"))
+        whole = whole.join(beside.hint("merge"), ["id", "key"], "left").withColumn("c", F.get("carried", F.col("nth") - 1))
+    rows = whole.select("id", "text", F.col("cut.lo").alias("lo"), F.col("cut.end").alias("end"), "nth", *[F.col(f"c.{c}").alias(c) for c in carry])
     kinds = dict(docs.dtypes)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "") + "".join(f", `{c}` {kinds[c]}" for c in carry)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text + list(carry)
