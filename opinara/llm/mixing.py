@@ -10,7 +10,10 @@ than ``MAX_BROADCAST_SOURCES`` the join is left to Spark, which splits a hot sou
 
 Edge cases: null and unknown sources are sources like any other (weight ``other_weight``, by default their share of
 the rows); repeated rows with one ``doc_id`` get the same count; a null ``doc_id`` hashes as the text "null"; a weight of
-0 drops a source, which is the operator's meaning; a mean above ``MAX_RATE`` raises ValueError; an empty table gives an empty one; other columns are carried along,
+0 drops a source, which is the operator's meaning; a mean above ``MAX_RATE`` (a source of one or a few rows among
+millions) is drawn as the sum of independent Poisson counts of equal means of at most ``MAX_RATE``, each with its own
+hashed number, which is a Poisson count of the whole mean; a ``size`` that the caller gives and that needs such a mean
+raises ValueError; an empty table gives an empty one; other columns are carried along,
 only ``copy_no`` and ``mix_key`` are added (columns of these names in the input are replaced).
 """
 
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_SOURCES = 100_000
 #: Production target: flatten the sources, each weighted by the square root of its rows.
 TEMPERATURE = 0.5
-#: The highest mean repetition; exp(-rate) must stay a normal number.
+#: The highest mean of one Poisson draw; exp(-rate) must stay a normal number.
 MAX_RATE = 500.0
 
 
@@ -33,7 +36,8 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, other_weight: float | None = None, temperature: float = TEMPERATURE) -> tuple[DataFrame, int]:
-    """One row per source (source, n_rows, rate, cdf: cumulative Poisson probabilities of that rate), and their number.
+    """One row per source (source, n_rows, rate, parts, cdf: cumulative Poisson probabilities of rate / parts), and their
+    number.
 
     ``weights`` are relative target shares of the mix; without them a source weighs ``n_rows ** temperature``.
     ``size`` is the expected number of rows of the mix, by default that of the input."""
@@ -48,21 +52,22 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size:
     total = counts.agg(F.sum("weight").alias("weight"), F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_sources"), F.max(F.col("weight") / F.col("n_rows")).alias("top")).first()
     want = float(size if size is not None else total.n_rows or 0)
     scale = want / total.weight if total.weight else 0.0
-    if (total.top or 0.0) * scale > MAX_RATE:
+    if size is not None and (total.top or 0.0) * scale > MAX_RATE:
         raise ValueError(f"a source would be repeated {total.top * scale:.0f} times on average; the most is {MAX_RATE}")
     # Beyond mean + 12 sd + 20 a count has a probability below 2**-52, the step of the uniform numbers.
-    top = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
+    top = F.ceil(F.col("part_rate") + 12 * F.sqrt("part_rate") + 20).cast("int")
     one = counts.withColumn("rate", F.col("weight") * scale / F.col("n_rows"))
+    one = one.withColumn("parts", F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")).withColumn("part_rate", F.col("rate") / F.col("parts"))
     terms = F.aggregate(
         F.sequence(F.lit(0), top),
-        F.struct(F.exp(-F.col("rate")).alias("p"), F.lit(0.0).alias("cum"), F.array().cast("array<double>").alias("cdf")),
+        F.struct(F.exp(-F.col("part_rate")).alias("p"), F.lit(0.0).alias("cum"), F.array().cast("array<double>").alias("cdf")),
         lambda acc, k: F.struct(
-            (acc["p"] * F.col("rate") / (k + 1)).alias("p"),
+            (acc["p"] * F.col("part_rate") / (k + 1)).alias("p"),
             (acc["cum"] + acc["p"]).alias("cum"),
             F.concat(acc["cdf"], F.array(acc["cum"] + acc["p"])).alias("cdf"),
         ),
     )["cdf"]
-    return one.select("source", "n_rows", "rate", terms.alias("cdf")), total.n_sources
+    return one.select("source", "n_rows", "rate", "parts", terms.alias("cdf")), total.n_sources
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, other_weight: float | None = None, seed: int = 17, temperature: float = TEMPERATURE, id_col: str = "doc_id") -> DataFrame:
@@ -70,12 +75,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     mix_key."""
     docs = docs.drop("copy_no", "mix_key")
     rates, n_sources = source_rates(docs, weights, size, other_weight, temperature)
-    rates = rates.select(F.col("source").alias("_s"), F.col("cdf").alias("_cdf"))
+    rates = rates.select(F.col("source").alias("_s"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
     if n_sources <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     u = uniform(seed, F.col(id_col))
     copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    counted = docs.join(rates, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_u", u).withColumn("_n", copies).where("_n > 0").drop("_s", "_cdf", "_u")
+    draw = lambda j: uniform(seed, F.concat(F.lit("part"), j.cast("string")), F.col(id_col))
+    us = F.transform(F.sequence(F.lit(2), F.col("_parts")), draw)
+    more = F.aggregate(us, F.lit(0), lambda acc, u: acc + F.size(F.filter("_cdf", lambda c: c <= u)))
+    copies = F.when(F.col("_parts") == 1, copies).otherwise(copies + more)
+    counted = docs.join(rates, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_u", u).withColumn("_n", copies).where("_n > 0").drop("_s", "_parts", "_cdf", "_u")
     dealt = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
     key = F.md5(F.concat_ws(":", F.lit(f"mix{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy_no").cast("string")))
     return dealt.withColumn("mix_key", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")).orderBy("mix_key", id_col, "copy_no")

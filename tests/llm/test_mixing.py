@@ -51,6 +51,21 @@ def test_empty_zero_weight_and_too_high_rate(spark):
         mixing.mix_sources(docs, size=10_000)
 
 
+def test_means_of_any_size(spark):
+    # Default weights: the one row of the rare source has a mean of 799, over the most of a single draw.
+    docs = spark.range(640_001).selectExpr("id doc_id", "'t' text", "if(id = 5, null, 'a') source")
+    rate = 640_001 / (640_000**0.5 + 1)
+    got = mixing.mix_sources(docs).where("source is null").agg({"copy_no": "max", "*": "count"}).first()
+    want = poisson_inverse(uniform(17, 5), rate / 2) + poisson_inverse(uniform(17, "part2:5"), rate / 2)
+    assert tuple(got) == (want, want) and abs(want - rate) < 150
+    # Mean and variance of the sums are those of a Poisson count of the whole mean.
+    some = spark.range(120_000).selectExpr("id doc_id", "'t' text", "if(id < 100, 'b', 'a') source")
+    c = [r["count"] for r in mixing.mix_sources(some, weights={"a": 0.0, "b": 1.0}).groupBy("doc_id").count().collect()]
+    mean = sum(c) / len(c)
+    assert len(c) == 100 and abs(mean - 1200) < 5 * (1200 / 100) ** 0.5
+    assert 0.5 < sum((x - mean) ** 2 for x in c) / 99 / 1200 < 1.7
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "t", "a", "x")], SCHEMA)
     plan = mixing.mix_sources(docs)._jdf.queryExecution().toString()
