@@ -14,6 +14,8 @@ from opinara.functions.scalar import cosine, dot, norm
 
 #: Topics at most where topic rows are broadcast: a bound on centroids and anchors.
 MAX_TOPICS = 10_000
+#: Rows on each side of a block of pairs.
+PAIR_BLOCK = 1000
 
 
 def lookup(words: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -108,17 +110,60 @@ def twonn_dimension(neighbours: DataFrame, drop: float = 0.02) -> DataFrame:
     return ranked.agg(F.count(F.lit(1)).alias("points"), F.try_divide(F.sum(x * y), F.sum(x * x)).alias("dimension"))
 
 
-def missing_corrected_distance(values: DataFrame, key: str = "user_id", n_topics: int | None = None, least: int = 2, max_rows: int = 5000) -> DataFrame:
+def pair_distances(values: DataFrame, bags: Sequence[tuple[Sequence[str], float]], key: str = "user_id", least: int = 2) -> DataFrame:
+    """(a < b, common, distance) of all pairs of rows that share ``least`` topics of a bag (topics, K), any number of rows.
+
+    Rows are dealt into blocks by hash and every two blocks meet in one task's arrays, of ``PAIR_BLOCK`` rows a side, so no
+    row per pair and topic is made.  The distance of a pair in a bag is sqrt(K / c * sum of squares over its c common
+    topics); the result is the median over the bags that have one, ``common`` the count of the first bag.  ``values``
+    has one row for each key and topic; null keys and values are left out."""
+    names = sorted({t for topics, _ in bags for t in topics})
+    known = values.where(F.col(key).isNotNull() & F.col("value").isNotNull() & F.col("topic").isin(names))
+    rows = known.groupBy(key).agg(F.collect_list(F.struct("topic", F.col("value").cast("double").alias("x"))).alias("v")).select(key, F.col("v.topic").alias("topics"), F.col("v.x").alias("x"))
+    n_blocks = max(1, -(-known.select(key).distinct().count() // PAIR_BLOCK))
+    block = F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
+    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    dealt = dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other")
+    at = {t: k for k, t in enumerate(names)}
+    columns = [([at[t] for t in topics], float(k)) for topics, k in bags]
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ids = f[key].to_numpy()
+        x = np.full((len(f), len(at)), np.nan)
+        for i, (topics, v) in enumerate(zip(f["topics"], f["x"], strict=True)):
+            x[i, [at[t] for t in topics]] = v
+        left, right = (np.flatnonzero(f["block"].to_numpy() == f[c].iloc[0]) for c in ("first", "second"))
+        found, shared = [], None
+        for use, k in columns:
+            s, common = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)), np.int64)
+            for c in use:
+                d = x[left, c][:, None] - x[right, c][None]
+                ok = ~np.isnan(d)
+                common += ok
+                s += np.where(ok, d * d, 0.0)
+            found.append(np.where(common >= least, np.sqrt(s * k / np.maximum(common, 1)), np.nan))
+            shared = common if shared is None else shared
+        found = np.sort(np.stack(found), 0)  # missing ones last
+        n = (~np.isnan(found)).sum(0)
+        middle = [np.take_along_axis(found, (np.maximum(m, 0) // 2)[None], 0)[0] for m in (n - 1, n)]
+        keep = n > 0
+        if f["first"].iloc[0] == f["second"].iloc[0]:
+            keep &= np.triu(np.ones_like(keep), 1)
+        i, j = np.nonzero(keep)
+        a, b = ids[left[i]], ids[right[j]]
+        swap = a > b
+        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "common": shared[i, j], "distance": (middle[0][i, j] + middle[1][i, j]) / 2})
+
+    kind = dict(values.dtypes)[key]
+    return dealt.groupBy("first", "second").applyInPandas(run, f"a {kind}, b {kind}, common long, distance double")
+
+
+def missing_corrected_distance(values: DataFrame, key: str = "user_id", n_topics: int | None = None, least: int = 2) -> DataFrame:
     """(a < b, common, distance) between rows with missing entries: d2 = K / c * sum of squares over c common topics.
 
-    All pairs of a bounded set of rows; the join runs over common topics, so pairs without any don't exist."""
-    if values.select(key).distinct().limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows")
-    k = n_topics or values.select("topic").distinct().count()
-    a = values.select(F.col(key).alias("a"), "topic", F.col("value").alias("x"))
-    b = values.select(F.col(key).alias("b"), "topic", F.col("value").alias("y"))
-    both = a.join(b, "topic").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum(F.pow(F.col("x") - F.col("y"), 2)).alias("s")).where(F.col("common") >= least)
-    return both.select("a", "b", "common", F.sqrt(F.greatest(F.col("s") * F.lit(float(k)) / F.col("common"), F.lit(0.0))).alias("distance"))
+    All pairs that have ``least`` common topics, of any number of rows."""
+    topics = [r.topic for r in checked_topics(values.select("topic").where("topic is not null").distinct()).collect()]
+    return pair_distances(values, [(topics, float(n_topics or len(topics)))], key, least)
 
 
 def semantic_rank(centroid: DataFrame, centred: bool = False) -> DataFrame:

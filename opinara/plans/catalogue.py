@@ -340,7 +340,13 @@ def listwise_covariance(spark, sf):
 @query("missing_corrected_distance", f"WITH {PANEL}, v AS (SELECT user_id, topic, sum(total)/sum(cnt) AS x FROM panel WHERE user_id % 50 = 1 GROUP BY ALL) SELECT a.user_id AS a, b.user_id AS b, count(*) AS common, {q6('sqrt(sum((a.x-b.x)**2)*5.0/count(*))')} AS distance FROM v a JOIN v b ON a.topic = b.topic AND a.user_id < b.user_id GROUP BY ALL HAVING count(*) >= 2")
 def missing_corrected_distance(spark, sf):
     v = panel.pooled_average(the_panel(spark, sf)).where("user_id % 50 = 1").select("user_id", "topic", F.col("average").alias("value"))
-    return rounded(semantic.missing_corrected_distance(v, n_topics=5, max_rows=500_000), "distance")
+    return rounded(semantic.missing_corrected_distance(v, n_topics=5), "distance")
+
+
+@query("missing_corrected_distance_all")
+def missing_corrected_distance_all(spark, sf):
+    """All pairs of users; the SQL of ``missing_corrected_distance`` fixes that one to a few users."""
+    return rounded(semantic.missing_corrected_distance(_user_values(spark, sf), n_topics=5), "distance")
 
 
 @query("simulation_grid")
@@ -754,7 +760,7 @@ def _user_values(spark, sf):
 
 @query("bagged_distances")
 def bagged_distances(spark, sf):
-    return rounded(dimension.bagged_distances(_user_values(spark, sf).where("user_id % 50 = 1"), list(ad.ORDER_TOPICS), max_rows=500_000), "distance")
+    return rounded(dimension.bagged_distances(_user_values(spark, sf), list(ad.ORDER_TOPICS)), "distance")
 
 
 @query("spectral_coordinates")

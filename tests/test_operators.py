@@ -1,10 +1,14 @@
 """Operators on small hand-made inputs: nulls, ties, empty tables, constants."""
 
+import statistics
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from opinara.operators import adjustment, correlation, labels, panel, semantic, simulation, spectral
-from opinara.plans import report
+from opinara.plans import catalogue, report
+from opinara.sources import adapters as ad
 
 
 def test_constant_and_single_rows_have_no_correlation(spark):
@@ -50,6 +54,37 @@ def test_centroids_and_neighbours(spark):
     assert [(r.neighbour, round(r.distance, 6)) for r in n] == [(3, 1.0), (2, 1.414214)]
 
 
+def brute_distances(people, bags, least=2):
+    out = {}
+    for a in people:
+        for b in people:
+            found = []
+            for topics, k in bags:
+                both = [t for t in topics if t in people[a] and t in people[b]]
+                if len(both) >= least:
+                    found.append((k / len(both) * sum((people[a][t] - people[b][t]) ** 2 for t in both)) ** 0.5)
+            if a < b and found:
+                out[a, b] = round(statistics.median(found), 9)
+    return out
+
+
+def test_distances_of_all_pairs_in_blocks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(semantic, "PAIR_BLOCK", 40)
+    got = {(r.a, r.b): r.distance for r in catalogue.QUERIES["missing_corrected_distance_all"](spark, sf_dir).collect()}
+    people: dict = {}
+    for r in catalogue._user_values(spark, sf_dir).collect():
+        people.setdefault(r.user_id, {})[r.topic] = r.value
+    assert len(people) > 80
+    topics = list(ad.ORDER_TOPICS)
+    want = brute_distances(people, [(topics, 5.0)])
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    rng = np.random.default_rng(0)
+    bags = [(sorted(rng.choice(topics, 4, replace=False)), 4.0) for _ in range(5)]
+    rows = catalogue.QUERIES["bagged_distances"](spark, sf_dir).collect()
+    got, want = {(r.a, r.b): r.distance for r in rows}, brute_distances(people, bags)
+    assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_noise_lowers_reliability(spark):
     v = spark.range(5000).selectExpr("id user_id", "'t' topic", "cast(pmod(xxhash64(id), 1000) as double) value")
     base = v.agg(F.var_samp("value")).first()[0]
