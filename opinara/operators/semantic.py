@@ -72,13 +72,25 @@ def keyword_cap(selected: DataFrame, k: int = 5, floor: float = 0.4) -> DataFram
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 2, max_queries: int = 2000) -> DataFrame:
-    """(word, neighbour, distance, rank): exact nearest neighbours of a stated, bounded set of queries among all rows.
+    """(word, neighbour, distance, rank): exact nearest neighbours of a stated set of queries among all rows.
+
+    Queries are cut by a hash of their word into blocks of about ``max_queries``; each block is broadcast and meets all
+    rows, and each task keeps its k best per query before the shuffle."""
+    queries = queries.select("word", "vector")
+    n_blocks = max(1, -(-queries.count() // max_queries))
+    block = F.pmod(F.xxhash64("word"), F.lit(n_blocks))
+    found = None
+    for b in range(n_blocks):
+        part = _nearest_block(rows, queries.where(block == b) if n_blocks > 1 else queries, k)
+        found = part if found is None else found.unionAll(part)
+    w = Window.partitionBy("word").orderBy("distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
-    Queries are broadcast after their number was checked; each task keeps its k best per query before the shuffle."""
-    held = queries.select("word", "vector").limit(max_queries + 1).toPandas().sort_values("word")
-    if len(held) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: pass them in blocks")
-    q = np.array(held["vector"].tolist(), np.float64).reshape(len(held), -1)
+def _nearest_block(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(word, neighbour, distance): the k best of each task for one block of queries."""
+    held = queries.toPandas().sort_values("word")
+    q = np.array(held["vector"].tolist(), np.float64).reshape(len(held), -1) if len(held) else np.zeros((0, 0))
     names = held["word"].to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast((q, names))
 
@@ -89,16 +101,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 2, max_queries: int =
                 continue
             x, own = np.array(f["vector"].tolist(), np.float64), f["word"].to_numpy()
             for s in range(0, len(names), 256):
-                d = np.sqrt(((q[s : s + 256, None, :] - x[None]) ** 2).sum(2))
+                d = np.concatenate([np.sqrt(((q[s : s + 256, None, :] - x[None, t : t + 256]) ** 2).sum(2)) for t in range(0, len(x), 256)], 1)
                 d[names[s : s + 256, None] == own[None]] = np.inf
                 for i in range(len(d)):
                     top = np.lexsort((own, d[i]))[:k]
                     top = top[np.isfinite(d[i][top])]
                     yield pd.DataFrame({"word": np.full(len(top), names[s + i]), "neighbour": own[top], "distance": d[i][top]})
 
-    found = rows.select("word", "vector").where("vector is not null").mapInPandas(run, "word long, neighbour long, distance double")
-    w = Window.partitionBy("word").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rows.select("word", "vector").where("vector is not null").mapInPandas(run, "word long, neighbour long, distance double")
 
 
 def twonn_dimension(neighbours: DataFrame, drop: float = 0.02) -> DataFrame:

@@ -85,6 +85,16 @@ def test_distances_of_all_pairs_in_blocks(spark, sf_dir, monkeypatch):
     assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
+def test_neighbours_of_more_queries_than_a_block(spark):
+    v = spark.range(60).selectExpr("id word", "array(cast(pmod(xxhash64(id), 1000) as double), cast(pmod(xxhash64(id, 1), 1000) as double)) vector")
+    x = {r.word: np.array(r.vector) for r in v.collect()}
+    got = {(r.word, r["rank"]): r.neighbour for r in semantic.nearest(v, v, 3, max_queries=7).collect()}
+    for a in x:
+        order = sorted((float(np.sqrt(((x[a] - x[b]) ** 2).sum())), b) for b in x if b != a)[:3]
+        assert [got.pop((a, k)) for k in (1, 2, 3)] == [b for _, b in order]
+    assert not got and semantic.nearest(v, v.limit(0)).count() == 0
+
+
 def test_noise_lowers_reliability(spark):
     v = spark.range(5000).selectExpr("id user_id", "'t' topic", "cast(pmod(xxhash64(id), 1000) as double) value")
     base = v.agg(F.var_samp("value")).first()[0]
