@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,22 +12,38 @@ from pyspark.sql import functions as F
 from opinara.functions import stats
 
 
-def manifold(l: int, rows: int, n: int, missing: float, seed: int, pattern: str = "random") -> np.ndarray:
-    """``rows`` points of a random n-dimensional subspace of l dimensions, entries missing at random or by row."""
+#: Rows of a simulated matrix that are held at once.
+PART = 100_000
+
+
+def manifold_parts(l: int, rows: int, n: int, missing: float, seed: int, pattern: str = "random") -> Iterator[np.ndarray]:
+    """``rows`` points of a random n-dimensional subspace of l dimensions, entries missing at random or by row, in runs of
+    at most ``PART`` rows."""
     rng = np.random.default_rng(seed)
-    x = rng.normal(size=(rows, n)) @ rng.normal(size=(n, l))
-    share = missing if pattern == "random" else np.clip(rng.beta(2, 2, size=(rows, 1)) * 2 * missing, 0, 1)
-    x[rng.random(x.shape) < share] = np.nan
-    return x
+    basis = None
+    for s in range(0, rows, PART):
+        m = min(PART, rows - s)
+        x = rng.normal(size=(m, n))
+        basis = rng.normal(size=(n, l)) if basis is None else basis
+        x = x @ basis
+        share = missing if pattern == "random" else np.clip(rng.beta(2, 2, size=(m, 1)) * 2 * missing, 0, 1)
+        x[rng.random(x.shape) < share] = np.nan
+        yield x
+
+
+def manifold(l: int, rows: int, n: int, missing: float, seed: int, pattern: str = "random") -> np.ndarray:
+    return np.concatenate(list(manifold_parts(l, rows, n, missing, seed, pattern)))
 
 
-def observed_spectrum(x: np.ndarray) -> dict:
-    """Spectrum of the pairwise-available covariance, with what was observed."""
-    seen = ~np.isnan(x)
-    b, v = seen.astype(float), np.nan_to_num(x)
-    count = b.T @ b
-    cov = stats.available_covariance(v.T @ v, count, v.sum(0) / np.maximum(b.sum(0), 1))
-    return {"observed_share": float(seen.mean()), "min_pair_count": int(count.min()), "negative_eigenvalues": int((np.linalg.eigvalsh(cov) < 0).sum()), **stats.spectrum(cov)}
+def observed_spectrum(parts: Iterable[np.ndarray]) -> dict:
+    """Spectrum of the pairwise-available covariance of a matrix given in runs of rows, with what was observed."""
+    count = cross = total = seen = size = 0
+    for x in parts:
+        b, v = (~np.isnan(x)).astype(float), np.nan_to_num(x)
+        count, cross, total = count + b.T @ b, cross + v.T @ v, total + v.sum(0)
+        seen, size = seen + b.sum(), size + b.size
+    cov = stats.available_covariance(cross, count, total / np.maximum(np.diag(count), 1))
+    return {"observed_share": float(seen / size), "min_pair_count": int(count.min()), "negative_eigenvalues": int((np.linalg.eigvalsh(cov) < 0).sum()), **stats.spectrum(cov)}
 
 
 def missingness_grid(spark: SparkSession, l: int = 20, sizes=(1000, 10000), missing=(0.0, 0.5, 0.9), dims=(2, 5), reps: int = 3, patterns=("random", "rows"), seed: int = 0) -> DataFrame:
@@ -38,7 +56,7 @@ def missingness_grid(spark: SparkSession, l: int = 20, sizes=(1000, 10000), miss
             out = []
             for c in f.itertuples(index=False):
                 s = seed + hash((c.l, c.n_rows, round(c.missing * 1000), c.n, c.rep)) % (1 << 31)
-                out.append(c._asdict() | observed_spectrum(manifold(c.l, c.n_rows, c.n, c.missing, s, c.pattern)))
+                out.append(c._asdict() | observed_spectrum(manifold_parts(c.l, c.n_rows, c.n, c.missing, s, c.pattern)))
             yield pd.DataFrame(out)
 
     return jobs.mapInPandas(run, "pattern string, l int, n_rows long, missing double, n int, rep int, observed_share double, min_pair_count long, negative_eigenvalues int, pr double, erank double, srank double")

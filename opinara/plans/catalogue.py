@@ -6,6 +6,7 @@ Computed doubles are rounded to 6 places on both sides, so that summation order
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -351,7 +352,7 @@ def missing_corrected_distance_all(spark, sf):
 
 @query("simulation_grid")
 def simulation_grid(spark, sf):
-    return simulation.missingness_grid(spark, 8, (200,), (0.0, 0.5), (2, 3), 2)
+    return simulation.missingness_grid(spark, 20, (1_000, 10_000, 100_000, 1_000_000), (0.70, 0.75, 0.80, 0.85, 0.90, 0.95), tuple(range(1, 11)), 5)
 
 
 @query("noisy_reliability")
@@ -561,6 +562,13 @@ def embedding_coverage(spark, sf):
     return semantic.coverage(v.select("word", "topic"), v.where("word % 4 <> 0").select("word", "vector"))
 
 
+@query("cosine_pairs_all")
+def cosine_pairs_all(spark, sf):
+    """Rows with the centroids of all topics; the SQL of ``cosine_pairs`` fixes that one to two topics."""
+    q = _centroids(spark, sf).select(F.col("topic").alias("query"), F.col("centroid").alias("qvector"))
+    return rounded(semantic.cosine_pairs(ad.keyword_vectors(spark, sf), q).drop("dot"), "similarity")
+
+
 @query("cosine_pairs", f"WITH {_CENT} SELECT e.vec_id AS word, c.topic AS query, round(list_cosine_similarity(e.embedding::DOUBLE[], c.c), 6) + 0.0 AS similarity FROM embeddings e, c WHERE c.topic < 2")
 def cosine_pairs(spark, sf):
     q = _centroids(spark, sf).where("topic < 2").select(F.col("topic").alias("query"), F.col("centroid").alias("qvector"))
@@ -597,7 +605,9 @@ def subspace_residuals(spark, sf):
 
 @query("word_matching")
 def word_matching(spark, sf):
-    return semantic.word_matching(ad.keyword_vectors(spark, sf), [(0, 1), (2, 3)])
+    v = ad.keyword_vectors(spark, sf)
+    topics = sorted(r.topic for r in semantic.checked_topics(v.select("topic").where("topic is not null").distinct()).collect())
+    return semantic.word_matching(v, list(combinations(topics, 2)))
 
 
 # --- comparisons ------------------------------------------------------------------------------------------------------
@@ -751,7 +761,7 @@ def random_topic_sets(spark, sf):
 @query("levina_bickel_dimension")
 def levina_bickel_dimension(spark, sf):
     v = ad.keyword_vectors(spark, sf)
-    return rounded(dimension.levina_bickel(semantic.nearest(v, v.where("word % 20 = 0"), 12, 20_000)), "dimension")
+    return rounded(dimension.levina_bickel(semantic.nearest(v, v.where("word % 20 = 0"), 30, 20_000), 10, 30), "dimension")
 
 
 def _user_values(spark, sf):

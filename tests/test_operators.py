@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinara.operators import adjustment, correlation, labels, panel, semantic, simulation, spectral
+from opinara.operators import adjustment, correlation, dimension, labels, panel, semantic, simulation, spectral
 from opinara.plans import catalogue, report
 from opinara.sources import adapters as ad
 
@@ -95,6 +95,36 @@ def test_neighbours_of_more_queries_than_a_block(spark):
     assert not got and semantic.nearest(v, v.limit(0)).count() == 0
 
 
+def test_whole_jobs_of_the_vector_queries(spark, sf_dir, monkeypatch):
+    rows = catalogue.QUERIES["cosine_pairs_all"](spark, sf_dir).collect()
+    vectors = {r.word: (r.topic, np.array(r.vector, float)) for r in ad.keyword_vectors(spark, sf_dir).collect()}
+    topics = sorted({t for t, _ in vectors.values()})
+    centre = {r.topic: np.array(r.centroid) for r in catalogue._centroids(spark, sf_dir).collect()}
+    assert len(rows) == len(vectors) * len(topics) == len({(r.word, r["query"]) for r in rows})
+    for r in rows:
+        x, c = vectors[r.word][1], centre[r["query"]]
+        assert abs(r.similarity - x @ c / np.linalg.norm(x) / np.linalg.norm(c)) < 2e-6
+    pairs = {r.pair for r in catalogue.QUERIES["word_matching"](spark, sf_dir).select("pair").distinct().collect()}
+    assert pairs == {f"{a}_{b}" for a in topics for b in topics if a < b}
+    asked = []
+    monkeypatch.setattr(dimension, "levina_bickel", lambda n, *k: asked.append((n.agg({"rank": "max"}).first()[0], *k)) or n.selectExpr("1.0 dimension"))
+    catalogue.QUERIES["levina_bickel_dimension"](spark, sf_dir)
+    assert asked == [(30, 10, 30)]
+    monkeypatch.setattr(simulation, "missingness_grid", lambda spark, *grid: grid)
+    l, sizes, missing, dims, reps = catalogue.QUERIES["simulation_grid"](spark, sf_dir)
+    assert (l, sizes, len(missing), len(dims), reps) == (20, (1_000, 10_000, 100_000, 1_000_000), 6, 10, 5)
+
+
+@pytest.mark.parametrize("pattern", ["random", "rows"])
+def test_simulated_matrix_in_parts(monkeypatch, pattern):
+    monkeypatch.setattr(simulation, "PART", 30)
+    parts = list(simulation.manifold_parts(6, 100, 2, 0.3, 1, pattern))
+    whole = np.concatenate(parts)
+    assert whole.shape == (100, 6) and len(parts) == 4
+    a, b = simulation.observed_spectrum(parts), simulation.observed_spectrum([whole])
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
 def test_noise_lowers_reliability(spark):
     v = spark.range(5000).selectExpr("id user_id", "'t' topic", "cast(pmod(xxhash64(id), 1000) as double) value")
     base = v.agg(F.var_samp("value")).first()[0]
