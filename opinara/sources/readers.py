@@ -78,9 +78,18 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return df.select("custom_id", content.alias("content")).where("content is not null")
 
 
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files with their content, for decoders that need a file as a whole; ValueError names files too large for that."""
+    files = spark.read.format("binaryFile").load(path)
+    large = [r.path for r in files.where(F.col("length") > MAX_WHOLE_FILE).select("path").limit(20).collect()]
+    if large:
+        raise ValueError(f"files of more than {MAX_WHOLE_FILE} bytes can't be decoded whole: {', '.join(sorted(large))}")
+    return files
+
+
 def read_stata(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Stata microdata: files are listed and read by Spark, each decoded by one task."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_WHOLE_FILE)
+    files = whole_files(spark, path)
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -92,7 +101,7 @@ def read_stata(spark: SparkSession, path: str, schema: str, columns: Sequence[st
 
 def read_tar_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """(archive, member, content) of tar archives, members by name."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_WHOLE_FILE)
+    files = whole_files(spark, path)
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -107,7 +116,7 @@ def read_tar_members(spark: SparkSession, path: str, suffix: str = "") -> DataFr
 def read_matrix(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """(file, row_id, topic, value) from .npz (compressed sparse rows, else its first array) and .npy files; missing
     entries have no row."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_WHOLE_FILE)
+    files = whole_files(spark, path)
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -48,6 +48,17 @@ def test_archives_stata_and_logs(spark, tmp_path):
     assert {r.name: r.value for r in readers.read_last_metrics(logs).where("name = 'auc'").collect()} == {"auc": 0.75}
 
 
+def test_files_too_large_are_named(spark, tmp_path, monkeypatch):
+    np.save(tmp_path / "small.npy", np.ones((1, 2)))
+    np.save(tmp_path / "large.npy", np.ones((50, 2)))
+    monkeypatch.setattr(readers, "MAX_WHOLE_FILE", 500)
+    for read in (lambda p: readers.read_matrix(spark, p, ["x", "y"]), lambda p: readers.read_tar_members(spark, p), lambda p: readers.read_stata(spark, p, "v double")):
+        with pytest.raises(ValueError, match=r"large\.npy") as found:
+            read(str(tmp_path / "*.npy"))
+        assert "small.npy" not in str(found.value)
+    assert readers.read_matrix(spark, str(tmp_path / "small.npy"), ["x", "y"]).count() == 2
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(100).selectExpr("id post_id", "concat('t', id) text", "cast(2000 + id % 2 as int) year")
     path = str(tmp_path / "out")
