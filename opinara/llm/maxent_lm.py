@@ -132,7 +132,7 @@ def class_features(context: np.ndarray) -> np.ndarray:
 
 
 def token_features(context: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    return (tk.mix(context[:, :2] + klass[:, None].astype(np.uint64) * tk.BASE) % np.uint64(TOKEN_ROWS)).astype(np.int32)
+    return (tk.mix(context + klass[:, None].astype(np.uint64) * tk.BASE) % np.uint64(TOKEN_ROWS)).astype(np.int32)
 
 
 def _logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:

@@ -78,6 +78,21 @@ def test_model_beats_baseline_on_held_out_texts(spark):
     assert (out.n_known <= out.n_tokens).all()
 
 
+def test_token_factor_learns_from_both_words_together():
+    # The third token is the exclusive or of the two before it: neither of them alone says anything about it.
+    rng = np.random.default_rng(2)
+    kinds = np.array([11, 22, 33, 44, 55, 66], np.uint64)  # all in one class
+    m = lm.Model(np.append(kinds, lm.END), np.full(7, 1000), 7000, 7)
+    state = {"class": np.full(lm.CLASS_ROWS, 1e-3, np.float32), "token": np.full(lm.TOKEN_ROWS, 1e-3, np.float32), "n": 0}
+    a, b = rng.integers(0, 2, 4000), rng.integers(0, 2, 4000)
+    hashes = np.stack([kinds[a], kinds[2 + b], kinds[4 + (a ^ b)], np.full(4000, lm.END)], 1).ravel()
+    first = np.arange(4001) * 4
+    for _ in range(10):
+        lm.train_on(m, state, hashes, first)
+    p = np.exp(lm.score_positions(m, m.rank(hashes), lm.context_rows(hashes, first)))
+    assert p[2::4].mean() > 0.9
+
+
 def test_tokens_end_every_text():
     got = [(lo, hi, h, f) for lo, hi, h, f in lm.tokens(pa.array(["a b", None, "", "c"]))]
     assert len(got) == 1 and got[0][3].tolist() == [0, 3, 4, 5, 7]
