@@ -10,7 +10,8 @@ proximity matches (all words of a window within ``span`` words, in any order).
 The index may be restricted to the words that the benchmark uses, which is what ``decontaminate`` does.
 
 Edge cases: null text has no words; an item without words has no windows; repeated items and repeated windows count
-for every item that holds them; rows with a null or repeated ``doc_id`` are kept apart, as matches are found per
+for every item that holds them; the windows of an item with a null ``item_id`` count for hits and ``contaminated`` but
+not for the numbers of items and the hash of their ids; rows with a null or repeated ``doc_id`` are kept apart, as matches are found per
 row; an empty corpus or benchmark gives no rows or no hits; other columns are ignored.
 """
 
@@ -49,11 +50,12 @@ def item_windows(items: pd.DataFrame, window: int = WINDOW) -> dict:
     """Distinct windows of the items as vocabulary numbers, with the items that hold each."""
     found: dict[tuple, set] = {}
     for item_id, text in zip(items["item_id"], items["text"], strict=True):
-        if text is None or item_id is None or item_id != item_id:
+        if text is None:
             continue
+        own = set() if item_id is None or item_id != item_id else {int(item_id)}
         words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
         for i in range(max(1, len(words) - window + 1)) if words else ():
-            found.setdefault(tuple(words[i : i + window]), set()).add(int(item_id))
+            found.setdefault(tuple(words[i : i + window]), set()).update(own)
     vocab = sorted({w for key in found for w in key})
     at = {w: i for i, w in enumerate(vocab)}
     terms = np.full((len(found), window), -1, np.int32)
@@ -251,8 +253,9 @@ def merge_ranges(x: np.ndarray) -> np.ndarray:
 
 
 def benchmark_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The benchmark in blocks of about ``limit`` text bytes; its size is measured first."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    """The benchmark in blocks of about ``limit`` text bytes; its size is measured first.  Ids are
+    text here: pandas would make numbers beside a null inexact."""
+    items = items.select(F.col("item_id").cast("long").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // limit) + 1
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]

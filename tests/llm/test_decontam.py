@@ -50,6 +50,15 @@ def test_blocks_give_the_same(spark):
     assert sorted((tuple(r) for r in run(spark, DOCS, ITEMS, limit=100).collect()), key=str) == a
 
 
+def test_items_without_an_id_count_as_hits_only(spark):
+    items = [(None, "alpha beta gamma"), ((1 << 60) + 1, "na na na na"), (None, None)]
+    none, one = (hashlib.sha256(x).hexdigest() for x in (b"", str((1 << 60) + 1).encode()))
+    docs = [(1, "x alpha beta gamma"), (2, "na na na na alpha beta gamma"), (3, "alpha beta")]
+    want = [(1, 4, 3, 0, none, True), (2, 7, 7, 1, one, True), (3, 2, 0, 0, none, False)]
+    for limit in (decontam.BLOCK_BYTES, 10):
+        assert sorted(tuple(r)[:6] for r in run(spark, docs, items, limit=limit).collect()) == want
+
+
 def test_empty_tables(spark):
     assert run(spark, [], ITEMS).count() == 0
     assert [r.n_hit for r in run(spark, [(1, "a b")], []).collect()] == [0]
