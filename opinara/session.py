@@ -44,7 +44,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession, limit: int = ARROW_BYTES) -> None:
-    """Lowers the size of Arrow batches to Python workers, so that texts of any length take bounded memory there."""
+    """Lowers the size of Arrow batches to Python workers, so that texts of any length take bounded memory there.
+
+    The setting is the session's and is read when a query runs, so it stays; a lower one of the user's is kept."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)
     digits = "".join(c for c in now or "" if c.isdigit())
@@ -52,6 +54,10 @@ def small_batches(spark: SparkSession, limit: int = ARROW_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
+#: Tables that ``cut_lineage`` wrote and nobody has dropped yet.
+_written: list[str] = []
+
+
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and returns the table read back.
 
@@ -60,5 +66,21 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_tables() -> int:
+    """How many stored tables there are: a mark for ``drop_tables``."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes the tables that ``cut_lineage`` wrote after a mark (and before another); DataFrames that still read them
+    are lost."""
+    gone = _written[since:until]
+    del _written[since:until]
+    for path in gone:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
