@@ -176,7 +176,10 @@ def doc_of(first: np.ndarray) -> np.ndarray:
 
 
 def sums_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs: run i is [first[i], first[i + 1])."""
-    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    """Sums of consecutive runs: run i is [first[i], first[i + 1]).  Each run of floats is added up by itself, in order, so
+    that equal runs have equal sums to the last bit."""
+    if values.dtype.kind == "f":
+        return np.bincount(doc_of(first), values, len(first) - 1)
+    total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]

@@ -6,10 +6,12 @@ to ``i``.  Lexicon entries are folded the same way and start at a word boundary;
 beginning.  A match inside an exception phrase doesn't count.  The summed weights, normalised by the text's length,
 are turned into a probability by a logistic curve.
 
-A short list of seed words comes with fixed weights.  Labelled training rows add entries: words and word beginnings
-that are frequent among toxic rows and rare among the others, weighted by their log odds; the curve is fitted on the
-same bounded sample (``PER_CLASS`` rows of each class, of which near copies of each other teach once: their words would
-else look like signals).  Every text is scored whole.
+A short list of seed words comes with fixed weights, and a short list of exception phrases.  Labelled training rows add
+entries: words and word beginnings that are frequent among toxic rows and rare among the others, weighted by their log
+odds.  They also add exceptions: pairs of neighbouring words, one of which an entry matches, that are frequent among the
+other rows and rare among the toxic ones.  The curve is fitted on the same bounded sample (``PER_CLASS`` rows of each
+class, of which near copies of each other teach once: their words would else look like signals).  Every text is scored
+whole.
 
 Edge cases: null and empty texts have no match and the score of the curve at zero; repeated rows get equal scores;
 of overlapping matches that start at one place the heaviest counts; without labels the seeds and a fixed curve apply;
@@ -19,6 +21,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,9 +38,10 @@ from opinara.session import cut_lineage, small_batches
 
 PER_CLASS = 3000
 THRESHOLD = 0.7
-#: Entries kept at most, by weight times support.
-MAX_ENTRIES = 20_000
+#: Shortest and longest word beginning that may become an entry.
 PREFIX = (4, 12)
+#: An exception phrase is so many times as frequent among rows that aren't toxic as among toxic ones.
+EXCEPTION_ODDS = 4.0
 SEED_WEIGHT = 3.0
 SEEDS = ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "scum", "loser", "trash", "bastard", "asshole", "bitch", "retard")
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "pond scum", "sore loser paradox")
@@ -91,8 +95,14 @@ def matches(folded: str, auto: ahocorasick.Automaton) -> tuple[float, int]:
             free.append((start, end))
         elif start not in best or w > best[start][0]:
             best[start] = (w, end)
-    if free:
-        best = {s: (w, e) for s, (w, e) in best.items() if not any(a <= s and e <= b for a, b in free)}
+    if free and best:
+        # One sweep: of the exceptions that start at or before a match, the one that ends last decides.
+        free.sort()
+        starts, reach = [a for a, _ in free], []
+        for _, b in free:
+            reach.append(max(b, reach[-1]) if reach else b)
+        for s in [s for s, (_, e) in best.items() if (k := bisect_right(starts, s)) and e <= reach[k - 1]]:
+            del best[s]
     return math.fsum(w for w, _ in best.values()), len(best)
 
 
@@ -141,8 +151,31 @@ def choose_entries(counts: pd.DataFrame, n_pos: int, n_neg: int, min_odds: float
         if any(rate[s][2] <= neg for s in shorter):
             continue
         chosen[e] = float(w)
-    top = sorted(chosen, key=lambda e: (-chosen[e] * rate[e][1], e))[:MAX_ENTRIES]
-    return {e: round(chosen[e], 6) for e in sorted(top)}
+    return {e: round(chosen[e], 6) for e in sorted(chosen)}
+
+
+def matched_phrases(folded: str, auto: ahocorasick.Automaton) -> set[str]:
+    """Each matched word with the word before it and with the one after it, where one space parts them."""
+    out = set()
+    for end, (n, w) in auto.iter(folded):
+        if w is None:
+            continue
+        start = end - n + 2  # entries begin with the space before their word
+        stop = folded.find(" ", start)
+        after = folded.find(" ", stop + 1)
+        if after > stop + 1:
+            out.add(folded[start:after])
+        before = folded.rfind(" ", 0, max(start - 1, 0)) + 1
+        if 0 < before < start - 1:
+            out.add(folded[before:stop])
+    return out
+
+
+def choose_exceptions(counts: pd.DataFrame, n_pos: int, n_neg: int, odds: float = EXCEPTION_ODDS) -> tuple[str, ...]:
+    """Phrases from (phrase, pos, neg) document counts that speak against toxicity, with enough support."""
+    c = counts[counts["neg"] >= max(4, n_neg // 200)]
+    ratio = (c["neg"] + 0.5) / (n_neg + 1) / ((c["pos"] + 0.5) / (n_pos + 1))
+    return tuple(sorted(c[ratio >= odds]["phrase"]))
 
 
 def word_minima(text: str | None, n: int = 4) -> list[int]:
@@ -196,8 +229,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, except
     size = counts[counts["entry"] == ""]
     if not len(size) or not size["pos"].iloc[0] or not size["neg"].iloc[0]:
         return {"entries": seeds, "curve": CURVE, "exceptions": exceptions}
-    learnt = choose_entries(counts[counts["entry"] != ""], int(size["pos"].iloc[0]), int(size["neg"].iloc[0]))
-    model = {"entries": seeds | learnt, "curve": CURVE, "exceptions": exceptions}
+    n_pos, n_neg = int(size["pos"].iloc[0]), int(size["neg"].iloc[0])
+    entries = seeds | choose_entries(counts[counts["entry"] != ""], n_pos, n_neg)
+    lexicon = docs.sparkSession.sparkContext.broadcast(entries)
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = automaton(lexicon.value, ())
+        seen = {0: Counter(), 1: Counter()}
+        for b in batches:
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[label].update(matched_phrases(fold(text or ""), auto))
+        keys = sorted(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["phrase", "pos", "neg"])
+
+    near = rows.mapInArrow(phrases, "phrase string, pos long, neg long").groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    near = near.where("neg >= 4 and neg > pos").toPandas()  # pairs of the bounded sample
+    exceptions = (*exceptions, *choose_exceptions(near, n_pos, n_neg))
+    model = {"entries": entries, "curve": CURVE, "exceptions": exceptions}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
