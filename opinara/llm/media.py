@@ -2,7 +2,9 @@
 
 ``parse`` reads any byte string: it skips an ID3v2 tag (and reads its frames), looks for a frame header that is
 followed by a consistent one, walks the frames, resynchronises after damage, reads the first frame's Xing/Info or VBRI
-table, verifies each protected frame's CRC-16 and the CRC-32 of an attached payload, and reads an ID3v1 tag at the end.
+table, verifies the CRC-16 of each protected frame of Layers I, II and III and the CRC-32 of an attached payload, and
+reads an ID3v1 tag at the end.  ``n_checked`` counts the frames whose CRC-16 was verified; a protected frame too short to
+hold what its checksum covers counts as one with a wrong checksum.
 It returns exact durations (samples over the sampling rate) and the byte offset of every frame for seeking.
 
 ``encode`` stores arbitrary bytes losslessly in a valid stream: an ID3v2 tag with the payload's length and CRC-32, an
@@ -37,6 +39,14 @@ BITRATES = {
     (False, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+# Fixed values of the same standards: bits of a Layer II allocation, as (subbands, bits) from the lowest subband on.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
 RATES = (44100, 48000, 32000)
 VERSIONS = {0: 2.5, 2: 2, 3: 1}
 RATE = 48000
@@ -66,6 +76,56 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return c
 
 
+def crc16_bits(bits: np.ndarray) -> int:
+    """The same over any number of bits."""
+    c = 0xFFFF
+    for bit in bits.tolist():
+        c = ((c << 1) ^ (0x8005 if (c >> 15 ^ bit) & 1 else 0)) & 0xFFFF
+    return c
+
+
+def protected_bits(body: np.ndarray, h: dict) -> np.ndarray | None:
+    """The bits after the checksum that a Layer I or II frame's checksum covers: the bit allocation and, in Layer II, the
+    scale factor selection; None if they don't fit.  ``body``: the frame's bits from there on."""
+    channels = 1 if h["mono"] else 2
+    if h["layer"] == 1:
+        bound = h["bound"] if channels == 2 else 32
+        n = 4 * (channels * bound + 32 - bound) if channels == 2 else 4 * 32
+        return body[:n] if len(body) >= n else None
+    if h["version"] != 1:
+        table = "low"
+    else:
+        each = h["kbps"] // channels
+        low, middle = each <= 48, each <= 80 or h["hz"] == 48000
+        table = ("d" if h["hz"] == 32000 else "c") if low else "a" if middle else "b"
+    width = [bits for n, bits in ALLOCATION[table] for _ in range(n)]
+    place, chosen = 0, 0
+    for band, bits in enumerate(width):
+        shared = channels == 2 and band >= h["bound"]
+        for _ in range(1 if shared else channels):
+            if place + bits > len(body):
+                return None
+            chosen += bool(body[place : place + bits].any()) * (2 if shared else 1)
+            place += bits
+    n = place + 2 * chosen
+    return body[:n] if len(body) >= n else None
+
+
+def bad_checksums(data: bytes, offsets: np.ndarray, sizes: np.ndarray, first: dict) -> int:
+    """Wrong checksums among the protected frames at the given places."""
+    raw = np.frombuffer(data, np.uint8)
+    if first["layer"] == 3:
+        fits = sizes >= 6 + first["side"]
+        at = offsets[fits]
+        rows = np.concatenate([raw[at[:, None] + np.array([2, 3])], raw[at[:, None] + 6 + np.arange(first["side"])]], 1)
+        return int((~fits).sum() + (crc16(rows) != (raw[at + 4].astype(np.uint16) << np.uint16(8) | raw[at + 5])).sum())
+    bad = 0
+    for at, size in zip(offsets.tolist(), sizes.tolist(), strict=True):
+        covered = protected_bits(np.unpackbits(raw[at + 6 : at + size]), header(data, at))
+        bad += covered is None or crc16_bits(np.concatenate([np.unpackbits(raw[at + 2 : at + 4]), covered])) != int(raw[at + 4]) << 8 | int(raw[at + 5])
+    return int(bad)
+
+
 def header(data: bytes, at: int) -> dict | None:
     """The frame header at a place, or None if there is no valid one."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
@@ -82,7 +142,7 @@ def header(data: bytes, at: int) -> dict | None:
     size = (12 * kbps * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
     mono = b3 >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
-    return {"version": version, "layer": layer, "kbps": kbps, "hz": hz, "samples": samples, "size": size, "mono": mono, "protected": not b1 & 1, "side": side}
+    return {"version": version, "layer": layer, "kbps": kbps, "hz": hz, "samples": samples, "size": size, "mono": mono, "protected": not b1 & 1, "side": side, "bound": 4 * (b3 >> 4 & 3) + 4 if b3 >> 6 == 1 else 32}
 
 
 def _same_stream(a: dict, b: dict) -> bool:
@@ -126,8 +186,13 @@ def read_vbr(data: bytes, at: int, h: dict) -> dict | None:
             return out
     start = at + 36
     if data[start : start + 4] == b"VBRI":
-        size, frames = struct.unpack(">II", data[start + 10 : start + 18])
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": None}
+        if len(data) < start + 26:
+            return None
+        size, frames, entries, scale, width, each = struct.unpack(">IIHHHH", data[start + 10 : start + 26])
+        # Bytes of each run of ``frames_per_entry`` frames.
+        raw = data[start + 26 : start + 26 + entries * width] if 0 < width <= 4 else b""
+        toc = [scale * int.from_bytes(raw[k : k + width], "big") for k in range(0, len(raw) - width + 1, width)] if raw else []
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc, "frames_per_entry": each}
     return None
 
 
@@ -172,12 +237,8 @@ def parse(data: bytes) -> dict:
     offs, size = np.array(offsets, np.int64), np.array(sizes, np.int64)
     bad = 0
     checked = np.flatnonzero(protected)
-    if first is not None and first["layer"] == 3 and len(checked):
-        raw = np.frombuffer(data, np.uint8)
-        fits = checked[size[checked] >= 6 + first["side"]]
-        at_ = offs[fits]
-        rows = np.concatenate([raw[at_[:, None] + np.array([2, 3])], raw[at_[:, None] + 6 + np.arange(first["side"])]], 1)
-        bad = int((crc16(rows) != (raw[at_ + 4].astype(np.uint16) << np.uint16(8) | raw[at_ + 5])).sum())
+    if first is not None and len(checked):
+        bad = bad_checksums(data, offs[checked], size[checked], first)
     samples = len(offsets) * first["samples"] if first else 0
     out = {
         "tags": tags, "id3v1": id3v1, "vbr": vbr, "n_frames": len(offsets), "offsets": offs, "sizes": size, "samples": samples, "hz": first["hz"] if first else 0, "layer": first["layer"] if first else 0,

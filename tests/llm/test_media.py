@@ -79,3 +79,84 @@ def test_query_over_odd_rows(spark):
         stored = media.encode(body)
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and r.payload_ok
     assert media.read_media(media.media_column(docs.limit(0))).count() == 0
+
+
+def bit_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        top = c >> 15
+        c = (c << 1) & 0xFFFF
+        if top != b:
+            c ^= 0x8005
+    return c
+
+
+def by_hand(layer, mono, joint_bound=None, seed=0, hz_index=1, rate_index=9):
+    """One protected MPEG-1 frame, written bit by bit without the module, and the number of bits its checksum covers."""
+    import random
+
+    rng = random.Random(seed)
+    mode = 3 if mono else 0 if joint_bound is None else 1
+    b1 = 0xF8 | (4 - layer) << 1  # protected
+    b3 = mode << 6 | (0 if joint_bound is None else (joint_bound // 4 - 1) << 4)
+    head = [int(x) for b in (0xFF, b1, rate_index << 4 | hz_index << 2, b3) for x in f"{b:08b}"]
+    channels = 1 if mono else 2
+    bound = 32 if joint_bound is None else joint_bound
+    body = []
+    if layer == 1:
+        for sb in range(32):
+            for _ in range(channels if sb < bound else 1):
+                body += [int(x) for x in f"{rng.randrange(15):04b}"]
+        size = (12 * (32 * rate_index) * 1000 // (44100, 48000, 32000)[hz_index]) * 4
+    else:
+        kbps = (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384)[rate_index]
+        hz = (44100, 48000, 32000)[hz_index]
+        each = kbps // channels
+        if each <= 48:
+            nbal = [4, 4] + [3] * (10 if hz == 32000 else 6)
+        elif each <= 80 or hz == 48000:
+            nbal = [4] * 11 + [3] * 12 + [2] * 4
+        else:
+            nbal = [4] * 11 + [3] * 12 + [2] * 7
+        chosen = 0
+        for sb, n in enumerate(nbal):
+            for _ in range(channels if sb < bound else 1):
+                v = rng.randrange(1 << n)
+                body += [int(x) for x in f"{v:0{n}b}"]
+                chosen += (v > 0) * (1 if sb < bound else channels)
+        body += [rng.randrange(2) for _ in range(2 * chosen)]
+        size = 144 * kbps * 1000 // hz
+    check = [int(x) for x in f"{bit_crc(head[16:] + body):016b}"]
+    bits = head + check + body
+    bits += [0] * (-len(bits) % 8)
+    raw = bytes(int("".join(map(str, bits[k : k + 8])), 2) for k in range(0, len(bits), 8))
+    return raw + bytes(rng.randrange(255) for _ in range(size - len(raw)))
+
+
+@pytest.mark.parametrize("kind", [(1, True, None, 1, 9), (1, False, None, 0, 9), (1, False, 8, 1, 9), (2, True, None, 1, 9), (2, False, None, 0, 9), (2, False, 12, 0, 14), (2, True, None, 2, 2), (2, False, None, 1, 1), (2, False, 4, 2, 12)])
+def test_checksums_of_layers_1_and_2(kind):
+    layer, mono, bound, hz, rate = kind
+    frames = [by_hand(layer, mono, bound, k, hz, rate) for k in range(4)]
+    p = media.parse(b"".join(frames))
+    assert (p["n_frames"], p["layer"], p["n_checked"], p["bad_crc"]) == (4, layer, 4, 0)
+    broken = [bytearray(f) for f in frames]
+    for f in broken[:3]:
+        f[6] ^= 0x80
+    q = media.parse(b"".join(map(bytes, broken)))
+    assert q["n_checked"] == 4 and q["bad_crc"] == 3
+
+
+def test_hand_made_layer_3_stream_and_vbri_table():
+    import struct
+
+    side = bytes(range(17))
+    head = bytes([0xFF, 0xFA, 0x94, 0xC0])  # 128 kbit/s, 48 kHz, mono, protected
+    check = bit_crc([int(x) for b in head[2:] + side for x in f"{b:08b}"])
+    frame = head + check.to_bytes(2, "big") + side
+    frame += bytes(384 - len(frame))
+    plain = bytes([0xFF, 0xFB, 0x94, 0xC0]) + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 384 * 6, 5, 3, 2, 2, 2) + struct.pack(">HHH", 384, 384, 192)
+    first = plain + bytes(384 - len(plain))
+    p = media.parse(first + frame * 5)
+    assert p["vbr"] == {"kind": "VBRI", "frames": 5, "bytes": 384 * 6, "toc": [768, 768, 384], "frames_per_entry": 2}
+    assert (p["n_frames"], p["n_checked"], p["bad_crc"], p["duration_s"]) == (5, 5, 0, 5 * 1152 / 48000)
+    assert p["offsets"].tolist() == [384 * (k + 1) for k in range(5)]
