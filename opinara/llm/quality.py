@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara.llm import textkit as tk
 from opinara.llm.labelled import held_out, labelled_texts
@@ -66,14 +67,13 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         bare = named[ends] == named[starts]
         marked = kind[ends - 1] == 5
         short = (ends - starts) <= 3
-        # A pair of words that its text has already had, beyond immediate repeats.
-        pairs = tk.mix(hashes[:-1] * np.uint64(31) + hashes[1:] + doc[1:].astype(np.uint64) * tk.BASE) if len(hashes) > 1 else np.zeros(0, np.uint64)
+        # A pair of neighbouring words of one text that the text has already had.
+        second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
         again = np.zeros(len(hashes), bool)
-        if len(pairs):
+        if len(second):
+            pairs = tk.mix(hashes[second - 1] * np.uint64(31) + hashes[second] + doc[second].astype(np.uint64) * tk.BASE)
             order = np.argsort(pairs, kind="stable")
-            dup = np.zeros(len(pairs), bool)
-            dup[order[1:]] = pairs[order][1:] == pairs[order][:-1]
-            again[1:] = dup & (doc[1:] == doc[:-1])
+            again[second[order[1:]]] = pairs[order][1:] == pairs[order][:-1]
         per = lambda x: tk.sums_by(x, first)
         same_n, bare_n, marked_n, short_n, again_n = map(per, (same, bare, marked, short, again))
     else:
@@ -94,7 +94,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             np.sqrt(_share(symbols, chars, 0.002, 300)),
             np.sqrt(_share(bare_n, words, 0.005, 20)),
             np.sqrt(_share(same_n, words, 0.01, 20)),
-            np.sqrt(_share(again_n, np.minimum(words, 400 + words // 8), 0.05, 40)),
+            # Pairs come again more often in a longer text, so their share is taken of a power of its length.
+            np.sqrt(_share(again_n, 4 * words.astype(np.float64) ** 0.7, 0.05, 40)),
             np.sqrt(_share(marked_n, words, 0.005, 20)),
             np.log(_share(chars, words, 5.0, 20)),
             _share(short_n, words, 0.35, 20),
@@ -163,8 +164,9 @@ def classify(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = (), th
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in keep if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id"), F.col("text"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), *kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or "text" in keep) + ", score double, predicted int"
-    names = [f.name for f in rows.schema if f.name != "text" or "text" in keep]
+    fields = [f for f in rows.schema if f.name != "text" or "text" in keep]
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

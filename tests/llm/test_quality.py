@@ -1,4 +1,8 @@
+import math
+import re
+
 import numpy as np
+import pyarrow as pa
 
 from opinara.llm import queries, quality
 
@@ -38,3 +42,38 @@ def test_odd_rows(spark):
     out = quality.classify(docs, model).collect()
     assert all(0 <= r.score <= 1 for r in out)
     assert len({r.score for r in out if r.doc_id == 4}) == 1 and len({r.score for r in out if r.doc_id in (1, 2)}) == 1
+
+
+def slow_statistics(text):
+    raw = (text or "").encode()
+    marks = b".,;:'\"-?"
+    symbol = [c for c in range(33, 127) if not chr(c).isalnum() and c not in marks]
+    n = lambda f: sum(f(c) for c in raw)
+    upper, lower, digits = n(lambda c: 65 <= c <= 90), n(lambda c: 97 <= c <= 122), n(lambda c: 48 <= c <= 57)
+    symbols, high, marked = n(lambda c: c in symbol), n(lambda c: c >= 128), n(lambda c: c in marks)
+    letters, chars = upper + lower, upper + lower + digits + symbols + high + marked
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    same = sum(a == b for a, b in zip(low, low[1:], strict=False))
+    # Bytes without a name: symbols, sentence marks, control bytes and 127.
+    named = lambda c: 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    bare = sum(not any(map(named, w)) for w in words)
+    ends = sum(w[-1] in symbol for w in words)
+    short = sum(len(w) <= 3 for w in words)
+    pairs = list(zip(low, low[1:], strict=False))
+    again = len(pairs) - len(set(pairs))
+    lines = [x for x in raw.split(b"\n") if x]
+    share = lambda c, t, prior, k: (c + prior * k) / (t + k)
+    return [
+        math.sqrt(share(upper, letters, 0.03, 60)), math.sqrt(share(symbols, chars, 0.002, 300)), math.sqrt(share(bare, len(words), 0.005, 20)),
+        math.sqrt(share(same, len(words), 0.01, 20)), math.sqrt(share(again, 4 * len(words) ** 0.7, 0.05, 40)), math.sqrt(share(ends, len(words), 0.005, 20)),
+        math.log(share(chars, len(words), 5.0, 20)), share(short, len(words), 0.35, 20), math.sqrt(share(digits, chars, 0.01, 200)),
+        math.sqrt(share(len(lines) - len(set(lines)), len(lines), 0.02, 10)),
+    ]
+
+
+def test_statistics_equal_brute_force(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += [None, "", " \n\n ", "a a a a b a a", "x\nx\n\nx\ny", "?!#$% 12 ÄÖ a!", "The the THE", "w " * 3000]
+    got = quality.batch_statistics(pa.array(texts, pa.string()))
+    assert np.allclose(got, [slow_statistics(t) for t in texts])
