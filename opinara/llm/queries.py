@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from opinara.llm import decontam, langid, maxent_lm, media, mixing, ngram_join, quality, substring_dedup, toxicity, urlfilter
 
@@ -49,8 +48,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is labelled bad by the quality label of the document of its id."""
     pages = table(spark, sf_dir, "pages")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    return urlfilter.filter_urls(pages, pages.select("page_id", "url").join(labels, "page_id").select("url", "bad"))
+    return urlfilter.filter_urls(pages, urlfilter.labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
 def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
