@@ -7,11 +7,11 @@ shuffle.  ``search`` intersects the offset-adjusted lists of each benchmark wind
 window's rarest term of that segment to its most frequent one, and returns exact phrase matches; with ``span`` also
 proximity matches (all words of a window within ``span`` words, in any order).
 
-The index may be restricted to the words that the benchmark uses, which is what ``decontaminate`` does.
+The index holds the postings of all words of all texts, so that one stored index serves any benchmark.
 
 Edge cases: null text has no words; an item without words has no windows; repeated items and repeated windows count
-for every item that holds them; the windows of an item with a null ``item_id`` count for hits and ``contaminated`` but
-not for the numbers of items and the hash of their ids; rows with a null or repeated ``doc_id`` are kept apart, as matches are found per
+for every item that holds them; ids of any type count as their text; the windows of an item with a null ``item_id``
+count for hits and ``contaminated`` but not for the numbers of items and the hash of their ids; rows with a null or repeated ``doc_id`` are kept apart, as matches are found per
 row; an empty corpus or benchmark gives no rows or no hits; other columns are ignored.
 """
 
@@ -42,7 +42,7 @@ CANDIDATES = 1 << 20
 
 SEGMENT = "doc_ids binary, id_null binary, n_words binary, base binary, terms binary, counts binary, positions binary"
 MATCHES = T.StructType(
-    [T.StructField("segment", T.LongType()), T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType())), T.StructField("near_items", T.ArrayType(T.LongType()))]
+    [T.StructField("segment", T.LongType()), T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("near_items", T.ArrayType(T.StringType()))]
 )
 
 
@@ -52,7 +52,7 @@ def item_windows(items: pd.DataFrame, window: int = WINDOW) -> dict:
     for item_id, text in zip(items["item_id"], items["text"], strict=True):
         if text is None:
             continue
-        own = set() if item_id is None or item_id != item_id else {int(item_id)}
+        own = set() if item_id is None or item_id != item_id else {str(item_id)}
         words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
         for i in range(max(1, len(words) - window + 1)) if words else ():
             found.setdefault(tuple(words[i : i + window]), set()).update(own)
@@ -62,17 +62,14 @@ def item_windows(items: pd.DataFrame, window: int = WINDOW) -> dict:
     for i, key in enumerate(found):
         terms[i, : len(key)] = [at[w] for w in key]
     owners = [sorted(x) for x in found.values()]
-    return {"hashes": tk.hash_words(vocab), "terms": terms, "owners": np.array([x for o in owners for x in o], np.int64), "owner_at": np.cumsum([0, *map(len, owners)])}
+    return {"hashes": tk.hash_words(vocab), "terms": terms, "owners": np.array([x for o in owners for x in o], object), "owner_at": np.cumsum([0, *map(len, owners)])}
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments of the positional index; ``vocabulary`` (word hashes) restricts the postings, not the positions."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    only = None if vocabulary is None else spark.sparkContext.broadcast(np.asarray(vocabulary, np.uint64))
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Segments of the positional index over all words."""
+    small_batches(docs.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = None if only is None else tk.HashIndex(np.unique(only.value))
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, offsets in tk.doc_chunks(batch.column(1), 2 * tk.CHUNK):
@@ -80,14 +77,8 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: s
                 n_words = np.diff(first)
                 base = first[:-1] + GAP * np.arange(1, hi - lo + 1)
                 position = np.arange(len(hashes)) + np.repeat(base - first[:-1], n_words)
-                if keep is None:
-                    terms, inverse = np.unique(hashes, return_inverse=True)
-                else:
-                    found = keep.find(hashes)
-                    kept = found >= 0
-                    used, inverse = np.unique(found[kept], return_inverse=True)
-                    terms, position = keep.keys[used], position[kept]
-                order = np.argsort(inverse, kind="stable")
+                order = np.argsort(hashes, kind="stable")
+                terms, counts = np.unique(hashes[order], return_counts=True)
                 own = ids.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -96,7 +87,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: s
                         "n_words": [n_words.astype(np.int64).tobytes()],
                         "base": [base.astype(np.int64).tobytes()],
                         "terms": [terms.astype(np.uint64).tobytes()],
-                        "counts": [np.bincount(inverse, minlength=len(terms)).astype(np.int64).tobytes()],
+                        "counts": [counts.astype(np.int64).tobytes()],
                         "positions": [position[order].astype(np.uint32).tobytes()],
                     },
                     schema=pa.schema([(c.split()[0], pa.binary()) for c in SEGMENT.split(", ")]),
@@ -126,10 +117,12 @@ class Segment:
             return np.zeros(0, np.int64), none, none
         at = np.minimum(np.searchsorted(self.terms, block["hashes"]), len(self.terms) - 1)
         at = np.where(self.terms[at] == block["hashes"], at, -1)
-        used = block["terms"] >= 0
-        here = np.where(used, at[np.maximum(block["terms"], 0)], -1)
-        live = np.flatnonzero(((here >= 0) | ~used).all(1))
-        here = here[live]
+        # Slot by slot, so that windows with a word that doesn't occur here leave early.
+        terms, live = block["terms"], np.arange(len(block["terms"]))
+        for k in range(terms.shape[1]):
+            own = terms[live, k]
+            live = live[(own < 0) | (at[np.maximum(own, 0)] >= 0)]
+        here = np.where(terms[live] >= 0, at[np.maximum(terms[live], 0)], -1)
         size = np.where(here >= 0, self.counts[np.maximum(here, 0)], np.iinfo(np.int64).max)
         return live, here, np.argsort(size, axis=1, kind="stable")
 
@@ -211,8 +204,8 @@ def search(index: DataFrame, items: pd.DataFrame, window: int = WINDOW, span: in
         raise ValueError(f"windows and spans are at most {GAP} words")
     shared = index.sparkSession.sparkContext.broadcast(item_windows(items, window))
 
-    def owners(block: dict, windows: np.ndarray) -> list[int]:
-        return sorted({int(x) for w in np.unique(windows) for x in block["owners"][block["owner_at"][w] : block["owner_at"][w + 1]]})
+    def owners(block: dict, windows: np.ndarray) -> list[str]:
+        return sorted({x for w in np.unique(windows) for x in block["owners"][block["owner_at"][w] : block["owner_at"][w + 1]]})
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
@@ -236,7 +229,7 @@ def search(index: DataFrame, items: pd.DataFrame, window: int = WINDOW, span: in
                         near_of[d] = owners(block, windows[doc == d])
                 yield pa.RecordBatch.from_pydict(
                     {"segment": [seg.segment] * n, "row": list(range(n)), "doc_id": seg.ids, "n_words": seg.n_words.tolist(), "hits": hits, "items": items_of, "near_items": near_of},
-                    schema=pa.schema([("segment", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64())), ("near_items", pa.list_(pa.int64()))]),
+                    schema=pa.schema([("segment", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))]),
                 )
 
     return index.mapInArrow(match, MATCHES)
@@ -255,7 +248,7 @@ def merge_ranges(x: np.ndarray) -> np.ndarray:
 def benchmark_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> list[DataFrame]:
     """The benchmark in blocks of about ``limit`` text bytes; its size is measured first.  Ids are
     text here: pandas would make numbers beside a null inexact."""
-    items = items.select(F.col("item_id").cast("long").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // limit) + 1
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
@@ -266,11 +259,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, span:
 
     One pass over the stored index for each block of the benchmark; several passes are merged by row."""
     blocks = benchmark_blocks(items, limit)
-    held = blocks[0].toPandas() if len(blocks) == 1 else None
-    index = cut_lineage(build_index(docs, None if held is None else item_windows(held, window)["hashes"]), "postings")
+    index = cut_lineage(build_index(docs), "postings")
     found = None
     for block in blocks:
-        part = search(index, block.toPandas() if held is None else held, window, span)
+        part = search(index, block.toPandas(), window, span)
         found = part if found is None else found.unionAll(part)
     several = len(blocks) > 1
 
@@ -285,7 +277,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, span:
                     "n_words": f["n_words"],
                     "n_hit": n_hit,
                     "n_items": [len(x) for x in items_],
-                    "items_sha256": [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items_],
+                    "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items_],
                     "contaminated": [x > 0 for x in n_hit],
                     "n_near_items": [len(x) for x in f["near_items"]],
                 }

@@ -83,3 +83,26 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     assert len(out) == len(docs)
     got = out[out.contaminated].drop(columns="n_near_items").itertuples(index=False, name=None)
     assert sorted(got, key=str) == brute(few, items)
+
+
+def test_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "x alpha beta gamma"), (2, "na na na na")], "doc_id long, text string")
+    items = spark.createDataFrame([("q-1", "alpha beta gamma"), ("10", "alpha beta gamma"), (None, "na na na na")], "item_id string, text string")
+    got = {r.doc_id: (r.n_items, r.items_sha256, r.contaminated) for r in decontam.decontaminate(docs, items).collect()}
+    assert got == {1: (2, hashlib.sha256(b"10,q-1").hexdigest(), True), 2: (0, hashlib.sha256(b"").hexdigest(), True)}
+
+
+def test_index_holds_the_postings_of_every_word(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c, B!"), (3, None)], "doc_id long, text string").coalesce(1)
+    rows = decontam.build_index(docs).collect()
+    seen = {}
+    for r in rows:
+        terms, counts, places = np.frombuffer(r.terms, np.uint64), np.frombuffer(r.counts, np.int64), np.frombuffer(r.positions, np.uint32)
+        base = np.frombuffer(r.base, np.int64)
+        for t, p in zip(np.repeat(terms, counts), places, strict=True):
+            d = int(np.searchsorted(base, p, "right")) - 1
+            seen.setdefault(int(t), []).append((int(np.frombuffer(r.doc_ids, np.int64)[d]), int(p - base[d])))
+    want = dict(zip(map(int, decontam.tk.hash_words(["a", "b", "c"])), [[(1, 0), (1, 2)], [(1, 1), (2, 1)], [(2, 0)]], strict=True))
+    assert seen == want
