@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from opinara.llm import textkit as tk
 from opinara.llm.components import connected_components
 from opinara.llm.grouped import map_groups
+from opinara.llm.joins import broadcast_if_few, join_by_size, packed, unpacked
 from opinara.session import cut_lineage, small_batches
 
 WORDS = 5
@@ -41,8 +42,6 @@ K, R = 128, 4
 TOLERANCE = 1e-6
 STEPS = (16, 32, 64, 128)
 BLOCK = 384
-#: Candidate ids are broadcast up to this number when texts are read again, and joined beyond it.
-MAX_BROADCAST_IDS = 500_000
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -216,11 +215,12 @@ def _bands(reps: DataFrame) -> DataFrame:
 def _groups(reps: DataFrame) -> DataFrame:
     """(centre, lo, hi, rep, block, centres): members of each pair of blocks of each centre's group."""
     bands = _bands(reps)
-    full = bands.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "centre")
-    member = cut_lineage(bands.join(full, "bucket").select("centre", "rep").distinct(), "members")
+    full = bands.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = cut_lineage(join_by_size(bands, full, ["bucket"]).select("centre", "rep").distinct(), "members")
     centres = member.groupBy("rep").agg(F.array_sort(F.collect_list("centre")).alias("centres"))  # at most K / R each
-    sizes = member.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = member.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = member.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)  # other groups are one block
+    dealt = join_by_size(member, sizes, ["centre"], how="left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")).drop("n")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("centre", F.least("block", "other").cast("int").alias("lo"), F.greatest("block", "other").cast("int").alias("hi"), "rep", "block")
     return paired.join(centres, "rep")
@@ -254,10 +254,9 @@ def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rep, items): sorted distinct shingle hashes of the wanted representatives (rep, doc_id, text_key)."""
-    few = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     want = wanted.select("rep", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    joined = own.join(F.broadcast(want) if few else want, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")))
+    joined = own.join(broadcast_if_few(want), F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,9 +317,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     roots = connected_components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     totals = links.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.join(totals, "rep", "left").join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("rep_id").isNull().alias("no_id"), F.col("rep_id").alias("id"), "rep_key", "rep")).alias("best"))
-    named = named.join(best, "root").select("h1", "h2", "rep", "rep_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("best.id").alias("class_id"), F.col("best.rep").alias("best"))
-    out = signed.drop("sig").join(named, ["h1", "h2"], "left")
+    named = cut_lineage(named, "named")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("rep_id").isNull().alias("no_id"), F.col("rep_id").alias("id"), "rep_key", "rep")).alias("best"), F.count(F.lit(1)).alias("reps")).where("reps > 1")
+    whole = join_by_size(named, best, ["root"], "reps", "left")
+    class_id = F.when(F.col("best").isNotNull(), F.col("best.id")).otherwise(F.col("rep_id"))
+    whole = whole.select("h1", "h2", "n", "rep", "rep_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), class_id.alias("class_id"), F.coalesce("best.rep", "rep").alias("best"))
+    worded = join_by_size(signed.drop("sig").where("n_words > 0"), whole, ["h1", "h2"], how="left")
+    out = worded.unionByName(signed.drop("sig").where("n_words = 0"), allowMissingColumns=True)  # all of one key, never joined
     alone = F.col("n_words") == 0
     return out.select(
         "row",
@@ -335,21 +338,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without all but the first document of each class; columns unchanged.
-
-    The rows to drop are counted by (doc_id, text), so that of identical rows one stays where one is to stay."""
-    marked = near_duplicates(docs, **options).groupBy("doc_id", "text_key").agg(F.count_if(~F.col("first")).alias("_drop"), F.count(F.lit(1)).alias("_rows"))
-    gone = marked.where("_drop > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("_rows") - F.col("_drop")).alias("_stay"), F.col("_rows"))
-    gone = cut_lineage(gone, "removed")
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    whole = docs.join(F.broadcast(gone.where("_stay = 0")) if few else gone.where("_stay = 0"), match, "left_anti")
-    mixed = gone.where("_stay > 0")
+    """``docs`` without all but the first document of each class; columns unchanged, of any name.
+
+    The rows to drop are counted by (doc_id, text); of identical rows the one of least JSON text stays where one is to
+    stay.  Null, empty and wordless texts all stay; an empty table stays empty."""
+    marked = near_duplicates(docs, **options).groupBy("doc_id", "text_key").agg(F.count_if(~F.col("first")).alias("drop"), F.count(F.lit(1)).alias("rows"))
+    gone = cut_lineage(marked.where("drop > 0").select("doc_id", "text_key", (F.col("rows") - F.col("drop")).alias("stay")), "removed")
+    rows = packed(docs, id=F.col("doc_id").cast("long"), key=text_key(F.col("text")))
+    match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
+    whole = unpacked(rows.join(broadcast_if_few(gone), match, "left_anti"))
+    mixed = gone.where("stay > 0")
     if not mixed.take(1):
         return whole
-    # Identical rows of which some stay: number them.
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
-    some = whole.join(mixed, match).withColumn("_n", number).where("_n <= _stay").select(*docs.columns)
-    return whole.join(mixed, match, "left_anti").unionAll(some)
+    # Identical rows (one id, one text) of which the first of the class is one.
+    some = rows.join(broadcast_if_few(mixed), match).groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return whole.unionAll(unpacked(some))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from opinara.llm import joins
 from opinara.llm import ngram_join as nj
 from opinara.llm import textkit as tk
 
@@ -79,9 +80,11 @@ def make(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("block", [384, 16])
-def test_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot", "broadcast"), [(384, 1000, 500_000), (16, 1000, 500_000), (16, 4, 500_000), (16, 4, 0)])
+def test_equals_brute_force(spark, monkeypatch, block, hot, broadcast):
     monkeypatch.setattr(nj, "BLOCK", block)
+    monkeypatch.setattr(joins, "HOT_KEY", hot)
+    monkeypatch.setattr(joins, "MAX_BROADCAST", broadcast)
     rows = make()
     docs = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, n_links string, first string")
     got = nj.near_duplicates(docs).collect()
@@ -123,3 +126,35 @@ def test_signature_estimates_similarity():
     b = np.concatenate([a[:800], rng.integers(0, 1 << 63, 200).astype(np.uint64)])
     sig = nj.signatures(tk.mix(np.concatenate([a, b])), np.array([0, 1000, 2000]))
     assert abs((sig[0] == sig[1]).mean() - 800 / 1200) < 0.15
+
+
+def test_keep_first_carries_columns_of_any_name(spark):
+    names = ["_key", "_id", "_rows", "_stay", "_drop", "_n", "row", "id", "key", "stay", "text_key", "rows", "first", "a.b"]
+    docs = spark.createDataFrame([(k, t, *[f"{c}{k}" for c in names]) for k, t in [(1, "a b c d e f"), (2, "A b c d e f!"), (3, None), (4, "x y"), (4, "x y"), (None, "x, y")]], ["doc_id", "text", *names])
+    kept = nj.keep_first(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows) == [1, 3, 4]
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+
+
+@pytest.mark.parametrize(("hot", "broadcast"), [(1000, 500_000), (2, 500_000), (2, 0)])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_by_size_is_a_join(spark, monkeypatch, hot, broadcast, how):
+    monkeypatch.setattr(joins, "HOT_KEY", hot)
+    monkeypatch.setattr(joins, "MAX_BROADCAST", broadcast)
+    rows = spark.createDataFrame([(k % 5 if k < 40 else k, k) for k in range(50)], "a long, b long")
+    table = rows.where("a < 45").groupBy("a").count().withColumnRenamed("count", "n")
+    got = joins.join_by_size(rows, table, ["a"], how=how)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(table, ["a"], how).select(*got.columns).collect()))
+
+
+def test_recall_at_the_threshold(spark):
+    """Queries with an id divisible by 20 against all rows, by brute force on whole shingle sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = {r.doc_id: r.n_links for r in nj.near_duplicates(docs).collect()}
+    want = brute(rows)
+    wanted = sum(v[1] for i, v in want.items() if rows[i][0] % 20 == 0)
+    found = sum(min(got[rows[i][0]], v[1]) for i, v in want.items() if rows[i][0] % 20 == 0)
+    assert wanted and found / wanted > 0.999 and all(got[rows[i][0]] <= v[1] for i, v in want.items())
