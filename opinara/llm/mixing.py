@@ -14,7 +14,8 @@ the rows); repeated rows with one ``doc_id`` get the same count; a null ``doc_id
 millions) is drawn as the sum of independent Poisson counts of equal means of at most ``MAX_RATE``, each with its own
 hashed number, which is a Poisson count of the whole mean; a ``size`` that the caller gives and that needs such a mean
 raises ValueError; an empty table gives an empty one; other columns are carried along,
-only ``copy_no`` and ``mix_key`` are added (columns of these names in the input are replaced).
+whatever their names; only ``copy_no`` and ``mix_key`` are added (columns of these names in the
+input are replaced).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinara.llm.joins import packed
+
 MAX_BROADCAST_SOURCES = 100_000
 #: Production target: flatten the sources, each weighted by the square root of its rows.
 TEMPERATURE = 0.5
@@ -74,20 +77,22 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     """``docs`` with every row repeated by its Poisson count, plus copy_no (from 1) and mix_key, in the order of
     mix_key."""
     docs = docs.drop("copy_no", "mix_key")
-    rates, n_sources = source_rates(docs, weights, size, other_weight, temperature)
-    rates = rates.select(F.col("source").alias("_s"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
+    rates, n_sources = source_rates(docs.select("source"), weights, size, other_weight, temperature)
+    rates = rates.select(F.col("source").alias("s"), "parts", "cdf")
     if n_sources <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    u = uniform(seed, F.col(id_col))
-    copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    draw = lambda j: uniform(seed, F.concat(F.lit("part"), j.cast("string")), F.col(id_col))
-    us = F.transform(F.sequence(F.lit(2), F.col("_parts")), draw)
-    more = F.aggregate(us, F.lit(0), lambda acc, u: acc + F.size(F.filter("_cdf", lambda c: c <= u)))
-    copies = F.when(F.col("_parts") == 1, copies).otherwise(copies + more)
-    counted = docs.join(rates, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_u", u).withColumn("_n", copies).where("_n > 0").drop("_s", "_parts", "_cdf", "_u")
-    dealt = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
-    key = F.md5(F.concat_ws(":", F.lit(f"mix{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy_no").cast("string")))
-    return dealt.withColumn("mix_key", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")).orderBy("mix_key", id_col, "copy_no")
+    # The caller's columns travel in one struct: none of their names can meet one of those below.
+    rows = packed(docs, id=F.col(id_col), source=F.col("source"), u=uniform(seed, F.col(id_col)))
+    copies = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    draw = lambda j: uniform(seed, F.concat(F.lit("part"), j.cast("string")), F.col("id"))
+    us = F.transform(F.sequence(F.lit(2), F.col("parts")), draw)
+    more = F.aggregate(us, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c <= u)))
+    copies = F.when(F.col("parts") == 1, copies).otherwise(copies + more)
+    counted = rows.join(rates, F.col("source").eqNullSafe(F.col("s"))).withColumn("n", copies).where("n > 0").select("row", "id", "n")
+    dealt = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    key = F.md5(F.concat_ws(":", F.lit(f"mix{seed}"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("copy_no").cast("string")))
+    dealt = dealt.withColumn("mix_key", F.conv(F.substring(key, 1, 15), 16, 10).cast("long"))
+    return dealt.orderBy("mix_key", "id", "copy_no").select("row.*", "copy_no", "mix_key")
 
 
 def oracle_sql(seed: int = 17, temperature: float = TEMPERATURE, docs: str = "documents", columns: str = "doc_id, text, lang, source, n_chars") -> str:

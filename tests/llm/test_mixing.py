@@ -70,3 +70,12 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "t", "a", "x")], SCHEMA)
     plan = mixing.mix_sources(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["_u", "_n", "_s", "_cdf", "_parts", "n", "u", "s", "id", "row", "parts", "cdf", "rate", "a.b"]
+    docs = spark.createDataFrame([(k, "t", "ab"[k % 2], *[f"{c}{k}" for c in names]) for k in range(50)], ["doc_id", "text", "source", *names])
+    out = mixing.mix_sources(docs)
+    assert out.columns == [*docs.columns, "copy_no", "mix_key"]
+    for r in out.collect():
+        assert all(r[c] == f"{c}{r.doc_id}" for c in names)
