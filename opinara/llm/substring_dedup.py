@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara.llm import textkit as tk
 from opinara.llm.grouped import map_groups
@@ -433,8 +434,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         beside = docs.select(own.alias("id"), F.xxhash64(text).alias("key"), F.struct(*carry).alias("c")).groupBy("id", "key").agg(F.collect_list("c").alias("carried"))
         whole = whole.join(beside.hint("merge"), ["id", "key"], "left").withColumn("c", F.get("carried", F.col("nth") - 1))
     rows = whole.select("id", "text", F.col("cut.lo").alias("lo"), F.col("cut.end").alias("end"), "nth", *[F.col(f"c.{c}").alias(c) for c in carry])
-    kinds = dict(docs.dtypes)
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "") + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    whole_fields = [T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField(c, T.StringType()) for c in ["kept_sha256", "kept"][: 1 + keep_text]]
+    schema = T.StructType(whole_fields + [docs.schema[c] for c in carry])
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text + list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,4 +463,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = list(zip(*out, strict=True)) if out else [[] for _ in kinds_]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], *[b.column(5 + k) for k in range(len(carry))]], names)
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(run, schema)

@@ -67,19 +67,24 @@ def test_run_equals_stages_in_turn(spark, sf_dir):
     assert decontam.WINDOW == 10 and "corpus_pipeline" in sys.modules
 
 
+#: Columns with the names that the operators use inside.
+EXTRA = ["0.5 score", "'x' kept", "7 key", "1 nth", "3 row"] + [f"'{c}' `{c}`" for c in ("_key", "_id", "_rows", "_stay", "_drop", "_own", "own", "bad", "carried", "_carried2", "_u", "_n", "_s", "_cdf", "n", "u", "s", "id", "cut", "label", "predicted", "held_out", "class_id", "rep", "root", "contaminated", "a.b")]
+
+
 def test_odd_documents_pass_every_stage(spark, sf_dir, tmp_path):
     import shutil
 
     for t in ("labels", "benchmark"):
         shutil.copy(f"{sf_dir}/{t}.parquet", tmp_path / f"{t}.parquet")
-    good = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "lang", "source", "n_chars", "0.5 score", "'x' kept", "7 key", "1 nth", "3 row")
-    odd = spark.createDataFrame([(None, "short text of no one", None, None, None), (900001, None, "en", "s", 1), (900002, "", None, "s", 0), (900003, "y " * 150000, "en", None, 2), (900004, "twice the same row", "en", "s", 3), (900004, "twice the same row", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "0.5 score", "'x' kept", "7 key", "1 nth", "3 row")
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "lang", "source", "n_chars", *EXTRA)
+    odd = spark.createDataFrame([(None, "short text of no one", None, None, None), (900001, None, "en", "s", 1), (900002, "", None, "s", 0), (900003, "y " * 150000, "en", None, 2), (900004, "twice the same row", "en", "s", 3), (900004, "twice the same row", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *EXTRA)
     docs = good.unionByName(odd)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert set(docs.columns) <= set(out.columns), name
         if name != corpus_pipeline.STAGES[-1][0]:
-            assert out.columns == docs.columns and out.where("score <> 0.5 or kept <> 'x' or key <> 7").count() == 0
+            assert out.columns == docs.columns
+            assert out.where("score <> 0.5 or kept <> 'x' or key <> 7 or _key <> '_key' or _own <> '_own' or `a.b` <> 'a.b'").count() == 0
             assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
         rows = out.collect()
         assert len([r for r in rows if r.doc_id == 900004]) <= 2
