@@ -37,20 +37,94 @@ def test_baseline_equals_brute_force(spark, head):
     assert all(g[6] < 0 for g in got)
 
 
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    kinds = 3000
+def random_model(seed=0, kinds=6000):
+    rng = np.random.default_rng(seed)
     hashes = rng.integers(0, 1 << 63, kinds).astype(np.uint64)
     counts = np.sort(rng.integers(1, 500, kinds))[::-1]
-    m = lm.Model(hashes, counts, int(counts.sum()), kinds)
+    own = (hashes[lm.CLASSES * lm.SIZE :] % np.uint64(lm.SIZE)).astype(int)
+    tail = (np.bincount(own, counts[lm.CLASSES * lm.SIZE :], lm.SIZE).astype(np.int64), np.bincount(own, minlength=lm.SIZE))
+    m = lm.Model(hashes, counts, int(counts.sum()), kinds, tail)
     m.class_weights[:] = rng.normal(0, 1, m.class_weights.shape)
     m.token_weights[:] = rng.normal(0, 1, m.token_weights.shape)
-    context = np.repeat(lm.context_rows(hashes[:5], np.array([0, 5]))[3:4], lm.CLASSES * lm.SIZE + 1, 0)
-    rank = np.append(np.arange(lm.CLASSES * lm.SIZE), -1)
-    p = np.exp(lm.score_positions(m, rank, context))
+    return m
+
+
+def test_probabilities_sum_to_one():
+    m = random_model()
+    unknown = np.arange(lm.SIZE, dtype=np.uint64)  # one of each kind
+    every = np.concatenate([m.head, unknown])
+    rank = np.concatenate([np.arange(len(m.head)), np.full(lm.SIZE, -1)])
+    context = np.repeat(lm.context_rows(m.head[:5], np.array([0, 5]))[3:4], len(every), 0)
+    p = np.exp(lm.score_positions(m, every, rank, context))
+    base = (np.concatenate([m.counts, np.zeros(lm.SIZE)]) + 0.1) / m.total
+    outer = (rank < 0) | (rank >= lm.CLASSES * lm.SIZE)
+    p = np.where(outer, p * base / m.tail_mass[(every % np.uint64(lm.SIZE)).astype(int)], p)
     assert abs(p.sum() - 1) < 1e-4
-    rest = (counts[lm.CLASSES * lm.SIZE :] + 0.1).sum() / m.total + 0.1 / m.total  # one kind stands for all unknown tokens
-    assert abs(math.exp(m.rest_log) - rest) < 1e-9
+
+
+def test_score_equals_the_definition(spark):
+    """Log probabilities from weights and contexts one position at a time, in plain Python."""
+    docs = spark.createDataFrame(ROWS[:40], "doc_id long, text string")
+    rows = lm.prepare(docs)
+    counts = lm.count_tokens(rows)
+    m = lm.train(rows, counts, rounds=1)
+    rng = np.random.default_rng(3)
+    m.class_weights[:], m.token_weights[:] = rng.normal(0, 1, m.class_weights.shape), rng.normal(0, 1, m.token_weights.shape)
+    known = {r.token % (1 << 64): r.c for r in counts.collect()}
+    ranks = {int(h): k for k, h in enumerate(m.head)}
+    mask = (1 << 64) - 1
+    mix = lambda x: int(lm.tk.mix(np.array([x & mask], np.uint64))[0])
+    end, base = int(lm.END), int(lm.tk.BASE)
+
+    def one(history, token):
+        a, b = mix((history[-1] if history else end) + 1), mix((history[-2] if len(history) > 1 else end) + 2)
+        context = [a, b, mix(a * 3 + b)]
+        r = ranks.get(token, -1)
+        k, place = (r // 64, r % 64) if 0 <= r < 63 * 64 else (63, token % 64)
+        x = m.class_bias.astype(float) + sum(m.class_weights[c % m.rows].astype(float) for c in context)
+        y = m.token_bias[k].astype(float) + sum(m.token_weights[mix(c + (k + 1) * base) % m.rows].astype(float) for c in context)
+        value = x[k] - np.log(np.exp(x - x.max()).sum()) - x.max() + y[place] - np.log(np.exp(y - y.max()).sum()) - y.max()
+        if k == 63:
+            value += math.log((known.get(token, 0) + 0.1) / m.total / m.tail_mass[place])
+        return value / math.log(10)
+
+    for r, (_, text) in zip(sorted(lm.score(rows, counts, m).collect(), key=lambda r: r.n_tokens), sorted(ROWS[:40], key=lambda r: len(token_list(r[1]))), strict=True):
+        words = [w for w in token_list(text) if w is not None]
+        hashes = [*map(int, lm.tk.hash_words(words)), end]
+        assert abs(r.score - sum(one(hashes[:k], h) for k, h in enumerate(hashes))) < 1e-3 * len(hashes)
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_the_model_does_not_depend_on_partitions(spark, monkeypatch, fan):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(lm, "FAN", fan)
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    models = []
+    for n in (4, 40):
+        rows = lm.prepare(docs.repartition(n))
+        counts = lm.count_tokens(rows)
+        models.append(lm.train(rows, counts))
+    assert lm.shard_count(models[0].n_tokens) > 2 and np.abs(models[0].token_weights).max() > 0
+    assert all(np.array_equal(getattr(models[0], k), getattr(models[1], k)) for k in ("class_weights", "token_weights"))
+
+
+def test_sizes_grow_with_the_corpus():
+    assert [lm.table_rows(n) >> 13 for n in (0, 1 << 26, 1 << 30, 1 << 40, 1 << 50)] == [1, 1, 4, 16, 16]
+    assert [lm.shard_count(n) for n in (0, 1, 32 << 20, 128 << 20, 1 << 43)] == [1, 1, 32, 64, 16384]
+
+
+def test_descent_equals_plain_sums():
+    rng = np.random.default_rng(4)
+    for n in (1, 50, 4096):
+        rows = np.minimum(rng.zipf(1.3, (n, 3)), 999).astype(np.int32)
+        g = rng.normal(0, 1, (n, 8)).astype(np.float32)
+        w, s = np.zeros((1000, 8), np.float32), np.full(1000, 1e-3, np.float32)
+        lm._descend(w, s, rows, g)
+        total = np.zeros((1000, 8))
+        for k in range(3):
+            np.add.at(total, rows[:, k], g.astype(float))
+        want = 1e-3 + (total**2).mean(1)
+        assert np.allclose(s, want, rtol=1e-4) and np.allclose(w, -total * (lm.STEP / np.sqrt(want + 1e-6))[:, None], atol=1e-4)
 
 
 def test_gradient_is_that_of_the_likelihood():
@@ -78,18 +152,23 @@ def test_model_beats_baseline_on_held_out_texts(spark):
     assert (out.n_known <= out.n_tokens).all()
 
 
-def test_token_factor_learns_from_both_words_together():
+@pytest.mark.parametrize("tail", [False, True])
+def test_token_factor_learns_from_both_words_together(tail):
     # The third token is the exclusive or of the two before it: neither of them alone says anything about it.
     rng = np.random.default_rng(2)
-    kinds = np.array([11, 22, 33, 44, 55, 66], np.uint64)  # all in one class
-    m = lm.Model(np.append(kinds, lm.END), np.full(7, 1000), 7000, 7)
-    state = {"class": np.full(lm.CLASS_ROWS, 1e-3, np.float32), "token": np.full(lm.TOKEN_ROWS, 1e-3, np.float32), "n": 0}
+    kinds = np.array([11, 22, 33, 44, 55, 66], np.uint64)  # all in one class, or all in the tail
+    head = np.zeros(0, np.uint64) if tail else np.append(kinds, lm.END)
+    own = np.bincount(np.append(kinds, lm.END).astype(np.int64) % lm.SIZE, minlength=lm.SIZE) if tail else np.zeros(lm.SIZE, np.int64)
+    m = lm.Model(head, np.full(len(head), 1000), 7000, 7, (own * 1000, own))
+    learner = lm.Learner(m)
     a, b = rng.integers(0, 2, 4000), rng.integers(0, 2, 4000)
     hashes = np.stack([kinds[a], kinds[2 + b], kinds[4 + (a ^ b)], np.full(4000, lm.END)], 1).ravel()
     first = np.arange(4001) * 4
     for _ in range(10):
-        lm.train_on(m, state, hashes, first)
-    p = np.exp(lm.score_positions(m, m.rank(hashes), lm.context_rows(hashes, first)))
+        learner.add(hashes, first)
+    learner.finish()
+    assert learner.n == 10 * len(hashes)
+    p = np.exp(lm.score_positions(m, hashes, m.rank(hashes), lm.context_rows(hashes, first)))
     assert p[2::4].mean() > 0.9
 
 
