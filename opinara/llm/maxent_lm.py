@@ -55,6 +55,7 @@ STEP = 0.25
 BATCH = 4096
 #: Rows of a table whose changes are summed together, and shards that are summed first.
 BLOCK_ROWS, FAN = 256, 64
+BOUND = 80.0
 END = np.uint64(0x1F83D9ABFB41BD6B)
 SMOOTH = 0.1
 
@@ -89,7 +90,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def table_rows(n_tokens: int) -> int:
-    """Rows of the hashed tables: a power of two that grows with the square root of the training tokens."""
+    """Rows of the hashed tables: powers of two that grow with the square root of the training tokens."""
     bits = round(np.log2(max(n_tokens / ROW_TOKENS, 1.0)) / 2)
     return min(LEAST_ROWS << int(bits), MOST_ROWS)
 
@@ -159,26 +160,26 @@ def context_rows(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def class_features(context: np.ndarray, rows: int) -> np.ndarray:
-    return (context % np.uint64(rows)).astype(np.int32)
+    return (context & np.uint64(rows - 1)).astype(np.int32)
 
 
 def token_features(context: np.ndarray, klass: np.ndarray, rows: int) -> np.ndarray:
-    return (tk.mix(context + (klass + 1)[:, None].astype(np.uint64) * tk.BASE) % np.uint64(rows)).astype(np.int32)
+    return (tk.mix(context + (klass + 1)[:, None].astype(np.uint64) * tk.BASE) & np.uint64(rows - 1)).astype(np.int32)
 
 
 def _logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[:, 0]]
+    out = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        out += weights[rows[:, k]]
+        out += np.take(weights, rows[:, k], axis=0)
     out += bias
-    return out
+    # Exponentials of what is kept within this bound neither overflow nor vanish in single precision.
+    return np.clip(out, -BOUND, BOUND, out=out)
 
 
 def _log_softmax_at(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    top = logits.max(1)
-    at = logits[np.arange(len(target)), target] - top
-    logits -= top[:, None]
-    return at - np.log(np.exp(logits).sum(1))
+    at = logits[np.arange(len(target)), target]
+    np.exp(logits, out=logits)
+    return at - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
 def score_positions(model: Model, hashes: np.ndarray, rank: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -189,7 +190,7 @@ def score_positions(model: Model, hashes: np.ndarray, rank: np.ndarray, context:
         e = slice(s, s + BATCH)
         k, c = klass[e], context[e]
         out[e] = _log_softmax_at(_logits(model.class_bias, model.class_weights, class_features(c, model.rows)), k).astype(np.float64)
-        out[e] += _log_softmax_at(_logits(model.token_bias[k], model.token_weights, token_features(c, k, model.rows)), place[e])
+        out[e] += _log_softmax_at(_logits(np.take(model.token_bias, k, axis=0), model.token_weights, token_features(c, k, model.rows)), place[e])
     return out
 
 
@@ -203,21 +204,21 @@ def _descend(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, gradient
     start = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
     size = np.diff(np.append(start, len(used)))
     # Rows by falling use: the j-th gradients of all that have more than j are added at once, the few often used summed.
-    rank = np.argsort(-size, kind="stable")
+    rank = np.argsort(np.uint16(0xFFFF) - np.minimum(size, 0xFFFF).astype(np.uint16), kind="stable")
     start, size = start[rank], size[rank]
-    total = gradient[source[start]]
+    total = np.take(gradient, source[start], axis=0)
     often = int(np.searchsorted(-size, -16, "left"))
     for s in range(often):
-        total[s] = gradient[source[start[s] : start[s] + size[s]]].sum(0)
+        total[s] = np.take(gradient, source[start[s] : start[s] + size[s]], axis=0).sum(0)
     for j in range(1, 16):
         e = int(np.searchsorted(-size, -j, "left"))
         if e <= often:
             break
-        total[often:e] += gradient[source[start[often:e] + j]]
+        total[often:e] += np.take(gradient, source[start[often:e] + j], axis=0)
     at = used[start].astype(np.int64)
     square[at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
     total *= (STEP / np.sqrt(square[at] + 1e-6))[:, None]
-    weights[at] -= total
+    weights[at] = np.take(weights, at, axis=0) - total
 
 
 class Learner:
@@ -247,16 +248,15 @@ class Learner:
             e = slice(s, min(s + BATCH, end))
             k, c = klass[e], context[e]
             self._step("class", self.model.class_bias, class_features(c, self.model.rows), k)
-            self._step("token", self.model.token_bias[k], token_features(c, k, self.model.rows), place[e])
+            self._step("token", np.take(self.model.token_bias, k, axis=0), token_features(c, k, self.model.rows), place[e])
         self.n += end
         self.held, self.waiting = [(klass[end:], place[end:], context[end:])], len(klass) - end
 
     def _step(self, part: str, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
         weights = getattr(self.model, f"{part}_weights")
         logits = _logits(bias, weights, rows)
-        logits -= logits.max(1)[:, None]
         np.exp(logits, out=logits)
-        logits /= logits.sum(1)[:, None]
+        logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
         logits[np.arange(len(target)), target] -= 1
         _descend(weights, self.square[part], rows, logits)
 
