@@ -58,24 +58,34 @@ def own_words(x: Column) -> Column:
     return F.split_part(x, F.lit("//"), F.lit(1))
 
 
+# Fixed patterns of the short-message and microblog cleaners.  The range ``,-~`` holds most of ASCII.
+LINK = r"[http|https]*://[a-zA-Z0-9.?/&=:_%,-~]*"
+CHINESE = r"[\u4e00-\u9fa5]"
+MENTION = r"[@].*?[ ]"
+MICROBLOG_DROP = r"[a-zA-Z0-9.?/&=:_%,-~#《》]"
+MICROBLOG_MENTION = r"[//@].*?[:]"
+MICROBLOG_LINK = "点击链接查看更多->"
+
+
 def clean_post(x: Column) -> Column:
-    """Short-message cleaner.  The order matters: quotes, repost mark, dots and apostrophes, links, CJK, line ends,
-    mentions."""
-    x = F.trim(F.regexp_replace(x, '^"+|"+$', ""))
-    x = F.regexp_replace(x, "RT ", "")
-    x = F.regexp_replace(x, r"[.'’]", "")
-    x = F.regexp_replace(x, r"https?://\S+|www\S+", "")
-    x = F.regexp_replace(x, r"[一-鿿]", "")
-    x = F.regexp_replace(x, r"\n", " ")
-    return F.regexp_replace(F.trim(x), r"@\S* ", "")
+    """Short-message cleaner.  The order matters: quotes, repost marks, dots and apostrophes go before links."""
+    for gone in ('"', "RT", ".", "'"):
+        x = F.replace(x, F.lit(gone), F.lit(""))
+    x = F.regexp_replace(F.regexp_replace(x, f"(?s){LINK}", ""), CHINESE, "")
+    return F.regexp_replace(_strip(F.replace(x, F.lit("\n"), F.lit(" "))), f"(?s){MENTION}", "")
 
 
 def clean_microblog(x: Column) -> Column:
-    """Cleaner for Chinese microblogs: link and quote marks, ASCII, mentions of reposts, line ends."""
-    x = F.regexp_replace(x, r"[\"“”…]|网页链接", "")
-    x = F.regexp_replace(x, r"//@[^:：]*[:：]", "")
-    x = F.regexp_replace(x, r"[A-Za-z0-9!#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~《》]", "")
-    return F.trim(F.regexp_replace(x, r"\n", " "))
+    """Cleaner for Chinese microblogs: quote marks and link text, then ASCII and title marks, then reposts' mentions."""
+    for gone in ("“", "”", "…", MICROBLOG_LINK):
+        x = F.replace(x, F.lit(gone), F.lit(""))
+    x = F.regexp_replace(F.regexp_replace(x, f"(?s){MICROBLOG_DROP}", ""), f"(?s){MICROBLOG_MENTION}", "")
+    return _strip(F.replace(x, F.lit("\n"), F.lit(" ")))
+
+
+def _strip(x: Column) -> Column:
+    """White space off both ends."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
 def post_content(text: Column, original: Column, is_repost: Column) -> Column:
@@ -131,10 +141,33 @@ def label_answer(x: Column, irrelevant: int = -99) -> Column:
     return F.when(line.contains("skip"), F.lit(irrelevant)).otherwise(F.regexp_extract(line, r"(-?\d+)", 1).try_cast("int"))
 
 
+#: Words after which a Chinese answer names its number, in the order in which they are looked for (fixed values).
+ANSWER_MARKS = ("返回", "数字", "态度", "选择", "选", "是", "为")
+
+
 def label_answer_zh(x: Column, irrelevant: int = -99) -> Column:
-    """The same for Chinese answers, with their words for irrelevant and neutral."""
-    number = F.regexp_extract(x, r"(-?\d+)", 1).try_cast("int")
-    return F.when(x.contains("无关"), F.lit(irrelevant)).when(number.isNotNull(), number).when(x.contains("中立"), F.lit(0))
+    """The same for Chinese answers: irrelevant, a number, neutral, or the number after the words that announce it."""
+    line = F.split_part(x, F.lit("\n"), F.lit(1))
+    number = F.regexp_extract(line, r"(-?\d+)", 1).try_cast("int")
+    rest = F.when(line.contains("答案为") | line.contains("答案是"), F.get(F.split(line, "答案"), F.lit(1))).otherwise(line)
+    for mark in ANSWER_MARKS:
+        rest = F.when(rest.contains(mark), F.get(F.split(rest, mark), F.lit(1))).otherwise(rest)
+    rest = F.regexp_replace(F.regexp_replace(rest, "^[为是。：]+|[为是。：]+$", ""), "[ 。]", "")
+    quoted = F.substring(F.regexp_extract(rest, "“(.+?)”", 1), 1, 1)
+    return F.when(line.contains("无关"), F.lit(irrelevant)).when(number.isNotNull(), number).when(line.contains("中立"), F.lit(0)).otherwise(F.coalesce(_han_number(rest), _han_number(quoted)))
+
+
+def _han_number(x: Column) -> Column:
+    """Digits of any script as a number; full-width ones are the only others that such answers hold."""
+    return F.translate(x, "０１２３４５６７８９－", "0123456789-").try_cast("int")
+
+
+def support_answer(x: Column, five: bool = False, irrelevant: int = -99) -> Column:
+    """Stance words of a Chinese answer as a label from -1 to 1, or with ``five`` from -2 to 2."""
+    out = F.when(x.contains("无关"), F.lit(irrelevant))
+    if five:
+        out = out.when(x.contains("非常不支持"), F.lit(-2)).when(x.contains("非常支持"), F.lit(2))
+    return out.when(x.contains("不支持"), F.lit(-1)).when(x.contains("支持"), F.lit(1)).otherwise(F.lit(0))
 
 
 def place_answer(x: Column) -> Column:
@@ -176,6 +209,47 @@ def tokens(x: Column, pattern: str = "[a-z]+") -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(f"({pattern})"), 1)
 
 
+def noun_compounds(words: Column, nouns: Sequence[str], adjectives: Sequence[str] = (), longest: int = 3) -> Column:
+    """Phrases of 2 to ``longest`` neighbouring words of a clause, all of them nouns or adjectives, the last one a noun.
+
+    Which words are nouns is given as a list, as no tagger is at hand."""
+    good = list(nouns) + list(adjectives)
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        found = F.transform(starts, lambda i: F.slice(words, i, n))
+        return F.filter(found, lambda r: F.forall(r, lambda w: w.isin(good)) & F.try_element_at(r, F.lit(-1)).isin(list(nouns)))
+
+    return F.transform(F.concat(*[runs(n) for n in range(2, longest + 1)]), lambda r: F.array_join(r, " "))
+
+
+def clauses(x: Column) -> Column:
+    """A text's clauses: what stands between marks other than letters and spaces, in lower case."""
+    return F.filter(F.transform(F.split(F.lower(x), r"[^a-z ]+"), lambda c: F.trim(c)), lambda c: c != "")
+
+
+def unglue(x: Column, table: dict[str, str]) -> Column:
+    """Tokens of a scanned text with those that run two words together taken apart by a table."""
+    fixed = F.create_map(*[F.lit(v) for v in chain(*table.items())]) if table else None
+    return x if fixed is None else F.transform(x, lambda w: F.coalesce(F.try_element_at(fixed, w), w))
+
+
+def pretty_label(code: Column, table: dict[str, str]) -> Column:
+    """A topic's printed name by its code, also where numbers and their text mix; the code itself where it has none."""
+    text = F.regexp_replace(code.cast("string"), r"\.0$", "")
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for v in chain(*table.items())]), text), text)
+
+
+def ordered_distinct(x: Column) -> Column:
+    """Distinct elements in the order of their first occurrence."""
+    return F.array_distinct(x)
+
+
+def argmax_label(logits: Column) -> Column:
+    """Number of the greatest entry, the first on ties."""
+    return F.array_position(logits, F.array_max(logits)).cast("int") - 1
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Phrases of n neighbouring words."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))

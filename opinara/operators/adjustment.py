@@ -80,12 +80,12 @@ def decomposition(pairs: DataFrame, reference: str, methods: tuple[str, ...] = (
         rng = np.random.default_rng(seed)
         out = []
         for m in methods:
-            d = stats.gap_decomposition(a[:, 0], a[:, 1], b[:, 0], b[:, 1], m)
+            d = stats.split_gap(m, a[:, 0], a[:, 1], b[:, 0], b[:, 1])
             reps = []
             for _ in range(draws):
                 i, j = rng.integers(0, len(a), len(a)), rng.integers(0, len(b), len(b))
                 try:
-                    reps.append(stats.gap_decomposition(a[i, 0], a[i, 1], b[j, 0], b[j, 1], m)["society"])
+                    reps.append(stats.split_gap(m, a[i, 0], a[i, 1], b[j, 0], b[j, 1])["society"])
                 except (ZeroDivisionError, FloatingPointError):
                     continue
             lo, hi = np.nanquantile(reps, [0.025, 0.975]) if reps else (np.nan, np.nan)
@@ -106,6 +106,67 @@ def loess_curve(pairs: DataFrame, span: float = 0.5, points: int = 25) -> DataFr
     return bounded(pairs).select("society", "x", "y").groupBy("society").applyInPandas(run, "society string, x double, fit double")
 
 
+def loess_at_pairs(pairs: DataFrame, span: float = 0.4) -> DataFrame:
+    """(society, t1, t2, fit): a society's local-linear curve of y on x at each of its own pairs."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x = f["x"].to_numpy(float)
+        return f[["society", "t1", "t2"]].assign(fit=stats.loess(x, f["y"].to_numpy(float), x, span))
+
+    return bounded(pairs).select("society", "t1", "t2", "x", "y").where("x is not null and y is not null").groupBy("society").applyInPandas(run, "society string, t1 string, t2 string, fit double")
+
+
+def similarity_summary(pairs: DataFrame) -> DataFrame:
+    """Per society: number, mean, population sd, extremes and quartiles of the similarities of its pairs."""
+    q = lambda p: F.percentile("x", F.lit(p))
+    return pairs.groupBy("society").agg(F.count("x").alias("pairs"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.min("x").alias("least"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("x").alias("most"))
+
+
+def on_support(pairs: DataFrame) -> DataFrame:
+    """Pairs whose similarity every society covers."""
+    return pairs.join(F.broadcast(common_support(pairs)), F.col("x").between(F.col("support_lo"), F.col("support_hi"))).drop("support_lo", "support_hi")  # one row
+
+
+def level_summary(pairs: DataFrame, reference: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(what, society, value, lo, hi): each society's mean y, its ratio to and gap from the reference's, and over all
+    societies the dispersion (population sd of mean Fisher z) and the range of means; limits by a bootstrap that resamples
+    each society's pairs by itself.  Societies are few and have one row a pair of topics."""
+    f = bounded(pairs).select("society", "y").where("y is not null").orderBy("society", "y").toPandas()
+    rng = np.random.default_rng(seed)
+    names = sorted(f["society"].unique())
+    means, zs = {}, {}
+    for s in names:
+        y = f.loc[f["society"] == s, "y"].to_numpy(float)
+        at = np.vstack([np.arange(len(y)), rng.integers(0, len(y), (draws, len(y)))])  # the first draw is the sample
+        z = np.arctanh(np.clip(y, 0, 1 - 1e-12))
+        means[s], zs[s] = y[at].mean(1), z[at].mean(1)
+    rows = []
+
+    def add(what: str, society: str, v: np.ndarray) -> None:
+        lo, hi = np.quantile(v[1:], [0.025, 0.975])
+        rows.append((what, society, float(v[0]), float(lo), float(hi)))
+
+    for s in names:
+        add("mean", s, means[s])
+        if s != reference and reference in means:
+            add("ratio", s, means[reference] / means[s])
+            add("gap", s, means[reference] - means[s])
+            add("z_gap", s, zs[reference] - zs[s])
+    if names:
+        add("dispersion", "all", np.std([zs[s] for s in names], axis=0))
+        add("range", "all", np.ptp([means[s] for s in names], axis=0))
+    return pairs.sparkSession.createDataFrame(rows, "what string, society string, value double, lo double, hi double")
+
+
+def repairing(pairs: DataFrame, first: str, second: str, draws: int = 5000, seed: int = 0) -> DataFrame:
+    """One row of ``stats.repairing_test`` for two societies' pair values (t1, t2, y); topics that both have."""
+    rows = bounded(pairs).where(F.col("society").isin(first, second) & F.col("y").isNotNull()).select("society", "t1", "t2", "y").collect()
+    maps = {s: {frozenset((r.t1, r.t2)): r.y for r in rows if r.society == s} for s in (first, second)}
+    names = sorted({t for k in maps[first] for t in k} & {t for k in maps[second] for t in k})
+    out = stats.repairing_test(maps[first], maps[second], names, draws, seed)
+    return pairs.sparkSession.createDataFrame([tuple(out.values())], "concepts int, pairs int, diff double, diff_random double, p_diff double, corr double, corr_random double, p_corr double")
+
+
 def loess_band(pairs: DataFrame, span: float = 0.5, points: int = 25, draws: int = 200, seed: int = 0) -> DataFrame:
     """society, x, mean, lo, hi of bootstrapped robust curves; societies of fewer than four pairs have none."""
 

@@ -7,12 +7,14 @@ the map tasks.  A user has at most K topics in a period, so the join makes at mo
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinara.functions import stats
-from opinara.functions.scalar import fisher_interval
+from opinara.functions.scalar import clip, fisher_interval
+from opinara.operators.panel import pooled_average
+from opinara.operators.ranks import running_sums
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -42,6 +44,24 @@ def pairwise_with_average(pairs: DataFrame, period: str = "year") -> DataFrame:
     return out.select("t1", "t2", F.when(F.col("_all") == 1, "average").otherwise(F.col(period).cast("string")).alias("period"), "n", "r")
 
 
+def period_values(panel: DataFrame, period: str = "year") -> DataFrame:
+    """(user_id, topic, period, value): each period's means and, as "average", the users' averages over all posts, all
+    within [-2, 2]."""
+    each = panel.select("user_id", "topic", F.col(period).cast("string").alias("period"), clip(F.col("mean")).alias("value"))
+    return each.unionByName(pooled_average(panel).select("user_id", "topic", F.lit("average").alias("period"), clip(F.col("average")).alias("value")))
+
+
+def social_pairwise(panel: DataFrame, period: str = "year") -> DataFrame:
+    """(period, t1 < t2, n, r) for every two topics that a period has, also those that no user shares (n = 0, no r).
+
+    Users' values are compared: for "average" a user's mean over all posts, not each period's."""
+    v = period_values(panel, period)
+    found = pairwise(topic_pairs(v, ("user_id", "period")), ("period",))
+    topics = v.select("period", "topic").distinct()  # K topics a period
+    scaffold = topics.withColumnRenamed("topic", "t1").join(topics.select(F.col("period").alias("_p"), F.col("topic").alias("t2")), (F.col("period") == F.col("_p")) & (F.col("t1") < F.col("t2"))).drop("_p")
+    return scaffold.join(found, ["period", "t1", "t2"], "left").select("period", "t1", "t2", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 1, F.col("r")).alias("r"))
+
+
 def with_intervals(table: DataFrame) -> DataFrame:
     lo, hi = fisher_interval(F.col("r"), F.col("n"))
     return table.withColumn("r_lo", lo).withColumn("r_hi", hi)
@@ -136,14 +156,39 @@ def ols(rows: DataFrame, x: str, y: str, weight: str | None = None, by: tuple[st
     return sums.select(*by, slope.alias("slope"), (F.col("b") / F.col("w") - slope * F.col("a") / F.col("w")).alias("intercept"), F.try_divide(sxy * sxy, sxx * syy).alias("r2"))
 
 
+def wls(rows: DataFrame, x: str, y: str, weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted line with the slope's standard error, its two-sided p and R2; n counts rows, as the weights are known."""
+    ok = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    terms = {"n": F.lit(1), "w": w, "a": w * a, "b": w * b, "aa": w * a * a, "ab": w * a * b, "bb": w * b * b}
+    sums = ok.groupBy(*by).agg(*[F.sum(v).alias(k) for k, v in terms.items()])
+    sxx, sxy, syy = (F.col(p) - F.col(q) * F.col(r) / F.col("w") for p, q, r in (("aa", "a", "a"), ("ab", "a", "b"), ("bb", "b", "b")))
+    line = sums.select(*by, "n", "w", "a", "b", sxx.alias("sxx"), sxy.alias("sxy"), syy.alias("syy")).withColumn("slope", F.try_divide("sxy", "sxx"))
+    left = F.col("syy") - F.col("slope") * F.col("sxy")
+    out = line.withColumn("se", F.when(F.col("n") > 2, F.sqrt(F.greatest(F.try_divide(left, (F.col("n") - 2) * F.col("sxx")), F.lit(0.0)))))
+    out = out.select(*by, "n", ((F.col("b") - F.col("slope") * F.col("a")) / F.col("w")).alias("intercept"), "slope", "se", F.try_divide(F.col("slope") * F.col("sxy"), F.col("syy")).alias("r2"))
+    return out.withColumn("p", t_p_value(F.try_divide("slope", "se"), F.col("n") - 2))
+
+
+@F.pandas_udf(T.DoubleType())
+def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p of a t value, Arrow batches over one row per fit."""
+    return pd.Series([None if pd.isna(a) or d <= 0 else stats.t_two_sided(float(a), float(d)) for a, d in zip(t, df, strict=True)], dtype="float64")
+
+
+def by_strength(table: DataFrame, value: str = "r") -> DataFrame:
+    """A pair table from the strongest correlation to the weakest."""
+    return table.where(F.col(value).isNotNull()).withColumn("abs_r", F.abs(F.col(value))).orderBy(F.desc("abs_r"), "t1", "t2")
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
     """Correlation of average ranks within groups; ranks from counts of values, so that ties need no window of rows."""
     ok = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
 
     def ranks(c: str) -> DataFrame:
         n = ok.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        return n.select(*by, c, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias(f"{c}_rank"))
+        return running_sums(n, by, [c], "_n", "_upto").select(*by, c, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"{c}_rank"))
 
     ranked = ok.join(ranks("_x"), [*by, "_x"]).join(ranks("_y"), [*by, "_y"])
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("_x_rank"), F.col("_y_rank")).alias("rho"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinara.operators.ranks import numbered, running_sums
+
 IRRELEVANT = -99
 
 
@@ -55,11 +57,6 @@ def cohen_kappa(rows: DataFrame, raters: Sequence[str]) -> DataFrame:
     return out
 
 
-def numbered(rows: DataFrame, strata: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    w = Window.partitionBy(*strata)
-    return rows.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("_size", F.count(F.lit(1)).over(w))
-
-
 def stratified_sample(rows: DataFrame, strata: Sequence[str], size: int, order: Sequence[Column]) -> DataFrame:
     """About ``size`` rows, the same share of each stratum (rounded up): those first in ``order``."""
     total = rows.count()
@@ -99,11 +96,67 @@ def classifier_metrics(rows: DataFrame, truth: str, predicted: str, score: str |
     if score is None:
         return base
     per = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(t).alias("pos"), F.count_if(~t).alias("neg"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = per.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    below = running_sums(per, [], ["s"], "neg", "below", inclusive=False)
     auc = below.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
     return base.join(auc)
 
 
+def label_table(rows: DataFrame, raters: Sequence[str], by: str) -> DataFrame:
+    """Per topic: labelled posts, posts that two raters agree on (the training rows), their share that is relevant, the
+    histogram of agreed labels, and each two raters' agreement."""
+    m = majority(rows, raters)
+    agreed = F.col("agreement_count") >= 2
+    value = F.col("agreement_value")
+    aggs = [F.count(F.lit(1)).alias("labelled"), F.count_if(agreed).alias("training_rows"), F.avg(agreed.cast("double")).alias("agree_2plus"), F.try_divide(F.count_if(agreed & (value != IRRELEVANT)).cast("double"), F.count_if(agreed)).alias("relevant_share")]
+    aggs += [F.count_if(value == v).alias(f"label_{str(v).replace('-', 'm')}") for v in (-2, -1, 0, 1, 2)]
+    aggs += [F.avg((F.col(a) == F.col(b)).cast("double")).alias(f"same_{a}_{b}") for a, b in combinations(raters, 2)]
+    return m.groupBy(by).agg(*aggs)
+
+
+def training_target(rows: DataFrame, count: str, value: str, task: str) -> DataFrame:
+    """Rows that two raters agree on with ``target``: relevance 0 or 1, or, for the regression, the label of relevant ones."""
+    kept = rows.where(F.col(count) >= 2)
+    if task == "relevance":
+        return kept.withColumn("target", relevance_target(F.col(value)))
+    if task == "opinion":
+        return kept.where(F.col(value) != IRRELEVANT).withColumn("target", F.col(value))
+    raise ValueError(f"unknown task {task!r}")
+
+
+def attach_answers(posts: DataFrame, answers: DataFrame, parse) -> DataFrame:
+    """Posts that a model answered, with the opinion parsed from its answer (answers: post_id, content); one answer a
+    post, the first in order of its text."""
+    parsed = answers.where("content is not null").groupBy("post_id").agg(F.min("content").alias("content")).select("post_id", parse(F.col("content")).alias("opinion"))
+    return posts.join(parsed, "post_id")
+
+
+def answer_counts(answers: DataFrame, parse) -> DataFrame:
+    """How many answers there are, how many could be read, how many are irrelevant, and the opinions' histogram."""
+    o = answers.select(parse(F.col("content")).alias("o"))
+    return o.agg(F.count(F.lit(1)).alias("answers"), F.count("o").alias("read"), F.count_if(F.col("o") == IRRELEVANT).alias("irrelevant"), *[F.count_if(F.col("o") == v).alias(f"opinion_{str(v).replace('-', 'm')}") for v in (-2, -1, 0, 1, 2)])
+
+
+def user_stance(labelled: DataFrame) -> DataFrame:
+    """Each user's mean opinion over relevant labelled posts, and their number."""
+    ok = labelled.where(F.col("opinion").isNotNull() & (F.col("opinion") != IRRELEVANT))
+    return ok.groupBy("user_id").agg(F.count(F.lit(1)).alias("posts"), F.avg("opinion").alias("stance"))
+
+
+def union_samples(samples: dict[str, DataFrame]) -> DataFrame:
+    """Samples of several topics as one table with a topic column; columns that a sample lacks are null."""
+    out = None
+    for topic, s in samples.items():
+        part = s.withColumn("topic", F.lit(topic))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def run_summary(runs: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Number, mean and sample deviation of each metric over repeated runs; metrics without any value are left out."""
+    have = runs.agg(*[F.count(m).alias(m) for m in metrics]).first()
+    kept = [m for m in metrics if have[m]]
+    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), *[f(m).alias(f"{m}_{n}") for m in kept for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+
+
 def rmse(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return rows.agg(F.sqrt(F.avg(F.pow(F.col(truth) - F.col(predicted), 2))).alias("rmse"))

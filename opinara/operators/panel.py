@@ -138,3 +138,91 @@ def compare_results(old: DataFrame, new: DataFrame, keys: Sequence[str], value:
     state = F.when(F.col("old_value").isNull() & F.col("new_value").isNotNull(), "new_only").when(F.col("new_value").isNull() & F.col("old_value").isNotNull(), "old_only")
     state = state.when(F.abs(F.col("old_value") - F.col("new_value")) > tolerance, "changed").otherwise("same")
     return joined.withColumn("status", state)
+
+
+def country_rows(rows: DataFrame, column: str, country: str, inside: bool = True) -> DataFrame:
+    """Rows of one country, or all others; a missing country is another one."""
+    same = F.col(column).eqNullSafe(F.lit(country))
+    return rows.where(same if inside else ~same)
+
+
+def numeric_columns(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The numeric columns, by the schema alone, and those in ``keep``."""
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return rows.select(*[c for c, t in rows.dtypes if t in kinds or t.startswith("decimal") or c in keep])
+
+
+def of_year(rows: DataFrame, year: int | str, column: str = "year") -> DataFrame:
+    """Rows of a year or of the pooled "average", whether the column holds numbers or text."""
+    return rows.where(F.col(column).cast("string") == str(year))
+
+
+def without(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` without columns that some inputs have."""
+    return rows.drop(*columns)
+
+
+def adults(rows: DataFrame, age: str, country: str, code: int | str, least: int = 18) -> DataFrame:
+    return rows.where((F.col(age) >= least) & (F.col(country) == code))
+
+
+def fielded_everywhere(rows: DataFrame, group: str, topics: Sequence[str]) -> DataFrame:
+    """``rows`` without the topics that some group has no value of."""
+    per = rows.groupBy(group).agg(*[F.count(t).alias(t) for t in topics])
+    least = per.agg(*[F.min(t).alias(t) for t in topics]).first()
+    return rows.drop(*[t for t in topics if not least[t]])
+
+
+def analysed_only(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows of topics that the registry (platform, topic, analysed) marks as analysed, by the platform that they name."""
+    known = registry.where("analysed").select("platform", "topic").distinct()
+    return rows.join(known, ["platform", "topic"], "left_semi")
+
+
+def period_lists(opinions: DataFrame, periods: Sequence[int], period: str = "year") -> DataFrame:
+    """All opinions of a user and topic over the given periods as one list, ascending."""
+    return usable(opinions).where(F.col(period).isin(list(periods))).groupBy("user_id", "topic").agg(F.array_sort(F.collect_list("opinion")).alias("opinions"))
+
+
+def preferred_average(wide: DataFrame, years: Sequence[str], key: str = "user_id", names: Sequence[str] = ("average", "merged", "all")) -> DataFrame:
+    """A user's value within [-2, 2]: the first of the ready-made averages that the table has a column of, else the mean of
+    the years; users without any are left out."""
+    from opinara.functions.scalar import clip, row_mean
+
+    have = next((n for n in names if n in wide.columns), None)
+    value = F.col(have) if have else row_mean([F.col(y) for y in years])
+    return wide.select(key, clip(value.cast("double")).alias("value")).where("value is not null")
+
+
+def source_rollup(rows: DataFrame, by: str, first: Sequence[str], mean: Sequence[str], order: str) -> DataFrame:
+    """Per source the first value (in ``order``) of some columns and the mean of others."""
+    return rows.groupBy(by).agg(*[F.min_by(c, order).alias(c) for c in first], *[F.avg(c).alias(c) for c in mean])
+
+
+def topic_users(panel: DataFrame, period: str = "year") -> DataFrame:
+    """Users of each topic in each period."""
+    return panel.groupBy(period, "topic").agg(F.count_distinct("user_id").alias("users"))
+
+
+def users_over_periods(panel: DataFrame, period: str = "year") -> DataFrame:
+    """Users summed over periods (those of several periods count in each), and distinct users."""
+    per = panel.select(period, "user_id").distinct()
+    return per.agg(F.count(F.lit(1)).alias("sum_over_periods"), F.count_distinct("user_id").alias("unique_users"))
+
+
+def hash_subset(rows: DataFrame, size: int, key: str, seed: int = 0) -> DataFrame:
+    """``size`` rows chosen by a hash of their key, the same on every run.
+
+    A threshold leaves a few more than ``size`` before the exact choice, so that no task gathers the table."""
+    n = rows.count()
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 12), 16, 10).cast("long")
+    share = min(1.0, (size + 6 * size**0.5 + 10) / max(n, 1))
+    near = rows.withColumn("_h", digest)
+    near = near if share >= 1 else near.where(F.col("_h") < int(share * (1 << 48)))
+    return near.orderBy("_h", key).limit(size).drop("_h")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """All rows in the order of a hash of their key, with their place in ``shuffle_key``."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 12), 16, 10).cast("long")
+    return rows.withColumn("shuffle_key", digest).orderBy("shuffle_key", key)

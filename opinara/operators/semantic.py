@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import stats
 from opinara.functions.scalar import cosine, dot, norm
+from opinara.operators.ranks import running_sums
 
 #: Topics at most where topic rows are broadcast: a bound on centroids and anchors.
 MAX_TOPICS = 10_000
@@ -50,15 +51,20 @@ def centroid_similarity(centroid: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), F.col("t1") < F.col("t2")).select("t1", "t2", cosine(F.col("a"), F.col("b")).alias("similarity"))
 
 
-def anchor_select(rows: DataFrame, anchors: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Words whose cosine to their own topic's anchor passes and beats all other anchors; a topic of none keeps its best.
+def anchor_scores(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(word, topic, anchor_sim, other_sim): each word's cosine to its own topic's anchor and its best one to another's.
 
     ``anchors`` (topic, anchor) are few; each word meets them in one array."""
     packed = checked_topics(anchors).agg(F.collect_list(F.struct("topic", "anchor")).alias("anchors"))
     sims = rows.join(F.broadcast(packed)).withColumn("s", F.transform("anchors", lambda a: F.struct(a["topic"].alias("topic"), cosine(F.col("vector"), a["anchor"]).alias("sim"))))
     own = F.element_at(F.filter("s", lambda x: x["topic"] == F.col("topic")), 1)["sim"]
     other = F.array_max(F.transform(F.filter("s", lambda x: x["topic"] != F.col("topic")), lambda x: x["sim"]))
-    scored = sims.select("word", "topic", own.alias("anchor_sim"), other.alias("other_sim")).withColumn("passes", (F.col("anchor_sim") >= threshold) & (F.col("anchor_sim") > F.coalesce("other_sim", F.lit(-1.0))))
+    return sims.select("word", "topic", own.alias("anchor_sim"), other.alias("other_sim"))
+
+
+def anchor_select(rows: DataFrame, anchors: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Words whose cosine to their own topic's anchor passes and beats all other anchors; a topic of none keeps its best."""
+    scored = anchor_scores(rows, anchors).withColumn("passes", (F.col("anchor_sim") >= threshold) & (F.col("anchor_sim") > F.coalesce("other_sim", F.lit(-1.0))))
     w = Window.partitionBy("topic")
     best = F.row_number().over(w.orderBy(F.desc("anchor_sim"), "word")) == 1
     ranked = scored.withColumn("_any", F.max("passes").over(w)).withColumn("_best", best)
@@ -71,11 +77,125 @@ def keyword_cap(selected: DataFrame, k: int = 5, floor: float = 0.4) -> DataFram
     return selected.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & ((F.col("rank") == 1) | (F.col("anchor_sim") >= floor)))
 
 
+def keyword_rules(rows: DataFrame, threshold: float = 0.30, shared: float = 0.50, dropped: DataFrame | None = None, added: DataFrame | None = None) -> DataFrame:
+    """Candidate words (topic, word, df, anchor_sim, other_sim) that pass all rules, with ``selected_by``.
+
+    The similarity to the own anchor reaches ``threshold`` and beats all other anchors; a word of several topics (df above
+    1) needs ``shared``; words that a review dropped (topic, word) don't count, those it added (topic, word, anchor_sim,
+    other_sim) do; a topic of none keeps its best candidate."""
+    ok = (F.col("anchor_sim") >= threshold) & (F.col("anchor_sim") > F.coalesce("other_sim", F.lit(-2.0))) & ((F.col("df") == 1) | (F.col("anchor_sim") >= shared))
+    cand = rows.withColumn("passes", F.coalesce(ok, F.lit(False)))
+    if dropped is not None:
+        cand = cand.join(F.broadcast(checked_topics(dropped.select("topic", "word").distinct().withColumn("_out", F.lit(True)))), ["topic", "word"], "left")
+        cand = cand.withColumn("passes", F.col("passes") & F.col("_out").isNull()).drop("_out")
+    columns = ["topic", "word", "anchor_sim", "other_sim", "selected_by"]
+    kept = cand.where("passes").withColumn("selected_by", F.lit("rule")).select(*columns)
+    if added is not None:
+        new = added.select("topic", "word", "anchor_sim", "other_sim", F.lit("review").alias("selected_by")).join(kept.select("topic", "word"), ["topic", "word"], "left_anti")
+        kept = kept.unionByName(new)
+    best = cand.groupBy("topic").agg(F.max(F.struct("anchor_sim", F.struct("word", "other_sim").alias("w"))).alias("b"))
+    empty = best.join(kept.select("topic").distinct(), "topic", "left_anti")
+    fallback = empty.select("topic", F.col("b.w.word").alias("word"), F.col("b.anchor_sim").alias("anchor_sim"), F.col("b.w.other_sim").alias("other_sim"), F.lit("fallback").alias("selected_by"))
+    return kept.unionByName(fallback)
+
+
+def keyword_top(selected: DataFrame, anchors: DataFrame, k: int = 5, floor: float = 0.40) -> DataFrame:
+    """The main keyword set of each topic: its anchor first, then at most k - 1 words (topic, word, anchor_sim) by similarity
+    to it, without those below ``floor`` and without fragments: words all of whose tokens are in a longer keyword."""
+    from opinara.functions.scalar import fragment_of_longer
+
+    own = selected.join(F.broadcast(checked_topics(anchors.select("topic", "anchor"))), "topic").where(F.col("word") != F.col("anchor"))
+    # A topic's keywords are a short list.
+    lists = own.groupBy("topic").agg(F.collect_set("word").alias("_all"))
+    words = own.join(lists, "topic").withColumn("_all", F.array_append("_all", F.col("anchor")))
+    ok = words.where(~fragment_of_longer(F.col("word"), F.col("_all")) & (F.col("anchor_sim") >= floor)).select("topic", "word", "anchor_sim", F.lit("rule").alias("kind"))
+    whole = ok.unionByName(anchors.select("topic", F.col("anchor").alias("word"), F.lit(1.0).alias("anchor_sim"), F.lit("anchor").alias("kind")))
+    w = Window.partitionBy("topic").orderBy(F.col("kind") != "anchor", F.desc("anchor_sim"), "word")
+    return whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: Words without content of their own in a phrase (fixed values).
+PHRASE_STOP = ("a", "an", "the", "of", "to", "for", "in", "on", "and", "or", "towards", "toward", "with", "by", "at", "from")
+
+
+def phrase_vectors(words: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``words`` (word) with vector and source: the word itself, its tokens joined by underscores, or the mean over those
+    content words that have a vector; null if none does."""
+    w = words.select("word").distinct()
+    key = F.regexp_replace("word", " ", "_")
+    exact = w.join(vectors.select("word", F.col("vector").alias("v1")), "word", "left")
+    joined = exact.withColumn("_key", key).join(vectors.select(F.col("word").alias("_key"), F.col("vector").alias("v2")), "_key", "left").drop("_key")
+    parts = joined.where("v1 is null and v2 is null and contains(word, ' ')").select("word", F.explode(F.split("word", " +")).alias("part")).where(~F.lower("part").isin(*PHRASE_STOP))
+    found = parts.join(vectors.select(F.col("word").alias("part"), "vector"), "part").select("word", F.posexplode("vector").alias("dim", "x"))
+    mean = found.groupBy("word", "dim").agg(F.avg("x").alias("x")).groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("v3"))
+    out = joined.join(mean, "word", "left")
+    source = F.when(F.col("v1").isNotNull(), "word").when(F.col("v2").isNotNull() & F.col("word").contains(" "), "phrase").when(F.col("v3").isNotNull(), "composed")
+    asd = lambda c: F.col(c).cast("array<double>")
+    vector = F.when(source == "word", asd("v1")).when(source == "phrase", asd("v2")).when(source == "composed", asd("v3"))
+    return out.select("word", vector.alias("vector"), source.alias("source"))
+
+
+def cached_vectors(words: DataFrame, cache: DataFrame, provider) -> DataFrame:
+    """(word, vector, cached) of the distinct words: from the cache table, else from ``provider``, a function from a list of
+    words to a list of vectors that runs once per Arrow batch of words the cache lacks; append those rows to the cache."""
+    own = words.select("word").where("word is not null").distinct()
+    known = cache.select("word", F.col("vector").cast("array<double>").alias("vector"))
+    hit = own.join(known, "word").select("word", "vector", F.lit(True).alias("cached"))
+    miss = own.join(known.select("word"), "word", "left_anti")
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame({"word": f["word"], "vector": [list(map(float, v)) for v in provider(f["word"].tolist())], "cached": False})
+
+    return hit.unionAll(miss.mapInPandas(run, f"word {dict(words.dtypes)['word']}, vector array<double>, cached boolean"))
+
+
+def subset_projection(centroid: DataFrame, largest: int = 12) -> DataFrame:
+    """(topic, size, subset, residual, angle): for each topic and subset size, the other topics whose unit centroids' span
+    leaves least of its own.  All subsets are tried: 2 ** topics of them, one topic a group, at most ``largest`` topics."""
+    rows = centroid.select("topic", "centroid")
+    n = rows.count()
+    if n > largest:
+        raise ValueError(f"{n} topics have too many subsets; at most {largest}")
+    packed = rows.agg(F.array_sort(F.collect_list(F.struct("topic", "centroid"))).alias("all_topics"))
+    kind = dict(rows.dtypes)["topic"]
+
+    def run(frames):
+        for f in frames:
+            for topic, every in zip(f["topic"], f["all_topics"], strict=True):
+                names = [r["topic"] for r in every]
+                x = np.array([r["centroid"] for r in every], np.float64)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                at = names.index(topic)
+                rest = [k for k in range(len(names)) if k != at]
+                found = stats.subset_residuals(x[at], x[rest])
+                yield pd.DataFrame({"topic": topic, "size": [s for s, _, _ in found], "subset": [[names[rest[k]] for k in c] for _, c, _ in found], "residual": [r for _, _, r in found], "angle": [float(np.degrees(np.arcsin(min(1.0, r)))) for _, _, r in found]})
+
+    return rows.select("topic").join(F.broadcast(packed)).repartition(max(n, 1), "topic").mapInPandas(run, f"topic {kind}, size int, subset array<{kind}>, residual double, angle double")  # one row
+
+
+def centroid_conditioning(centroid: DataFrame) -> DataFrame:
+    """topics, rank and condition of the unit centroids."""
+    rows = checked_topics(centroid).orderBy("topic").toPandas()
+    x = np.array(rows["centroid"].tolist(), np.float64)
+    rank, condition = stats.conditioning(x / np.linalg.norm(x, axis=1, keepdims=True))
+    return centroid.sparkSession.createDataFrame([(len(x), rank, condition)], "topics int, rank int, condition double")
+
+
+def point_distances(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, word, distance) between complete coordinate rows; rows with a missing coordinate have none."""
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull() | F.isnan(v.cast("double")))
+    q = checked_topics(queries).where(whole("vector")).select(F.col("word").alias("query"), F.col("vector").alias("_q"))
+    d = F.sqrt(F.aggregate(F.zip_with("vector", "_q", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v))
+    return points.where(whole("vector")).join(F.broadcast(q), F.col("word") != F.col("query")).select("query", "word", d.alias("distance"))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 2, max_queries: int = 2000) -> DataFrame:
     """(word, neighbour, distance, rank): exact nearest neighbours of a stated set of queries among all rows.
 
     Queries are cut by a hash of their word into blocks of about ``max_queries``; each block is broadcast and meets all
-    rows, and each task keeps its k best per query before the shuffle."""
+    rows, and of each Arrow batch of rows the k best of every query go on to the shuffle."""
     queries = queries.select("word", "vector")
     n_blocks = max(1, -(-queries.count() // max_queries))
     block = F.pmod(F.xxhash64("word"), F.lit(n_blocks))
@@ -101,23 +221,46 @@ def _nearest_block(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 continue
             x, own = np.array(f["vector"].tolist(), np.float64), f["word"].to_numpy()
             for s in range(0, len(names), 256):
-                d = np.concatenate([np.sqrt(((q[s : s + 256, None, :] - x[None, t : t + 256]) ** 2).sum(2)) for t in range(0, len(x), 256)], 1)
-                d[names[s : s + 256, None] == own[None]] = np.inf
-                for i in range(len(d)):
-                    top = np.lexsort((own, d[i]))[:k]
-                    top = top[np.isfinite(d[i][top])]
-                    yield pd.DataFrame({"word": np.full(len(top), names[s + i]), "neighbour": own[top], "distance": d[i][top]})
+                part = q[s : s + 256]
+                # Squared distances by one matrix product choose a few more than k; those few are measured exactly.
+                rough = (part * part).sum(1)[:, None] + (x * x).sum(1) - 2 * (part @ x.T)
+                rough[names[s : s + 256, None] == own[None]] = np.inf
+                m = min(k + 8, len(x))
+                near = np.argpartition(rough, m - 1, axis=1)[:, :m]
+                # A neighbour that rounding or a tie may have moved across the line is within this of the last one taken.
+                slack = 1e-9 * (1 + np.abs(rough[np.isfinite(rough)]).max(initial=0.0))
+                line = np.take_along_axis(rough, near, 1).max(1)
+                words, others, distances = [], [], []
+                for i in range(len(part)):
+                    pick = near[i]
+                    if m < len(x):
+                        pick = np.flatnonzero(rough[i] <= line[i] + slack)
+                    pick = pick[np.isfinite(rough[i][pick])]
+                    d = np.sqrt(((x[pick] - part[i]) ** 2).sum(1))
+                    top = np.lexsort((own[pick], d))[:k]
+                    words.append(np.full(len(top), names[s + i]))
+                    others.append(own[pick][top])
+                    distances.append(d[top])
+                yield pd.DataFrame({"word": np.concatenate(words), "neighbour": np.concatenate(others), "distance": np.concatenate(distances)})
 
     return rows.select("word", "vector").where("vector is not null").mapInPandas(run, "word long, neighbour long, distance double")
 
 
 def twonn_dimension(neighbours: DataFrame, drop: float = 0.02) -> DataFrame:
-    """Two-nearest-neighbour dimension from ranks 1 and 2: slope through the origin, the largest ratios left out."""
-    mu = neighbours.groupBy("word").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("r1"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("r2")).where("r1 > 0 and r2 is not null").select("word", (F.col("r2") / F.col("r1")).alias("mu"))
-    n = mu.count()
-    ranked = mu.withColumn("i", F.row_number().over(Window.orderBy("mu", "word"))).where(F.col("i") <= int(n * (1 - drop)))
-    x, y = F.log("mu"), -F.log(1 - F.col("i") / F.lit(float(max(n, 1))) * (1 - 1e-12))
-    return ranked.agg(F.count(F.lit(1)).alias("points"), F.try_divide(F.sum(x * y), F.sum(x * x)).alias("dimension"))
+    """Two-nearest-neighbour dimension from ranks 1 and 2: slope through the origin of -log(1 - ECDF) over log ratios.
+
+    Points whose nearest neighbour is at the smallest distances (a share ``drop``) are left out; null below 30 points."""
+    ok = neighbours.where("distance > 0")
+    two = ok.groupBy("word").agg(F.min("distance").alias("r1"), F.element_at(F.array_sort(F.collect_list("distance")), 2).alias("r2")) if "rank" not in neighbours.columns else ok.groupBy("word").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("r1"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("r2"))
+    two = two.where("r1 is not null and r2 is not null")
+    all_ = two.agg(F.count(F.lit(1)).alias("all_points"), F.percentile("r1", F.lit(drop)).alias("q"))
+    kept = two.join(F.broadcast(all_)).where(F.col("r1") > F.col("q")).select("word", "all_points", F.log(F.col("r2") / F.col("r1")).alias("x"))  # one row
+    n = kept.count()
+    ranked = running_sums(kept.withColumn("_one", F.lit(1)), [], ["x", "word"], "_one", "i")
+    share = F.least(F.greatest(F.col("i") / F.lit(float(max(n, 1))), F.lit(1e-9)), F.lit(1 - 1e-9))
+    y = -F.log(1 - share)
+    out = ranked.agg(F.count(F.lit(1)).alias("points"), F.try_divide(F.sum(F.col("x") * y), F.sum(F.col("x") * F.col("x"))).alias("d"), F.max("all_points").alias("all_points"))
+    return out.select("points", F.when(F.col("all_points") >= 30, F.col("d")).alias("dimension"))
 
 
 def pair_distances(values: DataFrame, bags: Sequence[tuple[Sequence[str], float]], key: str = "user_id", least: int = 2) -> DataFrame:
@@ -143,31 +286,81 @@ def pair_distances(values: DataFrame, bags: Sequence[tuple[Sequence[str], float]
         for i, (topics, v) in enumerate(zip(f["topics"], f["x"], strict=True)):
             x[i, [at[t] for t in topics]] = v
         left, right = (np.flatnonzero(f["block"].to_numpy() == f[c].iloc[0]) for c in ("first", "second"))
-        found, shared = [], None
-        for use, k in columns:
-            s, common = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)), np.int64)
-            for c in use:
-                d = x[left, c][:, None] - x[right, c][None]
-                ok = ~np.isnan(d)
-                common += ok
-                s += np.where(ok, d * d, 0.0)
-            found.append(np.where(common >= least, np.sqrt(s * k / np.maximum(common, 1)), np.nan))
-            shared = common if shared is None else shared
-        found = np.sort(np.stack(found), 0)  # missing ones last
-        n = (~np.isnan(found)).sum(0)
-        middle = [np.take_along_axis(found, (np.maximum(m, 0) // 2)[None], 0)[0] for m in (n - 1, n)]
-        keep = n > 0
+        found, shared = _bag_distances(x[left], x[right], columns, least)
+        keep = ~np.isnan(found)
         if f["first"].iloc[0] == f["second"].iloc[0]:
             keep &= np.triu(np.ones_like(keep), 1)
         i, j = np.nonzero(keep)
         a, b = ids[left[i]], ids[right[j]]
         swap = a > b
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "common": shared[i, j], "distance": (middle[0][i, j] + middle[1][i, j]) / 2})
+        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "common": shared[i, j], "distance": found[i, j]})
 
     kind = dict(values.dtypes)[key]
     return dealt.groupBy("first", "second").applyInPandas(run, f"a {kind}, b {kind}, common long, distance double")
 
 
+def query_distances(values: DataFrame, queries: DataFrame, bags: Sequence[tuple[Sequence[str], float]], key: str = "user_id", least: int = 2) -> DataFrame:
+    """(a, b, common, distance) of a stated set of query rows a with all other rows b, as in ``pair_distances``.
+
+    The queries are cut into blocks of ``PAIR_BLOCK`` rows; each block meets every Arrow batch of rows in arrays, so no row
+    per pair and topic is made."""
+    names = sorted({t for topics, _ in bags for t in topics})
+    kind = dict(values.dtypes)[key]
+
+    def packed(rows: DataFrame) -> DataFrame:
+        known = rows.where(F.col(key).isNotNull() & F.col("value").isNotNull() & F.col("topic").isin(names))
+        return known.groupBy(key).agg(F.collect_list(F.struct("topic", F.col("value").cast("double").alias("x"))).alias("v")).select(key, F.col("v.topic").alias("topics"), F.col("v.x").alias("x"))
+
+    at = {t: k for k, t in enumerate(names)}
+    columns = [([at[t] for t in topics], float(k)) for topics, k in bags]
+
+    def dense(f: pd.DataFrame) -> np.ndarray:
+        x = np.full((len(f), len(at)), np.nan)
+        for i, (topics, v) in enumerate(zip(f["topics"], f["x"], strict=True)):
+            x[i, [at[t] for t in topics]] = v
+        return x
+
+    asked, rows = packed(queries), packed(values)
+    n_blocks = max(1, -(-asked.count() // PAIR_BLOCK))
+    out = None
+    for b in range(n_blocks):
+        held = (asked.where(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == b) if n_blocks > 1 else asked).toPandas().sort_values(key)
+        shared = values.sparkSession.sparkContext.broadcast((held[key].to_numpy(), dense(held)))
+
+        def run(frames, shared=shared):
+            ids, q = shared.value
+            for f in frames:
+                for s in range(0, len(f), PAIR_BLOCK):
+                    part = f.iloc[s : s + PAIR_BLOCK]
+                    found, common = _bag_distances(q, dense(part), columns, least)
+                    keep = ~np.isnan(found) & (ids[:, None] != part[key].to_numpy()[None])
+                    i, j = np.nonzero(keep)
+                    yield pd.DataFrame({"a": ids[i], "b": part[key].to_numpy()[j], "common": common[i, j], "distance": found[i, j]})
+
+        one = rows.mapInPandas(run, f"a {kind}, b {kind}, common long, distance double")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def _bag_distances(left: np.ndarray, right: np.ndarray, columns: list, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Medians over the bags of the corrected distances of every left with every right row, nan where no bag has one, and the
+    first bag's numbers of common topics."""
+    found, shared = [], None
+    for use, k in columns:
+        s, common = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)), np.int64)
+        for c in use:
+            d = left[:, c][:, None] - right[:, c][None]
+            ok = ~np.isnan(d)
+            common += ok
+            s += np.where(ok, d * d, 0.0)
+        found.append(np.where(common >= least, np.sqrt(s * k / np.maximum(common, 1)), np.nan))
+        shared = common if shared is None else shared
+    found = np.sort(np.stack(found), 0)  # missing ones last
+    n = (~np.isnan(found)).sum(0)
+    middle = [np.take_along_axis(found, np.clip(m, 0, len(found) - 1)[None], 0)[0] for m in ((n - 1) // 2, n // 2)]
+    return np.where(n > 0, (middle[0] + middle[1]) / 2, np.nan), shared
+
+
 def missing_corrected_distance(values: DataFrame, key: str = "user_id", n_topics: int | None = None, least: int = 2) -> DataFrame:
     """(a < b, common, distance) between rows with missing entries: d2 = K / c * sum of squares over c common topics.
 

@@ -14,34 +14,65 @@ from opinara.functions import stats
 
 #: Rows of a simulated matrix that are held at once.
 PART = 100_000
+SUMMED = 4096
 
 
-def manifold_parts(l: int, rows: int, n: int, missing: float, seed: int, pattern: str = "random") -> Iterator[np.ndarray]:
-    """``rows`` points of a random n-dimensional subspace of l dimensions, entries missing at random or by row, in runs of
-    at most ``PART`` rows."""
+def manifold_parts(l: int, rows: int, n: int, missing: float, seed, pattern: str = "random") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(values, 0 where missing; 1 where observed) of ``rows`` points of a random n-dimensional subspace of l dimensions, in
+    runs of at most ``PART`` rows.
+
+    Entries are missing at random, or ("rows") are observed by chance in proportion to an exponential number of their row
+    and a factor from 0.5 to 1.5 of their column, scaled until a share ``1 - missing`` is observed."""
+    if pattern not in ("random", "rows"):
+        raise ValueError(f"unknown pattern {pattern!r}")
     rng = np.random.default_rng(seed)
-    basis = None
+    basis = np.linalg.qr(rng.normal(size=(l, n)))[0].T.astype(np.float32)
+    if pattern == "rows":
+        active = rng.exponential(size=rows)
+        asked = rng.permutation(np.linspace(0.5, 1.5, l))
+        scale = observation_scale(active, asked, 1 - missing)
     for s in range(0, rows, PART):
         m = min(PART, rows - s)
-        x = rng.normal(size=(m, n))
-        basis = rng.normal(size=(n, l)) if basis is None else basis
-        x = x @ basis
-        share = missing if pattern == "random" else np.clip(rng.beta(2, 2, size=(m, 1)) * 2 * missing, 0, 1)
-        x[rng.random(x.shape) < share] = np.nan
-        yield x
+        x = rng.standard_normal((m, n), np.float32) @ basis
+        share = 1 - missing if pattern == "random" else scale * np.outer(active[s : s + m], asked).astype(np.float32)
+        seen = (rng.random(x.shape, np.float32) < share).astype(np.float32)
+        x *= seen
+        yield x, seen
+
+
+def observation_scale(active: np.ndarray, asked: np.ndarray, share: float) -> float:
+    """The factor at which min(factor * row * column, 1) is ``share`` on average."""
+    order = np.sort(active)
+    total = np.concatenate([[0.0], np.cumsum(order)])
+
+    def mean(f: float) -> float:
+        full = np.searchsorted(order, 1 / (f * asked))  # rows below are not cut at 1
+        return float((f * asked * total[full] + len(order) - full).sum() / (len(order) * len(asked)))
+
+    if share >= 1:
+        return float("inf")
+    lo, hi = 0.0, 1.0
+    while mean(hi) < share:
+        hi *= 2
+    for _ in range(60):
+        lo, hi = ((lo + hi) / 2, hi) if mean((lo + hi) / 2) < share else (lo, (lo + hi) / 2)
+    return hi
 
 
 def manifold(l: int, rows: int, n: int, missing: float, seed: int, pattern: str = "random") -> np.ndarray:
-    return np.concatenate(list(manifold_parts(l, rows, n, missing, seed, pattern)))
+    """The same as one matrix with nan where an entry is missing."""
+    return np.concatenate([np.where(seen > 0, x, np.nan) for x, seen in manifold_parts(l, rows, n, missing, seed, pattern)])
 
 
-def observed_spectrum(parts: Iterable[np.ndarray]) -> dict:
-    """Spectrum of the pairwise-available covariance of a matrix given in runs of rows, with what was observed."""
+def observed_spectrum(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> dict:
+    """Spectrum of the pairwise-available covariance of a matrix given in runs of rows (values, observed), with what was
+    observed.  Products are summed in single precision within a few thousand rows, in double across them."""
     count = cross = total = seen = size = 0
-    for x in parts:
-        b, v = (~np.isnan(x)).astype(float), np.nan_to_num(x)
-        count, cross, total = count + b.T @ b, cross + v.T @ v, total + v.sum(0)
-        seen, size = seen + b.sum(), size + b.size
+    for whole, observed in parts:
+        for s in range(0, len(whole), SUMMED):
+            v, b = whole[s : s + SUMMED], observed[s : s + SUMMED]
+            count, cross, total = count + (b.T @ b).astype(float), cross + (v.T @ v).astype(float), total + v.sum(0, dtype=float)
+            seen, size = seen + float(b.sum(dtype=float)), size + b.size
     cov = stats.available_covariance(cross, count, total / np.maximum(np.diag(count), 1))
     return {"observed_share": float(seen / size), "min_pair_count": int(count.min()), "negative_eigenvalues": int((np.linalg.eigvalsh(cov) < 0).sum()), **stats.spectrum(cov)}
 
@@ -55,7 +86,7 @@ def missingness_grid(spark: SparkSession, l: int = 20, sizes=(1000, 10000), miss
         for f in frames:
             out = []
             for c in f.itertuples(index=False):
-                s = seed + hash((c.l, c.n_rows, round(c.missing * 1000), c.n, c.rep)) % (1 << 31)
+                s = [seed, patterns.index(c.pattern), c.l, c.n_rows, round(c.missing * 1000), c.n, c.rep]
                 out.append(c._asdict() | observed_spectrum(manifold_parts(c.l, c.n_rows, c.n, c.missing, s, c.pattern)))
             yield pd.DataFrame(out)
 
@@ -72,12 +103,29 @@ def variation(cells: DataFrame, axis: str, value: str = "pr") -> DataFrame:
     return cells.groupBy(*rest).agg(F.try_divide(F.stddev_samp(value), F.avg(value)).alias("cv"))
 
 
+def direction(cells: DataFrame, value: str = "pr") -> DataFrame:
+    """Change of a metric from the lowest to the highest missingness at fixed pattern, rows and dimension."""
+    per = cells.groupBy("pattern", "n_rows", "n").agg(F.min_by(value, "missing").alias("at_lowest"), F.max_by(value, "missing").alias("at_highest"))
+    return per.withColumn("relative_change", F.try_divide(F.col("at_highest") - F.col("at_lowest"), F.col("at_lowest")))
+
+
+def dimension_error(cells: DataFrame, value: str = "pr") -> DataFrame:
+    """Mean absolute error of a metric against the true dimension, and their Pearson and rank correlations, by pattern, rows
+    and missingness."""
+    from opinara.operators.correlation import safe_corr, spearman
+
+    keys = ("pattern", "n_rows", "missing")
+    error = cells.groupBy(*keys).agg(F.avg(F.abs(F.col(value) - F.col("n"))).alias("mae"), safe_corr(F.col("n").cast("double"), F.col(value)).alias("pearson"))
+    return error.join(spearman(cells, "n", value, keys).select(*keys, F.col("rho").alias("spearman")), list(keys))
+
+
 def noisy_reliability(values: DataFrame, reliability: float, draws: int, seed: int = 0) -> DataFrame:
     """Values with normal noise of the variance that lowers each topic's reliability to a target, once per draw."""
     var = values.groupBy("topic").agg(F.var_samp("value").alias("_v"))
     noisy = values.join(F.broadcast(var), "topic").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     sd = F.sqrt(F.col("_v") * F.lit((1 - reliability) / reliability))
     # A normal number hashed from seed, draw, topic and user: the same on every run and every cluster.
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "draw", "topic", "user_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    text = lambda k: F.concat_ws(":", F.lit(str(seed + k)), F.col("draw").cast("string"), "topic", F.col("user_id").cast("string"))
+    u = lambda k: (F.conv(F.substring(F.md5(text(k)), 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
     z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
     return noisy.withColumn("value", F.col("value") + sd * z).drop("_v")

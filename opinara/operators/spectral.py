@@ -5,13 +5,19 @@ Spark reduces N users to the K x K sums (counts, cross sums, column sums); numpy
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara.functions import stats
 
+#: Topics of a bootstrap: draws times the square of them are held by a task.
+MAX_TOPICS = 200
 SPECTRUM = "pr double, erank double, srank double"
 
 
@@ -80,26 +86,87 @@ def gram_participation_ratio(values: DataFrame, key: str = "word") -> DataFrame:
     return cov.agg(F.sum(F.when(F.col("t1") == F.col("t2"), F.col("cov"))).alias("tr"), F.sum(twice * F.col("cov") * F.col("cov")).alias("sq")).select(F.try_divide(F.col("tr") * F.col("tr"), F.col("sq")).alias("pr"))
 
 
-def bootstrap_spectra(values: DataFrame, draws: int = 200, seed: int = 0, by: tuple[str, ...] = ("year",), key: str = "user_id", alpha: float = 0.05) -> DataFrame:
-    """Row bootstrap: every user gets a Poisson(1) weight in each draw, hashed from seed, draw and user, so the K x K
-    sums of all draws come from one aggregate and no rows are gathered; then draws are averaged over ``by``."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = values.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("w", F.when(F.col("draw") == 0, 1).otherwise(weight)).where("w > 0")
-    sums = cross_sums(drawn, (*by, "draw"), key, "w")
-    kinds = dict(values.dtypes)
+#: Cumulative probabilities of a Poisson count of mean 1.
+POISSON1 = np.cumsum([0.36787944117144233 / math.factorial(k) for k in range(12)])
+#: Draws whose weights are made at once for a batch of users.
+DRAWS = 256
+
+
+def replicate_weights(keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """(draw, key) Poisson(1) counts from hashes of both; draw 0 is the sample itself, every count 1."""
+    x = keys.astype(np.uint64)[None] + (draws.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    return np.where(draws[:, None] == 0, 1.0, np.searchsorted(POISSON1, u, "right").astype(np.float64))
+
+
+def bootstrap_sums(values: DataFrame, names: list[str], draws: int, seed: int, by: tuple[str, ...], key: str) -> DataFrame:
+    """(by, draw, t1, t2, n, sxy, sx): the cross sums of every draw.
+
+    A user's topics meet by one shuffle; each task then multiplies draw weights with the users' products, so what leaves it
+    is one row for each draw and pair of topics, however many users it has."""
+    own = values.where(F.col("value").isNotNull()).groupBy(*by, key).agg(F.collect_list(F.struct("topic", F.col("value").cast("double").alias("value"))).alias("v"))
+    rows = own.select(*by, F.xxhash64(F.lit(seed), *by, key).alias("h"), F.col("v.topic").alias("topics"), F.col("v.value").alias("x"))
+    schema = T.StructType([*[values.schema[c] for c in by], T.StructField("draw", T.IntegerType()), T.StructField("t1", T.StringType()), T.StructField("t2", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("n", "sxy", "sx")]])
+    at, k = {t: i for i, t in enumerate(names)}, len(names)
+    first, second = np.triu_indices(k)
+    same = first == second
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for f in frames:
+            v, seen = np.zeros((len(f), k)), np.zeros((len(f), k))
+            for i, (topics, x) in enumerate(zip(f["topics"], f["x"], strict=True)):
+                place = [at[t] for t in topics]
+                v[i, place], seen[i, place] = x, 1.0
+            products = np.concatenate([seen[:, first] * seen[:, second], v[:, first] * v[:, second], v[:, first[same]]], 1)
+            hashes = f["h"].to_numpy()
+            groups = f.groupby(list(by), sort=False).indices if by else {(): np.arange(len(f))}
+            for g, rows_ in groups.items():
+                g = g if isinstance(g, tuple) else (g,)
+                total = sums.setdefault(g, np.zeros((draws + 1, products.shape[1])))
+                for lo in range(0, draws + 1, DRAWS):
+                    d = np.arange(lo, min(lo + DRAWS, draws + 1))
+                    total[d] += replicate_weights(hashes[rows_], d) @ products[rows_]
+        m = len(first)
+        for g, total in sums.items():
+            sx = np.full((draws + 1, m), np.nan)
+            sx[:, same] = total[:, 2 * m :]
+            out = {c: np.repeat(np.array([x]), (draws + 1) * m) for c, x in zip(by, g, strict=True)}
+            out |= {"draw": np.repeat(np.arange(draws + 1, dtype=np.int32), m), "t1": np.tile(np.array(names, object)[first], draws + 1), "t2": np.tile(np.array(names, object)[second], draws + 1), "n": total[:, :m].ravel(), "sxy": total[:, m : 2 * m].ravel(), "sx": sx.ravel()}
+            yield pd.DataFrame(out)
+
+    parts = rows.mapInPandas(run, schema)
+    return parts.groupBy(*by, "draw", "t1", "t2").agg(F.sum("n").alias("n"), F.sum("sxy").alias("sxy"), F.sum(F.nanvl("sx", F.lit(0.0))).alias("sx"))
+
+
+def bootstrap_spectra(values: DataFrame, draws: int = 2000, seed: int = 0, by: tuple[str, ...] = ("year",), key: str = "user_id", alpha: float = 0.05) -> DataFrame:
+    """Row bootstrap: every user gets a Poisson(1) weight in each draw, hashed from seed, period, draw and user, so no rows
+    are gathered or resampled; draws are averaged over ``by`` and summarised by quantiles."""
+    names = sorted(r.topic for r in values.select("topic").where("topic is not null").distinct().limit(MAX_TOPICS + 1).collect())
+    if len(names) > MAX_TOPICS:
+        raise ValueError(f"more than {MAX_TOPICS} topics make too large a matrix for {draws} draws")
+    at, k = {t: i for i, t in enumerate(names)}, len(names)
+    schema = T.StructType([*[values.schema[c] for c in by], T.StructField("draw", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("pr", "erank", "srank")]])
 
     def finish(f: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(f["t1"]) | set(f["t2"]))
-        n, s = matrix(f, "n", names), matrix(f, "sxy", names)
-        own = f[f["t1"] == f["t2"]].set_index("t1")
-        means = np.array([own.loc[t, "sx"] / own.loc[t, "n"] for t in names])
-        return pd.DataFrame([{k: f[k].iloc[0] for k in by} | {"draw": int(f["draw"].iloc[0])} | stats.spectrum(stats.available_covariance(s, n, means))])
-
-    per = sums.groupBy(*by, "draw").applyInPandas(finish, ", ".join([*(f"{k} {kinds[k]}" for k in by), "draw int", SPECTRUM]))
+        """All draws of a period: (draws + 1) K x K matrices."""
+        a, b, d = f["t1"].map(at).to_numpy(), f["t2"].map(at).to_numpy(), f["draw"].to_numpy()
+        n, s, mean = np.zeros((draws + 1, k, k)), np.zeros((draws + 1, k, k)), np.zeros((draws + 1, k))
+        n[d, a, b] = n[d, b, a] = f["n"]
+        s[d, a, b] = s[d, b, a] = f["sxy"]
+        own = a == b
+        mean[d[own], a[own]] = f["sx"].to_numpy()[own] / np.maximum(f["n"].to_numpy()[own], 1)
+        used = (n > 0).any(0).any(0)  # topics of this period
+        cov = np.where(n > 1, (s - n * mean[:, :, None] * mean[:, None]) / np.maximum(n - 1, 1), 0.0)[:, used][:, :, used]
+        out = [stats.rank_numbers(e) for e in np.linalg.eigvalsh(cov)]
+        return pd.DataFrame([{c: f[c].iloc[0] for c in by} | {"draw": i} | o for i, o in enumerate(out)])
+
+    sums = bootstrap_sums(values, names, draws, seed, by, key)
+    per = (sums.groupBy(*by) if by else sums.withColumn("_g", F.lit(0)).groupBy("_g")).applyInPandas(finish, schema)
     mean = per.groupBy("draw").agg(*[F.avg(m).alias(m) for m in ("pr", "erank", "srank")])
-    point = F.when(F.col("draw") == 0, F.lit(True)).otherwise(F.lit(False))
+    point = F.col("draw") == 0
     out = []
     for m in ("pr", "erank", "srank"):
         reps = F.when(~point, F.col(m))

@@ -26,6 +26,55 @@ def first_keyword(posts: DataFrame, text: str, keywords: Sequence[tuple[int, str
     return posts.withColumn("keyword_id", F.array_min(found)["id"]).where(F.col("keyword_id").isNotNull())
 
 
+def search_keywords(posts: DataFrame, text: str, keywords: Sequence[tuple[int, str]], key: str = "post_id") -> DataFrame:
+    """(key, keyword_id): the keyword whose occurrence ends first in each text, the longest of those; texts without any are
+    left out.
+
+    One automaton holds all keywords, however many; it is built once in each task."""
+    import ahocorasick
+    import pyarrow as pa
+
+    kind = dict(posts.dtypes)[key]
+    shared = posts.sparkSession.sparkContext.broadcast([(int(i), k) for i, k in keywords if k])
+
+    def run(batches):
+        auto = ahocorasick.Automaton()
+        for i, k in sorted(shared.value, reverse=True):  # the least id of equal keywords is added last and stays
+            auto.add_word(k, (-len(k), i))
+        if len(auto):
+            auto.make_automaton()
+        for b in batches:
+            rows, ids = [], []
+            for r, t in enumerate(b.column(1).to_pylist()):
+                first = None
+                for end, hit in auto.iter(t) if t and len(auto) else ():
+                    if first is None:
+                        first = (end, hit)
+                    elif end > first[0]:
+                        break
+                    else:
+                        first = min(first, (end, hit))
+                if first:
+                    rows.append(r)
+                    ids.append(first[1][1])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, pa.int32())], [key, "keyword_id"])
+
+    return posts.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, keyword_id int")
+
+
+def topic_matches(posts: DataFrame, text: str, keywords: dict[str, Sequence[str]]) -> DataFrame:
+    """Posts with ``topic``: one row for each topic one of whose keywords the text holds."""
+    import re
+
+    hits = F.array(*[F.when(F.col(text).rlike("|".join(re.escape(w) for w in words)), F.lit(t)) for t, words in keywords.items() if words])
+    return posts.withColumn("topic", F.explode(F.filter(hits, lambda t: t.isNotNull())))
+
+
+def pooled_counts(counts: DataFrame) -> DataFrame:
+    """Word counts summed over the topics or periods they come from, the most frequent first."""
+    return counts.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word")
+
+
 def word_counts(posts: DataFrame, text: str, topic: str, pattern: str = "[a-z]+", stop: Sequence[str] = ()) -> DataFrame:
     """(topic, word, count); words explode and combine in the map tasks before the shuffle."""
     words = posts.select(F.col(topic).alias("topic"), F.explode(tokens(F.col(text), pattern)).alias("word"))
@@ -41,13 +90,21 @@ def top_share(counts: DataFrame, share: float = 0.01) -> DataFrame:
     return ranked.where(F.col("_n") <= F.floor(F.col("_size") * F.lit(share))).drop("_n", "_size")
 
 
+#: The counts after the cut fit a broadcast up to this number of topics.
+MAX_TOPICS = 10_000
+
+
 def tfidf(counts: DataFrame) -> DataFrame:
     """tf, df, idf = ln((T + 1) / (df + 1)) and their product; totals and document frequencies are those of ``counts``,
     that is, after any cut."""
+    from opinara.session import cut_lineage
+
+    # The counts are stored once: totals, document frequencies and the rows themselves read the small table, not the texts.
+    counts = cut_lineage(counts, "counts")
     total = counts.groupBy("topic").agg(F.sum("count").alias("_total"))
-    df = counts.groupBy("word").agg(F.count_distinct("topic").alias("df"))
-    n = counts.agg(F.count_distinct("topic").alias("_topics"))
-    joined = counts.join(total, "topic").join(df, "word").join(F.broadcast(n))  # one row
+    topics = total.count()
+    df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # one row for each word and topic
+    joined = counts.join(F.broadcast(total) if topics <= MAX_TOPICS else total, "topic").join(df, "word").withColumn("_topics", F.lit(topics).cast("long"))
     tf, idf = F.col("count") / F.col("_total"), F.log((F.col("_topics") + 1) / (F.col("df") + 1))
     return joined.select("topic", "word", "count", tf.alias("tf"), "df", idf.alias("idf"), (tf * idf).alias("tfidf"))
 

@@ -328,26 +328,21 @@ def loading_report(spark, sf):
 
 @query("bootstrap_spectra")
 def bootstrap_spectra(spark, sf):
-    return spectral.bootstrap_spectra(values(spark, sf), 20)
+    return spectral.bootstrap_spectra(values(spark, sf), 2000)
 
 
 @query("listwise_covariance", f"WITH {PANEL}, w AS (SELECT user_id, max(CASE WHEN topic = '1-URGENT' THEN m END) AS a, max(CASE WHEN topic = '2-HIGH' THEN m END) AS b, max(CASE WHEN topic = '3-MEDIUM' THEN m END) AS c FROM (SELECT user_id, topic, sum(total)/sum(cnt) AS m FROM panel GROUP BY ALL) GROUP BY user_id), k AS (SELECT * FROM w WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL) SELECT t1, t2, round(v, 6) + 0.0 AS cov FROM (SELECT unnest(['1-URGENT','1-URGENT','1-URGENT','2-HIGH','2-HIGH','3-MEDIUM']) AS t1, unnest(['1-URGENT','2-HIGH','3-MEDIUM','2-HIGH','3-MEDIUM','3-MEDIUM']) AS t2, unnest([covar_samp(a,a), covar_samp(a,b), covar_samp(a,c), covar_samp(b,b), covar_samp(b,c), covar_samp(c,c)]) AS v FROM k)")
 def listwise_covariance(spark, sf):
-    cols = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+    cols = ["1-URGENT", "2-HIGH", "3-MEDIUM"]  # the three topics that are compared
     wide = panel.wide_matrix(panel.pooled_average(the_panel(spark, sf)), cols, ("user_id",), "average")
     return rounded(spectral.listwise_covariance(wide, cols), "cov")
 
 
-@query("missing_corrected_distance", f"WITH {PANEL}, v AS (SELECT user_id, topic, sum(total)/sum(cnt) AS x FROM panel WHERE user_id % 50 = 1 GROUP BY ALL) SELECT a.user_id AS a, b.user_id AS b, count(*) AS common, {q6('sqrt(sum((a.x-b.x)**2)*5.0/count(*))')} AS distance FROM v a JOIN v b ON a.topic = b.topic AND a.user_id < b.user_id GROUP BY ALL HAVING count(*) >= 2")
+@query("missing_corrected_distance", f"WITH {PANEL}, v AS (SELECT user_id, topic, sum(total)/sum(cnt) AS x FROM panel GROUP BY ALL) SELECT a.user_id AS a, b.user_id AS b, count(*) AS common, {q6('sqrt(sum((a.x-b.x)**2)*5.0/count(*))')} AS distance FROM v a JOIN v b ON a.topic = b.topic AND a.user_id <> b.user_id WHERE a.user_id % 20 = 0 GROUP BY ALL HAVING count(*) >= 2")
 def missing_corrected_distance(spark, sf):
-    v = panel.pooled_average(the_panel(spark, sf)).where("user_id % 50 = 1").select("user_id", "topic", F.col("average").alias("value"))
-    return rounded(semantic.missing_corrected_distance(v, n_topics=5), "distance")
-
-
-@query("missing_corrected_distance_all")
-def missing_corrected_distance_all(spark, sf):
-    """All pairs of users; the SQL of ``missing_corrected_distance`` fixes that one to a few users."""
-    return rounded(semantic.missing_corrected_distance(_user_values(spark, sf), n_topics=5), "distance")
+    """Users with an id divisible by 20 against all users."""
+    v = _user_values(spark, sf)
+    return rounded(semantic.query_distances(v, v.where("user_id % 20 = 0"), [(list(ad.ORDER_TOPICS), 5.0)]), "distance")
 
 
 @query("simulation_grid")
@@ -355,10 +350,13 @@ def simulation_grid(spark, sf):
     return simulation.missingness_grid(spark, 20, (1_000, 10_000, 100_000, 1_000_000), (0.70, 0.75, 0.80, 0.85, 0.90, 0.95), tuple(range(1, 11)), 5)
 
 
-@query("noisy_reliability")
+_NOISE = f"WITH {PANEL}, v AS (SELECT user_id, topic, sum(total)/sum(cnt) AS x FROM panel GROUP BY ALL), s AS (SELECT topic, var_samp(x) AS v FROM v GROUP BY topic), d AS (SELECT unnest(range(1, 101)) AS draw), u AS (SELECT draw, v.topic, x, s.v, (CAST('0x' || substr(md5('1:' || draw || ':' || v.topic || ':' || user_id), 1, 10) AS BIGINT) + 0.5)/1099511627776.0 AS u1, (CAST('0x' || substr(md5('2:' || draw || ':' || v.topic || ':' || user_id), 1, 10) AS BIGINT) + 0.5)/1099511627776.0 AS u2 FROM v JOIN s ON v.topic = s.topic, d), n AS (SELECT draw, topic, x + sqrt(v*(1-0.7::DOUBLE)/0.7::DOUBLE)*sqrt(-2*ln(u1))*cos(2*pi()*u2) AS x FROM u) SELECT CAST(draw AS INT) AS draw, topic, {q6('var_samp(x)')} AS variance FROM n GROUP BY ALL"
+
+
+@query("noisy_reliability", _NOISE)
 def noisy_reliability(spark, sf):
     v = panel.pooled_average(the_panel(spark, sf)).select("user_id", "topic", F.col("average").alias("value"))
-    return simulation.noisy_reliability(v, 0.7, 3).groupBy("draw", "topic").agg(F.var_samp("value").alias("variance"))
+    return rounded(simulation.noisy_reliability(v, 0.7, 100).groupBy("draw", "topic").agg(F.var_samp("value").alias("variance")), "variance")
 
 
 # --- labels -----------------------------------------------------------------------------------------------------------
@@ -562,16 +560,10 @@ def embedding_coverage(spark, sf):
     return semantic.coverage(v.select("word", "topic"), v.where("word % 4 <> 0").select("word", "vector"))
 
 
-@query("cosine_pairs_all")
-def cosine_pairs_all(spark, sf):
-    """Rows with the centroids of all topics; the SQL of ``cosine_pairs`` fixes that one to two topics."""
-    q = _centroids(spark, sf).select(F.col("topic").alias("query"), F.col("centroid").alias("qvector"))
-    return rounded(semantic.cosine_pairs(ad.keyword_vectors(spark, sf), q).drop("dot"), "similarity")
-
-
-@query("cosine_pairs", f"WITH {_CENT} SELECT e.vec_id AS word, c.topic AS query, round(list_cosine_similarity(e.embedding::DOUBLE[], c.c), 6) + 0.0 AS similarity FROM embeddings e, c WHERE c.topic < 2")
+@query("cosine_pairs", f"WITH {_CENT} SELECT e.vec_id AS word, c.topic AS query, round(list_cosine_similarity(e.embedding::DOUBLE[], c.c), 6) + 0.0 AS similarity FROM embeddings e, c")
 def cosine_pairs(spark, sf):
-    q = _centroids(spark, sf).where("topic < 2").select(F.col("topic").alias("query"), F.col("centroid").alias("qvector"))
+    """Every row with every topic's centroid: the centroids are the stated query set."""
+    q = _centroids(spark, sf).select(F.col("topic").alias("query"), F.col("centroid").alias("qvector"))
     return rounded(semantic.cosine_pairs(ad.keyword_vectors(spark, sf), q).drop("dot"), "similarity")
 
 
@@ -588,7 +580,7 @@ def knn_two_nearest(spark, sf):
     return _neighbours(spark, sf).select("word", "neighbour", (F.round("distance", 5) + 0.0).alias("distance"), "rank")
 
 
-@query("twonn_dimension", f"WITH {_KNN}, m AS (SELECT word, max(distance) FILTER (rank = 2)/max(distance) FILTER (rank = 1) AS mu FROM k GROUP BY word HAVING max(distance) FILTER (rank = 1) > 0), r AS (SELECT mu, row_number() OVER (ORDER BY mu, word) AS i, count(*) OVER () AS n FROM m) SELECT count(*) AS points, round(sum(ln(mu)*-ln(1-i/n*(1-1e-12)))/sum(ln(mu)**2), 4) + 0.0 AS dimension FROM r WHERE i <= CAST(floor(n*0.98) AS INT)")
+@query("twonn_dimension", f"WITH {_KNN}, m AS (SELECT word, max(distance) FILTER (rank = 1) AS r1, max(distance) FILTER (rank = 2) AS r2 FROM k WHERE distance > 0 GROUP BY word HAVING r1 IS NOT NULL AND r2 IS NOT NULL), q2 AS (SELECT quantile_cont(r1, 0.02) AS q, count(*) AS n FROM m), r AS (SELECT ln(r2/r1) AS x, row_number() OVER (ORDER BY ln(r2/r1), word) AS i, count(*) OVER () AS k FROM m, q2 WHERE r1 > q) SELECT count(*) AS points, CASE WHEN (SELECT n FROM q2) >= 30 THEN round(sum(x*-ln(1-least(greatest(i/k, 1e-9), 1-1e-9)))/sum(x*x), 4) + 0.0 END AS dimension FROM r")
 def twonn_dimension(spark, sf):
     return semantic.twonn_dimension(_neighbours(spark, sf)).select("points", (F.round("dimension", 4) + 0.0).alias("dimension"))
 
@@ -636,7 +628,7 @@ def common_support(spark, sf):
 
 @query("gap_decomposition")
 def gap_decomposition(spark, sf):
-    return adjustment.decomposition(society_pairs(spark, sf), "1996", draws=50)
+    return adjustment.decomposition(society_pairs(spark, sf), "1996", draws=2000)
 
 
 @query("loess_curve")
@@ -646,7 +638,7 @@ def loess_curve(spark, sf):
 
 @query("loess_band")
 def loess_band(spark, sf):
-    return adjustment.loess_band(society_pairs(spark, sf), draws=20)
+    return adjustment.loess_band(society_pairs(spark, sf), points=100, draws=200)
 
 
 @query("shapley_r2")
@@ -753,15 +745,19 @@ def _type_values(spark, sf):
 def random_topic_sets(spark, sf):
     table = correlation.pairwise(correlation.topic_pairs(_type_values(spark, sf), ("user_id",)))
     rows = table.select(F.lit("all").alias("society"), "t1", "t2", F.round(F.abs("r"), 9).alias("y"))
-    topics = [r.p_type for r in ad.table(spark, sf, "part").select("p_type").distinct().limit(17).collect()]
+    topics = sorted(r.p_type for r in semantic.checked_topics(ad.table(spark, sf, "part").select("p_type").where("p_type is not null").distinct()).collect())
     m = subsets.subset_means(rows, topics, 3)
     return rounded(m.agg(F.count(F.lit(1)).alias("sets"), F.min("mean").alias("min_mean"), F.percentile("mean", F.lit(0.5)).alias("median_mean"), F.max("mean").alias("max_mean")), "min_mean", "median_mean", "max_mean")
 
 
-@query("levina_bickel_dimension")
+_KNN30 = _KNN.replace("rank <= 2", "rank <= 30")
+
+
+@query("levina_bickel_dimension", f"WITH {_KNN30}, l AS (SELECT word, row_number() OVER (PARTITION BY word ORDER BY distance, rank) AS k, ln(distance) AS l FROM k WHERE distance > 0), b AS (SELECT *, sum(l) OVER (PARTITION BY word ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below, count(*) OVER (PARTITION BY word) AS n FROM l), p AS (SELECT word, avg((k-2)/((k-1)*l-below)) FILTER (k >= 10 AND (k-1)*l > below) AS d FROM b WHERE n >= 30 GROUP BY word) SELECT count(*) AS points, round(avg(d), 4) + 0.0 AS dimension, round(avg(d) - 1.96*stddev_samp(d)/sqrt(count(*)), 4) + 0.0 AS lo, round(avg(d) + 1.96*stddev_samp(d)/sqrt(count(*)), 4) + 0.0 AS hi FROM p WHERE d IS NOT NULL")
 def levina_bickel_dimension(spark, sf):
     v = ad.keyword_vectors(spark, sf)
-    return rounded(dimension.levina_bickel(semantic.nearest(v, v.where("word % 20 = 0"), 30, 20_000), 10, 30), "dimension")
+    found = dimension.levina_bickel(semantic.nearest(v, v.where("word % 20 = 0"), 30, 20_000), 10, 30)
+    return found.select("points", *[(F.round(c, 4) + 0.0).alias(c) for c in ("dimension", "lo", "hi")])
 
 
 def _user_values(spark, sf):
@@ -770,7 +766,9 @@ def _user_values(spark, sf):
 
 @query("bagged_distances")
 def bagged_distances(spark, sf):
-    return rounded(dimension.bagged_distances(_user_values(spark, sf), list(ad.ORDER_TOPICS)), "distance")
+    """Users with an id divisible by 20 against all users."""
+    v = _user_values(spark, sf)
+    return rounded(semantic.query_distances(v, v.where("user_id % 20 = 0"), dimension.topic_bags(list(ad.ORDER_TOPICS))).drop("common"), "distance")
 
 
 @query("spectral_coordinates")
@@ -780,7 +778,7 @@ def spectral_coordinates(spark, sf):
 
 @query("dimension_estimate")
 def dimension_estimate(spark, sf):
-    return rounded(dimension.estimate(_user_values(spark, sf)), "dimension")
+    return rounded(dimension.estimate(_user_values(spark, sf), None), "pr", "erank", "srank")
 
 
 @query("density_curves")
@@ -794,3 +792,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from opinara.plans import more as _more  # noqa: E402, F401  (adds its queries to the two tables)

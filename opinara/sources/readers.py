@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import io
+import pickle
+import re
 import tarfile
+import zipfile
 from collections.abc import Iterator, Sequence
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -139,6 +143,99 @@ def read_matrix(spark: SparkSession, path: str, names: Sequence[str]) -> DataFra
     return files.select("path", "content").mapInPandas(decode, "file string, row_id long, topic string, value double")
 
 
+def schema_names(spark: SparkSession, path: str) -> list[str]:
+    """Column names from a file's footer, without reading rows."""
+    return spark.read.parquet(path).columns
+
+
+def read_pickles(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pickled pandas frames, one file a task.  Unpickling runs code: for files of one's own only."""
+    files = whole_files(spark, path)
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for raw in f["content"]:
+                one = pickle.loads(raw)  # noqa: S301
+                yield one[list(columns)] if columns else one
+
+    return files.select("content").mapInPandas(decode, schema)
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(raw: bytes, sheet: str) -> list[list[str | None]]:
+    """The cells of a workbook's sheet as text."""
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    names = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
+    if sheet not in names:
+        raise ValueError(f"no sheet {sheet!r}: the workbook has {names}")
+    shared = [] if "xl/sharedStrings.xml" not in book.namelist() else ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+    out: list[list[str | None]] = []
+    for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{names.index(sheet) + 1}.xml")).iter(f"{_SHEET}row"):
+        cells: dict[int, str | None] = {}
+        for c in row.iter(f"{_SHEET}c"):
+            column = 0
+            for letter in re.match(r"[A-Z]+", c.get("r", "A")).group():
+                column = column * 26 + ord(letter) - 64
+            v = c.find(f"{_SHEET}v")
+            text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else None if v is None else v.text
+            cells[column - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
+        out.append([cells.get(k) for k in range(max(cells, default=-1) + 1)])
+    return out
+
+
+def read_excel(spark: SparkSession, path: str, sheet: str, names: Sequence[str]) -> DataFrame:
+    """A sheet of workbooks as text columns, the header row left out and columns found by their header; one file a task."""
+    files = whole_files(spark, path)
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for raw in f["content"]:
+                rows = sheet_rows(raw, sheet)
+                at = [rows[0].index(n) for n in names] if rows else []
+                yield pd.DataFrame([[r[k] if k < len(r) else None for k in at] for r in rows[1:]], columns=list(names), dtype=object)
+
+    return files.select("content").mapInPandas(decode, ", ".join(f"`{n}` string" for n in names))
+
+
+def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(word, vector) of a word2vec text file: a line for each word; the line with the numbers of words and dimensions is
+    left out.  Read in splits."""
+    parts = F.split(F.rtrim(F.col("value")), " ")
+    rows = spark.read.text(path).select(F.get(parts, F.lit(0)).alias("word"), F.slice(parts, 2, F.size(parts)).alias("rest")).where(F.size("rest") > 1)
+    return rows.select("word", F.transform("rest", lambda v: v.cast("float")).alias("vector"))
+
+
+def read_word_vectors_binary(spark: SparkSession, path: str) -> DataFrame:
+    """(word, vector) of word2vec binary files, one file a task."""
+    files = whole_files(spark, path)
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for raw in f["content"]:
+                head, _, body = bytes(raw).partition(b"\n")
+                n, size = map(int, head.split())
+                at, words, vectors = 0, [], []
+                for _ in range(n):
+                    end = body.index(b" ", at)
+                    words.append(body[at:end].decode("utf-8", "replace").lstrip("\n"))
+                    vectors.append(np.frombuffer(body, "<f4", size, end + 1))
+                    at = end + 1 + 4 * size
+                    if len(words) == 4096:
+                        yield pd.DataFrame({"word": words, "vector": vectors})
+                        words, vectors = [], []
+                if words:
+                    yield pd.DataFrame({"word": words, "vector": vectors})
+
+    return files.select("content").mapInPandas(decode, "word string, vector array<float>")
+
+
+def first_without(spark: SparkSession, paths: Sequence[str], column: str) -> str | None:
+    """The first path, in the order of names, whose schema lacks a column: how far a job that adds it has come."""
+    return next((p for p in sorted(paths) if column not in schema_names(spark, p)), None)
+
+
 def read_last_metrics(lines: DataFrame, key: str = "file") -> DataFrame:
     """(file, name, value) of the last ``name: number`` line of each name in log lines (file, line_no, value)."""
     name, number = F.regexp_extract("value", r"^\s*([A-Za-z_]+):\s*(-?[0-9.eE+\-]+|nan)\s*$", 1), F.regexp_extract("value", r"^\s*([A-Za-z_]+):\s*(-?[0-9.eE+\-]+|nan)\s*$", 2)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Sequence
 from datetime import date
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.sources.readers import exists
@@ -30,8 +35,13 @@ def write_once(df: DataFrame, path: str, force: bool = False) -> bool:
 
 
 def write_bounded(df: DataFrame, path: str, year: str = "year", rows: int = FILE_ROWS) -> None:
-    """Files of at most ``rows`` rows, none across years; an existing target is refused."""
-    df.repartition(year).sortWithinPartitions(year).write.option("maxRecordsPerFile", rows).mode("errorifexists").partitionBy(year).parquet(path)
+    """Files of at most ``rows`` rows, none across years; an existing target is refused.
+
+    A year's rows go to as many tasks as it has full files, so that no task writes a whole large year."""
+    sizes = df.groupBy(F.col(year).alias("_y")).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
+    salted = df.join(F.broadcast(sizes), F.col(year).eqNullSafe(F.col("_y")), "left")  # one row a year
+    dealt = salted.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.coalesce("_parts", F.lit(1)))).repartition(year, "_part").drop("_y", "_parts", "_part")
+    dealt.sortWithinPartitions(year).write.option("maxRecordsPerFile", rows).mode("errorifexists").partitionBy(year).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -70,3 +80,112 @@ def update_predictions(rows: DataFrame, predictions: DataFrame, column: str, key
     new = predictions.select(key, F.col(column).alias("_new"))
     old = F.col(column) if column in rows.columns else F.lit(None)
     return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", old)).drop("_new")
+
+
+#: Rows that a file of one piece (Excel, Stata, matrix) may have: it is made on the driver.
+ONE_FILE_ROWS = 1_000_000
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> None:
+    """A file of given bytes, through the file system that its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, overwrite)
+    try:
+        for k in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[k : k + (1 << 20)]))
+    finally:
+        out.close()
+
+
+def one_file(df: DataFrame) -> pd.DataFrame:
+    """``df`` on the driver; ValueError if it has more than ``ONE_FILE_ROWS`` rows."""
+    if df.limit(ONE_FILE_ROWS + 1).count() > ONE_FILE_ROWS:
+        raise ValueError(f"more than {ONE_FILE_ROWS} rows can't go into one file: write Parquet")
+    return df.toPandas()
+
+
+def write_stata(df: DataFrame, path: str) -> None:
+    raw = io.BytesIO()
+    one_file(df).to_stata(raw, write_index=False, version=118)
+    write_bytes(df.sparkSession, path, raw.getvalue())
+
+
+def write_pickle(df: DataFrame, path: str) -> None:
+    raw = io.BytesIO()
+    one_file(df).to_pickle(raw)
+    write_bytes(df.sparkSession, path, raw.getvalue())
+
+
+def write_excel(sheets: dict[str, DataFrame], path: str) -> None:
+    """A workbook of one sheet for each table, cells as inline text or numbers."""
+    spark = next(iter(sheets.values())).sparkSession
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kinds = "http://schemas.openxmlformats.org/package/2006"
+
+    def letter(k: int) -> str:
+        return (letter(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
+
+    def cell(r: int, k: int, v) -> str:
+        if v is None or v != v:
+            return ""
+        if isinstance(v, int | float | np.integer | np.floating) and not isinstance(v, bool):
+            return f'<c r="{letter(k)}{r}"><v>{v}</v></c>'
+        return f'<c r="{letter(k)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        numbers = range(1, len(sheets) + 1)
+        z.writestr("[Content_Types].xml", head + f'<Types xmlns="{kinds}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in numbers) + "</Types>")
+        z.writestr("_rels/.rels", head + f'<Relationships xmlns="{kinds}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", head + f'<Relationships xmlns="{kinds}/relationships">' + "".join(f'<Relationship Id="r{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in numbers) + "</Relationships>")
+        z.writestr("xl/workbook.xml", head + f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{k}" r:id="r{k}"/>' for k, n in zip(numbers, sheets, strict=True)) + "</sheets></workbook>")
+        for k, df in zip(numbers, sheets.values(), strict=True):
+            frame = one_file(df)
+            rows = [list(frame.columns), *frame.itertuples(index=False, name=None)]
+            z.writestr(f"xl/worksheets/sheet{k}.xml", head + f'<worksheet xmlns="{main}"><sheetData>' + "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(values)) + "</row>" for r, values in enumerate(rows, 1)) + "</sheetData></worksheet>")
+    write_bytes(spark, path, raw.getvalue())
+
+
+def write_matrix(values: DataFrame, path: str, topics: Sequence[str], key: str = "user_id") -> None:
+    """A period's opinions (key, topic, value) as compressed sparse rows in one .npz file, rows by key, columns by topic."""
+    rows = one_file(values.where(F.col("value").isNotNull()).select(key, "topic", "value"))
+    at = {t: k for k, t in enumerate(topics)}
+    rows["c"] = rows["topic"].map(at)
+    rows = rows.dropna(subset=["c"]).sort_values([key, "c"])
+    ids, first = np.unique(rows[key].to_numpy(), return_index=True)
+    raw = io.BytesIO()
+    np.savez_compressed(raw, data=rows["value"].to_numpy(float), indices=rows["c"].to_numpy(np.int32), indptr=np.append(first, len(rows)).astype(np.int64), shape=np.array([len(ids), len(at)]), ids=ids)
+    write_bytes(values.sparkSession, path, raw.getvalue())
+
+
+def write_word_vectors(vectors: DataFrame, path: str, binary: bool = False) -> None:
+    """A word2vec file of (word, vector), words in order."""
+    rows = one_file(vectors.orderBy("word"))
+    x = np.array(rows["vector"].tolist(), "<f4")
+    head = f"{x.shape[0]} {x.shape[1] if len(x) else 0}\n".encode()
+    if binary:
+        body = b"".join(str(w).encode() + b" " + v.tobytes() for w, v in zip(rows["word"], x, strict=True))
+    else:
+        body = "".join(f"{w} " + " ".join(repr(float(a)) for a in v) + "\n" for w, v in zip(rows["word"], x, strict=True)).encode()
+    write_bytes(vectors.sparkSession, path, head + body)
+
+
+def write_days(df: DataFrame, path: str, day: str, key: str, order: str) -> None:
+    """One folder a day, each key once (its first row in ``order``); days that come again replace what was there, others
+    stay."""
+    first = df.groupBy(day, key).agg(F.min(F.struct(order, *[c for c in df.columns if c not in (day, key, order)])).alias("_r")).select(day, key, "_r.*")
+    first.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Rows added to a CSV table."""
+    df.write.mode("append").option("header", "true").csv(path)
+
+
+def slim_predictions(rows: DataFrame, columns: Sequence[str], key: str = "post_id") -> DataFrame:
+    """The key and the prediction columns of rows that have any prediction."""
+    any_ = F.lit(False)
+    for c in columns:
+        any_ = any_ | F.col(c).isNotNull()
+    return rows.where(any_).select(key, *columns)

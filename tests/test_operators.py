@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinara.operators import adjustment, correlation, dimension, labels, panel, semantic, simulation, spectral
+from opinara.operators import adjustment, correlation, dimension, labels, panel, ranks, semantic, simulation, spectral
 from opinara.plans import catalogue, report
 from opinara.sources import adapters as ad
 
@@ -70,7 +70,8 @@ def brute_distances(people, bags, least=2):
 
 def test_distances_of_all_pairs_in_blocks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(semantic, "PAIR_BLOCK", 40)
-    got = {(r.a, r.b): r.distance for r in catalogue.QUERIES["missing_corrected_distance_all"](spark, sf_dir).collect()}
+    values = catalogue._user_values(spark, sf_dir)
+    got = {(r.a, r.b): r.distance for r in semantic.missing_corrected_distance(values, n_topics=5).collect()}
     people: dict = {}
     for r in catalogue._user_values(spark, sf_dir).collect():
         people.setdefault(r.user_id, {})[r.topic] = r.value
@@ -80,9 +81,15 @@ def test_distances_of_all_pairs_in_blocks(spark, sf_dir, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     rng = np.random.default_rng(0)
     bags = [(sorted(rng.choice(topics, 4, replace=False)), 4.0) for _ in range(5)]
-    rows = catalogue.QUERIES["bagged_distances"](spark, sf_dir).collect()
+    rows = dimension.bagged_distances(values, topics).collect()
     got, want = {(r.a, r.b): r.distance for r in rows}, brute_distances(people, bags)
     assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    # The registered query: ids divisible by 20 against all.
+    rows = catalogue.QUERIES["bagged_distances"](spark, sf_dir).collect()
+    both = want | {(b, a): d for (a, b), d in want.items()}
+    wanted = {k: d for k, d in both.items() if k[0] % 20 == 0}
+    got = {(r.a, r.b): r.distance for r in rows}
+    assert len(rows) == len(got) and got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 2e-6 for k in wanted)
 
 
 def test_neighbours_of_more_queries_than_a_block(spark):
@@ -96,7 +103,7 @@ def test_neighbours_of_more_queries_than_a_block(spark):
 
 
 def test_whole_jobs_of_the_vector_queries(spark, sf_dir, monkeypatch):
-    rows = catalogue.QUERIES["cosine_pairs_all"](spark, sf_dir).collect()
+    rows = catalogue.QUERIES["cosine_pairs"](spark, sf_dir).collect()
     vectors = {r.word: (r.topic, np.array(r.vector, float)) for r in ad.keyword_vectors(spark, sf_dir).collect()}
     topics = sorted({t for t, _ in vectors.values()})
     centre = {r.topic: np.array(r.centroid) for r in catalogue._centroids(spark, sf_dir).collect()}
@@ -107,7 +114,7 @@ def test_whole_jobs_of_the_vector_queries(spark, sf_dir, monkeypatch):
     pairs = {r.pair for r in catalogue.QUERIES["word_matching"](spark, sf_dir).select("pair").distinct().collect()}
     assert pairs == {f"{a}_{b}" for a in topics for b in topics if a < b}
     asked = []
-    monkeypatch.setattr(dimension, "levina_bickel", lambda n, *k: asked.append((n.agg({"rank": "max"}).first()[0], *k)) or n.selectExpr("1.0 dimension"))
+    monkeypatch.setattr(dimension, "levina_bickel", lambda n, *k: asked.append((n.agg({"rank": "max"}).first()[0], *k)) or n.selectExpr("1 points", "1.0 dimension", "1.0 lo", "1.0 hi"))
     catalogue.QUERIES["levina_bickel_dimension"](spark, sf_dir)
     assert asked == [(30, 10, 30)]
     monkeypatch.setattr(simulation, "missingness_grid", lambda spark, *grid: grid)
@@ -117,12 +124,101 @@ def test_whole_jobs_of_the_vector_queries(spark, sf_dir, monkeypatch):
 
 @pytest.mark.parametrize("pattern", ["random", "rows"])
 def test_simulated_matrix_in_parts(monkeypatch, pattern):
-    monkeypatch.setattr(simulation, "PART", 30)
-    parts = list(simulation.manifold_parts(6, 100, 2, 0.3, 1, pattern))
-    whole = np.concatenate(parts)
-    assert whole.shape == (100, 6) and len(parts) == 4
+    monkeypatch.setattr(simulation, "PART", 300)
+    parts = list(simulation.manifold_parts(6, 1000, 2, 0.3, 1, pattern))
+    whole = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    assert whole[0].shape == (1000, 6) and len(parts) == 4
     a, b = simulation.observed_spectrum(parts), simulation.observed_spectrum([whole])
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+    assert abs(a["observed_share"] - 0.7) < 0.04
+    x = simulation.manifold(6, 1000, 2, 0.3, 1, pattern)
+    assert np.array_equal(np.isnan(x), whole[1] == 0) and np.allclose(np.nan_to_num(x), whole[0])
+    # Complete points lie in a subspace of two dimensions.
+    full = x[~np.isnan(x).any(1)]
+    assert np.linalg.matrix_rank(full, tol=1e-4) == 2
+    with pytest.raises(ValueError):
+        next(simulation.manifold_parts(6, 10, 2, 0.3, 1, "no such"))
+
+
+def test_rows_and_columns_are_observed_in_proportion():
+    rng = np.random.default_rng(0)
+    active, asked = rng.exponential(size=5000), np.linspace(0.5, 1.5, 20)
+    for share in (0.05, 0.3, 0.9):
+        scale = simulation.observation_scale(active, asked, share)
+        assert abs(np.minimum(scale * np.outer(active, asked), 1).mean() - share) < 1e-6
+
+
+def test_bootstrap_weights_are_poisson_and_sums_are_weighted(spark):
+    keys = np.random.default_rng(0).integers(0, 1 << 63, 4000).astype(np.uint64)
+    w = spectral.replicate_weights(keys, np.arange(50))
+    assert (w[0] == 1).all() and abs(w[1:].mean() - 1) < 0.01 and abs(w[1:].var() - 1) < 0.02
+    assert abs(np.corrcoef(w[1], w[2])[0, 1]) < 0.06
+    v = spark.createDataFrame([(u, y, f"t{t}", float((u * 7 + t * 3 + y) % 5)) for u in range(40) for t in range(3) for y in (1, 2) if (u + t) % 4], "user_id long, year int, topic string, value double")
+    got = {(r.year, r.draw, r.t1, r.t2): (r.n, r.sxy) for r in spectral.bootstrap_sums(v, ["t0", "t1", "t2"], 3, 0, ("year",), "user_id").collect()}
+    rows = v.selectExpr("*", "xxhash64(0, year, user_id) h").collect()
+    for y in (1, 2):
+        for d in range(4):
+            own = {u: spectral.replicate_weights(np.array([h]), np.array([d]))[0, 0] for u, h in {(r.user_id, r.h) for r in rows if r.year == y}}
+            x = {(r.user_id, r.topic): r.value for r in rows if r.year == y}
+            n = sum(own[u] for u in own if (u, "t0") in x and (u, "t2") in x)
+            s = sum(own[u] * x[u, "t0"] * x[u, "t2"] for u in own if (u, "t0") in x and (u, "t2") in x)
+            assert np.allclose(got[y, d, "t0", "t2"], (n, s))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums_over_ranges(spark, parts):
+    rows = [("ab"[k % 2] if k % 5 else None, k * 37 % 101, k % 4) for k in range(100)]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    got = {(r.g, r.o): (r.upto, r.below) for r in ranks.running_sums(ranks.running_sums(df, ["g"], ["o"], "v", "upto"), ["g"], ["o"], "v", "below", False).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for g, o, v in rows:
+        upto = sum(x for h, p, x in rows if h == g and p <= o)
+        assert got[g, o] == (upto, upto - v)
+
+
+def test_no_window_over_all_rows_in_one_task(spark, sf_dir):
+    for name in ("spearman", "probability_auc", "stratified_sample", "twonn_dimension"):
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan or "_part" in plan or "Exchange SinglePartition" not in plan, name
+
+
+def test_coordinates_and_spaces(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 6))
+    v = spark.createDataFrame([(i, f"t{j}", float(x[i, j])) for i in range(400) for j in range(6) if rng.random() < 0.8], "user_id long, topic string, value double")
+    c = dimension.spectral_coordinates(v, 2).collect()
+    assert all(len(r.coordinates) == 2 for r in c)
+    assert dimension.chosen_rank(3.2, 4.6, 9) == 5 and dimension.chosen_rank(1.2, float("nan"), 9) == 2 and dimension.chosen_rank(9, 20.0, 6) == 6
+    r = dimension.estimate(v, "spectral").first()
+    assert abs(r.pr - 2) < 0.8 and abs(r.mle - 2) < 1 and r.mle_lo < r.mle < r.mle_hi and 1 < r.two_nn < 4
+    raw = dimension.estimate(v, "raw", k1=5, k2=12).first()
+    assert raw.mle > 0 and dimension.estimate(v, None).first().mle is None
+    with pytest.raises(ValueError):
+        dimension.estimate(v, "no such")
+    assert dimension.auto_parameters(0.04, 9) == {"least": 1, "size": 9, "bags": 60}
+
+
+def test_level_summary_limits(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, f"a{k}", f"b{k}", 0.0, float(abs(rng.normal(m, 0.05)))) for s, m in (("x", 0.4), ("y", 0.2)) for k in range(36)]
+    got = {(r.what, r.society): r for r in adjustment.level_summary(spark.createDataFrame(rows, "society string, t1 string, t2 string, x double, y double"), "x").collect()}
+    assert all(r.lo <= r.value <= r.hi for r in got.values()) and abs(got["ratio", "y"].value - 2) < 0.4
+    own = [r[4] for r in rows if r[0] == "x"]
+    half = 1.96 * np.std(own) / 6
+    assert abs((got["mean", "x"].hi - got["mean", "x"].lo) / 2 - half) < 0.3 * half
+
+
+def test_tasks_and_command_line(capsys):
+    from opinara.__main__ import main
+    from opinara.plans import tasks
+
+    assert len(tasks.TASKS) == 11 and [r.code for r in tasks.task("main", ["GB", "US"]).regions] == ["US", "GB"]
+    for bad in (lambda: tasks.task("no such"), lambda: tasks.task("main", "US,XX")):
+        with pytest.raises(ValueError):
+            bad()
+    assert main(["list"]) == 0 and main(["sql", "pairwise_pearson"]) == 0 and main(["tasks"]) == 0
+    assert "pairwise_pearson" in capsys.readouterr().out
 
 
 def test_noise_lowers_reliability(spark):
@@ -140,5 +236,13 @@ def test_bounds_are_checked(spark, monkeypatch):
 
 
 def test_report(spark, sf_dir):
-    text = report.build_report(spark, sf_dir, report.PARTS[1:3])
+    parts = [p for p in report.PARTS if p.query in ("dispersion_ratio", "eta_squared")]
+    text = report.build_report(spark, sf_dir, parts)
     assert text.count("Part ") == 2 and "Calculation:" in text
+    assert {p.query for p in report.PARTS} <= set(catalogue.QUERIES)
+
+
+def test_sections(spark, sf_dir, tmp_path):
+    parts = [p for p in report.PARTS if p.query in ("dispersion_ratio", "common_support")]
+    assert report.write_sections(spark, sf_dir, str(tmp_path), parts) == [p.query for p in parts]
+    assert [df.count() for df in report.keep_sections(spark, str(tmp_path), ["common_support", "eta_squared"])] == [1]
