@@ -20,6 +20,10 @@ suffixes of a corpus is neither possible in one task nor needed:
 
 The texts are shuffled once; both joins with them read the same exchange.
 
+What is compared by bytes and what by hash: the suffix order and the previous factors of step 3 work on bytes.  Step 2 and
+the windows of hot anchors in steps 2 and 3 take equal 64-bit hashes of the covered text for equal text; a wrong removal
+needs two different covered texts of one hash.
+
 Edge cases: null is an empty text; texts shorter than ``LENGTH`` lose nothing; rows with a null ``doc_id`` (and the id
 2**63 - 1, which stands for it) come last; among rows of one ``doc_id`` with different texts the order is that of a hash
 of the text; of identical rows one is first and the others are later copies; an empty table gives an empty result.
