@@ -72,7 +72,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, data, offsets in tk.doc_chunks(batch.column(1), 2 * tk.CHUNK):
+            for lo, hi, data, offsets in tk.doc_chunks(batch.column(1), 4 * tk.CHUNK):
                 hashes, first = tk.token_hashes(data, offsets, tk.ALNUM)
                 n_words = np.diff(first)
                 base = first[:-1] + GAP * np.arange(1, hi - lo + 1)

@@ -52,7 +52,7 @@ HOT = 2048
 ANCHOR_BUCKET, SUFFIX_BUCKET = 4 << 20, 1 << 19
 NULL_ID = (1 << 63) - 1
 #: Runs of texts whose anchors are settled together before the shuffle.
-RUNS = 16
+RUNS = 32
 _POSITION = np.uint64((1 << 31) - 1)
 
 
@@ -321,7 +321,8 @@ def _slices(texts: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for row, stop, data, offsets in tk.doc_chunks(b.column(2)):
+            # Longer runs than elsewhere: each run makes one row for every bucket that it reaches.
+            for row, stop, data, offsets in tk.doc_chunks(b.column(2), 2 * tk.CHUNK):
                 part = b.slice(row, stop - row)
                 counts = part.column(3).value_lengths().to_numpy()
                 doc = np.repeat(np.arange(row, stop), counts)
