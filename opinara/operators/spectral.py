@@ -141,12 +141,18 @@ def bootstrap_sums(values: DataFrame, names: list[str], draws: int, seed: int, b
     return parts.groupBy(*by, "draw", "t1", "t2").agg(F.sum("n").alias("n"), F.sum("sxy").alias("sxy"), F.sum(F.nanvl("sx", F.lit(0.0))).alias("sx"))
 
 
+def topic_names(rows: DataFrame) -> list[str]:
+    """All topics in order; more than ``MAX_TOPICS`` raise ValueError, as they make too large a matrix."""
+    names = sorted(r.topic for r in rows.select("topic").where("topic is not null").distinct().limit(MAX_TOPICS + 1).collect())
+    if len(names) > MAX_TOPICS:
+        raise ValueError(f"more than {MAX_TOPICS} topics make too large a matrix")
+    return names
+
+
 def bootstrap_spectra(values: DataFrame, draws: int = 2000, seed: int = 0, by: tuple[str, ...] = ("year",), key: str = "user_id", alpha: float = 0.05) -> DataFrame:
     """Row bootstrap: every user gets a Poisson(1) weight in each draw, hashed from seed, period, draw and user, so no rows
     are gathered or resampled; draws are averaged over ``by`` and summarised by quantiles."""
-    names = sorted(r.topic for r in values.select("topic").where("topic is not null").distinct().limit(MAX_TOPICS + 1).collect())
-    if len(names) > MAX_TOPICS:
-        raise ValueError(f"more than {MAX_TOPICS} topics make too large a matrix for {draws} draws")
+    names = topic_names(values)
     at, k = {t: i for i, t in enumerate(names)}, len(names)
     schema = T.StructType([*[values.schema[c] for c in by], T.StructField("draw", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("pr", "erank", "srank")]])
 

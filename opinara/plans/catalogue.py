@@ -234,7 +234,7 @@ def shuffle_baseline(spark, sf):
 
 @query("shuffled_correlations")
 def shuffled_correlations(spark, sf):
-    return correlation.shuffled_correlations(the_pairs(spark, sf), 50)
+    return correlation.shuffled_correlations(the_pairs(spark, sf), 10_000)
 
 
 @query("pearson_p_values")
@@ -331,10 +331,11 @@ def bootstrap_spectra(spark, sf):
     return spectral.bootstrap_spectra(values(spark, sf), 2000)
 
 
-@query("listwise_covariance", f"WITH {PANEL}, w AS (SELECT user_id, max(CASE WHEN topic = '1-URGENT' THEN m END) AS a, max(CASE WHEN topic = '2-HIGH' THEN m END) AS b, max(CASE WHEN topic = '3-MEDIUM' THEN m END) AS c FROM (SELECT user_id, topic, sum(total)/sum(cnt) AS m FROM panel GROUP BY ALL) GROUP BY user_id), k AS (SELECT * FROM w WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL) SELECT t1, t2, round(v, 6) + 0.0 AS cov FROM (SELECT unnest(['1-URGENT','1-URGENT','1-URGENT','2-HIGH','2-HIGH','3-MEDIUM']) AS t1, unnest(['1-URGENT','2-HIGH','3-MEDIUM','2-HIGH','3-MEDIUM','3-MEDIUM']) AS t2, unnest([covar_samp(a,a), covar_samp(a,b), covar_samp(a,c), covar_samp(b,b), covar_samp(b,c), covar_samp(c,c)]) AS v FROM k)")
+@query("listwise_covariance", f"WITH {PANEL}, w AS (SELECT user_id, topic, sum(total)/sum(cnt) AS m FROM panel WHERE topic IS NOT NULL GROUP BY ALL), k AS (SELECT user_id FROM w WHERE m IS NOT NULL GROUP BY user_id HAVING count(*) = (SELECT count(DISTINCT topic) FROM w)) SELECT a.topic AS t1, b.topic AS t2, {q6('covar_samp(a.m, b.m)')} AS cov FROM w a JOIN w b USING (user_id) SEMI JOIN k USING (user_id) WHERE a.topic <= b.topic GROUP BY ALL")
 def listwise_covariance(spark, sf):
-    cols = ["1-URGENT", "2-HIGH", "3-MEDIUM"]  # the three topics that are compared
-    wide = panel.wide_matrix(panel.pooled_average(the_panel(spark, sf)), cols, ("user_id",), "average")
+    averages = panel.pooled_average(the_panel(spark, sf))
+    cols = spectral.topic_names(averages)
+    wide = panel.wide_matrix(averages, cols, ("user_id",), "average")
     return rounded(spectral.listwise_covariance(wide, cols), "cov")
 
 
