@@ -96,17 +96,22 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
 
 
 def oracle_sql(seed: int = 17, temperature: float = TEMPERATURE, docs: str = "documents", columns: str = "doc_id, text, lang, source, n_chars") -> str:
-    """DuckDB SQL for ``mix_sources(documents)`` with the default weights."""
+    """DuckDB SQL for ``mix_sources(documents)`` with the default weights, for means of any size."""
+    hashed = lambda key: f"CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) / 4503599627370496.0"
+    own = "coalesce(u.doc_id::VARCHAR, 'null')"
+    later = hashed(f"'{seed}:part' || j || ':' || {own}")
     return f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {temperature}) AS w FROM {docs} GROUP BY source),
-rates AS (SELECT source, w * ((SELECT sum(n)::DOUBLE FROM counts) / (SELECT sum(w) FROM counts)) / n AS rate FROM counts),
+means AS (SELECT source, w * ((SELECT sum(n)::DOUBLE FROM counts) / (SELECT sum(w) FROM counts)) / n AS mean FROM counts),
+rates AS (SELECT source, greatest(ceil(mean / {MAX_RATE}), 1)::INT AS parts, mean / greatest(ceil(mean / {MAX_RATE}), 1) AS rate FROM means),
 cdf AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cum FROM rates
+  SELECT source, rate, parts, 0 AS k, exp(-rate) AS p, exp(-rate) AS cum FROM rates
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), cum + p * rate / (k + 1) FROM cdf
+  SELECT source, rate, parts, k + 1, p * rate / (k + 1), cum + p * rate / (k + 1) FROM cdf
   WHERE k < CAST(ceil(rate + 12 * sqrt(rate) + 20) AS INT)),
-dist AS (SELECT source, list(cum ORDER BY k) AS cdf FROM cdf GROUP BY source),
-u AS (SELECT {columns}, CAST('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM {docs}),
-n AS (SELECT {", ".join("u." + c for c in columns.split(", "))}, len(list_filter(cdf, lambda c: c <= u.u)) AS n FROM u JOIN dist ON u.source IS NOT DISTINCT FROM dist.source),
+dist AS (SELECT source, max(parts) AS parts, list(cum ORDER BY k) AS cdf FROM cdf GROUP BY source),
+u AS (SELECT {columns}, {hashed(f"'{seed}:' || {own}")} AS u FROM {docs} AS u),
+n AS (SELECT {", ".join("u." + c for c in columns.split(", "))}, len(list_filter(cdf, lambda c: c <= u.u))
+  + coalesce(list_sum(list_transform(range(2, parts + 1), lambda j: len(list_filter(cdf, lambda c: c <= {later})))), 0)::BIGINT AS n FROM u JOIN dist ON u.source IS NOT DISTINCT FROM dist.source),
 x AS (SELECT {columns}, CAST(unnest(range(1, n + 1)) AS INT) AS copy_no FROM n)
 SELECT *, CAST('0x' || substr(md5('mix{seed}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no), 1, 15) AS BIGINT) AS mix_key FROM x"""

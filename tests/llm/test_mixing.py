@@ -1,6 +1,8 @@
 import math
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from opinara.llm import mixing
 
@@ -66,6 +68,16 @@ def test_means_of_any_size(spark):
     assert 0.5 < sum((x - mean) ** 2 for x in c) / 99 / 1200 < 1.7
 
 
+def test_sql_draws_means_of_any_size(spark, tmp_path):
+    docs = spark.range(640_001).selectExpr("id doc_id", "'t' text", "if(id = 5, null, 'a') source")
+    docs.write.parquet(f"{tmp_path}/docs")
+    sql = mixing.oracle_sql(docs=f"'{tmp_path}/docs/*.parquet'", columns="doc_id, text, source")
+    want = duckdb.sql(f"SELECT source, count(*), sum(copy_no), sum(mix_key) FROM ({sql}) GROUP BY source ORDER BY source").fetchall()
+    got = mixing.mix_sources(docs).groupBy("source").agg(F.count("*"), F.sum("copy_no"), F.sum(F.col("mix_key").cast("decimal(38,0)"))).orderBy(F.col("source").asc_nulls_last()).collect()
+    assert [(r[0], *map(int, r[1:])) for r in got] == [(w[0], *map(int, w[1:])) for w in want]
+    assert got[1][0] is None and got[1][1] > mixing.MAX_RATE
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "t", "a", "x")], SCHEMA)
     plan = mixing.mix_sources(docs)._jdf.queryExecution().toString()
