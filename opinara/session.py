@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar, Token
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,33 +55,52 @@ def small_batches(spark: SparkSession, limit: int = ARROW_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
-#: Tables that ``cut_lineage`` wrote and nobody has dropped yet.
-_written: list[str] = []
+class Scratch:
+    """The stored tables of one piece of work; only their owner deletes them.
+
+    ``with Scratch(spark) as scratch`` also takes what ``cut_lineage`` writes inside the block, in this thread, unless an
+    inner block takes it.  Work in other threads, or before and after the block, keeps its tables."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+        self._outer: list[Token] = []
+
+    def __enter__(self) -> Scratch:
+        self._outer.append(_scope.set(self))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _scope.reset(self._outer.pop())
+
+    def store(self, df: DataFrame, name: str = "cut") -> DataFrame:
+        """``df``, written as Parquet to the shared folder and read back."""
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables; DataFrames that still read them are lost."""
+        for _, path in (x for x in self.tables if any(x[0] is t for t in tables)):
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.tables = [x for x in self.tables if not any(x[0] is t for t in tables)]
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Deletes all tables but these."""
+        self.drop(*(t for t, _ in self.tables if not any(t is k for k in keep)))
+
+
+_scope: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and returns the table read back.
 
     Unlike a local checkpoint the copy outlives any executor, and unlike ``checkpoint()`` it is columnar and
-    compressed, so that later passes read only the columns they need.
+    compressed, so that later passes read only the columns they need.  It belongs to the ``Scratch`` whose block this is
+    called in, if any.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written_tables() -> int:
-    """How many stored tables there are: a mark for ``drop_tables``."""
-    return len(_written)
-
-
-def drop_tables(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
-    """Deletes the tables that ``cut_lineage`` wrote after a mark (and before another); DataFrames that still read them
-    are lost."""
-    gone = _written[since:until]
-    del _written[since:until]
-    for path in gone:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return (_scope.get() or Scratch(df.sparkSession)).store(df, name)
