@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm import decontam, mixing, ngram_join, quality, substring_dedup
 from opinara.llm.joins import broadcast_if_few, packed, unpacked
-from opinara.session import cut_lineage, drop_tables, written_tables
+from opinara.session import Scratch, cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -89,9 +89,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents table; the table that the last stage reads stays in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    begin = written_tables()
+    docs, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        drop_tables(spark, begin, written_tables() - 1)
+        with Scratch(spark) as scratch:
+            before, docs = docs, scratch.store(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            scratch.clear(docs)
+        own.drop(before)
+        own.tables += scratch.tables
     return STAGES[-1][1](spark, docs, sf_dir)

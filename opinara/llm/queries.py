@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opinara.llm import decontam, langid, maxent_lm, media, mixing, ngram_join, quality, substring_dedup, toxicity, urlfilter
+from opinara.llm import ball_kmeans, decontam, hard_negatives, langid, maxent_lm, media, mixing, ngram_join, quality, substring_dedup, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,21 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; every seventh label is moved by one."""
+    vectors, seventh = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 7 == 0
+    label = F.when(seventh, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -71,8 +87,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_rules": op8_url_rules,
         "op9_maxent_lm": op9_maxent_lm,
         "op10_source_mix": op10_source_mix,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_warc": op12_warc,
+        "op13_ball_kmeans": op13_ball_kmeans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mix": mixing.oracle_sql()}
+    label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+    return {
+        "op10_source_mix": mixing.oracle_sql(),
+        "op11_hard_negatives": hard_negatives.oracle_sql(label=label),
+        "op12_warc": warc.oracle_sql(),
+        "op13_ball_kmeans": ball_kmeans.oracle_sql(),
+    }
