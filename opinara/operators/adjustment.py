@@ -23,11 +23,11 @@ def bounded(pairs: DataFrame) -> DataFrame:
     return pairs
 
 
-def density_ratio_mean(pairs: DataFrame, reference: str) -> DataFrame:
-    """society, adjusted mean of y, effective sample size: each society reweighted to the reference's density of x.
+def density_ratio_weights(pairs: DataFrame, reference: str) -> DataFrame:
+    """``pairs`` (society, x, y and others) with ``w``: the reference's density of x over the society's own; 1 for the reference.
 
     The densities are Gaussian kernel sums over the reference's and the society's own pairs, joined by society."""
-    p = bounded(pairs).select("society", "x", "y")
+    p = bounded(pairs)
     width = p.groupBy("society").agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("v")).select("society", (F.col("v") * F.pow(F.col("n").cast("double"), F.lit(-0.4))).alias("h2"), "n")
     ref = p.where(F.col("society") == reference).agg(F.array_sort(F.collect_list("x")).alias("ref"))
     ref = ref.join(width.where(F.col("society") == reference).select(F.col("h2").alias("ref_h2")))
@@ -35,10 +35,33 @@ def density_ratio_mean(pairs: DataFrame, reference: str) -> DataFrame:
     kernel = lambda points, h2, n: F.aggregate(points, F.lit(0.0), lambda s, v: s + F.exp(-(F.col("x") - v) * (F.col("x") - v) / (2 * h2))) / (n * F.sqrt(2 * np.pi * h2))
     w = kernel(F.col("ref"), F.col("ref_h2"), F.size("ref")) / F.greatest(kernel(F.col("own"), F.col("h2"), F.col("n")), F.lit(1e-300))
     w = F.when(F.col("society") == reference, F.lit(1.0)).otherwise(w)
-    rows = p.join(F.broadcast(own), "society").join(F.broadcast(ref)).withColumn("w", w)
+    return p.join(F.broadcast(own), "society").join(F.broadcast(ref)).select(*p.columns, w.alias("w"))
+
+
+def density_ratio_mean(pairs: DataFrame, reference: str) -> DataFrame:
+    """society, adjusted mean of y, effective sample size: each society reweighted to the reference's density of x."""
+    rows = density_ratio_weights(pairs.select("society", "x", "y"), reference)
     return rows.groupBy("society").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("adjusted_mean"), (F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w"))).alias("ess"))
 
 
+def reweighted_lines(pairs: DataFrame, reference: str) -> DataFrame:
+    """(society, fit, n, intercept, slope, se, r2, p) of y on x, raw and, but for the reference, with the weights that give a society
+    the reference's density of x."""
+    from opinara.operators.correlation import wls
+
+    rows = density_ratio_weights(pairs.select("society", "x", "y").where("x is not null and y is not null"), reference)
+    raw = wls(rows, "x", "y", None, ("society",)).withColumn("fit", F.lit("raw"))
+    return raw.unionByName(wls(rows.where(F.col("society") != reference), "x", "y", "w", ("society",)).withColumn("fit", F.lit("reweighted")))
+
+
+def reweighted_similarity(pairs: DataFrame, reference: str) -> DataFrame:
+    """(society, mean, sd, ess) of x under the weights that give a society the reference's density of x."""
+    rows = density_ratio_weights(pairs.select("society", "x", "y").where("x is not null and y is not null"), reference)
+    m = rows.groupBy("society").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"), (F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w"))).alias("ess"))
+    off = F.col("x") - F.col("mean")
+    return rows.join(F.broadcast(m), "society").groupBy("society").agg(F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("w") * off * off) / F.sum("w")).alias("sd"), F.first("ess").alias("ess"))
+
+
 def strata_mean(pairs: DataFrame, reference: str, k: int = 5) -> DataFrame:
     """society, mean of y over the reference's quantile strata of x with the reference's shares; strata that a society
     lacks are left out and the rest scaled up (used_share)."""

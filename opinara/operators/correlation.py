@@ -82,31 +82,6 @@ def shuffle_baseline(table: DataFrame) -> DataFrame:
     return table.withColumn("shuffled_mean", F.when(F.col("n") > 1, F.lit(0.0))).withColumn("shuffled_sd", F.when(F.col("n") > 1, 1 / F.sqrt((F.col("n") - 1).cast("double"))))
 
 
-def shuffled_correlations(pairs: DataFrame, draws: int = 100, seed: int = 0, max_rows: int = 2_000_000) -> DataFrame:
-    """Monte-Carlo shuffle baseline of each pair (t1, t2): observed r, mean and sd over ``draws`` permutations.
-
-    One group is one pair of topics; beyond ``max_rows`` rows the closed form of ``shuffle_baseline`` is the way."""
-    largest = pairs.groupBy("t1", "t2").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_rows:
-        raise ValueError("a pair has too many rows to permute in one task; use shuffle_baseline")
-
-    def permute(f: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        import zlib
-
-        t1, t2 = f["t1"].iloc[0], f["t2"].iloc[0]
-        rng = np.random.default_rng([seed, zlib.crc32(f"{t1}_{t2}".encode())])
-        f = f.sort_values(["x", "y"])
-        x, y = f["x"].to_numpy(), f["y"].to_numpy()
-        if len(x) < 2 or x.std() == 0 or y.std() == 0:
-            return pd.DataFrame({"t1": [t1], "t2": [t2], "n": [len(x)], "r": [None], "shuffled_mean": [None], "shuffled_sd": [None]})
-        zx, zy = (x - x.mean()) / x.std() / len(x), (y - y.mean()) / y.std()
-        reps = np.array([zx @ rng.permutation(zy) for _ in range(draws)])
-        return pd.DataFrame({"t1": [t1], "t2": [t2], "n": [len(x)], "r": [float(zx @ zy)], "shuffled_mean": [float(reps.mean())], "shuffled_sd": [float(reps.std())]})
-
-    return pairs.select("t1", "t2", "x", "y").groupBy("t1", "t2").applyInPandas(permute, "t1 string, t2 string, n long, r double, shuffled_mean double, shuffled_sd double")
-
-
 def overlap_counts(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Least, median and greatest pair size."""
     aggs = (F.min("n").alias("min_n"), F.percentile("n", F.lit(0.5)).alias("median_n"), F.max("n").alias("max_n"))
@@ -204,6 +179,7 @@ def histogram_2d(rows: DataFrame, x: str, y: str, width: float = 0.25) -> DataFr
 
 
 def points_from_histogram(bins: DataFrame, width: float = 0.25, seed: int = 0) -> DataFrame:
-    """Points spread evenly in their bins."""
+    """Points spread evenly in their bins, each by a hash of its bin and number: the same however the rows are dealt out."""
     points = bins.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
-    return points.select(((F.col("i") + F.rand(seed)) * width).alias("x"), ((F.col("j") + F.rand(seed + 1)) * width).alias("y"))
+    share = lambda axis: F.pmod(F.xxhash64(F.lit(seed), F.lit(axis), "i", "j", "k"), F.lit(1 << 52)) / float(1 << 52)
+    return points.select(((F.col("i") + share("x")) * width).alias("x"), ((F.col("j") + share("y")) * width).alias("y"))

@@ -191,61 +191,6 @@ def point_distances(points: DataFrame, queries: DataFrame) -> DataFrame:
     return points.where(whole("vector")).join(F.broadcast(q), F.col("word") != F.col("query")).select("query", "word", d.alias("distance"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 2, max_queries: int = 2000) -> DataFrame:
-    """(word, neighbour, distance, rank): exact nearest neighbours of a stated set of queries among all rows.
-
-    Queries are cut by a hash of their word into blocks of about ``max_queries``; each block is broadcast and meets all
-    rows, and of each Arrow batch of rows the k best of every query go on to the shuffle."""
-    queries = queries.select("word", "vector")
-    n_blocks = max(1, -(-queries.count() // max_queries))
-    block = F.pmod(F.xxhash64("word"), F.lit(n_blocks))
-    found = None
-    for b in range(n_blocks):
-        part = _nearest_block(rows, queries.where(block == b) if n_blocks > 1 else queries, k)
-        found = part if found is None else found.unionAll(part)
-    w = Window.partitionBy("word").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _nearest_block(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(word, neighbour, distance): the k best of each task for one block of queries."""
-    held = queries.toPandas().sort_values("word")
-    q = np.array(held["vector"].tolist(), np.float64).reshape(len(held), -1) if len(held) else np.zeros((0, 0))
-    names = held["word"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast((q, names))
-
-    def run(frames):
-        q, names = shared.value
-        for f in frames:
-            if not len(f) or not len(names):
-                continue
-            x, own = np.array(f["vector"].tolist(), np.float64), f["word"].to_numpy()
-            for s in range(0, len(names), 256):
-                part = q[s : s + 256]
-                # Squared distances by one matrix product choose a few more than k; those few are measured exactly.
-                rough = (part * part).sum(1)[:, None] + (x * x).sum(1) - 2 * (part @ x.T)
-                rough[names[s : s + 256, None] == own[None]] = np.inf
-                m = min(k + 8, len(x))
-                near = np.argpartition(rough, m - 1, axis=1)[:, :m]
-                # A neighbour that rounding or a tie may have moved across the line is within this of the last one taken.
-                slack = 1e-9 * (1 + np.abs(rough[np.isfinite(rough)]).max(initial=0.0))
-                line = np.take_along_axis(rough, near, 1).max(1)
-                words, others, distances = [], [], []
-                for i in range(len(part)):
-                    pick = near[i]
-                    if m < len(x):
-                        pick = np.flatnonzero(rough[i] <= line[i] + slack)
-                    pick = pick[np.isfinite(rough[i][pick])]
-                    d = np.sqrt(((x[pick] - part[i]) ** 2).sum(1))
-                    top = np.lexsort((own[pick], d))[:k]
-                    words.append(np.full(len(top), names[s + i]))
-                    others.append(own[pick][top])
-                    distances.append(d[top])
-                yield pd.DataFrame({"word": np.concatenate(words), "neighbour": np.concatenate(others), "distance": np.concatenate(distances)})
-
-    return rows.select("word", "vector").where("vector is not null").mapInPandas(run, "word long, neighbour long, distance double")
-
-
 def twonn_dimension(neighbours: DataFrame, drop: float = 0.02) -> DataFrame:
     """Two-nearest-neighbour dimension from ranks 1 and 2: slope through the origin of -log(1 - ECDF) over log ratios.
 
@@ -263,6 +208,33 @@ def twonn_dimension(neighbours: DataFrame, drop: float = 0.02) -> DataFrame:
     return out.select("points", F.when(F.col("all_points") >= 30, F.col("d")).alias("dimension"))
 
 
+def _dealt_blocks(values: DataFrame, bags: Sequence[tuple[Sequence[str], float]], key: str) -> tuple[DataFrame, list, str]:
+    """Rows (first, second, block, key, x) dealt so that every two blocks of rows meet in one group; the bags as column
+    numbers; the type of the key."""
+    from opinara.operators.dimension import topic_arrays
+
+    names = sorted({t for topics, _ in bags for t in topics})
+    rows = topic_arrays(values, names, key)
+    n_blocks = max(1, -(-values.where(F.col(key).isNotNull() & F.col("value").isNotNull()).select(key).distinct().count() // PAIR_BLOCK))
+    block = F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
+    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    dealt = dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other")
+    at = {t: k for k, t in enumerate(names)}
+    return dealt, [([at[t] for t in topics], float(k)) for topics, k in bags], dict(values.dtypes)[key]
+
+
+def _block_pairs(f: pd.DataFrame, key: str, columns: list, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of both blocks of a group, and the distances and common topics of their pairs; nan where there is none, and for
+    a block with itself on and below the diagonal."""
+    ids = f[key].to_numpy()
+    x = np.array(f["x"].tolist(), np.float64)
+    left, right = (np.flatnonzero(f["block"].to_numpy() == f[c].iloc[0]) for c in ("first", "second"))
+    found, shared = _bag_distances(x[left], x[right], columns, least)
+    if f["first"].iloc[0] == f["second"].iloc[0]:
+        found[np.tril_indices(len(found))] = np.nan
+    return ids[left], ids[right], found, shared
+
+
 def pair_distances(values: DataFrame, bags: Sequence[tuple[Sequence[str], float]], key: str = "user_id", least: int = 2) -> DataFrame:
     """(a < b, common, distance) of all pairs of rows that share ``least`` topics of a bag (topics, K), any number of rows.
 
@@ -270,76 +242,69 @@ def pair_distances(values: DataFrame, bags: Sequence[tuple[Sequence[str], float]
     row per pair and topic is made.  The distance of a pair in a bag is sqrt(K / c * sum of squares over its c common
     topics); the result is the median over the bags that have one, ``common`` the count of the first bag.  ``values``
     has one row for each key and topic; null keys and values are left out."""
-    names = sorted({t for topics, _ in bags for t in topics})
-    known = values.where(F.col(key).isNotNull() & F.col("value").isNotNull() & F.col("topic").isin(names))
-    rows = known.groupBy(key).agg(F.collect_list(F.struct("topic", F.col("value").cast("double").alias("x"))).alias("v")).select(key, F.col("v.topic").alias("topics"), F.col("v.x").alias("x"))
-    n_blocks = max(1, -(-known.select(key).distinct().count() // PAIR_BLOCK))
-    block = F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
-    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    dealt = dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other")
-    at = {t: k for k, t in enumerate(names)}
-    columns = [([at[t] for t in topics], float(k)) for topics, k in bags]
+    dealt, columns, kind = _dealt_blocks(values, bags, key)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        ids = f[key].to_numpy()
-        x = np.full((len(f), len(at)), np.nan)
-        for i, (topics, v) in enumerate(zip(f["topics"], f["x"], strict=True)):
-            x[i, [at[t] for t in topics]] = v
-        left, right = (np.flatnonzero(f["block"].to_numpy() == f[c].iloc[0]) for c in ("first", "second"))
-        found, shared = _bag_distances(x[left], x[right], columns, least)
-        keep = ~np.isnan(found)
-        if f["first"].iloc[0] == f["second"].iloc[0]:
-            keep &= np.triu(np.ones_like(keep), 1)
-        i, j = np.nonzero(keep)
-        a, b = ids[left[i]], ids[right[j]]
+        left, right, found, shared = _block_pairs(f, key, columns, least)
+        i, j = np.nonzero(~np.isnan(found))
+        a, b = left[i], right[j]
         swap = a > b
         return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "common": shared[i, j], "distance": found[i, j]})
 
-    kind = dict(values.dtypes)[key]
     return dealt.groupBy("first", "second").applyInPandas(run, f"a {kind}, b {kind}, common long, distance double")
 
 
+def nearest_pairs(values: DataFrame, bags: Sequence[tuple[Sequence[str], float]], k: int, key: str = "user_id", least: int = 2) -> DataFrame:
+    """(word, neighbour, distance, rank): the k nearest rows at a positive distance, by the distances of ``pair_distances``.
+
+    Distances over different topics obey no triangle inequality, so every two blocks meet; of their pairs only the k best of
+    each row leave the task."""
+    dealt, columns, kind = _dealt_blocks(values, bags, key)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        left, right, found, _ = _block_pairs(f, key, columns, least)
+        i, j = np.nonzero(found > 0)
+        d = found[i, j]
+        word, other = np.concatenate([left[i], right[j]]), np.concatenate([right[j], left[i]])
+        row, d = np.concatenate([i, j + len(left)]), np.concatenate([d, d])
+        order = np.lexsort((other, d, row))
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        return pd.DataFrame({"word": word[order], "neighbour": other[order], "distance": d[order]})
+
+    found = dealt.groupBy("first", "second").applyInPandas(run, f"word {kind}, neighbour {kind}, distance double")
+    w = Window.partitionBy("word").orderBy("distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def query_distances(values: DataFrame, queries: DataFrame, bags: Sequence[tuple[Sequence[str], float]], key: str = "user_id", least: int = 2) -> DataFrame:
     """(a, b, common, distance) of a stated set of query rows a with all other rows b, as in ``pair_distances``.
 
-    The queries are cut into blocks of ``PAIR_BLOCK`` rows; each block meets every Arrow batch of rows in arrays, so no row
-    per pair and topic is made."""
-    names = sorted({t for topics, _ in bags for t in topics})
-    kind = dict(values.dtypes)[key]
-
-    def packed(rows: DataFrame) -> DataFrame:
-        known = rows.where(F.col(key).isNotNull() & F.col("value").isNotNull() & F.col("topic").isin(names))
-        return known.groupBy(key).agg(F.collect_list(F.struct("topic", F.col("value").cast("double").alias("x"))).alias("v")).select(key, F.col("v.topic").alias("topics"), F.col("v.x").alias("x"))
+    Both sides are dealt into blocks of about ``PAIR_BLOCK`` rows, and a block of queries meets every block of rows in arrays,
+    so no row per pair and topic is made and nothing goes through the driver."""
+    from opinara.operators.dimension import topic_arrays
 
+    names = sorted({t for topics, _ in bags for t in topics})
     at = {t: k for k, t in enumerate(names)}
     columns = [([at[t] for t in topics], float(k)) for topics, k in bags]
+    kind = dict(values.dtypes)[key]
+    sides = [topic_arrays(rows, names, key) for rows in (queries, values)]
+    blocks = [max(1, -(-s.count() // PAIR_BLOCK)) for s in sides]
 
-    def dense(f: pd.DataFrame) -> np.ndarray:
-        x = np.full((len(f), len(at)), np.nan)
-        for i, (topics, v) in enumerate(zip(f["topics"], f["x"], strict=True)):
-            x[i, [at[t] for t in topics]] = v
-        return x
-
-    asked, rows = packed(queries), packed(values)
-    n_blocks = max(1, -(-asked.count() // PAIR_BLOCK))
-    out = None
-    for b in range(n_blocks):
-        held = (asked.where(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == b) if n_blocks > 1 else asked).toPandas().sort_values(key)
-        shared = values.sparkSession.sparkContext.broadcast((held[key].to_numpy(), dense(held)))
-
-        def run(frames, shared=shared):
-            ids, q = shared.value
-            for f in frames:
-                for s in range(0, len(f), PAIR_BLOCK):
-                    part = f.iloc[s : s + PAIR_BLOCK]
-                    found, common = _bag_distances(q, dense(part), columns, least)
-                    keep = ~np.isnan(found) & (ids[:, None] != part[key].to_numpy()[None])
-                    i, j = np.nonzero(keep)
-                    yield pd.DataFrame({"a": ids[i], "b": part[key].to_numpy()[j], "common": common[i, j], "distance": found[i, j]})
-
-        one = rows.mapInPandas(run, f"a {kind}, b {kind}, common long, distance double")
-        out = one if out is None else out.unionAll(one)
-    return out
+    def dealt(side: int) -> DataFrame:
+        own, other = ("a", "b") if side == 0 else ("b", "a")
+        block = F.pmod(F.xxhash64(key), F.lit(blocks[side])).cast("int")
+        return sides[side].select(key, "x", block.alias(own), F.lit(side).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - side] - 1))).alias(other))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ids, x = f[key].to_numpy(), np.array(f["x"].tolist(), np.float64)
+        q, r = (np.flatnonzero(f["side"].to_numpy() == s) for s in (0, 1))
+        found, common = _bag_distances(x[q].reshape(len(q), len(at)), x[r].reshape(len(r), len(at)), columns, least)
+        i, j = np.nonzero(~np.isnan(found) & (ids[q][:, None] != ids[r][None]))
+        return pd.DataFrame({"a": ids[q[i]], "b": ids[r[j]], "common": common[i, j], "distance": found[i, j]})
+
+    both = dealt(0).unionByName(dealt(1))
+    return both.groupBy("a", "b").applyInPandas(run, f"a {kind}, b {kind}, common long, distance double")
 
 
 def _bag_distances(left: np.ndarray, right: np.ndarray, columns: list, least: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions import scalar
-from opinara.operators import adjustment, correlation, dimension, labels, panel, semantic, simulation, spectral, subsets, text
+from opinara.operators import adjustment, correlation, dimension, knn, labels, panel, resampling, semantic, simulation, spectral, subsets, text
 from opinara.sources import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,7 +234,7 @@ def shuffle_baseline(spark, sf):
 
 @query("shuffled_correlations")
 def shuffled_correlations(spark, sf):
-    return correlation.shuffled_correlations(the_pairs(spark, sf), 10_000)
+    return resampling.shuffled_correlations(the_pairs(spark, sf), 10_000)
 
 
 @query("pearson_p_values")
@@ -568,12 +568,12 @@ def cosine_pairs(spark, sf):
     return rounded(semantic.cosine_pairs(ad.keyword_vectors(spark, sf), q).drop("dot"), "similarity")
 
 
-_KNN = "q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT q.vec_id AS word, b.vec_id AS neighbour, list_distance(q.e, b.embedding::DOUBLE[]) AS distance FROM q JOIN embeddings b ON q.vec_id <> b.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY word ORDER BY distance, neighbour) AS INT) AS rank FROM d QUALIFY rank <= 2)"
+_KNN = "q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT q.vec_id AS word, b.vec_id AS neighbour, list_distance(q.e, b.embedding::DOUBLE[]) AS distance FROM q JOIN embeddings b ON q.vec_id <> b.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY word ORDER BY distance, neighbour) AS INT) AS rank FROM d QUALIFY rank <= 2)"
 
 
 def _neighbours(spark, sf):
-    v = ad.keyword_vectors(spark, sf)
-    return semantic.nearest(v, v.where("word % 20 = 0"), 2, 20_000)
+    """All words with their two nearest others."""
+    return knn.neighbours(ad.keyword_vectors(spark, sf), 2)
 
 
 @query("knn_two_nearest", f"WITH {_KNN} SELECT word, neighbour, round(distance, 5) + 0.0 AS distance, rank FROM k")
@@ -652,7 +652,7 @@ _SUBSETS = f"{SOCIETY}, sub AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1
 
 @query("topic_subset_means", f"WITH {_SUBSETS} SELECT society, CAST(subset AS INT) AS subset, pairs, round(mean, 6) + 0.0 AS mean FROM means")
 def topic_subset_means(spark, sf):
-    return rounded(subsets.subset_means(society_pairs(spark, sf), list(ad.ORDER_TOPICS), 3), "mean")
+    return rounded(subsets.subset_means(society_pairs(spark, sf), list(ad.ORDER_TOPICS), 3), "mean").withColumn("subset", F.col("subset").cast("int"))
 
 
 @query("topic_subset_dispersion", f"WITH {_SUBSETS} SELECT count(*) AS combinations, round(min(a.mean/b.mean), 6) + 0.0 AS min_ratio, round(quantile_cont(a.mean/b.mean, 0.5), 6) + 0.0 AS median_ratio, round(max(a.mean/b.mean), 6) + 0.0 AS max_ratio, round(avg(CASE WHEN a.mean/b.mean > 1 THEN 1.0 ELSE 0 END), 6) + 0.0 AS share_above_1 FROM means a, means b WHERE a.society = '1996' AND b.society = '1998'")
@@ -756,8 +756,7 @@ _KNN30 = _KNN.replace("rank <= 2", "rank <= 30")
 
 @query("levina_bickel_dimension", f"WITH {_KNN30}, l AS (SELECT word, row_number() OVER (PARTITION BY word ORDER BY distance, rank) AS k, ln(distance) AS l FROM k WHERE distance > 0), b AS (SELECT *, sum(l) OVER (PARTITION BY word ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below, count(*) OVER (PARTITION BY word) AS n FROM l), p AS (SELECT word, avg((k-2)/((k-1)*l-below)) FILTER (k >= 10 AND (k-1)*l > below) AS d FROM b WHERE n >= 30 GROUP BY word) SELECT count(*) AS points, round(avg(d), 4) + 0.0 AS dimension, round(avg(d) - 1.96*stddev_samp(d)/sqrt(count(*)), 4) + 0.0 AS lo, round(avg(d) + 1.96*stddev_samp(d)/sqrt(count(*)), 4) + 0.0 AS hi FROM p WHERE d IS NOT NULL")
 def levina_bickel_dimension(spark, sf):
-    v = ad.keyword_vectors(spark, sf)
-    found = dimension.levina_bickel(semantic.nearest(v, v.where("word % 20 = 0"), 30, 20_000), 10, 30)
+    found = dimension.levina_bickel(knn.neighbours(ad.keyword_vectors(spark, sf), 30), 10, 30)
     return found.select("points", *[(F.round(c, 4) + 0.0).alias(c) for c in ("dimension", "lo", "hi")])
 
 
@@ -779,12 +778,8 @@ def spectral_coordinates(spark, sf):
 
 @query("dimension_estimate")
 def dimension_estimate(spark, sf):
-    return rounded(dimension.estimate(_user_values(spark, sf), None), "pr", "erank", "srank")
-
-
-@query("density_curves")
-def density_curves(spark, sf):
-    return dimension.density_curve(the_pairs(spark, sf).groupBy("t1", "year").agg(F.avg("x").alias("x")), "t1", "x")
+    """The spectra and, over all users in their spectral coordinates, both dimensions with their limits."""
+    return rounded(dimension.estimate(_user_values(spark, sf)), "pr", "erank", "srank", "mle", "mle_lo", "mle_hi", "two_nn")
 
 
 def queries() -> dict[str, Query]:
@@ -796,3 +791,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 from opinara.plans import more as _more  # noqa: E402, F401  (adds its queries to the two tables)
+from opinara.plans import studies as _studies  # noqa: E402, F401

@@ -993,10 +993,9 @@ def grid_pivot(spark, sf):
 
 @query("dimension_spaces")
 def dimension_spaces(spark, sf):
-    """All distance spaces of the estimator over the users of the largest topic set; its own limits on neighbours are low, as
-    five topics make few distinct distances."""
+    """All distance spaces of the estimator over all users."""
     v, out = _user_values(spark, sf), None
-    for space in ("spectral", "raw", None):
-        part = dimension.estimate(v, space, k1=5, k2=12)
+    for space in ("spectral", "raw", "bagged", None):
+        part = dimension.estimate(v, space)
         out = part if out is None else out.unionAll(part)
     return rounded(out, "pr", "erank", "srank", "mle", "mle_lo", "mle_hi", "two_nn")

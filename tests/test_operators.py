@@ -46,12 +46,10 @@ def test_user_repair_and_unique_keys(spark):
         panel.assert_unique(rows, ["user_id"])
 
 
-def test_centroids_and_neighbours(spark):
+def test_centroids(spark):
     v = spark.createDataFrame([(1, 0, [1.0, 0.0], 1.0), (2, 0, [0.0, 1.0], 3.0), (3, 1, [1.0, 1.0], 1.0), (4, 1, None, 1.0)], "word long, topic int, vector array<double>, weight double")
     c = {r.topic: r.centroid for r in semantic.centroids(v).collect()}
     assert c == {0: [0.25, 0.75], 1: [1.0, 1.0]}
-    n = semantic.nearest(v, v.where("word = 1"), 2).orderBy("rank").collect()
-    assert [(r.neighbour, round(r.distance, 6)) for r in n] == [(3, 1.0), (2, 1.414214)]
 
 
 def brute_distances(people, bags, least=2):
@@ -92,16 +90,6 @@ def test_distances_of_all_pairs_in_blocks(spark, sf_dir, monkeypatch):
     assert len(rows) == len(got) and got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 2e-6 for k in wanted)
 
 
-def test_neighbours_of_more_queries_than_a_block(spark):
-    v = spark.range(60).selectExpr("id word", "array(cast(pmod(xxhash64(id), 1000) as double), cast(pmod(xxhash64(id, 1), 1000) as double)) vector")
-    x = {r.word: np.array(r.vector) for r in v.collect()}
-    got = {(r.word, r["rank"]): r.neighbour for r in semantic.nearest(v, v, 3, max_queries=7).collect()}
-    for a in x:
-        order = sorted((float(np.sqrt(((x[a] - x[b]) ** 2).sum())), b) for b in x if b != a)[:3]
-        assert [got.pop((a, k)) for k in (1, 2, 3)] == [b for _, b in order]
-    assert not got and semantic.nearest(v, v.limit(0)).count() == 0
-
-
 def test_whole_jobs_of_the_vector_queries(spark, sf_dir, monkeypatch):
     rows = catalogue.QUERIES["cosine_pairs"](spark, sf_dir).collect()
     vectors = {r.word: (r.topic, np.array(r.vector, float)) for r in ad.keyword_vectors(spark, sf_dir).collect()}
@@ -193,6 +181,7 @@ def test_coordinates_and_spaces(spark):
     r = dimension.estimate(v, "spectral").first()
     assert abs(r.pr - 2) < 0.8 and abs(r.mle - 2) < 1 and r.mle_lo < r.mle < r.mle_hi and 1 < r.two_nn < 4
     raw = dimension.estimate(v, "raw", k1=5, k2=12).first()
+    assert dimension.estimate(v, "bagged", k1=5, k2=12).first().mle > 0
     assert raw.mle > 0 and dimension.estimate(v, None).first().mle is None
     with pytest.raises(ValueError):
         dimension.estimate(v, "no such")
