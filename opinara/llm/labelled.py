@@ -32,7 +32,15 @@ def sample_labels(labels: DataFrame, label: str, per_class: int, mod: int, value
     return reduce(DataFrame.unionAll, parts).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
+def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., text): of the rows of each key the text of the smallest hash, so that as many rows remain as there are keys."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select(*keys, "x.text")
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, mod: int, value: int) -> DataFrame:
-    """(doc_id, text, label) of the sampled rows.  The sample is broadcast: its bound is 2 * per_class rows."""
+    """(doc_id, text, label) of the sampled ids, one row for each: at most 2 * per_class rows, however often an id is repeated.
+
+    The sample of ids is broadcast."""
     sample = sample_labels(labels, label, per_class, mod, value)
-    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    found = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    return one_text_each(found, "doc_id", "label").select("doc_id", "text", "label")

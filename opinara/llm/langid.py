@@ -7,12 +7,14 @@ followers over occurrences plus distinct followers) plus its code length in the
 uniform over 256 bytes.  The language with the shortest total code wins; the score is its share of 2 ** -length.
 
 As the statistics are frozen, the code lengths of all n-grams that any tree knows are computed once, for all languages
-together, and kept in one table per order.  Texts are scored for whole runs at a time: each position looks up its
+of a block together, and kept in one table per order.  A language's code lengths don't depend on the other languages, so
+blocks of ``BLOCK`` languages make one model of any number of them; it grows with that number only.  Texts are scored for whole runs at a time: each position looks up its
 longest n-gram, and only what no tree knows falls through to the next order, paying each tree's escapes.
 
 Learning uses a bounded sample (``PER_LANGUAGE`` rows of each language, whole texts); all texts are predicted whole.
 Edge cases: null text or one without a letter is ``und`` with score 0; empty training data makes everything ``und``;
-equal code lengths go to the first language in order; repeated rows get equal results; other columns are ignored.
+equal code lengths go to the first language in order; repeated rows get equal results, and rows of one doc_id and language
+teach once, by the text of the smallest hash; a doc_id that is no number reads as null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
-from opinara.llm.labelled import held_out
-from opinara.session import small_batches
+from opinara.llm.labelled import held_out, one_text_each
+from opinara.session import cut_lineage, small_batches
 
 #: Bytes of context; n-grams are one longer and must fit a 64-bit key.
 ORDER = 3
 #: Training rows of each language, those of the smallest hashes.
 PER_LANGUAGE = 400
-#: Languages at most: a bound on the model.
-MAX_LANGUAGES = 500
+#: Languages of one part of the model.
+BLOCK = 100
 UNDETERMINED = "und"
 
 
@@ -172,24 +174,36 @@ class Model:
         return bits
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, lang_col: str = "lang") -> Model:
-    """The model of rows with a language whose remainder modulo 5 isn't 0.
+class Models:
+    """Models of blocks of languages, in the order of all languages.
 
-    The rows of each language are chosen by a distributed top-k of id hashes; n-grams are counted where the rows are,
-    summed by a shuffle, and only the sums of this bounded sample come to the driver."""
-    small_batches(docs.sparkSession)
+    A language's code lengths don't depend on the other languages of its model, so the blocks together are one model."""
+
+    def __init__(self, parts: list[Model]):
+        self.parts = parts
+        self.languages = [name for p in parts for name in p.languages]
+
+    def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros((len(offsets) - 1, 0)), *(p.code_lengths(data, offsets) for p in self.parts)], 1)
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, lang_col: str = "lang") -> Models:
+    """The model of rows with a language whose remainder modulo 5 isn't 0; any number of languages.
+
+    The ids of each language are chosen by a distributed top-k of their hashes, with one text each, however often an id is
+    repeated; n-grams are counted where the rows are, summed by a shuffle, and only the sums of this sample, of at most
+    ``per_language`` rows a language, come to the driver, those of ``BLOCK`` languages at a time."""
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
-    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    sizes = rows.groupBy("lang").count().collect()
     languages = sorted(r[0] for r in sizes)
     # A hash threshold that leaves about twice the wanted rows of each language, then the exact top-k of those.
-    bound = F.lit(0)
-    for lang, n in sizes:
-        bound = F.when(F.col(lang_col) == lang, F.lit(min(1 << 30, int((1 << 30) * (2 * per_language + 100) / n)))).otherwise(bound)
-    near = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)
-    ids = near.groupBy(lang_col).agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))), 1, per_language).alias("x"))
-    chosen = ids.select(lang_col, F.explode("x.doc_id").alias("doc_id"))
+    bound = spark.createDataFrame([(lang, min(1 << 30, int((1 << 30) * (2 * per_language + 100) / n))) for lang, n in sizes], "lang string, bound long")
+    near = rows.select("lang", "doc_id").join(F.broadcast(bound), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("bound"))
+    ids = near.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))), 1, per_language).alias("x"))
+    chosen = ids.select("lang", F.explode("x.doc_id").alias("doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,12 +212,21 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER,
                 for n, (keys, counts) in count_grams(pc.filter(b.column(1), pc.equal(langs, lang)), order).items():
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.astype(np.int64)), pa.array(counts)], ["lang", "n", "key", "c"])
 
-    # At most per_language rows of at most MAX_LANGUAGES languages are broadcast.
-    text = rows.select(F.col(lang_col), F.col("text").cast("string").alias("text"), "doc_id").join(F.broadcast(chosen), [lang_col, "doc_id"]).select(lang_col, "text")
-    summed = text.mapInArrow(count, "lang string, n int, key long, c long").groupBy("lang", "n", "key").agg(F.sum("c").alias("c")).toPandas()
+    # At most per_language ids of each language are broadcast.
+    text = one_text_each(rows.join(F.broadcast(chosen), ["lang", "doc_id"]), "lang", "doc_id").select("lang", "text")
+    summed = text.mapInArrow(count, "lang string, n int, key long, c long").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
+    blocks = [languages[k : k + BLOCK] for k in range(0, len(languages), BLOCK)]
+    if len(blocks) > 1:
+        summed = cut_lineage(summed, "grams")
+    return Models([_model(summed.where(F.col("lang").between(b[0], b[-1])) if len(blocks) > 1 else summed, b, order) for b in blocks])
+
+
+def _model(summed: DataFrame, languages: list[str], order: int) -> Model:
+    """The model of one block of languages."""
+    found = summed.toPandas()
     counts = []
     for lang in languages:
-        own = summed[summed["lang"] == lang]
+        own = found[found["lang"] == lang]
         counts.append({})
         for n in range(1, order + 2):
             part = own[own["n"] == n].sort_values("key")
@@ -211,7 +234,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER,
     return Model(languages, counts, order)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model | Models) -> DataFrame:
     """doc_id, held_out, lang_pred, score; one row per input row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -232,5 +255,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             best = np.where(lettered, best, len(m.languages))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[best], pa.string()), pa.array(np.where(lettered, share, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

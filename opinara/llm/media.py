@@ -13,7 +13,8 @@ whole main data area is ancillary data, which the standard leaves to the applica
 use the highest rate and the last one the lowest rate that holds the rest: a variable-bitrate stream.
 
 Edge cases: null is an empty text, stored as 64 zero bytes; bytes without any frame give zero frames and duration 0;
-truncated last frames are counted as damage; equal inputs give equal bytes; other columns are ignored.
+a last frame that the end cuts off is counted as damage (in sync only: a stray header whose frame would reach past the end
+is skipped like other bytes); equal inputs give equal bytes; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,18 +115,29 @@ def protected_bits(body: np.ndarray, h: dict) -> np.ndarray | None:
 def bad_checksums(data: bytes, offsets: np.ndarray, sizes: np.ndarray, first: dict) -> int:
     """Wrong checksums among the protected frames at the given places."""
     raw = np.frombuffer(data, np.uint8)
-    if first["layer"] == 3:
-        fits = sizes >= 6 + first["side"]
-        at = offsets[fits]
-        rows = np.concatenate([raw[at[:, None] + np.array([2, 3])], raw[at[:, None] + 6 + np.arange(first["side"])]], 1)
-        return int((~fits).sum() + (crc16(rows) != (raw[at + 4].astype(np.uint16) << np.uint16(8) | raw[at + 5])).sum())
     bad = 0
+    if first["layer"] == 3:
+        # A stream may change between one and two channels: each frame has the side information of its own mode.
+        mono = raw[offsets + 3] >> 6 == 3
+        for one in (True, False):
+            own = mono == one
+            side = side_bytes(first["version"], one)
+            fits = own & (sizes >= 6 + side)
+            at = offsets[fits]
+            rows = np.concatenate([raw[at[:, None] + np.array([2, 3])], raw[at[:, None] + 6 + np.arange(side)]], 1)
+            bad += int((own & ~fits).sum() + (crc16(rows) != (raw[at + 4].astype(np.uint16) << np.uint16(8) | raw[at + 5])).sum())
+        return bad
     for at, size in zip(offsets.tolist(), sizes.tolist(), strict=True):
         covered = protected_bits(np.unpackbits(raw[at + 6 : at + size]), header(data, at))
         bad += covered is None or crc16_bits(np.concatenate([np.unpackbits(raw[at + 2 : at + 4]), covered])) != int(raw[at + 4]) << 8 | int(raw[at + 5])
     return int(bad)
 
 
+def side_bytes(version: float, mono: bool) -> int:
+    """Length of the side information of a Layer III frame."""
+    return (17 if mono else 32) if version == 1 else (9 if mono else 17)
+
+
 def header(data: bytes, at: int) -> dict | None:
     """The frame header at a place, or None if there is no valid one."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
@@ -141,7 +153,7 @@ def header(data: bytes, at: int) -> dict | None:
     pad = b2 >> 1 & 1
     size = (12 * kbps * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
     mono = b3 >> 6 == 3
-    side = 0 if layer != 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
+    side = side_bytes(version, mono) if layer == 3 else 0
     return {"version": version, "layer": layer, "kbps": kbps, "hz": hz, "samples": samples, "size": size, "mono": mono, "protected": not b1 & 1, "side": side, "bound": 4 * (b3 >> 4 & 3) + 4 if b3 >> 6 == 1 else 32}
 
 
@@ -196,6 +208,21 @@ def read_vbr(data: bytes, at: int, h: dict) -> dict | None:
     return None
 
 
+def _frames_inside(data: bytes, at: int, end: int, h: dict) -> bool:
+    """Whether frames begin inside a frame that no frame follows: then its header is a stray one.
+
+    Such a frame must be followed by two more, or by as many as there are up to the end."""
+    p = data.find(b"\xff", at + 1, at + h["size"])
+    while p >= 0:
+        place, seen = p, 0
+        while seen < 3 and (g := header(data, place) if place < end else None) is not None and _same_stream(h, g) and place + g["size"] <= end:
+            place, seen = place + g["size"], seen + 1
+        if seen == 3 or (seen and place == end):
+            return True
+        p = data.find(b"\xff", p + 1, at + h["size"])
+    return False
+
+
 def parse(data: bytes) -> dict:
     """Tags, table, frame offsets, exact duration, damage and the ancillary payload of a stream."""
     start, tags = read_id3v2(data)
@@ -206,16 +233,18 @@ def parse(data: bytes) -> dict:
     sizes: list[int] = []
     rates: list[int] = []
     protected: list[int] = []
-    at, skipped, resyncs, truncated, first, vbr, in_sync = start, 0, 0, 0, None, None, False
+    at, skipped, resyncs, first, vbr, in_sync = start, 0, 0, None, None, False
+    cut: tuple[int, int] | None = None  # a frame in sync that the end cuts off, unless frames follow: its place and what was skipped
     while at < end:
         h = header(data, at)
         if h is not None and (first is None or _same_stream(first, h)):
-            if at + h["size"] > end:
-                truncated += 1
-                break
             # A header out of sync must be confirmed by the next one or by the end of the stream.
             follows = header(data, at + h["size"]) if at + h["size"] < end else h
-            if in_sync or (follows is not None and _same_stream(h, follows)):
+            if at + h["size"] > end:
+                # Out of sync this is chance; in sync it is the cut-off last frame, or damage that frames still follow.
+                cut = (at, skipped) if in_sync or at == start else cut
+            elif (follows is not None and _same_stream(h, follows)) or (in_sync and not _frames_inside(data, at, end, h)):
+                cut = None
                 resyncs += not in_sync and bool(offsets or vbr)
                 in_sync = True
                 if first is None:
@@ -234,6 +263,9 @@ def parse(data: bytes) -> dict:
         found = end if found < 0 else found
         skipped += found - at
         at = found
+    truncated = int(cut is not None)
+    if cut is not None:
+        skipped = cut[1]
     offs, size = np.array(offsets, np.int64), np.array(sizes, np.int64)
     bad = 0
     checked = np.flatnonzero(protected)

@@ -8,8 +8,8 @@ the Cholesky factor that was cached at fitting.
 
 Only a bounded sample of labelled training rows (``PER_CLASS`` of each class) is used for fitting; every text is scored
 whole.  Edge cases: null and empty texts have the statistics of no words, and a score like any other; ties and
-repeated rows get equal scores; without training labels of both classes every score is ``PRIOR``; other columns are
-ignored.
+repeated rows get equal scores; without training labels of both classes every score is ``PRIOR``; rows of one doc_id
+teach once, by the text of the smallest hash; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ whole.
 
 Edge cases: null and empty texts have no match and the score of the curve at zero; repeated rows get equal scores;
 of overlapping matches that start at one place the heaviest counts; without labels the seeds and a fixed curve apply;
-other columns are ignored.
+rows of one doc_id teach once, by the text of the smallest hash; a doc_id that is no number reads as null; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, except
     """Lexicon and curve from labelled rows whose remainder modulo 3 isn't 1."""
     small_batches(docs.sparkSession)
     seeds = {f" {fold(s).strip()} ": SEED_WEIGHT for s in SEEDS}
-    sample = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    sample = docs.withColumn("doc_id", F.col("doc_id").try_cast("long"))
     rows = cut_lineage(distinct_texts(labelled_texts(sample, labels, "toxic", per_class, 3, 1)), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,5 +272,5 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
             p = probability(np.array([x[:2] for x in s]).reshape(-1, 2), m["curve"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array([x[2] for x in s], pa.int64())], ["doc_id", "held_out", "score", "predicted", "n_matches"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_matches long")

@@ -56,3 +56,30 @@ def test_odd_rows(spark):
     model = langid.train(empty)
     assert langid.predict(empty, model).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, model).collect()} == {"und"}
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """600 languages, each with its own letters; blocks of languages are one model."""
+    rows, rng = [], np.random.default_rng(0)
+    for k in range(600):
+        letters = [chr(0x4E00 + 8 * k + j) for j in range(8)]
+        rows += [(10 * k + j, "".join(rng.choice(letters, 30)), f"l{k:03d}") for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(docs)
+    out = langid.predict(docs, model).toPandas().merge(docs.toPandas(), on="doc_id")
+    assert len(model.languages) == 600 and len(model.parts) == 6 and (out.lang_pred == out.lang).mean() > 0.99
+    monkeypatch.setattr(langid, "BLOCK", 1000)
+    whole = langid.train(docs)
+    texts = pa.array([r[1] for r in rows[::97]] + ["abc", "", "漢字"])
+    for (_, _, d, o), (_, _, e, f) in zip(textkit.doc_chunks(texts), textkit.doc_chunks(texts), strict=True):
+        assert np.allclose(model.code_lengths(d, o), whole.code_lengths(e, f))
+
+
+def test_long_texts_and_repeated_ids(spark):
+    rows = [(1, f"the cat {k}", "en") for k in range(3000)] + [(2, "der hund", "de"), (3, "die katze " * 300_000, "de"), (4, "the dog", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.one_text_each(docs, "lang", "doc_id").count() == 4
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert got[3] == "de" and got[1] == "en"
+    odd = spark.createDataFrame([("7", "the cat", "en"), ("x", "the dog", "en"), (None, "the", None)], "doc_id string, text string, lang string")
+    assert sorted((r.doc_id is None, r.lang_pred) for r in langid.predict(odd, langid.train(odd)).collect()) == [(False, "en"), (True, "en"), (True, "en")]

@@ -160,3 +160,37 @@ def test_hand_made_layer_3_stream_and_vbri_table():
     assert p["vbr"] == {"kind": "VBRI", "frames": 5, "bytes": 384 * 6, "toc": [768, 768, 384], "frames_per_entry": 2}
     assert (p["n_frames"], p["n_checked"], p["bad_crc"], p["duration_s"]) == (5, 5, 0, 5 * 1152 / 48000)
     assert p["offsets"].tolist() == [384 * (k + 1) for k in range(5)]
+
+
+def layer_3(mono, seed=0, rate=9):
+    """A protected MPEG-1 Layer III frame at 48 kHz with its checksum, 384 bytes at 128 kbit/s."""
+    import random
+
+    rng = random.Random(seed)
+    side = bytes(rng.randrange(255) for _ in range(17 if mono else 32))
+    head = bytes([0xFF, 0xFA, rate << 4 | 4, 0xC0 if mono else 0x00])
+    check = bit_crc([int(x) for b in head[2:] + side for x in f"{b:08b}"])
+    frame = head + check.to_bytes(2, "big") + side
+    return frame + bytes(3 * media.BITRATES[True, 3][rate] - len(frame))
+
+
+def test_checksums_follow_each_frame_s_mode():
+    frames = [layer_3(k % 2 == 0, k) for k in range(6)]
+    p = media.parse(b"".join(frames))
+    assert (p["n_frames"], p["n_checked"], p["bad_crc"]) == (6, 6, 0)
+    broken = [bytearray(f) for f in frames]
+    for k in (1, 2, 5):
+        broken[k][8] ^= 1
+    assert media.parse(b"".join(map(bytes, broken)))["bad_crc"] == 3
+
+
+@pytest.mark.parametrize("stray", [layer_3(True, 1, 14)[:4], layer_3(True, 1, 14)[:4] + bytes(7), b"\xff\xfa", b"\xff\xfb\xe4\xc0junk"])
+def test_frames_after_a_stray_header_near_the_end_are_kept(stray):
+    """Five frames, a header whose frame would reach past the end, one or five frames."""
+    frames = [layer_3(True, k) for k in range(10)]
+    for after in (1, 2, 5):
+        p = media.parse(b"".join(frames[:5]) + stray + b"".join(frames[:after]))
+        assert (p["n_frames"], p["bad_crc"], p["truncated"], p["skipped"], p["resyncs"]) == (5 + after, 0, 0, len(stray), 1), after
+    cut = media.parse(b"".join(frames[:5]) + frames[5][:200])
+    assert (cut["n_frames"], cut["truncated"], cut["skipped"]) == (5, 1, 0)
+    assert media.parse(frames[0][:200])["truncated"] == 1 and media.parse(b"no \xff frame")["truncated"] == 0
