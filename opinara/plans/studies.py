@@ -7,9 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.operators import adjustment, correlation, curves, resampling, subsets
-from opinara.plans.catalogue import _KDE, PAIRS, q6, query, rounded, society_pairs, the_pairs
+from opinara.operators import adjustment, correlation, curves, places, reliability, resampling, subsets, subspaces
+from opinara.plans.catalogue import _KDE, PAIRS, SQL, q6, query, rounded, society_pairs, the_pairs
+from opinara.plans.more import word_overlap
 from opinara.sources import adapters as ad
+from opinara.sources.store import ResultStore
 
 
 # --- all topic sets ---------------------------------------------------------------------------------------------------
@@ -190,3 +192,84 @@ def reweighted_similarity(spark, sf):
     return rounded(adjustment.reweighted_similarity(society_pairs(spark, sf), "1996"), "mean", "sd", "ess")
 
 
+
+
+# --- spans of words ---------------------------------------------------------------------------------------------------
+@query("word_cloud_rank")
+def word_cloud_rank(spark, sf):
+    """Rank, effective rank, condition and largest singular values of all words' unit vectors."""
+    return subspaces.singular_values(subspaces.gram_sums(ad.keyword_vectors(spark, sf)))
+
+
+@query("word_cloud_expressibility")
+def word_cloud_expressibility(spark, sf):
+    """How well the words of one, two or three other topics express each topic, as centroid and as cloud."""
+    return rounded(subspaces.expressibility(subspaces.gram_sums(ad.keyword_vectors(spark, sf)), [1, 2, 3]), "residual")
+
+
+@query("word_cloud_energy", f"WITH u AS (SELECT label AS topic, list_transform(embedding::DOUBLE[], lambda v: v / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings) SELECT topic, count(*) AS words, {q6('sum(e[1] * e[1])')} AS first, {q6('sum(e[1] * e[2])')} AS second, {q6('sum(list_dot_product(e, e))')} AS trace FROM u GROUP BY topic")
+def word_cloud_energy(spark, sf):
+    """Entries and trace of each topic's sum of products."""
+    g = subspaces.gram_sums(ad.keyword_vectors(spark, sf))
+    d = F.sqrt(F.size("gram").cast("double")).cast("int")
+    trace = F.aggregate(F.transform(F.sequence(F.lit(0), d - 1), lambda i: F.get("gram", i * (d + 1))), F.lit(0.0), lambda s, v: s + v)
+    return rounded(g.select("topic", "words", F.get("gram", F.lit(0)).alias("first"), F.get("gram", F.lit(1)).alias("second"), trace.alias("trace")), "first", "second", "trace")
+
+
+# --- reliability ------------------------------------------------------------------------------------------------------
+def _reliability_values(spark, sf):
+    return part_opinions(spark, sf, 9).select("user_id", F.col("society").alias("source"), "topic", F.col("off").alias("value"))
+
+
+@query("reliability_grid")
+def reliability_grid(spark, sf):
+    """Mean |r| of two regions, gap and ratio under errors: equal reliabilities with 500 draws, unequal ones with 50."""
+    found = reliability.reliability_grid(_reliability_values(spark, sf), _names(9), "AMERICA", "ASIA", reliability.study_cells())
+    return rounded(found, *[c for c in found.columns if c not in ("rho_a", "rho_b", "draws")])
+
+
+@query(
+    "reliability_baseline",
+    f"WITH {_parts(9)}, m AS (SELECT society, avg(abs(r)) AS m FROM (SELECT a.society, a.topic AS t1, b.topic AS t2, corr(a.off_, b.off_) AS r FROM op a JOIN op b ON a.user_id = b.user_id AND a.society = b.society AND a.topic < b.topic GROUP BY ALL) GROUP BY society), "
+    "x AS (SELECT (SELECT m FROM m WHERE society = 'AMERICA') AS a, (SELECT m FROM m WHERE society = 'ASIA') AS b) "
+    f"SELECT {q6('a')} AS mean_a, {q6('b')} AS mean_b, {q6('a - b')} AS gap, {q6('a / b')} AS ratio FROM x",
+)
+def reliability_baseline(spark, sf):
+    """The grid's first cell: no errors, from the sums of products by pattern of observed topics."""
+    found = reliability.reliability_grid(_reliability_values(spark, sf), _names(9), "AMERICA", "ASIA", [(1.0, 1.0, 1)])
+    return rounded(found.select("mean_a", "mean_b", "gap", "ratio"), "mean_a", "mean_b", "gap", "ratio")
+
+
+# --- places and stored results ----------------------------------------------------------------------------------------
+def _tokens(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(
+    "gazetteer_places",
+    f"WITH tok AS (SELECT doc_id, {_tokens('text')} AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id AS code, {_tokens('text')} AS w FROM benchmark), "
+    "gz AS (SELECT w[1:3] AS w, code, 0 AS level FROM b UNION ALL SELECT w[4:5], code, 1 FROM b UNION ALL SELECT w[6:6], code, 2 FROM b), "
+    "g AS (SELECT array_to_string(w, ' ') AS place, len(w) AS n, arg_min(code, (level, code)) AS code, min(level) AS level FROM gz WHERE len(w) > 0 GROUP BY w), "
+    "r AS (SELECT doc_id, s AS start, n, array_to_string(w[s+1:s+n], ' ') AS place FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS s FROM tok, (SELECT DISTINCT n FROM g))) "
+    "SELECT doc_id, place, code, level, start::INT AS start, n::INT AS words FROM r JOIN g USING (place, n) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level, start + n DESC, n DESC, code, place) = 1",
+)
+def gazetteer_places(spark, sf):
+    """What each document names of a gazetteer made of the benchmark's openings: three words first, then two, then single ones."""
+    w = places.place_tokens(F.col("text"))
+    levels = [F.struct(F.array_join(F.slice(w, a, n), " ").alias("place"), F.lit(k).alias("level")) for k, (a, n) in enumerate(((1, 3), (4, 2), (6, 1)))]
+    gazetteer = ad.table(spark, sf, "benchmark").select(F.col("item_id").alias("code"), F.explode(F.array(*levels)).alias("p")).select("p.place", "code", "p.level")
+    return places.gazetteer_matches(ad.table(spark, sf, "documents"), gazetteer, "doc_id", "text")
+
+
+@query("stored_word_overlap", f"SELECT *, 'miss,hit,miss' AS log FROM ({SQL['word_overlap']})")
+def stored_word_overlap(spark, sf):
+    """The word overlap from a result store: made, found again, and made anew for another number of words."""
+    import uuid
+
+    from opinara.session import shared_folder
+
+    store, inputs = ResultStore(spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"), [f"{sf}/embeddings.parquet"]
+    store.get_or_make("word_overlap", inputs, {"words": 3}, lambda: word_overlap(spark, sf))
+    found = store.get_or_make("word_overlap", inputs, {"words": 3}, lambda: word_overlap(spark, sf))
+    store.get_or_make("word_overlap", inputs, {"words": 2}, lambda: word_overlap(spark, sf).where("rank <= 2"))
+    return found.withColumn("log", F.lit(",".join(what for _, what in store.log)))
