@@ -93,6 +93,30 @@ def missingness_grid(spark: SparkSession, l: int = 20, sizes=(1000, 10000), miss
     return jobs.mapInPandas(run, "pattern string, l int, n_rows long, missing double, n int, rep int, observed_share double, min_pair_count long, negative_eigenvalues int, pr double, erank double, srank double")
 
 
+def row_scale(share: float) -> float:
+    """The factor s at which min(1, s * a) is ``share`` on average for exponential a: s * (1 - exp(-1 / s))."""
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if mid * (1 - np.exp(-1 / max(mid, 1e-300))) < share else (lo, mid)
+    return hi
+
+
+def thinned(values: DataFrame, missing: Iterable[float], reps: int, seed: int = 0) -> DataFrame:
+    """``values`` (user_id, topic, value) with a share of the observed entries taken away, for each pattern, share and repetition.
+
+    Pattern "random": every entry by itself; "rows": entries of a user in proportion to an exponential number of the user, at most
+    all.  What stays is decided by hashes, so it is the same on every run; a repetition's entries are nested in the share: what a
+    lower share takes away, a higher one does too."""
+    u = lambda *parts: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
+    shares = F.array(*[F.struct(F.lit(float(m)).alias("missing"), F.lit(row_scale(1 - m)).alias("scale")) for m in missing])
+    rows = values.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_m", F.explode(shares)).withColumn("pattern", F.explode(F.array(F.lit("random"), F.lit("rows"))))
+    entry = u(F.lit("e"), F.col("rep").cast("string"), F.col("user_id").cast("string"), F.col("topic"))
+    active = -F.log(u(F.lit("u"), F.col("rep").cast("string"), F.col("user_id").cast("string")))
+    kept = F.when(F.col("pattern") == "random", 1 - F.col("_m.missing")).otherwise(F.least(F.lit(1.0), F.col("_m.scale") * active))
+    return rows.where(entry < kept).select("pattern", F.col("_m.missing").alias("missing"), "rep", "user_id", "topic", "value")
+
+
 def cell_means(grid: DataFrame) -> DataFrame:
     return grid.groupBy("pattern", "n_rows", "missing", "n").agg(*[F.avg(c).alias(c) for c in ("pr", "erank", "srank")])
 

@@ -346,11 +346,6 @@ def missing_corrected_distance(spark, sf):
     return rounded(semantic.query_distances(v, v.where("user_id % 20 = 0"), [(list(ad.ORDER_TOPICS), 5.0)]), "distance")
 
 
-@query("simulation_grid")
-def simulation_grid(spark, sf):
-    return simulation.missingness_grid(spark, 20, (1_000, 10_000, 100_000, 1_000_000), (0.70, 0.75, 0.80, 0.85, 0.90, 0.95), tuple(range(1, 11)), 5)
-
-
 _NOISE = f"WITH {PANEL}, v AS (SELECT user_id, topic, sum(total)/sum(cnt) AS x FROM panel GROUP BY ALL), s AS (SELECT topic, var_samp(x) AS v FROM v GROUP BY topic), d AS (SELECT unnest(range(1, 101)) AS draw), u AS (SELECT draw, v.topic, x, s.v, (CAST('0x' || substr(md5('1:' || draw || ':' || v.topic || ':' || user_id), 1, 10) AS BIGINT) + 0.5)/1099511627776.0 AS u1, (CAST('0x' || substr(md5('2:' || draw || ':' || v.topic || ':' || user_id), 1, 10) AS BIGINT) + 0.5)/1099511627776.0 AS u2 FROM v JOIN s ON v.topic = s.topic, d), n AS (SELECT draw, topic, x + sqrt(v*(1-0.7::DOUBLE)/0.7::DOUBLE)*sqrt(-2*ln(u1))*cos(2*pi()*u2) AS x FROM u) SELECT CAST(draw AS INT) AS draw, topic, {q6('var_samp(x)')} AS variance FROM n GROUP BY ALL"
 
 

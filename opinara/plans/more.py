@@ -559,11 +559,15 @@ def shared_words(spark, sf):
     return loaders.shared_words(_counts(spark, sf).withColumnRenamed("count", "weight"), "src1", "src2", 40)
 
 
-@query("task_sources", "SELECT 'one_year' AS task, unnest(['US','US','GB','GB']) AS country, unnest(['offline','online','offline','online']) AS medium, unnest(['us_survey','us_posts','gb_survey','gb_posts']) AS source")
+@query("task_sources", "WITH u AS (SELECT r_name, count(*) AS users FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name), t AS (SELECT 'one_year' AS task, unnest(['US','US','GB','GB']) AS country, unnest(['offline','online','offline','online']) AS medium, unnest(['us_survey','us_posts','gb_survey','gb_posts']) AS source) SELECT task, country, medium, source, users FROM t JOIN u ON r_name = CASE country WHEN 'US' THEN 'AMERICA' ELSE 'EUROPE' END")
 def task_sources(spark, sf):
+    """The sources of a task, with the users that the tables have in their regions."""
     t = tasks.task("one_year", "US, GB")
     country, medium = tasks.source_maps(t.regions)
-    return spark.createDataFrame([(t.name, country[s], medium[s], s) for s in country], "task string, country string, medium string, source string")
+    sources = spark.createDataFrame([(t.name, country[s], medium[s], s, {"US": "AMERICA", "GB": "EUROPE"}[country[s]]) for s in country], "task string, country string, medium string, source string, r_name string")
+    c, n, r = (ad.table(spark, sf, name) for name in ("customer", "nation", "region"))
+    users = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("users"))
+    return users.join(F.broadcast(sources), "r_name").drop("r_name")
 
 
 # --- labels -----------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.operators import adjustment, correlation, curves, places, reliability, resampling, subsets, subspaces
+from opinara.operators import adjustment, correlation, curves, places, reliability, resampling, simulation, spectral, subsets, subspaces
 from opinara.plans.catalogue import _KDE, PAIRS, SQL, q6, query, rounded, society_pairs, the_pairs
 from opinara.plans.more import word_overlap
 from opinara.sources import adapters as ad
@@ -273,3 +273,27 @@ def stored_word_overlap(spark, sf):
     found = store.get_or_make("word_overlap", inputs, {"words": 3}, lambda: word_overlap(spark, sf))
     store.get_or_make("word_overlap", inputs, {"words": 2}, lambda: word_overlap(spark, sf).where("rank <= 2"))
     return found.withColumn("log", F.lit(",".join(what for _, what in store.log)))
+
+
+# --- missing entries --------------------------------------------------------------------------------------------------
+MISSING = (0.0, 0.25, 0.5, 0.75, 0.9)
+
+
+@query("simulation_grid")
+def simulation_grid(spark, sf):
+    """Spectral numbers of the customers' values when entries are taken away: two patterns, five shares, five repetitions."""
+    rows = simulation.thinned(_reliability_values(spark, sf).drop("source"), MISSING, 5)
+    found = spectral.spectra(rows, ("pattern", "missing", "rep"))
+    return rounded(found, "pr", "erank", "srank")
+
+
+@query(
+    "thinned_entries",
+    f"WITH {_parts(9)}, m AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS missing, unnest([{', '.join(repr(simulation.row_scale(1 - m)) for m in MISSING)}])::DOUBLE AS scale), r AS (SELECT unnest(range(5)) AS rep), "
+    "h AS (SELECT rep, topic, (CAST('0x' || substr(md5('0:e:' || rep || ':' || user_id || ':' || topic), 1, 10) AS BIGINT) + 0.5)/1099511627776.0 AS e, -ln((CAST('0x' || substr(md5('0:u:' || rep || ':' || user_id), 1, 10) AS BIGINT) + 0.5)/1099511627776.0) AS a FROM op, r) "
+    "SELECT pattern, missing, rep::INT AS rep, count(*) AS entries, count(DISTINCT topic) AS topics FROM h, m, (SELECT unnest(['random', 'rows']) AS pattern) WHERE e < CASE WHEN pattern = 'random' THEN 1 - missing ELSE least(1.0, scale * a) END GROUP BY ALL",
+)
+def thinned_entries(spark, sf):
+    """How many entries each cell of the grid keeps."""
+    rows = simulation.thinned(_reliability_values(spark, sf).drop("source"), MISSING, 5)
+    return rows.groupBy("pattern", "missing", "rep").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("topic").alias("topics"))

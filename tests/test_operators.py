@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from opinara.functions import stats
 from opinara.operators import adjustment, correlation, dimension, labels, panel, ranks, semantic, simulation, spectral
 from opinara.plans import catalogue, report
 from opinara.sources import adapters as ad
@@ -105,9 +106,31 @@ def test_whole_jobs_of_the_vector_queries(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(dimension, "levina_bickel", lambda n, *k: asked.append((n.agg({"rank": "max"}).first()[0], *k)) or n.selectExpr("1 points", "1.0 dimension", "1.0 lo", "1.0 hi"))
     catalogue.QUERIES["levina_bickel_dimension"](spark, sf_dir)
     assert asked == [(30, 10, 30)]
-    monkeypatch.setattr(simulation, "missingness_grid", lambda spark, *grid: grid)
-    l, sizes, missing, dims, reps = catalogue.QUERIES["simulation_grid"](spark, sf_dir)
-    assert (l, sizes, len(missing), len(dims), reps) == (20, (1_000, 10_000, 100_000, 1_000_000), 6, 10, 5)
+
+
+def test_thinned_values_spectra_equal_a_loop(spark):
+    import hashlib
+
+    rng = np.random.default_rng(8)
+    values = [(u, t, float(rng.normal() + (u % 3))) for u in range(200) for t in "abc"]
+    rows = simulation.thinned(spark.createDataFrame(values, "user_id long, topic string, value double"), (0.0, 0.6), 2, seed=3)
+    h = lambda *x: (int(hashlib.md5(":".join(map(str, (3, *x))).encode()).hexdigest()[:10], 16) + 0.5) / 2**40
+    got = {(r.pattern, r.missing, r.rep): r for r in spectral.spectra(rows, ("pattern", "missing", "rep")).collect()}
+    assert len(got) == 8
+    for (pattern, missing, rep), r in got.items():
+        x = np.full((200, 3), np.nan)
+        for u, t, v in values:
+            share = 1 - missing if pattern == "random" else min(1.0, simulation.row_scale(1 - missing) * -np.log(h("u", rep, u)))
+            if h("e", rep, u, t) < share:
+                x[u, "abc".index(t)] = v
+        seen = ~np.isnan(x)
+        z = np.where(seen, x, 0)
+        s = stats.spectrum(stats.available_covariance(z.T @ z, (seen.T.astype(float) @ seen), z.sum(0) / seen.sum(0)))
+        assert abs(r.pr - s["pr"]) < 1e-6 and abs(r.erank - s["erank"]) < 1e-6
+        assert missing == 0 or abs(seen.mean() - 0.4) < 0.08
+    for share in (0.1, 0.5, 0.9):
+        s = simulation.row_scale(share)
+        assert abs(np.minimum(1, s * rng.exponential(size=200_000)).mean() - share) < 0.005
 
 
 @pytest.mark.parametrize("pattern", ["random", "rows"])
