@@ -118,3 +118,24 @@ def test_no_rule_of_the_tables_stands_on_few_urls(spark):
     out = queries.op8_url_rules(spark, sf_dir)
     assert out.count() == pages.count()
     assert rules or out.where("rule is null and verdict = 'block'").count() == 0
+
+
+def test_the_method_decides_pages_where_urls_carry_a_signal(spark):
+    """The pages of sf0.1 with a planted combination of tokens: neither token alone is bad, both together are."""
+    import zlib
+
+    urls = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url").collect()]
+    h = lambda k, n: zlib.crc32(f"{k}:{n}".encode()) / 2**32
+
+    def planted(k, url):
+        base, sep, query = url.partition("?")
+        one, two = h(k, "path") < 0.4, h(k, "query") < 0.4
+        return (base.rstrip("/") + ("/promo" if one else "") + sep + query + (("&" if sep else "?") + "campaign=x" if two else "")).replace("#top", ""), one and two
+
+    pages = [(k, *planted(k, u)) for k, u in urls if u]
+    labelled = [(u, h(k, "bad") < (0.95 if both else 0.1)) for k, u, both in pages if k % 5 < 2]
+    out = urlfilter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, planted boolean").select("page_id", "url"), spark.createDataFrame(labelled, "url string, bad boolean"), rules=())
+    got = {r.page_id: r.verdict == "block" for r in out.collect()}
+    rest = [(got[k], both) for k, _, both in pages if k % 5 >= 2]
+    hit, false = (sum(g for g, b in rest if b == side) / sum(b == side for _, b in rest) for side in (True, False))
+    assert len(rest) > 1000 and hit > 0.95 and false < 0.05
