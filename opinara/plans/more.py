@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from opinara.functions import scalar
 from opinara.operators import adjustment, correlation, dimension, labels, panel, places, semantic, simulation, spectral, text
 from opinara.plans import loaders, tasks
-from opinara.plans.catalogue import CORR, EUROPE, OPINION, PAIRS, PANEL, RATER_NAMES, RATERS, SOCIETY, _CENT, _MAJ, _WORDS, _centroids, _counts, _user_values, q6, query, r6, rounded, society_pairs, the_pairs, the_panel, values
+from opinara.plans.catalogue import CORR, EUROPE, OPINION, PAIRS, PANEL, RATER_NAMES, RATERS, SOCIETY, SQL, _CENT, _MAJ, _WORDS, _centroids, _counts, _user_values, q6, query, r6, rounded, society_pairs, the_pairs, the_panel, values
 from opinara.session import shared_folder
 from opinara.sources import adapters as ad
 from opinara.sources import readers, sinks
+from opinara.sources.store import ResultStore
 from opinara.streaming import jobs
 
 
@@ -554,6 +555,16 @@ def word_overlap(spark, sf):
     return loaders.word_overlap(sims, ad.keyword_vectors(spark, sf), 3)
 
 
+@query("stored_word_overlap", f"SELECT *, 'miss,hit,miss' AS log FROM ({SQL['word_overlap']})")
+def stored_word_overlap(spark, sf):
+    """The word overlap from a result store: made, found again, and made anew for another number of words."""
+    store, inputs = ResultStore(spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"), [f"{sf}/embeddings.parquet"]
+    store.get_or_make("word_overlap", inputs, {"words": 3}, lambda: word_overlap(spark, sf))
+    found = store.get_or_make("word_overlap", inputs, {"words": 3}, lambda: word_overlap(spark, sf))
+    store.get_or_make("word_overlap", inputs, {"words": 2}, lambda: word_overlap(spark, sf).where("rank <= 2"))
+    return found.withColumn("log", F.lit(",".join(what for _, what in store.log)))
+
+
 @query("shared_words", f"WITH {_WORDS}, k AS (SELECT topic, word FROM c WHERE topic IN ('src1', 'src2') QUALIFY row_number() OVER (PARTITION BY topic ORDER BY count DESC, word) <= 40) SELECT word, CASE WHEN count(*) = 2 THEN 'both' ELSE min(topic) END AS side FROM k GROUP BY word")
 def shared_words(spark, sf):
     return loaders.shared_words(_counts(spark, sf).withColumnRenamed("count", "weight"), "src1", "src2", 40)

@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.operators import adjustment, correlation, curves, places, reliability, resampling, simulation, spectral, subsets, subspaces
-from opinara.plans.catalogue import _KDE, PAIRS, SQL, q6, query, rounded, society_pairs, the_pairs
-from opinara.plans.more import word_overlap
+from opinara.plans.catalogue import _KDE, PAIRS, q6, query, rounded, society_pairs, the_pairs
 from opinara.sources import adapters as ad
-from opinara.sources.store import ResultStore
 
 
 # --- all topic sets ---------------------------------------------------------------------------------------------------
@@ -240,7 +238,7 @@ def reliability_baseline(spark, sf):
     return rounded(found.select("mean_a", "mean_b", "gap", "ratio"), "mean_a", "mean_b", "gap", "ratio")
 
 
-# --- places and stored results ----------------------------------------------------------------------------------------
+# --- places ---------------------------------------------------------------------------------------------------------
 def _tokens(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
@@ -261,20 +259,6 @@ def gazetteer_places(spark, sf):
     return places.gazetteer_matches(ad.table(spark, sf, "documents"), gazetteer, "doc_id", "text")
 
 
-@query("stored_word_overlap", f"SELECT *, 'miss,hit,miss' AS log FROM ({SQL['word_overlap']})")
-def stored_word_overlap(spark, sf):
-    """The word overlap from a result store: made, found again, and made anew for another number of words."""
-    import uuid
-
-    from opinara.session import shared_folder
-
-    store, inputs = ResultStore(spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"), [f"{sf}/embeddings.parquet"]
-    store.get_or_make("word_overlap", inputs, {"words": 3}, lambda: word_overlap(spark, sf))
-    found = store.get_or_make("word_overlap", inputs, {"words": 3}, lambda: word_overlap(spark, sf))
-    store.get_or_make("word_overlap", inputs, {"words": 2}, lambda: word_overlap(spark, sf).where("rank <= 2"))
-    return found.withColumn("log", F.lit(",".join(what for _, what in store.log)))
-
-
 # --- missing entries --------------------------------------------------------------------------------------------------
 MISSING = (0.0, 0.25, 0.5, 0.75, 0.9)
 
