@@ -50,35 +50,36 @@ def zeta(square: np.ndarray) -> np.ndarray:
 
 
 class SubsetSums:
-    """Sum and number of the values of the pairs inside subsets of topics."""
+    """Of the pairs inside subsets of topics: the sum of their values, how many have one, and how many there are."""
 
     def __init__(self, i: np.ndarray, j: np.ndarray, y: np.ndarray, n: int):
-        self.value, self.seen = np.zeros((n, n)), np.zeros((n, n))
-        self.value[i, j] = self.value[j, i] = y
-        self.seen[i, j] = self.seen[j, i] = 1
-        self.tables = (zeta(self.value), zeta(self.seen)) if n <= ZETA else None
+        self.squares = np.zeros((3, n, n))
+        known = ~np.isnan(y)
+        for k, v in enumerate((np.where(known, y, 0.0), known, 1)):
+            self.squares[k, i, j] = self.squares[k, j, i] = v
+        self.tables = [zeta(s) for s in self.squares] if n <= ZETA else None
 
-    def of(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, members: np.ndarray) -> np.ndarray:
         if self.tables:
             masks = (1 << members).sum(1)
-            return self.tables[0][masks], self.tables[1][masks].astype(np.int64)
-        total, n = np.zeros(len(members)), np.zeros(len(members), np.int64)
+            return np.array([t[masks] for t in self.tables])
+        out = np.zeros((3, len(members)))
         for a in range(members.shape[1]):
             for b in range(a + 1, members.shape[1]):
-                total += self.value[members[:, a], members[:, b]]
-                n += self.seen[members[:, a], members[:, b]].astype(np.int64)
-        return total, n
+                out += self.squares[:, members[:, a], members[:, b]]
+        return out
 
 
 def subset_means(pairs: DataFrame, topics: Sequence[str], size: int, value: str = "y", by: tuple[str, ...] = ("society",), complete: bool = False) -> DataFrame:
     """(by..., subset, pairs, mean): mean of a value of topic pairs (t1, t2) over the pairs within each subset of ``size`` topics.
 
-    Subsets are numbered in lexicographic order.  Pairs without a value are left out, or, with ``complete``, the subsets that
-    lack one; subsets without any pair give no row.  ``pairs`` has one row for each pair."""
+    Subsets are numbered in lexicographic order.  The mean is over the pairs that have a value; with ``complete`` subsets that lack
+    one are left out.  ``pairs`` counts those with and without a value; subsets without any give no row.  The input has one row for
+    each pair."""
     spark, names = pairs.sparkSession, sorted(topics)
     n = len(names)
     place = F.map_from_arrays(F.array(*[F.lit(t) for t in names]), F.array(*[F.lit(i) for i in range(n)]))
-    known = pairs.where(F.col(value).isNotNull()).select(*by, F.try_element_at(place, "t1").alias("i"), F.try_element_at(place, "t2").alias("j"), F.col(value).cast("double").alias("v")).where("i is not null and j is not null and i <> j")
+    known = pairs.select(*by, F.try_element_at(place, "t1").alias("i"), F.try_element_at(place, "t2").alias("j"), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v")).where("i is not null and j is not null and i <> j")
     # One row for each society, of at most n * (n - 1) / 2 pairs.
     squares = known.groupBy(*by).agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"), F.collect_list("v").alias("v"))
     total, inside = comb(n, size), comb(size, 2)
@@ -96,10 +97,10 @@ def subset_means(pairs: DataFrame, topics: Sequence[str], size: int, value: str
                     last, sums = key, SubsetSums(i.astype(int), j.astype(int), v.astype(float), n)
                 first = b.column(k)[r].as_py() * STEP
                 numbers = np.arange(first, min(first + STEP, total))
-                s, seen = sums.of(unrank(numbers, n, size))
-                keep = np.flatnonzero(seen == inside if complete else seen > 0)
+                s, seen, there = sums.of(unrank(numbers, n, size))
+                keep = np.flatnonzero(seen == inside if complete else there > 0)
                 own = [pa.array([x] * len(keep), b.schema.field(c).type) for c, x in enumerate(key)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(numbers[keep]), pa.array(seen[keep]), pa.array(s[keep] / seen[keep])], names=[*by, "subset", "pairs", "mean"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(numbers[keep]), pa.array(there[keep].astype(np.int64)), pa.array(s[keep] / np.maximum(seen[keep], 1), mask=seen[keep] == 0)], names=[*by, "subset", "pairs", "mean"])
 
     kinds = ", ".join(f"{c} {dict(pairs.dtypes)[c]}" for c in by)
     return tasks.mapInArrow(run, f"{kinds}{', ' if by else ''}subset long, pairs long, mean double")

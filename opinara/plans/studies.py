@@ -150,7 +150,12 @@ def _lines(rows: str, points: int, spans: tuple[float, ...] = SPANS) -> str:
     )
 
 
-_WEIGHTED = f"{_KDE.replace('a.society, a.t1, a.t2, a.y,', 'a.society, a.t1, a.t2, a.x, a.y,').replace('SELECT society, y, CASE', 'SELECT society, x, y, CASE')}"
+_WEIGHTED = (
+    _KDE.replace("a.society, a.t1, a.t2, a.y,", "a.society, a.t1, a.t2, a.x, a.y,")
+    .replace("SELECT society, y, CASE", "SELECT society, x, y, CASE")
+    .replace("soc AS (SELECT CAST(year", "soc0 AS (SELECT CAST(year")
+    .replace(", h AS (SELECT society", ", soc AS (SELECT * FROM soc0 WHERE x IS NOT NULL AND y IS NOT NULL), h AS (SELECT society", 1)
+)  # only pairs with both values have a weight
 
 
 @query("loess_spans", f"{_WEIGHTED}, {_lines('SELECT society AS g, x, y, w FROM z WHERE x IS NOT NULL AND y IS NOT NULL', 25)} SELECT g AS society, span, fit, {q6('x')} AS x, round(value, 4) + 0.0 AS value FROM lf")
@@ -161,12 +166,12 @@ def loess_spans(spark, sf):
     return rounded(found, "x").withColumn("value", F.round("value", 4) + 0.0)
 
 
-@query("loess_prices", f"WITH {_lines('SELECT l_returnflag AS g, l_extendedprice/1000 AS x, l_tax*100 AS y, l_quantity AS w FROM lineitem', 9, (0.3, 0.7))} SELECT g AS l_returnflag, span, fit, {q6('x')} AS x, round(value, 4) + 0.0 AS value FROM lf")
+@query("loess_prices", f"WITH {_lines('SELECT l_returnflag AS g, l_extendedprice/1000 AS x, l_tax*100 AS y, l_quantity AS w FROM lineitem', 9, (0.3, 0.7))} SELECT g AS l_returnflag, span, fit, round(x, 9) + 0.0 AS x, round(value, 4) + 0.0 AS value FROM lf")
 def loess_prices(spark, sf):
     """The same over all line items: tax on price, raw and weighted by quantity."""
     rows = ad.table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 1000).alias("x"), (F.col("l_tax") * 100).alias("y"), F.col("l_quantity").alias("w"))
     found = curves.local_lines(rows, "l_returnflag", "x", "y", {"raw": None, "reweighted": "w"}, (0.3, 0.7), 9)
-    return rounded(found, "x").withColumn("value", F.round("value", 4) + 0.0)
+    return found.withColumn("x", F.round("x", 9) + 0.0).withColumn("value", F.round("value", 4) + 0.0)
 
 
 @query(
