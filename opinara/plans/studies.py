@@ -286,3 +286,6 @@ def thinned_entries(spark, sf):
     """How many entries each cell of the grid keeps."""
     rows = simulation.thinned(_reliability_values(spark, sf).drop("source"), MISSING, 5)
     return rows.groupBy("pattern", "missing", "rep").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("topic").alias("topics"))
+
+
+from opinara.plans import sensitivity as _sensitivity  # noqa: E402, F401  (adds its queries)
