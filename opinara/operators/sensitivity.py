@@ -185,3 +185,27 @@ def level_frame(values: DataFrame, draws: int = 2000, seed: int = 0, alpha: floa
     means = draw_sums(rows, ("medium", "society"), ("y",), draws, seed, ("t1", "t2")).select("medium", "society", "draw", (F.col("y") / F.col("n")).alias("value"))
     spread = means.groupBy("medium", "draw").agg((F.max("value") - F.min("value")).alias("range"))
     return limits(means, ("medium", "society"), ("value",), ("value",), alpha).join(limits(spread, ("medium",), ("range",), ("range",), alpha), "medium")
+
+
+def common_topics(values: DataFrame, societies: Sequence[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """``values`` (by..., society, topic, value) of the societies, without the topics that one of them has no value of (in each group
+    of ``by``), so that all are compared on identical items."""
+    own = values.where(F.col("society").isin(list(societies)) & F.col("value").isNotNull())
+    fielded = own.groupBy(*by, "topic").agg(F.count_distinct("society").alias("_n")).where(F.col("_n") == len(set(societies))).drop("_n")
+    return own.join(fielded, [*by, "topic"], "left_semi").select(*values.columns)
+
+
+def level_gaps(pairs: DataFrame, first: str, second: str, by: tuple[str, ...] = ("items",), draws: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(by..., pairs_first, pairs_second, mean_first, mean_second, gap, ratio) of two societies' mean y, each of the last four with
+    limits from draws of each society's own pairs.
+
+    ``pairs`` is (by..., society, t1, t2, y); rows without y are left out, groups that lack one of the societies have no row."""
+    rows = bounded(pairs).where(F.col("society").isin(first, second) & F.col("y").isNotNull())
+    sums = draw_sums(rows, (*by, "society"), ("y",), draws, seed, ("t1", "t2"))
+    pick = lambda s, v: F.max(F.when(F.col("society") == s, v))
+    each = sums.groupBy(*by, "draw").agg(*[pick(s, v).alias(f"{c}_{k}") for k, s in (("first", first), ("second", second)) for c, v in (("pairs", F.col("n")), ("mean", F.col("y") / F.col("n")))])
+    a, b = F.col("mean_first"), F.col("mean_second")
+    each = each.where(a.isNotNull() & b.isNotNull()).withColumns({"gap": a - b, "ratio": F.try_divide(a, b)})
+    measures = ("mean_first", "mean_second", "gap", "ratio")
+    found = limits(each, by, ("pairs_first", "pairs_second", *measures), measures, alpha)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("pairs_first", "pairs_second")})

@@ -149,12 +149,12 @@ def topic_names(rows: DataFrame) -> list[str]:
     return names
 
 
-def bootstrap_spectra(values: DataFrame, draws: int = 2000, seed: int = 0, by: tuple[str, ...] = ("year",), key: str = "user_id", alpha: float = 0.05) -> DataFrame:
-    """Row bootstrap: every user gets a Poisson(1) weight in each draw, hashed from seed, period, draw and user, so no rows
-    are gathered or resampled; draws are averaged over ``by`` and summarised by quantiles."""
+def draw_spectra(values: DataFrame, draws: int = 2000, seed: int = 0, by: tuple[str, ...] = ("year",), key: str = "user_id") -> DataFrame:
+    """(by..., draw, k, pr, erank, srank) of the sample (draw 0) and of each draw of a row bootstrap: every user gets a Poisson(1)
+    weight in each draw, hashed from seed, period, draw and user, so no rows are gathered or resampled; k topics have a value."""
     names = topic_names(values)
     at, k = {t: i for i, t in enumerate(names)}, len(names)
-    schema = T.StructType([*[values.schema[c] for c in by], T.StructField("draw", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("pr", "erank", "srank")]])
+    schema = T.StructType([*[values.schema[c] for c in by], T.StructField("draw", T.IntegerType()), T.StructField("k", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("pr", "erank", "srank")]])
 
     def finish(f: pd.DataFrame) -> pd.DataFrame:
         """All draws of a period: (draws + 1) K x K matrices."""
@@ -167,17 +167,35 @@ def bootstrap_spectra(values: DataFrame, draws: int = 2000, seed: int = 0, by: t
         used = (n > 0).any(0).any(0)  # topics of this period
         cov = np.where(n > 1, (s - n * mean[:, :, None] * mean[:, None]) / np.maximum(n - 1, 1), 0.0)[:, used][:, :, used]
         out = [stats.rank_numbers(e) for e in np.linalg.eigvalsh(cov)]
-        return pd.DataFrame([{c: f[c].iloc[0] for c in by} | {"draw": i} | o for i, o in enumerate(out)])
+        return pd.DataFrame([{c: f[c].iloc[0] for c in by} | {"draw": i, "k": int(used.sum())} | o for i, o in enumerate(out)])
 
     sums = bootstrap_sums(values, names, draws, seed, by, key)
-    per = (sums.groupBy(*by) if by else sums.withColumn("_g", F.lit(0)).groupBy("_g")).applyInPandas(finish, schema)
-    mean = per.groupBy("draw").agg(*[F.avg(m).alias(m) for m in ("pr", "erank", "srank")])
+    return (sums.groupBy(*by) if by else sums.withColumn("_g", F.lit(0)).groupBy("_g")).applyInPandas(finish, schema)
+
+
+def draw_limits(draws: DataFrame, by: tuple[str, ...], alpha: float) -> DataFrame:
+    """Draw 0 of the three numbers, and quantiles and deviation of the others."""
     point = F.col("draw") == 0
     out = []
     for m in ("pr", "erank", "srank"):
         reps = F.when(~point, F.col(m))
         out += [F.max(F.when(point, F.col(m))).alias(m), F.percentile(reps, F.lit(alpha / 2)).alias(f"{m}_lo"), F.percentile(reps, F.lit(1 - alpha / 2)).alias(f"{m}_hi"), F.stddev_samp(reps).alias(f"{m}_se")]
-    return mean.agg(*out)
+    return draws.groupBy(*by).agg(*out)
+
+
+def bootstrap_spectra(values: DataFrame, draws: int = 2000, seed: int = 0, by: tuple[str, ...] = ("year",), key: str = "user_id", alpha: float = 0.05) -> DataFrame:
+    """One row: the numbers of ``draw_spectra`` averaged over ``by``, with limits."""
+    mean = draw_spectra(values, draws, seed, by, key).groupBy("draw").agg(*[F.avg(m).alias(m) for m in ("pr", "erank", "srank")])
+    return draw_limits(mean, (), alpha)
+
+
+def spectral_table(values: DataFrame, draws: int = 2000, seed: int = 0, by: tuple[str, ...] = ("society", "medium"), over: tuple[str, ...] = (), key: str = "user_id", alpha: float = 0.05) -> DataFrame:
+    """(by..., k, pr, pr_lo, pr_hi, pr_se, ..., pr_per_topic, ...): numbers of each group with limits, averaged over the periods
+    ``over`` in each draw, and the numbers as shares of the topics of the group (their mean over the periods).  Rows without a group
+    or period are left out."""
+    each = draw_spectra(values, draws, seed, (*by, *over), key).groupBy(*by, "draw").agg(F.avg("k").alias("k"), *[F.avg(m).alias(m) for m in ("pr", "erank", "srank")])
+    found = draw_limits(each, by, alpha).join(each.where("draw = 0").select(*by, "k"), list(by))
+    return found.select(*by, "k", *[c for c in found.columns if c not in (*by, "k")], *[(F.col(m) / F.col("k")).alias(f"{m}_per_topic") for m in ("pr", "erank")])
 
 
 def listwise_covariance(wide: DataFrame, columns: list[str]) -> DataFrame:

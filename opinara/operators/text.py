@@ -84,10 +84,22 @@ def word_counts(posts: DataFrame, text: str, topic: str, pattern: str = "[a-z]+"
 
 
 def top_share(counts: DataFrame, share: float = 0.01) -> DataFrame:
-    """The most frequent floor(share * words) words of each topic, ties by word."""
+    """The most frequent floor(share * words) words of each topic, ties by word.
+
+    A topic's vocabulary is never ordered in one task: how many words have each count (few counts are different) tells the counts
+    that are kept whole, and only the words of the one count that is kept in part are numbered, over range partitions."""
+    from opinara.operators.ranks import numbered
+    from opinara.session import cut_lineage
+
+    counts = cut_lineage(counts, "counts")
     w = Window.partitionBy("topic")
-    ranked = counts.withColumn("_n", F.row_number().over(w.orderBy(F.desc("count"), "word"))).withColumn("_size", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_n") <= F.floor(F.col("_size") * F.lit(share))).drop("_n", "_size")
+    levels = counts.groupBy("topic", "count").agg(F.count(F.lit(1)).alias("_words"))
+    before = F.sum("_words").over(w.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1))
+    levels = levels.withColumn("_room", F.floor(F.sum("_words").over(w) * F.lit(share)) - F.coalesce(before, F.lit(0))).where("_room > 0")
+    levels = levels.select(F.col("topic").alias("_topic"), F.col("count").alias("_count"), "_room", (F.col("_room") < F.col("_words")).alias("_part"))
+    rows = counts.join(levels, F.col("topic").eqNullSafe(F.col("_topic")) & (F.col("count") == F.col("_count"))).drop("_topic", "_count")
+    ties = numbered(rows.where("_part"), ["topic"], [F.col("word")]).where("_n <= _room")
+    return rows.where("not _part").select(*counts.columns).unionByName(ties.select(*counts.columns))
 
 
 #: The counts after the cut fit a broadcast up to this number of topics.

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.operators import adjustment, panel, portraits, sensitivity, spectral
+from opinara.operators import adjustment, correlation, panel, portraits, sensitivity, spectral
 from opinara.plans.catalogue import CORR, PAIRS, PANEL, SOCIETY, q6, query, rounded, society_pairs, the_pairs, the_panel, values
 from opinara.plans.studies import _names, _parts, part_correlations, part_opinions
 from opinara.session import cut_lineage
@@ -143,6 +143,55 @@ def medium_level_limits(spark, sf):
     return rounded(_levels(spark, sf, 2000), "value", "value_lo", "value_hi", "range", "range_lo", "range_hi")
 
 
+# --- identical items --------------------------------------------------------------------------------------------------
+def _media_values(spark, sf) -> DataFrame:
+    """(user_id, items, society, topic, value): the two media as two sets of the same nine items."""
+    media = F.array(*[F.struct(F.lit(m).alias("items"), F.col(m).alias("value")) for m in ("off", "on")])
+    return part_opinions(spark, sf, 9).select("user_id", "society", "topic", F.explode(media).alias("m")).select("user_id", "m.items", "society", "topic", "m.value")
+
+
+def _item_gaps(spark, sf, draws: int) -> DataFrame:
+    rows = sensitivity.common_topics(_media_values(spark, sf), ("AMERICA", "ASIA"), ("items",))
+    found = correlation.pairwise(correlation.topic_pairs(rows, ("user_id", "items", "society")), ("items", "society"))
+    return sensitivity.level_gaps(found.withColumn("y", F.abs("r")), "AMERICA", "ASIA", ("items",), draws)
+
+
+@query(
+    "identical_item_gaps",
+    f"WITH {_parts(9)}, lg AS (SELECT 'off' AS items, user_id, society, topic, off_ AS v FROM op UNION ALL SELECT 'on', user_id, society, topic, on_ FROM op), "
+    "ft AS (SELECT items, topic FROM lg WHERE society IN ('AMERICA', 'ASIA') AND v IS NOT NULL GROUP BY ALL HAVING count(DISTINCT society) = 2), lk AS (SELECT lg.* FROM lg JOIN ft USING (items, topic) WHERE v IS NOT NULL), "
+    "rr AS (SELECT a.items, a.society, abs(corr(a.v, b.v)) AS r FROM lk a JOIN lk b ON a.items = b.items AND a.user_id = b.user_id AND a.society = b.society AND a.topic < b.topic GROUP BY a.items, a.society, a.topic, b.topic), "
+    "mn AS (SELECT items, avg(r) FILTER (society = 'AMERICA') AS a, avg(r) FILTER (society = 'ASIA') AS b, count(r) FILTER (society = 'AMERICA') AS na, count(r) FILTER (society = 'ASIA') AS nb FROM rr GROUP BY items) "
+    f"SELECT items, na AS pairs_first, nb AS pairs_second, {q6('a')} AS mean_first, {q6('b')} AS mean_second, {q6('a - b')} AS gap, {q6('a / b')} AS ratio FROM mn",
+)
+def identical_item_gaps(spark, sf):
+    """Mean |r| of two regions on the items that both answered, their gap and ratio."""
+    found = _item_gaps(spark, sf, 0).select("items", "pairs_first", "pairs_second", "mean_first", "mean_second", "gap", "ratio")
+    return rounded(found, "mean_first", "mean_second", "gap", "ratio")
+
+
+@query("identical_item_limits")
+def identical_item_limits(spark, sf):
+    found = _item_gaps(spark, sf, 2000)
+    return rounded(found, *[c for c in found.columns if c not in ("items", "pairs_first", "pairs_second")])
+
+
+@query("identical_item_spectra")
+def identical_item_spectra(spark, sf):
+    """Spectral numbers of both regions on identical items, also as shares of the topics, with limits of 2,000 draws of users."""
+    rows = sensitivity.common_topics(_media_values(spark, sf), ("AMERICA", "ASIA"), ("items",))
+    found = spectral.spectral_table(rows, by=("items", "society"))
+    return rounded(found, *[c for c in found.columns if c not in ("items", "society")])
+
+
+@query("period_spectral_table")
+def period_spectral_table(spark, sf):
+    """The same of two halves of the years, averaged over the years of each in every draw."""
+    rows = values(spark, sf).withColumn("half", F.when(F.col("year") < 1998, "early").otherwise("late"))
+    found = spectral.spectral_table(rows, by=("half",), over=("year",))
+    return rounded(found, *[c for c in found.columns if c != "half"])
+
+
 # --- ellipses ---------------------------------------------------------------------------------------------------------
 STRETCH = 2.5
 _CASES = f"{PAIRS}, cs AS (SELECT user_id, year, x, y FROM pairs WHERE t1 = '1-URGENT' AND t2 = '2-HIGH'), cm AS (SELECT year, count(*) AS n, {CORR} AS r, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM cs GROUP BY year), ce AS (SELECT *, CASE WHEN r < 0 THEN -45.0::DOUBLE ELSE 45.0 END AS angle, pow(greatest((1+abs(r))*n/(n-1), 1e-12), {STRETCH}/2) AS major, pow(greatest((1-abs(r))*n/(n-1), 1e-12), {STRETCH}/2) AS minor FROM cm WHERE n >= 5 AND r IS NOT NULL)"

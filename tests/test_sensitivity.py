@@ -173,3 +173,57 @@ def test_rebuilt_covariance(spark):
     want = {(r.year, r.t1, r.t2): r["cov"] for r in spectral.available_covariance(values, ("year",)).collect()}
     got = {(r.year, r.t1, r.t2): r["cov"] for r in portraits.rebuilt_covariance(spectral.loading_report(values)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_identical_items(spark):
+    rows = [("i", s, t, v) for s in "ab" for t in "xyz" for v in (1.0, 2.0)] + [("i", "a", "only a", 1.0), ("i", "b", "only a", None), ("i", "c", "x", 1.0), ("j", "a", "x", 1.0), (None, "a", "x", 1.0)]
+    values = spark.createDataFrame(rows, "items string, society string, topic string, value double")
+    kept = sensitivity.common_topics(values, ("a", "b"), ("items",)).collect()
+    assert sorted(map(tuple, kept)) == sorted(("i", s, t, v) for s in "ab" for t in "xyz" for v in (1.0, 2.0))
+    pairs = [(m, *q) for m, seed in (("m1", 2), ("m2", 5)) for q in pair_rows(seed)] + [("m1", "a", "n", "u", 0.0, None), ("m3", "a", "n", "u", 0.0, 0.5)]
+    df = spark.createDataFrame(pairs, "items string, society string, t1 string, t2 string, x double, y double").repartition(3)
+    got = {q["items"]: q for q in sensitivity.level_gaps(df, "a", "b", draws=500).collect()}
+    assert set(got) == {"m1", "m2"}
+    for m, q in got.items():
+        a, b = (np.array([p[5] for p in pairs if p[0] == m and p[1] == s and p[5] is not None]) for s in "ab")
+        assert (q.pairs_first, q.pairs_second) == (20, 15) and np.allclose([q.mean_first, q.mean_second, q.gap, q.ratio], [a.mean(), b.mean(), a.mean() - b.mean(), a.mean() / b.mean()])
+        half = 1.96 * (a.var() / len(a) + b.var() / len(b)) ** 0.5
+        assert abs(q.gap_lo - (q.gap - half)) < 0.3 * half and abs(q.gap_hi - (q.gap + half)) < 0.3 * half and q.ratio_lo < q.ratio < q.ratio_hi
+
+
+def test_spectral_table_is_the_spectra_with_limits(spark):
+    rng, rows, full = np.random.default_rng(7), [], {}
+    for s, spread in (("a", 1.5), ("b", 0.2)):
+        x = rng.normal(size=(150, 4)) + spread * rng.normal(size=(150, 1))
+        full[s] = x
+        rows += [(s, u, f"t{j}", float(v)) for u, r in enumerate(x) for j, v in enumerate(r)]
+    rows += [("b", 1, "t9", None), (None, 1, "t0", 1.0)]
+    values = spark.createDataFrame(rows, "society string, user_id long, topic string, value double").repartition(3)
+    got = {q.society: q for q in spectral.spectral_table(values, 400, by=("society",)).collect()}
+    assert set(got) == {"a", "b"}
+    for s, x in full.items():
+        want, reps = stats.spectrum(np.cov(x.T)), []
+        for _ in range(400):
+            reps.append(stats.spectrum(np.cov(x[rng.integers(0, 150, 150)].T))["pr"])
+        q = got[s]
+        assert q.k == 4 and all(abs(q[m] - want[m]) < 1e-9 for m in want) and abs(q.pr_per_topic - want["pr"] / 4) < 1e-9
+        lo, hi = np.quantile(reps, [0.025, 0.975])
+        assert abs(q.pr_lo - lo) < 0.3 * (hi - lo) and abs(q.pr_hi - hi) < 0.3 * (hi - lo)
+    years = values.where("society is not null").withColumn("year", F.when(F.col("society") == "a", 1).otherwise(2)).withColumn("society", F.lit("all"))
+    one = spectral.spectral_table(years, 20, by=("society",), over=("year",)).first()
+    assert abs(one.pr - (got["a"].pr + got["b"].pr) / 2) < 1e-9
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.35, 1.0])
+def test_top_share_numbers_only_ties(spark, share):
+    from opinara.operators import text
+
+    rng = np.random.default_rng(8)
+    rows = [(t, f"w{k:03d}", int(rng.integers(1, 4 + 3 * (k % 5)))) for t, n in (("a", 70), ("b", 9), (None, 21)) for k in range(n)] + [("flat", f"w{k}", 1) for k in range(40)]
+    counts = spark.createDataFrame(rows, "topic string, word string, count long").repartition(5)
+    want = set()
+    for t in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == t), key=lambda r: (-r[2], r[1]))
+        want |= set(own[: math.floor(len(own) * share)])
+    got = text.top_share(counts, share).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
