@@ -255,8 +255,8 @@ def listwise_score_lengths(spark, sf):
 @query(
     "rebuilt_covariance",
     f"WITH {PANEL}, m AS (SELECT year, topic, avg(mean) AS m FROM panel GROUP BY ALL), s AS (SELECT a.year, a.topic AS t1, b.topic AS t2, count(*) AS n, sum(a.mean*b.mean) AS s FROM panel a JOIN panel b ON a.user_id = b.user_id AND a.year = b.year AND a.topic <= b.topic GROUP BY ALL) "
-    f"SELECT s.year, t1, t2, {q6('CASE WHEN n > 1 THEN (s - n*x.m*y.m)/(n-1) ELSE 0.0 END')} AS cov FROM s JOIN m x ON x.year = s.year AND x.topic = t1 JOIN m y ON y.year = s.year AND y.topic = t2",
+    f"SELECT x.year, x.topic AS t1, y.topic AS t2, {q6('CASE WHEN n > 1 THEN (s - n*x.m*y.m)/(n-1) ELSE 0.0 END')} AS cov FROM m x JOIN m y ON x.year = y.year AND x.topic <= y.topic LEFT JOIN s ON s.year = x.year AND s.t1 = x.topic AND s.t2 = y.topic",
 )
 def rebuilt_covariance(spark, sf):
-    """Every year's covariance, rebuilt from its report of components."""
+    """Every year's covariance, rebuilt from its report of components: all pairs of its topics, 0 for those that no user has both of."""
     return rounded(portraits.rebuilt_covariance(spectral.loading_report(values(spark, sf))), "cov")
