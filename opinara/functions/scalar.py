@@ -135,10 +135,10 @@ def softmax_one(logits: Column, k: int) -> Column:
     return F.element_at(e, k + 1) / F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
 
 
-def label_answer(x: Column, irrelevant: int = -99) -> Column:
-    """A model's answer as a label: its first line, "skip" is irrelevant, else the first signed integer."""
+def label_answer(x: Column, irrelevant: int = -99, skip: str = "skip") -> Column:
+    """A model's answer as a label: its first line, the word ``skip`` is irrelevant, else the first signed integer."""
     line = F.lower(F.trim(F.split_part(F.trim(x), F.lit("\n"), F.lit(1))))
-    return F.when(line.contains("skip"), F.lit(irrelevant)).otherwise(F.regexp_extract(line, r"(-?\d+)", 1).try_cast("int"))
+    return F.when(line.contains(skip.lower()), F.lit(irrelevant)).otherwise(F.regexp_extract(line, r"(-?\d+)", 1).try_cast("int"))
 
 
 #: Words after which a Chinese answer names its number, in the order in which they are looked for (fixed values).
@@ -150,8 +150,9 @@ def label_answer_zh(x: Column, irrelevant: int = -99) -> Column:
     line = F.split_part(x, F.lit("\n"), F.lit(1))
     number = F.regexp_extract(line, r"(-?\d+)", 1).try_cast("int")
     rest = F.when(line.contains("答案为") | line.contains("答案是"), F.get(F.split(line, "答案"), F.lit(1))).otherwise(line)
-    for mark in ANSWER_MARKS:
-        rest = F.when(rest.contains(mark), F.get(F.split(rest, mark), F.lit(1))).otherwise(rest)
+    # A fold, as nested conditions would hold the text three times for each mark and outgrow what the JVM compiles.
+    marks = F.array(*[F.lit(m) for m in ANSWER_MARKS])
+    rest = F.aggregate(marks, rest, lambda t, mark: F.when(t.contains(mark), F.split_part(t, mark, F.lit(2))).otherwise(t))
     rest = F.regexp_replace(F.regexp_replace(rest, "^[为是。：]+|[为是。：]+$", ""), "[ 。]", "")
     quoted = F.substring(F.regexp_extract(rest, "“(.+?)”", 1), 1, 1)
     return F.when(line.contains("无关"), F.lit(irrelevant)).when(number.isNotNull(), number).when(line.contains("中立"), F.lit(0)).otherwise(F.coalesce(_han_number(rest), _han_number(quoted)))
@@ -162,12 +163,19 @@ def _han_number(x: Column) -> Column:
     return F.translate(x, "０１２３４５６７８９－", "0123456789-").try_cast("int")
 
 
-def support_answer(x: Column, five: bool = False, irrelevant: int = -99) -> Column:
-    """Stance words of a Chinese answer as a label from -1 to 1, or with ``five`` from -2 to 2."""
-    out = F.when(x.contains("无关"), F.lit(irrelevant))
+#: Words of a Chinese answer: irrelevant, strongly against, strongly for, against, for (fixed values).
+STANCE_WORDS = ("无关", "非常不支持", "非常支持", "不支持", "支持")
+
+
+def support_answer(x: Column, five: bool = False, irrelevant: int = -99, words: Sequence[str] = STANCE_WORDS) -> Column:
+    """Stance words of an answer as a label from -1 to 1, or with ``five`` from -2 to 2; none of the words is 0.
+
+    ``words``: irrelevant, strongly against, strongly for, against, for, looked for in this order."""
+    none, strongly_against, strongly_for, against, in_favour = words
+    out = F.when(x.contains(none), F.lit(irrelevant))
     if five:
-        out = out.when(x.contains("非常不支持"), F.lit(-2)).when(x.contains("非常支持"), F.lit(2))
-    return out.when(x.contains("不支持"), F.lit(-1)).when(x.contains("支持"), F.lit(1)).otherwise(F.lit(0))
+        out = out.when(x.contains(strongly_against), F.lit(-2)).when(x.contains(strongly_for), F.lit(2))
+    return out.when(x.contains(against), F.lit(-1)).when(x.contains(in_favour), F.lit(1)).otherwise(F.lit(0))
 
 
 def place_answer(x: Column) -> Column:
@@ -199,6 +207,19 @@ def first_match(rules: Sequence[tuple[Column, str]], fallback: str) -> Column:
     return out.otherwise(F.lit(fallback)) if out is not None else F.lit(fallback)
 
 
+def lookup(x: Column, names: dict[str, str]) -> Column:
+    """The name that a dictionary gives for a value; null for values without one."""
+    if not names:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in names.items() for v in pair]), x)
+
+
+def dated_path(path: Column, day: Column) -> Column:
+    """``folder/name`` as ``folder/YYYYMMDD_name``, for a column of paths; null if the path or the day is null."""
+    folder, name = F.regexp_extract(path, "^(.*/)?([^/]*)$", 1), F.regexp_extract(path, "^(.*/)?([^/]*)$", 2)
+    return F.concat(folder, F.date_format(day, "yyyyMMdd"), F.lit("_"), name)
+
+
 def fragment_of_longer(word: Column, others: Column) -> Column:
     """Whether the word's tokens are a proper part of those of one of ``others``."""
     own = F.split(word, " ")

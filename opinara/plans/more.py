@@ -8,7 +8,6 @@ import io
 import json
 import tarfile
 import uuid
-from datetime import date
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -246,9 +245,10 @@ def skip_missing(spark, sf):
     return spark.createDataFrame(rows, "step string, n int")
 
 
-@query("dated_paths", "SELECT n_name AS name, 'out/20240229_' || n_name || '.csv' AS path FROM nation")
+@query("dated_paths", "SELECT DISTINCT 'out/' || strftime(ts, '%Y%m%d') || '_' || event_type || '.csv' AS path FROM events")
 def dated_paths(spark, sf):
-    return spark.createDataFrame([(r.n_name, sinks.dated(f"out/{r.n_name}.csv", date(2024, 2, 29))) for r in ad.table(spark, sf, "nation").collect()], "name string, path string")  # 25 rows
+    """The file of each kind of event and day."""
+    return ad.table(spark, sf, "events").select(scalar.dated_path(F.concat(F.lit("out/"), "event_type", F.lit(".csv")), F.col("ts")).alias("path")).distinct()
 
 
 # --- filters and panels -----------------------------------------------------------------------------------------------
@@ -462,10 +462,14 @@ def opinion_pair(spark, sf):
     return rounded(loaders.opinion_pair(_user_values(spark, sf), "1-URGENT", "5-LOW"), "x", "y")
 
 
-@query("first_available", "SELECT n_name FROM nation")
+@query("first_available", f"WITH {PANEL} SELECT user_id, {q6('sum(total)/sum(cnt)')} AS x FROM panel GROUP BY user_id")
 def first_available(spark, sf):
-    n = ad.table(spark, sf, "nation").select("n_name")
-    return loaders.first_available(n.limit(0), n, n.where("n_name > 'x'"))
+    """Users' opinions on a topic that nobody was asked about, else of a region without users, else over all topics."""
+    each = _user_values(spark, sf)
+    nobody = each.where("topic = '6-NEVER ASKED'").select("user_id", F.col("value").alias("x"))
+    nowhere = each.join(ad.table(spark, sf, "customer").where("c_nationkey < 0").select(F.col("c_custkey").alias("user_id")), "user_id", "left_semi").select("user_id", F.col("value").alias("x"))
+    pooled = the_panel(spark, sf).groupBy("user_id").agg((F.sum("total") / F.sum("cnt")).alias("x"))
+    return rounded(loaders.first_available(nobody, nowhere, pooled), "x")
 
 
 @query("top_keywords", f"WITH {_WORDS} SELECT topic, word, count::DOUBLE AS weight, CAST(row_number() OVER (PARTITION BY topic ORDER BY count DESC, word) AS INT) AS rank FROM c QUALIFY rank <= 7")
@@ -607,52 +611,55 @@ def valid_labels(spark, sf):
     return ad.table(spark, sf, "customer").select("c_custkey", labels.valid_labels((F.col("c_custkey") % 8 - 3).cast("int")).alias("label"))
 
 
-_TEXTS = ("2", "-1", "label: 2", "skip this", "no idea", "the answer is -2\n1", "0 because")
+def _answer(x: Column) -> Column:
+    return scalar.label_answer(x, skip="not specified")
 
 
 def _answer_rows(spark, sf):
-    said = F.element_at(F.array(*[F.lit(t) for t in _TEXTS]), (F.col("o_orderkey") % 7 + 1).cast("int"))
-    return ad.table(spark, sf, "orders").select(F.col("o_orderkey").alias("post_id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderkey") % 11 != 0, said).alias("content"))
+    """Orders' priorities as answers to a question about the order; pending orders have none."""
+    return ad.table(spark, sf, "orders").select(F.col("o_orderkey").alias("post_id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("content"))
 
 
-_ANSWERS = "SELECT o_orderkey AS post_id, o_custkey AS user_id, CASE WHEN o_orderkey % 11 <> 0 THEN [2, -1, 2, -99, NULL, -2, 0][o_orderkey % 7 + 1] END AS opinion, o_orderkey % 11 <> 0 AS answered FROM orders"
+_ANSWERS = "SELECT o_orderkey AS post_id, o_custkey AS user_id, CASE WHEN contains(o_orderpriority, 'NOT SPECIFIED') THEN -99 ELSE TRY_CAST(o_orderpriority[1] AS INT) END AS opinion, o_orderstatus <> 'P' AND o_orderpriority IS NOT NULL AS answered FROM orders"
 
 
 @query("attached_answers", f"WITH a AS ({_ANSWERS}) SELECT post_id, user_id, opinion FROM a WHERE answered")
 def attached_answers(spark, sf):
     a = _answer_rows(spark, sf)
-    return labels.attach_answers(a.select("post_id", "user_id"), a.select("post_id", "content"), scalar.label_answer)
+    return labels.attach_answers(a.select("post_id", "user_id"), a.select("post_id", "content"), _answer)
 
 
-@query("user_stance", f"WITH a AS ({_ANSWERS}) SELECT user_id, count(*) AS posts, {q6('avg(opinion)')} AS stance FROM a WHERE opinion IS NOT NULL AND opinion <> -99 GROUP BY user_id")
+@query("user_stance", f"WITH a AS ({_ANSWERS}) SELECT user_id, count(*) AS posts, {q6('avg(opinion)')} AS stance FROM a WHERE answered AND opinion IS NOT NULL AND opinion <> -99 GROUP BY user_id")
 def user_stance(spark, sf):
     return rounded(labels.user_stance(attached_answers(spark, sf)), "stance")
 
 
 @query("answer_counts", f"WITH a AS ({_ANSWERS}) SELECT count(*) AS answers, count(opinion) AS read, count(*) FILTER (opinion = -99) AS irrelevant, " + ", ".join(f"count(*) FILTER (opinion = {v}) AS opinion_{str(v).replace('-', 'm')}" for v in (-2, -1, 0, 1, 2)) + " FROM a WHERE answered")
 def answer_counts(spark, sf):
-    return labels.answer_counts(_answer_rows(spark, sf).where("content is not null"), scalar.label_answer)
+    return labels.answer_counts(_answer_rows(spark, sf).where("content is not null"), _answer)
 
 
-_ZH = (("无关内容", -99), ("1", 1), ("态度是-2", -2), ("中立", 0), ("我选“２”", 2), ("答案为１", 1), ("没有", None), ("选择：不知道", None))
-
-
-@query("chinese_answers", "SELECT c_custkey, [-99, 1, -2, 0, 2, 1, NULL, NULL][c_custkey % 8 + 1] AS label FROM customer")
+@query("chinese_answers", "SELECT doc_id, TRY_CAST(regexp_extract(split_part(text, chr(10), 1), '(-?[0-9]+)', 1) AS INT) AS label FROM documents")
 def chinese_answers(spark, sf):
-    said = F.element_at(F.array(*[F.lit(t) for t, _ in _ZH]), (F.col("c_custkey") % 8 + 1).cast("int"))
-    return ad.table(spark, sf, "customer").select("c_custkey", scalar.label_answer_zh(said).alias("label"))
+    """Whole documents read as answers: their first lines hold no Chinese word, so that the number decides."""
+    return ad.table(spark, sf, "documents").select("doc_id", scalar.label_answer_zh(F.col("text")).alias("label"))
 
 
-@query("support_answers", "SELECT c_custkey, [-99, 1, -1, 1, -1, 0][c_custkey % 6 + 1] AS three, [-99, 2, -2, 1, -1, 0][c_custkey % 6 + 1] AS five FROM customer")
+@query(
+    "support_answers",
+    "SELECT o_orderkey, CASE WHEN contains(o_orderpriority, 'NOT') THEN -99 WHEN contains(o_orderpriority, 'LOW') THEN -1 WHEN contains(o_orderpriority, 'HIGH') THEN 1 ELSE 0 END AS three, "
+    "CASE WHEN contains(o_orderpriority, 'NOT') THEN -99 WHEN contains(o_orderpriority, 'URGENT') THEN 2 WHEN contains(o_orderpriority, 'LOW') THEN -1 WHEN contains(o_orderpriority, 'HIGH') THEN 1 ELSE 0 END AS five FROM orders",
+)
 def support_answers(spark, sf):
-    said = F.element_at(F.array(*[F.lit(t) for t in ("无关", "非常支持", "非常不支持", "支持", "不支持", "中立")]), (F.col("c_custkey") % 6 + 1).cast("int"))
-    return ad.table(spark, sf, "customer").select("c_custkey", scalar.support_answer(said).alias("three"), scalar.support_answer(said, five=True).alias("five"))
+    """Orders' priorities as stances."""
+    words = ("NOT SPECIFIED", "NEVER", "URGENT", "LOW", "HIGH")
+    return ad.table(spark, sf, "orders").select("o_orderkey", *[scalar.support_answer(F.col("o_orderpriority"), n == "five", words=words).alias(n) for n in ("three", "five")])
 
 
-@query("place_answers", "SELECT c_custkey, [0, 1, 2, NULL][c_custkey % 4 + 1] AS verdict, ['GB', 'GB', 'FR', 'unknown', 'unknown'][c_custkey % 5 + 1] AS country FROM customer")
+@query("place_answers", "SELECT page_id, TRY_CAST(regexp_extract(url, '\\b([012])\\b', 1) AS INT) AS verdict, CASE WHEN regexp_extract(url, '\\b([A-Za-z]{2})\\b', 1) IN ('de', 'es', 'fr') THEN upper(regexp_extract(url, '\\b([A-Za-z]{2})\\b', 1)) ELSE 'unknown' END AS country FROM pages")
 def place_answers(spark, sf):
-    pick = lambda texts: F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("c_custkey") % len(texts) + 1).cast("int"))
-    return ad.table(spark, sf, "customer").select("c_custkey", scalar.place_answer(pick(("0", "class 1.", "It is 2", "10 or 20"))).alias("verdict"), scalar.iso_answer(pick(("UK", "gi", "Country: FR", "XX", "none at all")), ["GB", "FR", "DE"]).alias("country"))
+    """The verdict and the country that a page's url holds as words of their own."""
+    return ad.table(spark, sf, "pages").select("page_id", scalar.place_answer(F.col("url")).alias("verdict"), scalar.iso_answer(F.col("url"), ["DE", "ES", "FR"]).alias("country"))
 
 
 @query("sample_union", "SELECT 'low' AS topic, o_orderkey AS post_id, o_totalprice AS price, NULL AS status FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'high', o_orderkey, NULL, o_orderstatus FROM orders WHERE o_orderkey % 60 = 0")
@@ -751,58 +758,73 @@ def word_ngrams(spark, sf):
     return ad.table(spark, sf, "documents").select("doc_id", F.get(g, F.lit(0)).alias("a"), F.get(g, F.lit(1)).alias("b"))
 
 
-_PLACES = ("Springfield, TX", "Paris", "lol nowhere", "Madrid ES", "🇫🇷", "Berlin town", "", "unknown land", "Texas", "London UK", "Michigan")
-_PLACE = "[" + ", ".join(f"'{p}'" for p in _PLACES) + "][c_custkey % 11 + 1]"
+_NORMAL = "' ' || trim(regexp_replace(regexp_replace(regexp_replace(lower(url), '[.,;:/|()_-]', ' ', 'g'), '[0-9]', '', 'g'), ' +', ' ', 'g')) || ' '"
+_PLACED = f"pl AS (SELECT page_id, url, {_NORMAL} AS w FROM pages)"
+
+
+def _said(*phrases: str) -> str:
+    return "(" + " OR ".join(f"contains(w, ' {p} ')" for p in phrases) + ")"
 
 
 def _placed(spark, sf):
-    return ad.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.element_at(F.array(*[F.lit(p) for p in _PLACES]), (F.col("c_custkey") % 11 + 1).cast("int")).alias("place"))
+    """Pages as users: their urls are the texts that name a place."""
+    return ad.table(spark, sf, "pages").select(F.col("page_id").alias("user_id"), F.col("url").alias("place"))
 
 
 def _us(x: Column) -> Column:
-    return places.home_or_abroad(x, ["lol"], ["texas", "michigan"], ["springfield"], ["paris", "berlin", "london"], ["🇫🇷"], ["TX"])
+    return places.home_or_abroad(x, ["cheap pills"], ["example com"], ["blog", "www"], ["example org"], ["utm_source"], ["FR"])
 
 
-_US_CLASS = "['us', 'non_us', 'not_sure', 'undecided', 'non_us', 'non_us', 'undecided', 'undecided', 'us', 'non_us', 'us'][c_custkey % 11 + 1]"
+_US_CLASS = f"CASE WHEN url IS NULL OR trim(url) = '' THEN 'undecided' WHEN {_said('cheap pills')} THEN 'not_sure' WHEN {_said('example com', 'blog', 'www')} THEN 'us' WHEN {_said('example org')} OR contains(url, 'utm_source') THEN 'non_us' WHEN {_said('fr')} THEN 'us' ELSE 'undecided' END"
 
 
-@query("home_cascade", f"SELECT c_custkey AS user_id, {_US_CLASS} AS class FROM customer")
+@query("home_cascade", f"WITH {_PLACED} SELECT page_id AS user_id, {_US_CLASS} AS class FROM pl")
 def home_cascade(spark, sf):
     return _placed(spark, sf).select("user_id", _us(F.col("place")).alias("class"))
 
 
-@query("union_cascade", "SELECT c_custkey AS user_id, ['non_eu', 'eu', 'non_eu', 'eu', 'undecided', 'eu', 'undecided', 'undecided', 'non_eu', 'undecided', 'non_eu'][c_custkey % 11 + 1] AS class FROM customer")
+@query(
+    "union_cascade",
+    f"WITH {_PLACED} SELECT page_id AS user_id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'undecided' WHEN {_said('cheap pills')} THEN 'non_eu' WHEN {_said('example net')} THEN 'eu' WHEN {_said('blog', 'www')} THEN 'non_eu' WHEN {_said('fr', 'de')} THEN 'eu' ELSE 'undecided' END AS class FROM pl",
+)
 def union_cascade(spark, sf):
-    cls = places.union_or_not(F.col("place"), ["lol"], ["paris", "berlin"], ["ES", "FR"], ["texas", "michigan", "springfield"])
+    cls = places.union_or_not(F.col("place"), ["cheap pills"], ["example net"], ["FR", "DE"], ["blog", "www"])
     return _placed(spark, sf).select("user_id", cls.alias("class"))
 
 
-@query("country_cascade", "SELECT c_custkey AS user_id, ['unknown', 'FR', 'unknown', 'ES', 'FR', 'DE', 'unknown', 'unknown', 'unknown', 'GB', 'unknown'][c_custkey % 11 + 1] AS country FROM customer")
+@query(
+    "country_cascade",
+    f"WITH {_PLACED} SELECT page_id AS user_id, CASE WHEN contains(url, 'utm_source') THEN 'US' WHEN {_said('www')} THEN 'GB' WHEN {_said('blog')} THEN 'IE' WHEN {_said('m')} THEN 'PT' WHEN {_said('fr')} THEN 'FR' WHEN {_said('de')} THEN 'DE' WHEN {_said('es')} THEN 'ES' ELSE 'unknown' END AS country FROM pl",
+)
 def country_cascade(spark, sf):
-    c = places.country_of(F.col("place"), {"🇫🇷": "FR"}, {"uk": "GB"}, {"paris": "FR", "berlin": "DE"}, ["ES", "DE"])
+    c = places.country_of(F.col("place"), {"utm_source": "US"}, {"www": "GB"}, {"blog": "IE", "m": "PT"}, ["FR", "DE", "ES"])
     return _placed(spark, sf).select("user_id", c.alias("country"))
 
 
 def _merged_places(spark, sf):
+    """What the rules leave open is settled by the language of the document of the page's id, as a second model's verdict."""
     found = _placed(spark, sf).select("place").distinct().withColumn("class", _us(F.col("place")))
-    verdicts = spark.createDataFrame([("unknown land", "UK"), ("Madrid ES", "non_us"), ("Paris", "us"), ("lol nowhere", "undecided"), ("", None)], "place string, verdict string")
-    return places.merge_verdicts(found, verdicts, {"UK": "non_us"})
+    verdicts = _placed(spark, sf).join(ad.table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), F.col("lang").alias("verdict")), "user_id").select("place", "verdict")
+    return places.merge_verdicts(found, verdicts, {"en": "us", "fr": "non_us", "de": "non_us"})
 
 
-_MERGED = "['us', 'non_us', 'not_sure', 'non_us', 'non_us', 'non_us', 'undecided', 'non_us', 'us', 'non_us', 'us'][c_custkey % 11 + 1]"
+_MERGED = (
+    f"{_PLACED}, vd AS (SELECT url, min(lang) AS verdict FROM pages JOIN documents ON page_id = doc_id GROUP BY url), cl AS (SELECT DISTINCT url, {_US_CLASS} AS class FROM pl), "
+    "mg AS (SELECT cl.url, CASE WHEN class NOT IN ('undecided', 'not_sure') OR verdict IS NULL THEN class WHEN verdict = 'en' THEN 'us' WHEN verdict IN ('fr', 'de') THEN 'non_us' ELSE verdict END AS class FROM cl LEFT JOIN vd ON cl.url = vd.url)"
+)
 
 
-@query("merged_verdicts", f"SELECT DISTINCT {_PLACE} AS place, {_MERGED} AS class FROM customer")
+@query("merged_verdicts", f"WITH {_MERGED} SELECT url AS place, class FROM mg")
 def merged_verdicts(spark, sf):
     return _merged_places(spark, sf)
 
 
-@query("class_users", f"SELECT {_MERGED} AS class, c_custkey AS user_id FROM customer")
+@query("class_users", f"WITH {_MERGED} SELECT DISTINCT class, page_id AS user_id FROM pages JOIN mg USING (url)")
 def class_users(spark, sf):
     return places.place_users(_placed(spark, sf), _merged_places(spark, sf))
 
 
-@query("class_sizes", f"SELECT {_MERGED} AS class, count(DISTINCT c_custkey) AS users FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY ALL")
+@query("class_sizes", f"WITH {_MERGED} SELECT class, count(DISTINCT page_id) AS users FROM pages JOIN mg USING (url) WHERE page_id IN (SELECT o_custkey FROM orders) GROUP BY ALL")
 def class_sizes(spark, sf):
     return places.class_sizes(class_users(spark, sf), ad.opinions(spark, sf))
 
@@ -853,7 +875,7 @@ def topic_aliases(spark, sf):
 
 @query("lookup_names", "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'open' END AS name FROM orders")
 def lookup_names(spark, sf):
-    return ad.table(spark, sf, "orders").select("o_orderkey", F.try_element_at(F.create_map(F.lit("P"), F.lit("pending"), F.lit("O"), F.lit("open")), F.col("o_orderstatus")).alias("name"))
+    return ad.table(spark, sf, "orders").select("o_orderkey", scalar.lookup(F.col("o_orderstatus"), {"P": "pending", "O": "open"}).alias("name"))
 
 
 # --- keywords and vectors ---------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from opinara.functions import scalar as s
+from opinara.operators import places
 
 
 def one(spark, column, value, kind="string"):
@@ -21,11 +22,37 @@ def test_likert(spark):
 def test_answers(spark):
     got = [one(spark, s.label_answer, v) for v in ("-2", "label: -2\nbecause", "Skip this", "2.", "none")]
     assert got == [-2, -2, -99, 2, None]
-    assert [one(spark, s.label_answer_zh, v) for v in ("无关", "答案:1", "中立")] == [-99, 1, 0]
+    chinese = {"无关": -99, "无关内容": -99, "答案:1": 1, "1": 1, "态度是-2": -2, "中立": 0, "我选“２”": 2, "答案为１": 1, "没有": None, "选择：不知道": None, "": None}
+    assert {v: one(spark, s.label_answer_zh, v) for v in chinese} == chinese
+    assert one(spark, s.label_answer_zh, None) is None
+    stances = {"无关": (-99, -99), "非常支持": (1, 2), "非常不支持": (-1, -2), "支持": (1, 1), "不支持": (-1, -1), "中立": (0, 0)}
+    assert {v: (one(spark, s.support_answer, v), one(spark, lambda c: s.support_answer(c, five=True), v)) for v in stances} == stances
+    assert [one(spark, s.place_answer, v) for v in ("0", "class 1.", "It is 2", "10 or 20")] == [0, 1, 2, None]
     iso = lambda c: s.iso_answer(c, ["GB", "FR"])
     assert [one(spark, iso, v) for v in ("UK", "fr", "zz", "?")] == ["GB", "FR", "unknown", "unknown"]
 
 
+def test_names_and_paths(spark):
+    named = lambda c: s.lookup(c, {"a": "first", "b": "second"})
+    assert [one(spark, named, v) for v in ("a", "b", "c", None)] == ["first", "second", None, None]
+    assert one(spark, lambda c: s.lookup(c, {}), "a") is None
+    dated = lambda c: s.dated_path(c, F.to_date(F.lit("2020-01-02")))
+    assert [one(spark, dated, v) for v in ("a/b.csv", "b.csv", "/x/y/b", None)] == ["a/20200102_b.csv", "20200102_b.csv", "/x/y/20200102_b", None]
+
+
+def test_place_cascades(spark):
+    cases = [
+        ("Springfield, TX", "us", "non_eu", "unknown"), ("Paris", "non_us", "eu", "FR"), ("lol nowhere", "not_sure", "non_eu", "unknown"), ("Madrid ES", "undecided", "eu", "ES"), ("Berlin town", "non_us", "eu", "DE"),
+        ("🇫🇷", "non_us", "undecided", "FR"), ("", "undecided", "undecided", "unknown"), ("Texas", "us", "non_eu", "unknown"), ("London UK", "non_us", "undecided", "GB"), (None, "undecided", "undecided", "unknown"),
+    ]
+    x = F.col("place")
+    home = places.home_or_abroad(x, ["lol"], ["texas", "michigan"], ["springfield"], ["paris", "berlin", "london"], ["🇫🇷"], ["TX"])
+    union = places.union_or_not(x, ["lol"], ["paris", "berlin"], ["ES", "FR"], ["texas", "michigan", "springfield"])
+    country = places.country_of(x, {"🇫🇷": "FR"}, {"uk": "GB"}, {"paris": "FR", "berlin": "DE"}, ["ES", "DE"])
+    got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, place string").select("i", "place", home, union, country).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == cases
+
+
 def test_texts(spark):
     assert one(spark, s.own_words, "mine//@x: theirs") == "mine"
     assert one(spark, s.clean_post, '"RT Hello. see https://a.b/c"') == "Hello see"
