@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions import stats
@@ -38,6 +38,28 @@ def density_ratio_weights(pairs: DataFrame, reference: str) -> DataFrame:
     return p.join(F.broadcast(own), "society").join(F.broadcast(ref)).select(*p.columns, w.alias("w"))
 
 
+def medium_weights(pairs: DataFrame, preferred: str, supported: bool = False) -> DataFrame:
+    """(medium, reference, society, t1, t2, x, y, w): weights of sum 1 that give each society the similarities of its medium's
+    reference, which is the preferred society if the medium has it, else the first by name; the reference's own pairs weigh the same.
+
+    With ``supported`` only pairs that every society of the medium covers.  Pairs without medium, society, x or y are left out; a
+    society whose x are all equal has no density and gets null weights."""
+    own = bounded(pairs).where("medium is not null and society is not null and x is not null and y is not null").select("medium", "society", "t1", "t2", "x", "y")
+    if supported:
+        ends = own.groupBy("medium", "society").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).groupBy("medium").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+        own = own.join(F.broadcast(ends), "medium").where(F.col("x").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    spread = F.try_divide(F.var_samp("x"), F.pow(F.count(F.lit(1)).cast("double"), F.lit(0.4)))
+    clouds = own.groupBy("medium", "society").agg(F.struct(F.array_sort(F.collect_list("x")).alias("points"), F.when(spread > 0, spread).alias("h2")).alias("cloud"))
+    first = F.struct((F.col("society") != preferred).alias("other"), "society")
+    refs = clouds.groupBy("medium").agg(F.min_by("society", first).alias("reference"), F.min_by("cloud", first).alias("ref"))
+    rows = own.join(F.broadcast(clouds), ["medium", "society"]).join(F.broadcast(refs), "medium")  # as many points as pairs, which are bounded
+    density = lambda c: F.aggregate(F.col(c).points, F.lit(0.0), lambda s, v: s + F.exp(-(F.col("x") - v) * (F.col("x") - v) / (2 * F.col(c).h2))) / (F.size(F.col(c).points) * F.sqrt(2 * np.pi * F.col(c).h2))
+    w = F.when(F.col("society") == F.col("reference"), F.lit(1.0)).otherwise(density("ref") / F.when(density("cloud") < 1e-300, F.lit(1e-300)).otherwise(density("cloud")))
+    rows = rows.select("medium", "reference", "society", "t1", "t2", "x", "y", w.alias("w"))
+    total = Window.partitionBy("medium", "society")
+    return rows.withColumn("w", F.try_divide(F.col("w"), F.sum("w").over(total)))
+
+
 def density_ratio_mean(pairs: DataFrame, reference: str) -> DataFrame:
     """society, adjusted mean of y, effective sample size: each society reweighted to the reference's density of x."""
     rows = density_ratio_weights(pairs.select("society", "x", "y"), reference)

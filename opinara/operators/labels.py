@@ -17,13 +17,17 @@ def valid_labels(column: Column, allowed: Sequence[int] = (-2, -1, 0, 1, 2, IRRE
     return F.when(column.isin(list(allowed)), column)
 
 
-def merge_raters(tables: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """Outer merge of raters' labels (post_id, label), one column each, as one aggregate instead of a chain of joins."""
+def merge_raters(tables: Sequence[tuple[str, DataFrame]], carry: Sequence[str] = ()) -> DataFrame:
+    """Outer merge of raters' labels (post_id, label), one column each, as one aggregate instead of a chain of joins.
+
+    ``carry``: columns of the first rater's table (texts, say) that go along; null for posts that it lacks.  Of several rows of
+    a rater for one post the greatest label counts, and the greatest value of each carried column."""
     parts = None
-    for name, t in tables:
-        part = t.select("post_id", F.lit(name).alias("_rater"), F.col("label"))
+    for i, (name, t) in enumerate(tables):
+        own = [F.col(c) if i == 0 else F.lit(None).cast(tables[0][1].schema[c].dataType).alias(c) for c in carry]
+        part = t.select("post_id", F.lit(name).alias("_rater"), F.col("label"), *own)
         parts = part if parts is None else parts.unionAll(part)
-    return parts.groupBy("post_id").pivot("_rater", [n for n, _ in tables]).agg(F.first("label"))
+    return parts.groupBy("post_id").agg(*[F.max(F.when(F.col("_rater") == n, F.col("label"))).alias(n) for n, _ in tables], *[F.max(c).alias(c) for c in carry])
 
 
 def majority(rows: DataFrame, raters: Sequence[str]) -> DataFrame:

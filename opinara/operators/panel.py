@@ -65,10 +65,19 @@ def users_and_posts(opinions: DataFrame, keys: Sequence[str] = ("topic", "year")
     return usable(opinions).groupBy(*keys).agg(F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("posts"))
 
 
-def coverage(panel: DataFrame, n_topics: int, period: str = "year") -> DataFrame:
-    """Per period: users, users with two topics or more, mean topics per user, observed share of cells."""
-    per = panel.groupBy(period, "user_id").agg(F.count_distinct("topic").alias("k"))
-    return per.groupBy(period).agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("k") >= 2).alias("users_2plus"), F.avg("k").alias("mean_topics"), (F.sum("k") / (F.count(F.lit(1)) * n_topics)).alias("observed_share"))
+def coverage(panel: DataFrame, n_topics: int, period: str = "year", topics: Sequence[str] = ()) -> DataFrame:
+    """Per period: users, users with two topics or more, mean topics per user, observed share of cells; with ``topics`` also the
+    users of each of them, in a column ``users_<topic>``."""
+    flag = lambda i: f"_has{i}"
+    has = [F.max(F.when(F.col("topic") == t, 1).otherwise(0)).alias(flag(i)) for i, t in enumerate(topics)]
+    per = panel.groupBy(period, "user_id").agg(F.count_distinct("topic").alias("k"), *has)
+    return per.groupBy(period).agg(
+        F.count(F.lit(1)).alias("users"),
+        F.count_if(F.col("k") >= 2).alias("users_2plus"),
+        F.avg("k").alias("mean_topics"),
+        (F.sum("k") / (F.count(F.lit(1)) * n_topics)).alias("observed_share"),
+        *[F.sum(flag(i)).alias(f"users_{t}") for i, t in enumerate(topics)],
+    )
 
 
 def describe(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

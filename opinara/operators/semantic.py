@@ -377,6 +377,16 @@ def word_matching(rows: DataFrame, pairs: Sequence[tuple[int, int]], k: int = 10
     return side.join(top, "topic").groupBy("pair").applyInPandas(run, "pair string, word_a string, word_b string, similarity double")
 
 
+def centroid_agreement(rebuilt: DataFrame, stored: DataFrame) -> DataFrame:
+    """(topic, cosine, least): how well rebuilt centroids (topic, centroid) agree with stored ones, and the least over all topics.
+
+    Topics that only one side has get a null cosine, and so do centroids of no length or of another number of components;
+    ``least`` is over the rest."""
+    both = rebuilt.select("topic", F.col("centroid").alias("a")).join(stored.select("topic", F.col("centroid").alias("b")), "topic", "full")
+    rows = both.select("topic", F.when(F.size("a") == F.size("b"), cosine(F.col("a"), F.col("b"))).alias("cosine"))
+    return rows.join(F.broadcast(rows.agg(F.min("cosine").alias("least"))))  # one row
+
+
 def cosine_pairs(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """Cosine of each row with each of a few given vectors (query, qvector)."""
     return rows.join(F.broadcast(checked_topics(queries)), F.lit(True)).select("word", "query", cosine(F.col("vector"), F.col("qvector")).alias("similarity"), dot(F.col("vector"), F.col("qvector")).alias("dot"))

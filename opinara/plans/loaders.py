@@ -95,6 +95,33 @@ def topic_path(spark, patterns: Sequence[str]) -> str | None:
     return next((p for p in patterns if exists(spark, p)), None)
 
 
+#: Places of a topic's averages below a root, in the order in which they are tried.
+TOPIC_LAYOUTS = ("merged-{topic}.parquet", "us/merged-{topic}.parquet", "eu/merged-{topic}.parquet", "en/merged-{topic}.parquet", "{topic}/avg_opinion.parquet")
+
+
+def topic_opinions(spark, root: str, topics: Sequence[str], users: DataFrame | None = None, layouts: Sequence[str] = TOPIC_LAYOUTS) -> DataFrame:
+    """(topic, user_id, average, periods): users' mean over periods of each topic's file (user_id and a column for each period),
+    found in the first layout that exists; with ``users`` of listed ones only.
+
+    Ids that are no numbers and users without a value in any period are left out; repeated rows of a user count as further
+    periods.  A topic without a file raises FileNotFoundError that names all places tried."""
+    from opinara.operators.panel import keep_users
+
+    out = None
+    for topic in topics:
+        tried = [f"{root}/{x.format(topic=topic)}" for x in layouts]
+        path = topic_path(spark, tried)
+        if path is None:
+            raise FileNotFoundError(f"no file of topic {topic!r}; tried " + ", ".join(tried))
+        table = spark.read.parquet(path)
+        periods = [c for c in table.columns if c != "user_id"]
+        rows = table.select(F.col("user_id").cast("string").try_cast("long").alias("user_id"), F.explode(F.array(*[F.col(f"`{c}`").cast("double") for c in periods])).alias("v"))
+        part = rows.where("user_id is not null and v is not null").groupBy("user_id").agg(F.avg("v").alias("average"), F.count("v").alias("periods"))
+        part = part.select(F.lit(topic).alias("topic"), "user_id", "average", "periods")
+        out = part if out is None else out.unionAll(part)
+    return out if users is None else keep_users(out, users).select("topic", "user_id", "average", "periods")
+
+
 def concept_bridge(pairs: DataFrame, bridge: DataFrame) -> DataFrame:
     """Pairs of one source in the concepts of a bridge (topic, concept), canonically ordered; topics without a concept and
     pairs within one concept are left out.  The bridge has a row for each topic."""

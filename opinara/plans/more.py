@@ -483,6 +483,49 @@ def topic_path(spark, sf):
     return spark.createDataFrame([("third" if found == f"{sf}/nation.parquet" else str(found),)], "found string")
 
 
+@query("topic_opinions", f"WITH {PANEL} SELECT topic, user_id, {q6('avg(mean)')} AS average, count(*) AS periods FROM panel WHERE topic IN ('1-URGENT', '2-HIGH', '5-LOW') AND user_id IN ({EUROPE}) GROUP BY ALL")
+def topic_opinions(spark, sf):
+    """Three topics' files in three layouts, a column for each year, read back for the users of one region."""
+    root, long = scratch(spark, "topics"), the_panel(spark, sf)
+    for topic, layout in (("1-URGENT", 0), ("2-HIGH", 3), ("5-LOW", 4)):
+        wide = long.where(F.col("topic") == topic).groupBy(F.col("user_id").cast("string").alias("user_id")).pivot("year").agg(F.first("mean"))
+        wide.write.parquet(f"{root}/{loaders.TOPIC_LAYOUTS[layout].format(topic=topic)}")
+    return rounded(loaders.topic_opinions(spark, root, ["1-URGENT", "2-HIGH", "5-LOW"], ad.region_users(spark, sf, "EUROPE")), "average")
+
+
+@query(
+    "coverage_table",
+    f"WITH {PANEL}, k AS (SELECT year, user_id, count(DISTINCT topic) AS k, max((topic = '1-URGENT')::INT) AS u, max((topic = '5-LOW')::INT) AS l FROM panel GROUP BY ALL) "
+    f"SELECT year, count(*) AS users, count(*) FILTER (k >= 2) AS users_2plus, {q6('avg(k)')} AS mean_topics, {q6('sum(k)/(count(*)*5.0)')} AS observed_share, CAST(sum(coalesce(u, 0)) AS BIGINT) AS \"users_1-URGENT\", CAST(sum(coalesce(l, 0)) AS BIGINT) AS \"users_5-LOW\" FROM k GROUP BY year",
+)
+def coverage_table(spark, sf):
+    """Coverage of each year, with the users of two of the topics."""
+    return rounded(panel.coverage(the_panel(spark, sf), 5, topics=("1-URGENT", "5-LOW")), "mean_topics", "observed_share")
+
+
+@query(
+    "carried_label_merge",
+    "WITH a AS (SELECT l.doc_id AS post_id, quality AS label, lang, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE toxic = 0), b AS (SELECT doc_id AS post_id, toxic AS label FROM labels WHERE quality = 1) "
+    "SELECT coalesce(a.post_id, b.post_id) AS post_id, a.label AS first, b.label AS second, lang, n_chars FROM a FULL JOIN b ON a.post_id = b.post_id",
+)
+def carried_label_merge(spark, sf):
+    """Two raters' labels of overlapping posts; the first one's columns go along."""
+    marks = ad.table(spark, sf, "labels").withColumnRenamed("doc_id", "post_id")
+    first = marks.where("toxic = 0").join(ad.table(spark, sf, "documents").select(F.col("doc_id").alias("post_id"), "lang", "n_chars"), "post_id").withColumn("label", F.col("quality"))
+    return labels.merge_raters([("first", first), ("second", marks.where("quality = 1").withColumn("label", F.col("toxic")))], carry=("lang", "n_chars"))
+
+
+_EQUAL = "e AS (SELECT topic, d, avg(x) AS v FROM f GROUP BY ALL), s AS (SELECT topic, list(v ORDER BY d) AS c FROM e GROUP BY topic)"
+
+
+@query("stored_centroids", f"WITH {_CENT}, {_EQUAL}, a AS (SELECT topic, {q6('list_cosine_similarity(c.c, s.c)')} AS cosine FROM c JOIN s USING (topic)) SELECT topic, cosine, (SELECT min(cosine) FROM a) AS least FROM a")
+def stored_centroids(spark, sf):
+    """Centroids of equal weights, stored and read back, against those of weighted keywords."""
+    path, vectors = scratch(spark, "centroids"), ad.keyword_vectors(spark, sf)
+    semantic.centroids(vectors, False).write.parquet(path)
+    return rounded(semantic.centroid_agreement(semantic.centroids(vectors, True), spark.read.parquet(path)), "cosine", "least")
+
+
 _BRIDGE = "b AS (SELECT unnest(['1-URGENT','2-HIGH','3-MEDIUM','5-LOW']) AS t, unnest(['u','h','m','l']) AS c)"
 
 

@@ -260,3 +260,41 @@ def listwise_score_lengths(spark, sf):
 def rebuilt_covariance(spark, sf):
     """Every year's covariance, rebuilt from its report of components: all pairs of its topics, 0 for those that no user has both of."""
     return rounded(portraits.rebuilt_covariance(spectral.loading_report(values(spark, sf))), "cov")
+
+
+# --- weights within a medium ------------------------------------------------------------------------------------------
+_MEDIA_PAIRS = (
+    f"{_parts(9)}, md AS (SELECT * FROM (SELECT 'off' AS medium, society, t1, t2, on_ AS x, off_ AS y FROM co UNION ALL SELECT 'on', society, t1, t2, off_, on_ FROM co WHERE society <> 'EUROPE') WHERE x IS NOT NULL AND y IS NOT NULL), "
+    "mb AS (SELECT medium, max(lo) AS lo, min(hi) AS hi FROM (SELECT medium, society, min(x) AS lo, max(x) AS hi FROM md GROUP BY ALL) GROUP BY medium), "
+    "mk AS (SELECT 'all' AS kept, md.* FROM md UNION ALL SELECT 'support', md.* FROM md JOIN mb USING (medium) WHERE x BETWEEN lo AND hi), "
+    "mr AS (SELECT kept, medium, coalesce(max(society) FILTER (society = 'EUROPE'), min(society)) AS reference FROM mk GROUP BY ALL), "
+    "mh AS (SELECT kept, medium, society, count(*) AS n, var_samp(x) * pow(count(*), -0.4) AS h2 FROM mk GROUP BY ALL), "
+    "mo AS (SELECT p.kept, p.medium, p.society, p.t1, p.t2, sum(exp(-((p.x - q.x) * (p.x - q.x)) / (2*h2))) / (max(n) * sqrt(2*pi()*max(h2))) AS d FROM mk p JOIN mk q USING (kept, medium, society) JOIN mh USING (kept, medium, society) GROUP BY ALL), "
+    "mf AS (SELECT p.kept, p.medium, r.reference, p.society, p.t1, p.t2, p.x, p.y, sum(exp(-((p.x - q.x) * (p.x - q.x)) / (2*h2))) / (max(n) * sqrt(2*pi()*max(h2))) AS d FROM mk p JOIN mr r USING (kept, medium) JOIN mk q ON q.kept = p.kept AND q.medium = p.medium AND q.society = r.reference "
+    "JOIN mh h ON h.kept = p.kept AND h.medium = p.medium AND h.society = r.reference GROUP BY ALL), "
+    "mw AS (SELECT mf.*, CASE WHEN mf.society = reference THEN 1.0 ELSE mf.d / greatest(mo.d, 1e-300) END AS w FROM mf JOIN mo USING (kept, medium, society, t1, t2))"
+)
+
+
+@query("medium_pair_weights", f"WITH {_MEDIA_PAIRS} SELECT kept, medium, reference, society, t1, t2, {q6('w / sum(w) OVER (PARTITION BY kept, medium, society)')} AS w FROM mw")
+def medium_pair_weights(spark, sf):
+    """Weights of each region's pairs in each medium, over all pairs and those on the medium's support; each medium's |r| stands for
+    the similarity in the other, and one medium lacks the preferred region."""
+    return rounded(_medium_weights(spark, sf).select("kept", "medium", "reference", "society", "t1", "t2", "w"), "w")
+
+
+@query("medium_matched_levels", f"WITH {_MEDIA_PAIRS} SELECT kept, medium, reference, society, count(*) AS pairs, {q6('avg(y)')} AS raw, {q6('sum(w*y)/sum(w)')} AS matched, {q6('sum(w)*sum(w)/sum(w*w)')} AS ess FROM mw GROUP BY ALL")
+def medium_matched_levels(spark, sf):
+    """Mean |r| of each region before and after its pairs are matched to the reference of their medium, with the effective number of pairs."""
+    w, y = F.col("w"), F.col("y")
+    rows = _medium_weights(spark, sf).groupBy("kept", "medium", "reference", "society")
+    return rounded(rows.agg(F.count(F.lit(1)).alias("pairs"), F.avg("y").alias("raw"), (F.sum(w * y) / F.sum("w")).alias("matched"), (F.sum("w") * F.sum("w") / F.sum(w * w)).alias("ess")), "raw", "matched", "ess")
+
+
+def _medium_weights(spark, sf) -> DataFrame:
+    on = part_correlations(spark, sf, 9, "on").withColumnRenamed("y", "_on")
+    both = part_correlations(spark, sf, 9, "off").join(on, ["society", "t1", "t2"])
+    media = F.array(F.struct(F.lit("off").alias("medium"), F.col("_on").alias("x"), F.col("y")), F.struct(F.lit("on").alias("medium"), F.col("y").alias("x"), F.col("_on").alias("y")))
+    pairs = both.select("society", "t1", "t2", F.explode(media).alias("m")).select("m.medium", "society", "t1", "t2", "m.x", "m.y")
+    pairs = cut_lineage(pairs.where("not (medium = 'on' and society = 'EUROPE')"), "media_pairs")
+    return reduce(DataFrame.unionByName, [adjustment.medium_weights(pairs, "EUROPE", kept == "support").withColumn("kept", F.lit(kept)) for kept in ("all", "support")])
