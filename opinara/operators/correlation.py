@@ -15,6 +15,7 @@ from opinara.functions import stats
 from opinara.functions.scalar import clip, fisher_interval
 from opinara.operators.panel import pooled_average
 from opinara.operators.ranks import running_sums
+from opinara.session import cut_lineage
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -158,8 +159,11 @@ def by_strength(table: DataFrame, value: str = "r") -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
-    """Correlation of average ranks within groups; ranks from counts of values, so that ties need no window of rows."""
+    """Correlation of average ranks within groups; ranks from counts of values, so that ties need no window of rows.
+
+    The rows are stored first: a mean that is computed again can have another last bit, and would not meet its rank."""
     ok = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ok = cut_lineage(ok, "spearman")
 
     def ranks(c: str) -> DataFrame:
         n = ok.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n"))

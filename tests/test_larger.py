@@ -1,7 +1,13 @@
 """Faults that only larger tables or several executors show, in small."""
 
+import random
+
 import duckdb
+import pandas as pd
+from pyspark.sql import functions as F
 
+from opinara.functions import stats
+from opinara.operators import correlation
 from opinara.plans import catalogue
 
 
@@ -13,3 +19,16 @@ def test_least_row_by_the_one_number_of_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == set(con.execute(catalogue.SQL["least_row_per_group"]).fetchall()) == {("A", "F", 11), ("N", "O", 32), ("R", "F", None)}
 
+
+def test_spearman_of_values_that_are_never_computed_alike(spark):
+    """As means are, whose parts arrive in another order each time."""
+
+    @F.pandas_udf("double")
+    def shaken(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: v + random.SystemRandom().random() * 1e-9)
+
+    rows = spark.range(400).selectExpr("'a' t1", "'b' t2", "cast(pmod(id * 7919, 400) as double) x", "cast(pmod(id * 104729, 389) + id as double) y")
+    shaking = rows.select("t1", "t2", shaken.asNondeterministic()("x").alias("x"), "y")
+    got = correlation.spearman(shaking, "x", "y", ("t1", "t2")).collect()
+    f = rows.toPandas()
+    assert len(got) == 1 and got[0].n == 400 and abs(got[0].rho - stats.spearman(f["x"].to_numpy(), f["y"].to_numpy())) < 1e-9
