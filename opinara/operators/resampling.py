@@ -5,9 +5,12 @@ a task runs again."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +18,10 @@ from opinara.functions import stats
 from opinara.functions.arrays import list_matrix
 from opinara.operators.correlation import safe_corr
 from opinara.operators.ranks import numbered
+from opinara.session import cut_lineage
 
-#: Rows on a side of a block that is permuted in one task; rounds of the permutation; draws of one task; numbers permuted at once.
-BLOCK, ROUNDS, PART, MATCHED = 1 << 19, 6, 1000, 1 << 18
+#: Places of a bin that one task permutes; places whose products it adds up at once; rounds of a keyed permutation.
+BIN, BLOCK, ROUNDS = 1 << 17, 1 << 15, 6
 #: Rows whose weights one task sums; draws of one partial sum.
 WEIGHED, DRAWS = 50_000, 100
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -53,51 +57,58 @@ def permuted(at: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
 
 def shuffled_correlations(pairs: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:
     """(t1, t2, n, r, shuffled_mean, shuffled_sd): observed r of each pair of topics, and mean and sd over ``draws`` permutations of
-    one side, for pairs of any number of rows.
-
-    Rows are numbered by range partitions.  A pair of more than ``BLOCK`` rows is cut into blocks of numbers; each block of one
-    side meets each block of the other, and the task adds up what every permutation matches between the two.  Nulls take no
-    part; pairs of fewer than two rows or without spread have null results."""
+    one side against the other, for pairs of any number of rows.
+
+    Both sides are permuted: a draw takes one of about sqrt(``draws``) permutations of x and one of as many of y, so that all draws are
+    one product of two matrices.  Each draw is a random permutation of all rows, and any two draws are as good as independent, which
+    is all that a mean and an sd need.  Rows are numbered by range partitions; keyed permutations of the numbers deal either side
+    into bins of ``BIN`` places, and a task permutes one bin, so that a row is copied once for each side however many there are.  (Two
+    draws share the dealing and so correlate by 1 / ``BIN``.)  Nulls take no part; pairs of fewer than two rows or without spread
+    have null results."""
     known = pairs.where("x is not null and y is not null").select("t1", "t2", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    known = cut_lineage(known, "pairs")
     placed = numbered(known, ["t1", "t2"], [F.col("x"), F.col("y")])
     m = known.groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2")).agg(*[f(c).alias(f"{name}{c}") for c in "xy" for name, f in (("m", F.avg), ("s", F.stddev_pop))], safe_corr(F.col("x"), F.col("y")).alias("r"))
     rows = placed.join(m, F.col("t1").eqNullSafe(F.col("k1")) & F.col("t2").eqNullSafe(F.col("k2"))).where("_size > 1 and sx > 0 and sy > 0")
     z = rows.select("t1", "t2", F.col("_size").alias("n"), (F.col("_n") - 1).cast("long").alias("i"), ((F.col("x") - F.col("mx")) / F.col("sx")).alias("zx"), ((F.col("y") - F.col("my")) / F.col("sy")).alias("zy"))
-    own = F.floor(F.col("i") / BLOCK).cast("int")
-    dealt = z.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))))
-    # A row is on the left side of its own block's meetings and on the right side of the others' with it.
-    sides = F.when(F.col("own") == F.col("other"), F.array(F.struct(F.col("own").alias("p"), F.col("own").alias("q"), F.lit(0).alias("side")))).otherwise(
-        F.array(F.struct(F.col("own").alias("p"), F.col("other").alias("q"), F.lit(1).alias("side")), F.struct(F.col("other").alias("p"), F.col("own").alias("q"), F.lit(2).alias("side")))
-    )
-    dealt = dealt.withColumn("_s", F.explode(sides)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // PART))))
-    keys = ["t1", "t2", "p", "q", "part"]
+    kinds = ", ".join(f"{c} {dict(pairs.dtypes)[c]}" for c in ("t1", "t2"))
+    side = int(np.ceil(np.sqrt(draws)))
+
+    def base(t1, t2) -> int:
+        return zlib.crc32(f"{t1}_{t2}".encode()) << 32
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = pa.table({"t1": b["t1"], "t2": b["t2"]}).group_by(["t1", "t2"]).aggregate([]).to_pylist()
+            for k in names:
+                own = b.filter(pc.and_(*(pc.equal(b[c], k[c]) if k[c] is not None else pc.is_null(b[c]) for c in ("t1", "t2"))))
+                n = own["n"][0].as_py()
+                keys = np.arange(2, dtype=np.uint64) + np.uint64(base(k["t1"], k["t2"]) + (seed << 20))
+                for side_, (to, name) in enumerate(zip(permuted(own["i"].to_numpy(), n, keys), ("zx", "zy"), strict=True)):
+                    yield pa.RecordBatch.from_arrays([own["t1"], own["t2"], pa.array(to // BIN), pa.array(to % BIN), pa.array(np.full(len(to), side_, np.int32)), own[name], own["n"]], names=["t1", "t2", "bin", "at", "side", "z", "n"])
+
+    dealt = z.mapInArrow(deal, f"{kinds}, bin long, at long, side int, z double, n long")
     # As many tasks as cores at least: the rows are few, the work is in the draws.
-    dealt = dealt.select("t1", "t2", "_s.p", "_s.q", "part", "_s.side", "n", "i", "zx", "zy").repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, *keys)
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        import zlib
-
-        f = f.sort_values("i")
-        n, side = int(f["n"].iloc[0]), f["side"].to_numpy()
-        left, right = f[side < 2], f[side != 1]
-        at, zx, zy = left["i"].to_numpy(), left["zx"].to_numpy(), right["zy"].to_numpy()
-        first, count = int(right["i"].iloc[0]), len(right)
-        base = zlib.crc32(f"{key[0]}_{key[1]}".encode()) << 32
-        first_draw = int(key[4]) * PART
-        out = np.zeros(min(PART, draws - first_draw))
-        step = max(1, MATCHED // len(at))
-        for d in range(0, len(out), step):
-            own = np.arange(first_draw + d, first_draw + min(d + step, len(out)), dtype=np.uint64) + np.uint64(base + (seed << 20))
-            to = permuted(at, n, own) - first
-            if count == n:
-                out[d : d + step] = zy[to] @ zx
-            else:
-                inside = (to >= 0) & (to < count)
-                out[d : d + step] = np.where(inside, zy[np.where(inside, to, 0)], 0.0) @ zx
-        return pd.DataFrame({"t1": [key[0]], "t2": [key[1]], "part": [key[4]], "sums": [(out / n).tolist()]})
-
-    sums = dealt.groupBy(*keys).applyInPandas(run, f"t1 {dict(pairs.dtypes)['t1']}, t2 {dict(pairs.dtypes)['t2']}, part int, sums array<double>")
-    each = sums.select("t1", "t2", "part", F.posexplode("sums").alias("draw", "s")).groupBy("t1", "t2", "part", "draw").agg(F.sum("s").alias("s"))
+    dealt = dealt.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "t1", "t2", "bin")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t1, t2, at_bin = (k.as_py() for k in key)
+        sides, at, z = (t[c].to_numpy() for c in ("side", "at", "z"))
+        values = []
+        for k in (0, 1):
+            own = np.flatnonzero(sides == k)
+            values.append(z[own[np.argsort(at[own])]])
+        size = len(values[0])
+        # Permutations of this bin's places, from generators of their own.
+        orders = [np.stack([np.random.default_rng([base(t1, t2) >> 32, seed, at_bin, k, d]).permutation(size).astype(np.int32) for d in range(side)]) for k in (0, 1)]
+        out = np.zeros((side, side))
+        for s in range(0, size, BLOCK):
+            x, y = (v[o[:, s : s + BLOCK]] for v, o in zip(values, orders, strict=True))
+            out += x @ y.T
+        return pa.table({"t1": pa.array([t1], t.schema.field("t1").type), "t2": pa.array([t2], t.schema.field("t2").type), "sums": pa.array([(out.ravel()[:draws] / t["n"][0].as_py()).tolist()], pa.list_(pa.float64()))})
+
+    sums = dealt.groupBy("t1", "t2", "bin").applyInArrow(run, f"{kinds}, sums array<double>")
+    each = sums.select("t1", "t2", F.posexplode("sums").alias("draw", "s")).groupBy("t1", "t2", "draw").agg(F.sum("s").alias("s"))
     found = each.groupBy(F.col("t1").alias("d1"), F.col("t2").alias("d2")).agg(F.avg("s").alias("shuffled_mean"), F.stddev_pop("s").alias("shuffled_sd"))
     size = known.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"))
     both = F.col("sx").isNotNull() & (F.col("sx") > 0) & (F.col("sy") > 0)

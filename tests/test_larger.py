@@ -1,13 +1,15 @@
 """Faults that only larger tables or several executors show, in small."""
 
 import random
+import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from opinara.functions import stats
-from opinara.operators import correlation
+from opinara.operators import correlation, resampling
 from opinara.plans import catalogue
 
 
@@ -32,3 +34,24 @@ def test_spearman_of_values_that_are_never_computed_alike(spark):
     got = correlation.spearman(shaking, "x", "y", ("t1", "t2")).collect()
     f = rows.toPandas()
     assert len(got) == 1 and got[0].n == 400 and abs(got[0].rho - stats.spearman(f["x"].to_numpy(), f["y"].to_numpy())) < 1e-9
+
+
+def test_shuffles_in_several_bins_have_the_closed_forms_mean_and_sd(spark, monkeypatch):
+    """Bins of few places: each draw still permutes all rows."""
+    monkeypatch.setattr(resampling, "BIN", 256)
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(2, 1500))
+    df = spark.createDataFrame([("a", "b", float(v), float(w)) for v, w in zip(x, y, strict=True)] + [("a", None, 1.0, 2.0), ("a", None, 2.0, 5.0)], "t1 string, t2 string, x double, y double").repartition(7)
+    got = {r.t2: r for r in resampling.shuffled_correlations(df, 2000).collect()}
+    r = got["b"]
+    assert r.n == 1500 and abs(r.shuffled_mean) < 5 / 1499**0.5 / 2000**0.5 and abs(r.shuffled_sd * 1499**0.5 - 1) < 5 / 4000**0.5
+    assert got[None].n == 2 and abs(got[None].shuffled_sd - 1) < 0.01
+
+
+def test_ten_thousand_shuffles_of_a_long_pair(spark):
+    df = spark.range(400_000).selectExpr("'a' t1", "'b' t2", "cast(pmod(xxhash64(id), 100003) as double) x", "cast(pmod(xxhash64(id, 7), 100003) as double) y")
+    resampling.shuffled_correlations(df, 20).collect()
+    start = time.monotonic()
+    r = resampling.shuffled_correlations(df, 10_000).first()
+    assert time.monotonic() - start < 60
+    assert abs(r.shuffled_mean) < 5 / r.n**0.5 / 100 and abs(r.shuffled_sd * (r.n - 1) ** 0.5 - 1) < 5 / 20_000**0.5
