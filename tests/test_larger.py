@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from opinara.functions import stats
-from opinara.operators import correlation, resampling
+from opinara.operators import correlation, resampling, semantic
 from opinara.plans import catalogue
 
 
@@ -55,3 +55,15 @@ def test_ten_thousand_shuffles_of_a_long_pair(spark):
     r = resampling.shuffled_correlations(df, 10_000).first()
     assert time.monotonic() - start < 60
     assert abs(r.shuffled_mean) < 5 / r.n**0.5 / 100 and abs(r.shuffled_sd * (r.n - 1) ** 0.5 - 1) < 5 / 20_000**0.5
+
+
+def test_distances_of_more_queries_than_may_be_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "MAX_TOPICS", 20)
+    monkeypatch.setattr(semantic, "PAIR_BLOCK", 16)
+    x = np.random.default_rng(6).normal(size=(90, 5))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    points = spark.createDataFrame([*rows, (90, None), (91, [1.0, None, 1.0, 1.0, 1.0]), (92, [1.0, float("nan"), 1.0, 1.0, 1.0]), (93, [1.0])], "word long, vector array<double>")
+    got = {(r.query, r.word): r.distance for r in semantic.point_distances(points, points.where("word % 2 = 0")).collect()}
+    want = {(q, w): float(np.sqrt(((x[q] - x[w]) ** 2).sum())) for q in range(0, 90, 2) for w in range(90) if q != w}
+    assert set(got) == set(want) | {(q, 93) for q in range(0, 90, 2)}
+    assert all(abs(got[k] - d) < 1e-9 for k, d in want.items()) and all(got[q, 93] is None for q in range(0, 90, 2))
