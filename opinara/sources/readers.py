@@ -119,7 +119,7 @@ def read_tar_members(spark: SparkSession, path: str, suffix: str = "") -> DataFr
 
 def read_matrix(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """(file, row_id, topic, value) from .npz (compressed sparse rows, else its first array) and .npy files; missing
-    entries have no row."""
+    entries have no row.  Rows are numbered by file, or on from the ``first`` that a part of a larger matrix tells."""
     files = whole_files(spark, path)
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +131,7 @@ def read_matrix(spark: SparkSession, path: str, names: Sequence[str]) -> DataFra
                 elif {"data", "indices", "indptr", "shape"} <= set(data.files):
                     rows = np.repeat(np.arange(len(data["indptr"]) - 1), np.diff(data["indptr"]))
                     ok = ~np.isnan(data["data"])
-                    yield pd.DataFrame({"file": name, "row_id": rows[ok], "topic": np.array(names, object)[data["indices"][ok]], "value": data["data"][ok].astype(float)})
+                    yield pd.DataFrame({"file": name, "row_id": rows[ok] + (int(data["first"]) if "first" in data.files else 0), "topic": np.array(names, object)[data["indices"][ok]], "value": data["data"][ok].astype(float)})
                     continue
                 else:
                     dense = data[data.files[0]]

@@ -10,9 +10,14 @@ from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.operators.ranks import numbered
+from opinara.session import cut_lineage
 from opinara.sources.readers import exists
 
 #: Requests in one batch file.
@@ -82,8 +87,10 @@ def update_predictions(rows: DataFrame, predictions: DataFrame, column: str, key
     return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", old)).drop("_new")
 
 
-#: Rows that a file of one piece (Excel, Stata, matrix) may have: it is made on the driver.
+#: Rows that a file of one piece (Excel, Stata, word vectors) may have: it is made on the driver.
 ONE_FILE_ROWS = 1_000_000
+#: Rows of one file of a matrix.
+MATRIX_ROWS = 100_000
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> None:
@@ -147,16 +154,48 @@ def write_excel(sheets: dict[str, DataFrame], path: str) -> None:
     write_bytes(spark, path, raw.getvalue())
 
 
-def write_matrix(values: DataFrame, path: str, topics: Sequence[str], key: str = "user_id") -> None:
-    """A period's opinions (key, topic, value) as compressed sparse rows in one .npz file, rows by key, columns by topic."""
-    rows = one_file(values.where(F.col("value").isNotNull()).select(key, "topic", "value"))
-    at = {t: k for k, t in enumerate(topics)}
-    rows["c"] = rows["topic"].map(at)
-    rows = rows.dropna(subset=["c"]).sort_values([key, "c"])
-    ids, first = np.unique(rows[key].to_numpy(), return_index=True)
+def sparse_rows(row: np.ndarray, column: np.ndarray, value: np.ndarray, ids: np.ndarray, width: int, first: int) -> bytes:
+    """An .npz file of compressed sparse rows, sorted by row from 0; ``first`` is the whole matrix's number of its first row."""
     raw = io.BytesIO()
-    np.savez_compressed(raw, data=rows["value"].to_numpy(float), indices=rows["c"].to_numpy(np.int32), indptr=np.append(first, len(rows)).astype(np.int64), shape=np.array([len(ids), len(at)]), ids=ids)
-    write_bytes(values.sparkSession, path, raw.getvalue())
+    ends = np.searchsorted(row, np.arange(len(ids) + 1)).astype(np.int64)
+    np.savez_compressed(raw, data=value, indices=column.astype(np.int32), indptr=ends, shape=np.array([len(ids), width]), ids=ids, first=np.int64(first))
+    return raw.getvalue()
+
+
+def write_matrix(values: DataFrame, path: str, topics: Sequence[str], key: str = "user_id", rows: int | None = None) -> None:
+    """A period's opinions (key, topic, value) as compressed sparse rows in .npz files, rows by key, columns by topic.
+
+    Up to ``rows`` (``MATRIX_ROWS``) keys make one file ``path``; more make a folder of that name with files of as many rows, each
+    written by a task, which tell the number of their first row.  A task that runs again writes the same file."""
+    limit = rows or MATRIX_ROWS
+    known = values.where(F.col("value").isNotNull() & F.col(key).isNotNull() & F.col("topic").isin(list(topics)))
+    at = F.element_at(F.create_map(*[c for k, t in enumerate(topics) for c in (F.lit(t), F.lit(k))]), F.col("topic"))
+    entries = known.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct(at.alias("c"), F.col("value").cast("double").alias("v")))).alias("e"))
+    entries = cut_lineage(entries, "entries")
+    placed = numbered(entries, [], [F.col("id")]).select(F.floor((F.col("_n") - 1) / limit).alias("part"), (F.col("_n") - 1).alias("row"), "id", "_size", "e")
+    width = len(topics)
+
+    def packed(t: pa.Table) -> bytes:
+        t = t.sort_by("row").combine_chunks()
+        lists = t["e"].chunk(0) if t.num_rows else pa.array([], t.schema.field("e").type)
+        flat = lists.flatten()
+        of = np.repeat(np.arange(t.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return sparse_rows(of, flat.field("c").to_numpy(zero_copy_only=False), flat.field("v").to_numpy(zero_copy_only=False), t["id"].to_numpy(), width, t["row"][0].as_py() if t.num_rows else 0)
+
+    n = entries.count()
+    if n <= limit:
+        return write_bytes(values.sparkSession, path, packed(placed.toArrow()))
+
+    def write(key: tuple, t: pa.Table) -> pa.Table:
+        store, folder = pa.fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(f"{folder}/part-{key[0].as_py():06d}.npz", compression=None) as out:
+            out.write(packed(t))
+        return pa.table({"rows": pa.array([t.num_rows], pa.int64())})
+
+    written = placed.groupBy("part").applyInArrow(write, "rows long").agg(F.sum("rows")).first()[0]
+    if written != n:
+        raise ValueError(f"{written} of {n} rows were written to {path}")
 
 
 def write_word_vectors(vectors: DataFrame, path: str, binary: bool = False) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opinara.functions import stats
 from opinara.operators import correlation, resampling, semantic
 from opinara.plans import catalogue
+from opinara.sources import readers, sinks
 
 
 def test_least_row_by_the_one_number_of_the_sql(spark, tmp_path):
@@ -67,3 +68,15 @@ def test_distances_of_more_queries_than_may_be_broadcast(spark, monkeypatch):
     want = {(q, w): float(np.sqrt(((x[q] - x[w]) ** 2).sum())) for q in range(0, 90, 2) for w in range(90) if q != w}
     assert set(got) == set(want) | {(q, 93) for q in range(0, 90, 2)}
     assert all(abs(got[k] - d) < 1e-9 for k, d in want.items()) and all(got[q, 93] is None for q in range(0, 90, 2))
+
+
+def test_matrix_of_more_rows_than_one_file_has(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ONE_FILE_ROWS", 50)
+    monkeypatch.setattr(sinks, "MATRIX_ROWS", 30)
+    rows = [(k * 7 % 1009, t, k + j / 4) for k in range(100) for j, t in enumerate("xyz") if (k + j) % 3 != 0]
+    values = spark.createDataFrame([*rows, (5000, "x", None), (None, "y", 1.0), (5001, "w", 1.0)], "user_id long, topic string, value double").repartition(6)
+    path = str(tmp_path / "large.npz")
+    sinks.write_matrix(values, path, ["x", "y", "z"])
+    got = {(r.row_id, r.topic, r.value) for r in readers.read_matrix(spark, path, ["x", "y", "z"]).collect()}
+    at = {u: k for k, u in enumerate(sorted({r[0] for r in rows}))}
+    assert got == {(at[u], t, v) for u, t, v in rows} and len(list((tmp_path / "large.npz").iterdir())) >= 4
