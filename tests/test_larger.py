@@ -80,3 +80,29 @@ def test_matrix_of_more_rows_than_one_file_has(spark, tmp_path, monkeypatch):
     got = {(r.row_id, r.topic, r.value) for r in readers.read_matrix(spark, path, ["x", "y", "z"]).collect()}
     at = {u: k for k, u in enumerate(sorted({r[0] for r in rows}))}
     assert got == {(at[u], t, v) for u, t, v in rows} and len(list((tmp_path / "large.npz").iterdir())) >= 4
+
+
+def test_bags_that_are_alike_are_computed_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    left, right = (np.where(rng.random((n, 4)) < 0.3, np.nan, rng.normal(size=(n, 4))) for n in (30, 50))
+    bag = ([0, 1, 2, 3], 4.0)
+    one, common = semantic._bag_distances(left, right, [bag], 2)
+    calls, plain = [], np.sqrt
+    monkeypatch.setattr(semantic.np, "sqrt", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    many, again = semantic._bag_distances(left, right, [bag] * 20, 2)
+    assert len(calls) == 1 and np.array_equal(one, many, equal_nan=True) and (common == again).all()
+
+
+def test_candidates_of_nearest_pairs_are_few(spark, monkeypatch):
+    """A row's k nearest leave each slice, not each block."""
+    monkeypatch.setattr(semantic, "PAIR_BLOCK", 20)
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random((160, 3)) < 0.2, np.nan, rng.integers(0, 6, (160, 3)).astype(float))
+    values = spark.createDataFrame([(k, t, float(v)) for k, row in enumerate(x) for t, v in zip("abc", row, strict=True) if v == v], "user_id long, topic string, value double")
+    got = {}
+    for r in semantic.nearest_pairs(values, [(["a", "b", "c"], 3.0)], 5).collect():
+        got.setdefault(r.word, []).append((r.rank, r.distance, r.neighbour))
+    d, _ = semantic._bag_distances(x, x, [([0, 1, 2], 3.0)], 2)
+    for k in range(160):
+        want = sorted((d[k, j], j) for j in range(160) if j != k and d[k, j] > 0)[:5]
+        assert [(r, round(a, 9), j) for r, a, j in sorted(got.get(k, []))] == [(r, round(a, 9), j) for r, (a, j) in enumerate(want, 1)]
