@@ -106,3 +106,16 @@ def test_candidates_of_nearest_pairs_are_few(spark, monkeypatch):
     for k in range(160):
         want = sorted((d[k, j], j) for j in range(160) if j != k and d[k, j] > 0)[:5]
         assert [(r, round(a, 9), j) for r, a, j in sorted(got.get(k, []))] == [(r, round(a, 9), j) for r, (a, j) in enumerate(want, 1)]
+
+
+def test_neighbours_are_computed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        made.add(1)
+        return v
+
+    rows = spark.range(200).selectExpr("id word", "explode(array(1, 2)) rank", "1 + pmod(id * 7919, 101) / 100 d").selectExpr("word", "rank", "d * rank distance")
+    semantic.twonn_dimension(rows.withColumn("distance", counted.asNondeterministic()("distance"))).collect()
+    assert made.value == 400
