@@ -12,10 +12,12 @@ suffixes of a corpus is neither possible in one task nor needed:
 2. Anchors meet by hash.  Where all windows of an anchor are equal to those of an earlier occurrence (equal hash of the
    text that they cover), they are earlier strings as a whole.  Within an Arrow batch that is settled before the
    shuffle, so a passage that a third of all documents share leaves one row for each batch.
-3. Only anchors that occur with several different surroundings (the borders of repeated passages) need text: their
-   covered text is dealt out by anchor, and the suffix order and the previous factors of each bucket tell which windows
-   start earlier.  The windows of an anchor with more than ``HOT`` surroundings are dealt out one by one, by their own
-   hash, after equal ones in a batch were settled.
+3. Only anchors that occur with several different surroundings (the borders of repeated passages) need text, and of these
+   only occurrences that share the ``SIDE`` bytes before or after the anchor with another: every window has as many on one
+   of its sides.  So chance repeats of a ``GRAM``-gram, whose number grows with the square of the input, ask for none.
+   The covered text is dealt out by anchor, and the suffix order and the previous factors of each bucket tell which
+   windows start earlier.  The windows of an anchor with more than ``HOT`` such surroundings are dealt out one by one, by
+   their own hash, after equal ones in a batch were settled.
 4. Ranges are gathered by document and the kept bytes are put together.
 
 The texts are shuffled once; both joins with them read the same exchange.
@@ -46,6 +48,8 @@ from opinara.session import cut_lineage, small_batches
 
 LENGTH = 100
 GRAM = 28
+#: Bytes beside the anchor that each window has on one side at least.
+SIDE = (LENGTH - GRAM) // 2
 #: Different surroundings of one anchor that are compared in one bucket.
 HOT = 2048
 #: Text bytes behind one bucket of anchors, and bytes of covered text in one bucket of suffixes, about.
@@ -54,6 +58,7 @@ NULL_ID = (1 << 63) - 1
 #: Runs of texts whose anchors are settled together before the shuffle.
 RUNS = 32
 _POSITION = np.uint64((1 << 31) - 1)
+_LOW = np.uint64((1 << 32) - 1)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -70,8 +75,9 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Anchors of a run of texts: doc, lo (first window), hi (last window), off (anchor minus lo), h (its hash), v (hash
-    of the covered text and the anchor's place in it); places count within each text."""
-    none = {k: np.zeros(0, np.int32) for k in ("doc", "lo", "hi")} | {"off": np.zeros(0, np.uint8)} | {k: np.zeros(0, np.uint64) for k in ("h", "v")}
+    of the covered text and the anchor's place in it), left and right (hashes of the anchor with the ``SIDE`` bytes before
+    and after it, 0 where no window has them); places count within each text."""
+    none = {k: np.zeros(0, np.int32) for k in ("doc", "lo", "hi")} | {"off": np.zeros(0, np.uint8)} | {k: np.zeros(0, np.uint64) for k in ("h", "v")} | {k: np.zeros(0, np.uint32) for k in ("left", "right")}
     if len(data) < LENGTH:
         return none
     prefix = tk.prefix_hash(data)
@@ -93,8 +99,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     lo, hi, place, doc = start[at], start[end], place[at], doc[at]
     off = place - lo
     v = tk.mix(tk.span_hash(prefix, lo, hi + LENGTH) + off.astype(np.uint64) * tk.BASE)
+    before, after = np.flatnonzero(off >= SIDE), np.flatnonzero(hi + LENGTH - place >= GRAM + SIDE)
+    left, right = np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint32)
+    left[before] = tk.mix(tk.span_hash(prefix, place[before] - SIDE, place[before] + GRAM)) >> np.uint64(32) | np.uint64(1)
+    right[after] = tk.mix(tk.span_hash(prefix, place[after], place[after] + GRAM + SIDE)) >> np.uint64(32) | np.uint64(1)
     base = offsets[doc]
-    return {"doc": doc.astype(np.int32), "lo": (lo - base).astype(np.int32), "hi": (hi - base).astype(np.int32), "off": off.astype(np.uint8), "h": grams[place], "v": v}
+    return {"doc": doc.astype(np.int32), "lo": (lo - base).astype(np.int32), "hi": (hi - base).astype(np.int32), "off": off.astype(np.uint8), "h": grams[place], "v": v, "left": left, "right": right}
 
 
 def settle(v: np.ndarray, rank: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,14 +217,14 @@ def previous_factors(data: np.ndarray, room: np.ndarray, places: np.ndarray, dep
     return out
 
 
-_MAP = "bucket int, kind int, ids binary, keys binary, doc binary, h binary, v binary, lo binary, hi binary, off binary"
+_MAP = "bucket int, kind int, ids binary, keys binary, doc binary, h binary, v binary, lo binary, hi binary, off binary, side binary"
 _FLAT = "id long, key long, kind int, lo int, end int, h long, hot boolean"
 
 
-def _pack(bucket: int, kind: int, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, h=None, v=None, off=None) -> tuple:
+def _pack(bucket: int, kind: int, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, h=None, v=None, off=None, side=None) -> tuple:
     used, doc = np.unique(doc, return_inverse=True)
     raw = lambda x, kind_: b"" if x is None else x.astype(kind_).tobytes()
-    return bucket, kind, raw(ids[used], np.int64), raw(keys[used], np.int64), raw(doc, np.uint32), raw(h, np.uint64), raw(v, np.uint64), raw(lo, np.uint32), raw(hi, np.uint32), raw(off, np.uint8)
+    return bucket, kind, raw(ids[used], np.int64), raw(keys[used], np.int64), raw(doc, np.uint32), raw(h, np.uint64), raw(v, np.uint64), raw(lo, np.uint32), raw(hi, np.uint32), raw(off, np.uint8), raw(side, np.uint32)
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -258,7 +268,7 @@ def _meet(docs: DataFrame, buckets: int) -> DataFrame:
             rows += [_pack(k, 0, ids, keys, doc[p], lo[p], end[p]) for k, p in _by_bucket(bucket.astype(np.int64))]
         a = {k: x[first] for k, x in a.items()}
         for k, p in _by_bucket((a["h"] % np.uint64(buckets)).astype(np.int64)):
-            rows.append(_pack(k, 1, ids, keys, a["doc"][p], a["lo"][p], a["hi"][p], a["h"][p], a["v"][p], a["off"][p]))
+            rows.append(_pack(k, 1, ids, keys, a["doc"][p], a["lo"][p], a["hi"][p], a["h"][p], a["v"][p], a["off"][p], np.stack([a["left"][p], a["right"][p]])))
         for s in range(0, len(rows), 2048):
             yield _batch(rows[s : s + 2048], _MAP)
 
@@ -279,9 +289,15 @@ def _meet(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _MAP)
 
 
+def shared(x: np.ndarray) -> np.ndarray:
+    """Whether each value occurs more than once."""
+    _, inverse, times = np.unique(x, return_inverse=True, return_counts=True)
+    return times[inverse] > 1
+
+
 def _resolve(group: pa.Table) -> pa.RecordBatch | None:
     """Ranges (kind 0) and requests for text (kind 1) of one bucket."""
-    read: dict[str, list[np.ndarray]] = {k: [] for k in ("id", "key", "h", "v", "lo", "hi", "off")}
+    read: dict[str, list[np.ndarray]] = {k: [] for k in ("id", "key", "h", "v", "lo", "hi", "off", "left", "right")}
     outs = []
     for r in group.to_pylist():
         doc = np.frombuffer(r["doc"], np.uint32)
@@ -290,7 +306,8 @@ def _resolve(group: pa.Table) -> pa.RecordBatch | None:
         if r["kind"] == 0:
             outs.append(_flat(ids, keys, 0, lo, hi))
             continue
-        for k, x in (("id", ids), ("key", keys), ("lo", lo), ("hi", hi), ("h", np.frombuffer(r["h"], np.uint64)), ("v", np.frombuffer(r["v"], np.uint64)), ("off", np.frombuffer(r["off"], np.uint8))):
+        left, right = np.frombuffer(r["side"], np.uint32).reshape(2, -1)
+        for k, x in (("left", left), ("right", right), ("id", ids), ("key", keys), ("lo", lo), ("hi", hi), ("h", np.frombuffer(r["h"], np.uint64)), ("v", np.frombuffer(r["v"], np.uint64)), ("off", np.frombuffer(r["off"], np.uint8))):
             read[k].append(x)
     if read["id"]:
         a = {k: np.concatenate(x) for k, x in read.items()}
@@ -302,11 +319,12 @@ def _resolve(group: pa.Table) -> pa.RecordBatch | None:
             known, at = np.unique(rank[later], return_index=True)
             at = at[np.searchsorted(known, doc)]
             outs.append(_flat(ids[at], keys[at], 0, lo, end))
-        _, inverse, times = np.unique(a["h"][first], return_inverse=True, return_counts=True)
-        times = times[inverse]
-        ask = first[times > 1]
+        ask = first[shared(a["h"][first])]
+        sides = [np.where(a[k][ask] > 0, shared((a["h"][ask] & ~_LOW) | a[k][ask]), False) for k in ("left", "right")]
+        ask = ask[sides[0] | sides[1]]
         if len(ask):
-            outs.append(_flat(a["id"][ask], a["key"][ask], 1, a["lo"][ask], a["hi"][ask] + LENGTH, a["h"][ask], times[times > 1] > HOT))
+            _, inverse, times = np.unique(a["h"][ask], return_inverse=True, return_counts=True)
+            outs.append(_flat(a["id"][ask], a["key"][ask], 1, a["lo"][ask], a["hi"][ask] + LENGTH, a["h"][ask], times[inverse] > HOT))
     return pa.Table.from_batches(outs).combine_chunks().to_batches()[0] if outs and sum(o.num_rows for o in outs) else None
 
 
