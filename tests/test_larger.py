@@ -119,3 +119,15 @@ def test_neighbours_are_computed_once(spark):
     rows = spark.range(200).selectExpr("id word", "explode(array(1, 2)) rank", "1 + pmod(id * 7919, 101) / 100 d").selectExpr("word", "rank", "d * rank distance")
     semantic.twonn_dimension(rows.withColumn("distance", counted.asNondeterministic()("distance"))).collect()
     assert made.value == 400
+
+
+def test_blocks_of_query_distances_are_shuffled_once(spark, monkeypatch):
+    """What is shuffled grows with the rows, not with the blocks that they meet."""
+    monkeypatch.setattr(semantic, "PAIR_BLOCK", 5)
+    x = np.random.default_rng(10).normal(size=(120, 3))
+    values = spark.createDataFrame([(k, t, float(v)) for k, row in enumerate(x) for t, v in zip("abc", row, strict=True)], "user_id long, topic string, value double")
+    found = semantic.query_distances(values, values.where("user_id % 4 = 0"), [(["a", "b", "c"], 3.0)])
+    got = {(r.a, r.b): r.distance for r in found.collect()}
+    assert got.keys() == {(a, b) for a in range(0, 120, 4) for b in range(120) if a != b}
+    assert all(abs(d - float(np.sqrt(((x[a] - x[b]) ** 2).sum()))) < 1e-9 for (a, b), d in got.items())
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
