@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinara.session import cut_lineage
+
 #: Topics up to which a transform over all bitmasks is made; numbers of subsets that one step of a task unranks.
 ZETA, STEP = 20, 1 << 14
 #: Subsets of a society whose means may be held by each task (8 bytes each).
@@ -82,6 +84,7 @@ def subset_means(pairs: DataFrame, topics: Sequence[str], size: int, value: str
     known = pairs.select(*by, F.try_element_at(place, "t1").alias("i"), F.try_element_at(place, "t2").alias("j"), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v")).where("i is not null and j is not null and i <> j")
     # One row for each society, of at most n * (n - 1) / 2 pairs.
     squares = known.groupBy(*by).agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"), F.collect_list("v").alias("v"))
+    squares = cut_lineage(squares, "squares")  # means are read several times; the pairs behind them are computed once
     total, inside = comb(n, size), comb(size, 2)
     blocks = spark.range(0, -(-total // STEP), 1, max(1, min(-(-total // STEP), spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "_block")
     tasks = blocks.join(F.broadcast(squares), F.lit(True)).select(*by, "_block", "i", "j", "v")

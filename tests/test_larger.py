@@ -131,3 +131,35 @@ def test_blocks_of_query_distances_are_shuffled_once(spark, monkeypatch):
     assert got.keys() == {(a, b) for a in range(0, 120, 4) for b in range(120) if a != b}
     assert all(abs(d - float(np.sqrt(((x[a] - x[b]) ** 2).sum()))) < 1e-9 for (a, b), d in got.items())
     assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_few_groups_are_not_shuffled_by_group(spark, monkeypatch):
+    """Joins with numbers of a few groups are broadcast, whatever Spark thinks of their size."""
+    from opinara.operators import curves, ranks
+
+    monkeypatch.setattr(ranks, "cut_lineage", lambda df, name: df)
+    monkeypatch.setattr(curves, "cut_lineage", lambda df, name: df)
+    rows = spark.range(300).selectExpr("if(id % 2 = 0, 'a', 'b') g", "cast(pmod(id * 7919, 101) as double) x", "cast(id % 7 as double) y")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in (curves.density_curve(rows, "g", "x"), ranks.numbered(rows, ["g"], [F.col("x"), F.col("y")]))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+
+
+def test_correlations_behind_subset_means_are_computed_once(spark):
+    from opinara.operators import subsets
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        made.add(1)
+        return v
+
+    pairs = spark.createDataFrame([(s, t, u, (ord(t) + 2 * ord(u)) / 400) for s in "AB" for t in "abcd" for u in "abcd" if t < u], "society string, t1 string, t2 string, y double")
+    means = subsets.subset_means(pairs.withColumn("y", counted.asNondeterministic()("y")), list("abcd"), 3)
+    subsets.set_gaps(means, [("A", "B")], {("A", "B"): (0.1,)}).collect()
+    assert made.value == 12
