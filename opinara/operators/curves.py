@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.operators.ranks import numbered
+from opinara.operators.ranks import few, numbered
 from opinara.session import cut_lineage
 
 
@@ -22,11 +22,13 @@ def density_curve(rows: DataFrame, group: str, value: str, points: int = 50, wei
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     v = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), w.alias("w")).where("x is not null and not isnan(x) and w > 0")
     s = v.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("w").alias("w1"), F.sum(F.col("w") * F.col("w")).alias("w2"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m")).where("hi > lo")
+    s = few(cut_lineage(s, "means"))
     off = F.col("x") - F.col("m")
     spread = v.join(s, "g").groupBy("g").agg(F.sum(F.col("w") * off * off).alias("ss"))
     one = F.col("w2") / (F.col("w1") * F.col("w1"))  # one over the effective number of rows
     s = s.join(spread, "g").withColumn("h2", F.col("ss") / F.col("w1") / (1 - one) * F.pow(one, F.lit(0.4)))
     s = s.select("g", "lo", "hi", "w1", "h2", ((F.col("hi") - F.col("lo")) / bins).alias("d")).where("h2 > 0")
+    s = few(cut_lineage(s, "groups"))
     at = (F.col("x") - F.col("lo")) / F.col("d")
     left = F.least(F.floor(at), F.lit(bins - 1))
     share = at - left
@@ -60,19 +62,19 @@ def local_lines(rows: DataFrame, by: str, x: str, y: str, weights: dict[str, str
     places = ends.select("g", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda j: F.col("lo") + j * step)).alias("j", "p")).select("*", every.alias("span"))
     k = F.least(F.col("n"), F.greatest(F.lit(3), F.ceil(F.col("span") * F.col("n")))).cast("long")
     places = cut_lineage(places.withColumn("k", k), "places")
-    ks = places.select("g", "span", "k").distinct()
+    ks = few(cut_lineage(places.select("g", "span", "k").distinct(), "counts"))
     later = placed.select(F.col("g").alias("g2"), F.col("i").alias("i2"), F.col("x").alias("x2"))
     steps = placed.select("g", "i", "x").join(ks, "g").join(later, (F.col("g") == F.col("g2")) & (F.col("i") + F.col("k") == F.col("i2")))
-    before = steps.select("g", "span", (F.col("x") + F.col("x2")).alias("t")).join(places.select("g", "span", "j", "p"), ["g", "span"])
+    before = steps.select("g", "span", (F.col("x") + F.col("x2")).alias("t")).join(few(places).select("g", "span", "j", "p"), ["g", "span"])
     first = before.groupBy("g", "span", "j").agg(F.sum((F.col("t") < 2 * F.col("p")).cast("long")).alias("skip"))
-    windows = places.join(first, ["g", "span", "j"], "left").withColumn("i", F.coalesce("skip", F.lit(0)) + 1)
+    windows = few(cut_lineage(places.join(first, ["g", "span", "j"], "left").withColumn("i", F.coalesce("skip", F.lit(0)) + 1), "begins"))
     near = placed.select("g", "i", F.col("x").alias("xl"))
     far = placed.select("g", (F.col("i")).alias("e"), F.col("x").alias("xr"))
-    windows = windows.join(near, ["g", "i"]).withColumn("e", F.col("i") + F.col("k") - 1).join(far, ["g", "e"])
+    windows = few(cut_lineage(windows.join(near, ["g", "i"]).withColumn("e", F.col("i") + F.col("k") - 1), "ends")).join(far, ["g", "e"])
     reach = F.greatest(F.col("p") - F.col("xl"), F.col("xr") - F.col("p")) * 1.0001  # fixed value: just beyond the farthest
     windows = cut_lineage(windows.select("g", "span", "j", "p", F.when(reach > 0, reach).otherwise(F.lit(1.0)).alias("h")), "windows")
     u = F.col("x") - F.col("p")
-    inside = placed.join(windows, "g").where(F.abs(u) < F.col("h"))
+    inside = placed.join(few(windows), "g").where(F.abs(u) < F.col("h"))
     ratio = F.abs(u) / F.col("h")
     kernel = (1 - ratio * ratio * ratio) * (1 - ratio * ratio * ratio) * (1 - ratio * ratio * ratio)
 

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 from opinara.session import cut_lineage
 
+#: Rows of a table of groups that is broadcast.  With more groups a shuffle by group is spread, and Spark splits what is skewed.
+FEW = 10_000
+
+
+def few(stored: DataFrame) -> DataFrame:
+    """A stored table of groups, to be broadcast if it is small: a shuffle by a few groups puts all rows in as many tasks."""
+    return F.broadcast(stored) if stored.limit(FEW + 1).count() <= FEW else stored
+
 
 def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, inclusive: bool = True) -> DataFrame:
     """``rows`` with ``name``: the sum of ``value`` over the group's rows up to this one in ``order`` (which must tell rows
@@ -25,7 +33,7 @@ def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[str], value
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each group and partition that it touches: groups plus partitions at most.
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    split = offsets.where(F.col("_before") != 0)
+    split = few(cut_lineage(offsets.where(F.col("_before") != 0), "offsets"))
     own = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     summed = placed.withColumn(name, F.coalesce(F.sum(value).over(own), F.lit(0)))
     match = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_part"]]
@@ -42,6 +50,8 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> Dat
     keyed = rows.withColumns(dict(zip(names, order, strict=True))).withColumn("_one", F.lit(1))
     counted = running_sums(keyed, by, names, "_one", "_n").drop("_one", *names)
     sizes = rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]).agg(F.count(F.lit(1)).alias("_size"))
+    if by:
+        sizes = few(cut_lineage(sizes, "sizes"))
     cond = F.lit(True)
     for i, c in enumerate(by):
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
