@@ -110,11 +110,14 @@ def thinned(values: DataFrame, missing: Iterable[float], reps: int, seed: int =
     lower share takes away, a higher one does too."""
     u = lambda *parts: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
     shares = F.array(*[F.struct(F.lit(float(m)).alias("missing"), F.lit(row_scale(1 - m)).alias("scale")) for m in missing])
-    rows = values.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_m", F.explode(shares)).withColumn("pattern", F.explode(F.array(F.lit("random"), F.lit("rows"))))
+    # Users are dealt out before entries are copied, so that sums by cell and user need no shuffle of the copies; an entry's
+    # hashes are the same for all shares and patterns.
+    rows = values.repartition("user_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     entry = u(F.lit("e"), F.col("rep").cast("string"), F.col("user_id").cast("string"), F.col("topic"))
     active = -F.log(u(F.lit("u"), F.col("rep").cast("string"), F.col("user_id").cast("string")))
-    kept = F.when(F.col("pattern") == "random", 1 - F.col("_m.missing")).otherwise(F.least(F.lit(1.0), F.col("_m.scale") * active))
-    return rows.where(entry < kept).select("pattern", F.col("_m.missing").alias("missing"), "rep", "user_id", "topic", "value")
+    rows = rows.withColumns({"_e": entry, "_a": active}).withColumn("_m", F.explode(shares)).withColumn("pattern", F.explode(F.array(F.lit("random"), F.lit("rows"))))
+    kept = F.when(F.col("pattern") == "random", 1 - F.col("_m.missing")).otherwise(F.least(F.lit(1.0), F.col("_m.scale") * F.col("_a")))
+    return rows.where(F.col("_e") < kept).select("pattern", F.col("_m.missing").alias("missing"), "rep", "user_id", "topic", "value")
 
 
 def cell_means(grid: DataFrame) -> DataFrame:

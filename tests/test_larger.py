@@ -163,3 +163,33 @@ def test_correlations_behind_subset_means_are_computed_once(spark):
     means = subsets.subset_means(pairs.withColumn("y", counted.asNondeterministic()("y")), list("abcd"), 3)
     subsets.set_gaps(means, [("A", "B")], {("A", "B"): (0.1,)}).collect()
     assert made.value == 12
+
+
+def test_slices_of_points_are_bounded(spark, monkeypatch):
+    from opinara.operators import knn
+
+    monkeypatch.setattr(knn, "CELL", 10)
+    monkeypatch.setattr(knn, "SLICES", 8)
+    held = []
+    plain = knn._copies
+    monkeypatch.setattr(knn, "_copies", lambda begun, cells, count: held.append(cells) or plain(begun, cells, count))
+    x = np.random.default_rng(11).normal(size=(900, 8))
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "word long, vector array<double>")
+    got: dict = {}
+    for r in knn.neighbours(points, 2).collect():
+        got.setdefault(r.word, []).append((r.rank, r.neighbour))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert {k: [j for _, j in sorted(v)] for k, v in got.items()} == {k: np.argsort(d[k])[:2].tolist() for k in range(900)}
+    assert held[0].slices.sum() <= 3 * 8
+
+
+def test_thinned_entries_are_dealt_out_once(spark):
+    """Copies of entries for shares and patterns are made after the shuffle, and after an entry is hashed."""
+    from opinara.operators import simulation, spectral
+
+    values = spark.range(60).selectExpr("id % 20 user_id", "concat('t', id div 20) topic", "cast(id * 7 % 11 as double) value")
+    thin = simulation.thinned(values, (0.0, 0.5), 2)
+    plan = spectral.cross_sums(thin, ("pattern", "missing", "rep"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(user_id") == 1 and "Exchange hashpartitioning(pattern#" in plan
+    assert "user_id" not in plan[plan.index("Exchange hashpartitioning(pattern#") :].splitlines()[0]
