@@ -2,14 +2,14 @@
 
 1. Equal vectors become one query, and as data at most k + 1 of them (those of least word) matter to anybody.
 2. Pivots, a hashed sample of the vectors of bounded size, cut the space into cells; a cell of many points is dealt into slices,
-   so that no task holds more than about ``CELL`` points at once.
+   so that no task holds more than about ``CELL`` points at once, or of many points a share 2 / ``SLICES``.
 3. Each query meets its own slice.  Its distance to the (k + 1)-th point there bounds that of its true neighbours.
 4. A query goes on to the other cells that its bound may reach: by the cell's ring around its pivot, or by the hyperplane
    between the two pivots.  Cells that many queries reach are copied for parts of them.  A task holds one slice and streams
    the queries past it.
 
 Points never go through the driver; it holds the pivots and three numbers for each cell.  In few dimensions a query reaches few
-cells; in many dimensions no exact method can leave out much, and each query meets nearly every slice.
+cells; in many dimensions no exact method can leave out much, and each query meets nearly every slice; as there are about ``2 * SLICES`` of them at most, copies grow with the queries.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from opinara.session import Scratch
 
 #: Points of a slice (about), pivots at most, queries of one product, copies of queries in one batch.
 CELL, PIVOTS, STEP, COPIES = 4096, 2048, 512, 8192
+#: Cells that points are cut into (about): with more points cells grow, so that a query is copied to a bounded number of slices.
+SLICES = 64
 #: Query copies of a slice from which on it is dealt with in several tasks.
 QUERIES = 1 << 17
 #: Bounds are widened by this share (and as much in units of the largest square), more than rounding can move them.
@@ -40,16 +42,17 @@ def squares(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def best(q: np.ndarray, x: np.ndarray, words: np.ndarray, bound: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, distance): for each query its first ``n`` rows by (distance, word) among those within its bound."""
     found = []
-    for s in range(0, len(q), STEP):
-        part = q[s : s + STEP]
+    step = max(1, min(STEP, STEP * CELL // max(1, len(x))))  # bounds the product
+    for s in range(0, len(q), step):
+        part = q[s : s + step]
         rough = squares(part, x)
         slack = SLACK * (1 + (part * part).sum(1) + (x * x).sum(1).max(initial=0.0))
-        line = bound[s : s + STEP] ** 2
+        line = bound[s : s + step] ** 2
         if len(x) > n:
             line = np.minimum(line, np.partition(rough, n - 1, axis=1)[:, n - 1])
         i, j = np.nonzero(rough <= (line + slack)[:, None])
         d = np.sqrt(((part[i] - x[j]) ** 2).sum(1))
-        keep = d <= bound[s : s + STEP][i]
+        keep = d <= bound[s : s + step][i]
         i, j, d = i[keep], j[keep], d[keep]
         order = np.lexsort((words[j], d, i))
         i, j, d = i[order], j[order], d[order]
@@ -99,14 +102,15 @@ def neighbours(rows: DataFrame, k: int) -> DataFrame:
     points = asked.withColumn("copy", F.row_number().over(same)).withColumn("query", F.first("word").over(same)).where(F.col("copy") <= k + 1)
     points = scratch.store(points.select("query", "word", "h1", "h2", "vector"), "points")
     n = points.count()
-    sample = points.where("query = word").orderBy(F.xxhash64("vector"), "word").limit(max(1, min(PIVOTS, 2 * n // CELL)))
+    cell = max(CELL, -(-2 * n // SLICES))
+    sample = points.where("query = word").orderBy(F.xxhash64("vector"), "word").limit(max(1, min(PIVOTS, 2 * n // cell)))
     pivots = np.array([r.vector for r in sample.select("vector").collect()], np.float64)
     if not n:
         return asked.select("word", F.col("word").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where("false")
     cells = Cells(pivots)
     placed = _placed(points, cells)
     for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("apart").alias("near"), F.max("apart").alias("far")).collect():
-        cells.near[r.cell], cells.far[r.cell], cells.slices[r.cell] = r.near, r.far, -(-2 * r.n // CELL) if r.n > CELL else 1
+        cells.near[r.cell], cells.far[r.cell], cells.slices[r.cell] = r.near, r.far, -(-2 * r.n // cell) if r.n > cell else 1
     slices = spark.createDataFrame([(i, int(s)) for i, s in enumerate(cells.slices)], "cell int, slices int")
     placed = placed.join(F.broadcast(slices), "cell").withColumn("slice", F.pmod(F.xxhash64("word"), F.col("slices")).cast("int"))
     placed = scratch.store(placed.select("cell", "slice", "query", "word", "vector"), "cells")
