@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.scalar import first_match, has_any_word, normalize_place
+from opinara.operators.ranks import few
+from opinara.session import cut_lineage
 
 #: Different numbers of words that the names of a gazetteer may have: each is a pass over the words of the texts.
 MAX_PLACE_WORDS = 12
@@ -91,22 +93,23 @@ def gazetteer_matches(texts: DataFrame, gazetteer: DataFrame, key: str, text: st
 
     All runs of words of a text that are a place of the gazetteer are candidates; the lowest level decides, then the run that ends
     farthest right, then the longest, then the first code in order: as when a trie is walked from the right end, level by
-    level.  A run's hash meets the gazetteer's in a join (broadcast by its size, as Spark measures it), only for the lengths
-    that places have; equal hashes are confirmed by the words.  Texts without a place, or null, give no row; rows of one key are one
+    level.  Each word meets the places that begin with it in a join (broadcast while the gazetteer is small), and only there are
+    the words after it compared.  Texts without a place, or null, give no row; rows of one key are one
     text each.  Places without words or with a null code or level are left out."""
     named = gazetteer.where("code is not null and level is not null").select(place_tokens(F.col("place")).alias("w"), "code", "level").where(F.size("w") > 0)
     # One row for each name: what a lower level or an earlier code says of the same name decides.
-    named = named.groupBy("w").agg(F.min(F.struct("level", "code")).alias("p")).select(F.xxhash64("w").alias("h"), "w", F.size("w").alias("n"), "p.code", "p.level")
+    named = named.groupBy("w").agg(F.min(F.struct("level", "code")).alias("p")).select(F.col("w")[0].alias("first"), "w", F.size("w").alias("n"), "p.code", "p.level")
     lengths = [r.n for r in named.select("n").distinct().orderBy("n").limit(MAX_PLACE_WORDS + 1).collect()]
     if len(lengths) > MAX_PLACE_WORDS:
         raise ValueError(f"place names of more than {MAX_PLACE_WORDS} different lengths")
     if not lengths:
         lengths = [1]
+    named = few(cut_lineage(named, "names"))
     own = F.xxhash64(F.col(text).cast("string"))
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), own.alias("t"), place_tokens(F.col(text).cast("string")).alias("words"))
-    of_length = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, n).alias("w")))).otherwise(F.array())
-    runs = rows.select("key", "t", F.explode(F.concat(*[of_length(n) for n in lengths])).alias("r")).select("key", "t", "r.start", "r.w")
-    hits = runs.withColumn("h", F.xxhash64("w")).join(named.withColumnRenamed("w", "own"), "h").where("w = own")
+    words = rows.select("key", "t", "words", F.posexplode("words").alias("start", "first"))
+    words = words.select("key", "t", "start", "first", F.slice("words", F.col("start") + 1, lengths[-1]).alias("run"))
+    hits = words.join(named, "first").where(F.slice("run", 1, F.col("n")) == F.col("w"))
     order = F.struct("level", (-(F.col("start") + F.col("n"))).alias("end"), (-F.col("n")).alias("length"), "code", "w", "start", "n")
     best = hits.groupBy("key", "t").agg(F.min(order).alias("b"))
     # Rows of one key and text are told apart by nothing: each copy gets the row.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.functions import stats
-from opinara.operators import curves, dimension, knn, resampling, semantic, subsets
+from opinara.operators import curves, dimension, knn, places, resampling, semantic, subsets
 from opinara.plans import catalogue
 
 
@@ -201,3 +201,12 @@ def test_dimension_estimate_equals_the_routines(spark, sf_dir):
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 1)[:, 1:]
     assert knn.CELL and abs(r.mle - stats.levina_bickel(d[:, :30])[0]) < 1e-6
     assert abs(r.two_nn - stats.two_nn(d[:, 0], d[:, 1])) < 0.05 * r.two_nn
+
+
+def test_only_words_that_begin_a_place_are_compared(spark):
+    texts = spark.createDataFrame([(1, "in New York city"), (2, "york new york"), (3, "new"), (4, None), (4, "City"), (4, "City")], "doc_id long, text string")
+    names = spark.createDataFrame([("new york", "NY", 0), ("new york city", "NYC", 1), ("city", "C", 2)], "place string, code string, level int")
+    found = places.gazetteer_matches(texts, names, "doc_id", "text")
+    assert sorted((r.doc_id, r.place, r.code, r.start, r.words) for r in found.collect()) == [(1, "new york", "NY", 1, 2), (2, "new york", "NY", 1, 2), (4, "city", "C", 0, 1), (4, "city", "C", 0, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and "transform(sequence" not in plan
