@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from opinara.operators.ranks import few, numbered
 from opinara.session import cut_lineage
 
+#: Every so many rows of a sorted group one is kept, to tell nearly where a window begins.
+EVERY = 1024
+
 
 def density_curve(rows: DataFrame, group: str, value: str, points: int = 50, weight: str | None = None, bins: int = 4096) -> DataFrame:
     """(group, x, density): (weighted) Gaussian kernel densities by Scott's rule at ``points`` places from least to largest value.
@@ -48,31 +51,43 @@ def local_lines(rows: DataFrame, by: str, x: str, y: str, weights: dict[str, str
     them, times the row's own weight; ``weights`` names the fits and their weight columns (None: equal weights).
 
     The nearest k rows of a place are a window of the rows sorted by x: it begins after all rows l with
-    x[l] + x[l + k] < 2 * place, which are counted.  So rows are sorted and numbered once (by range partitions), each span adds a join of
-    row l with row l + k, and all fits of all spans are five sums over the rows of each window.  Rows with a null x or y take no
-    part, nor in a fit those without its weight; a line without spread in x is level."""
+    x[l] + x[l + k] < 2 * place.  So rows are sorted and numbered once (by range partitions).  These sums never fall, so every
+    ``EVERY``-th row, with one up to as many rows beyond l + k, tells within 2 * ``EVERY`` rows where a window begins, and only the
+    rows there and k rows on are met one by one.  All fits of all spans are five sums over the rows of each window.  Rows with a
+    null x or y take no part, nor in a fit those without its weight; a line without spread in x is level."""
     names = list(weights)
     own = [(F.lit(1.0) if c is None else F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"w{k}") for k, c in enumerate(weights.values())]
     known = rows.select(F.col(by).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *own).where("x is not null and y is not null")
-    placed = numbered(known, ["g"], [F.col("x"), F.col("y")]).select("g", "x", "y", *[f"w{k}" for k in range(len(names))], F.col("_n").cast("long").alias("i"), F.col("_size").alias("n"))
-    placed = cut_lineage(placed, "sorted")
-    ends = placed.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("n").alias("n"))
+    # Where many rows share x and y, their weights spread them over the range partitions.
+    order = [F.col("x"), F.col("y"), *[F.col(f"w{k}") for k, c in enumerate(weights.values()) if c is not None]]
+    placed = numbered(known, ["g"], order).withColumnsRenamed({"_n": "i", "_size": "n"})
+    coarse = cut_lineage(placed.where(((F.col("i") - 1) % EVERY == 0) | (F.col("i") == F.col("n"))).select("g", "x", "i", "n"), "coarse")
+    ends = coarse.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("n").alias("n"))
     step = F.when(F.lit(points) > 1, (F.col("hi") - F.col("lo")) / max(points - 1, 1)).otherwise(F.lit(0.0))
     every = F.explode(F.array(*[F.lit(float(s)) for s in spans]))
     places = ends.select("g", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda j: F.col("lo") + j * step)).alias("j", "p")).select("*", every.alias("span"))
     k = F.least(F.col("n"), F.greatest(F.lit(3), F.ceil(F.col("span") * F.col("n")))).cast("long")
     places = cut_lineage(places.withColumn("k", k), "places")
+    place = ["g", "span", "j"]
     ks = few(cut_lineage(places.select("g", "span", "k").distinct(), "counts"))
-    later = placed.select(F.col("g").alias("g2"), F.col("i").alias("i2"), F.col("x").alias("x2"))
-    steps = placed.select("g", "i", "x").join(ks, "g").join(later, (F.col("g") == F.col("g2")) & (F.col("i") + F.col("k") == F.col("i2")))
-    before = steps.select("g", "span", (F.col("x") + F.col("x2")).alias("t")).join(few(places).select("g", "span", "j", "p"), ["g", "span"])
-    first = before.groupBy("g", "span", "j").agg(F.sum((F.col("t") < 2 * F.col("p")).cast("long")).alias("skip"))
-    windows = few(cut_lineage(places.join(first, ["g", "span", "j"], "left").withColumn("i", F.coalesce("skip", F.lit(0)) + 1), "begins"))
-    near = placed.select("g", "i", F.col("x").alias("xl"))
-    far = placed.select("g", (F.col("i")).alias("e"), F.col("x").alias("xr"))
-    windows = few(cut_lineage(windows.join(near, ["g", "i"]).withColumn("e", F.col("i") + F.col("k") - 1), "ends")).join(far, ["g", "e"])
+    beyond = coarse.select(F.col("g").alias("g2"), F.col("i").alias("i2"), F.col("x").alias("x2"))
+    steps = coarse.select("g", "i", "x").join(ks, "g").join(beyond, (F.col("g") == F.col("g2")) & (F.col("i") + F.col("k") - F.col("k") % EVERY + EVERY == F.col("i2")))
+    before = steps.select("g", "span", "i", (F.col("x") + F.col("x2")).alias("t")).join(few(places).select(*place, "p"), ["g", "span"])
+    sure = before.where(F.col("t") < 2 * F.col("p")).groupBy(*place).agg(F.max("i").alias("least"))
+    near = cut_lineage(places.join(sure, place, "left").withColumn("least", F.coalesce("least", F.lit(1 - EVERY))), "near")
+    sought = near.select(*place, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("least").alias("at")), F.struct(F.lit(1).alias("side"), (F.col("least") + F.col("k")).alias("at")))).alias("s"))
+    sought = few(cut_lineage(sought.select(*place, "s.side", "s.at"), "sought"))
+    fine = placed.select("g", "x", "i").join(sought, "g").where((F.col("i") >= F.col("at")) & (F.col("i") <= F.col("at") + 2 * EVERY))
+    fine = fine.groupBy(*place, (F.col("i") - F.col("at")).alias("o")).agg(*[F.max(F.when(F.col("side") == side, F.col("x"))).alias(c) for side, c in enumerate(("xl", "xr"))])
+    fine = cut_lineage(fine, "fine")
+    # In l = least + o, xl is x[l] and xr is x[l + k].
+    found = fine.join(near.select(*place, "p", "least"), place).where(F.col("xl") + F.col("xr") < 2 * F.col("p"))
+    skip = found.groupBy(*place).agg(F.max("o").alias("last"))
+    windows = near.join(skip, place, "left").withColumn("last", F.coalesce("last", -F.col("least")))
+    begun = F.col("o") == F.col("last") + 1
+    windows = fine.join(windows, place).where(begun | (F.col("o") == F.col("last"))).groupBy(*place, "p").agg(F.max(F.when(begun, F.col("xl"))).alias("xl"), F.max(F.when(~begun, F.col("xr"))).alias("xr"))
     reach = F.greatest(F.col("p") - F.col("xl"), F.col("xr") - F.col("p")) * 1.0001  # fixed value: just beyond the farthest
-    windows = cut_lineage(windows.select("g", "span", "j", "p", F.when(reach > 0, reach).otherwise(F.lit(1.0)).alias("h")), "windows")
+    windows = cut_lineage(windows.select(*place, "p", F.when(reach > 0, reach).otherwise(F.lit(1.0)).alias("h")), "windows")
     u = F.col("x") - F.col("p")
     inside = placed.join(few(windows), "g").where(F.abs(u) < F.col("h"))
     ratio = F.abs(u) / F.col("h")

@@ -45,14 +45,23 @@ def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[str], value
 
 
 def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """``rows`` with ``_n`` (number in the group by ``order``, from 1) and ``_size`` (rows of the group)."""
+    """``rows`` with ``_n`` (number in the group by ``order``, from 1) and ``_size`` (rows of the group).
+
+    Rows are shuffled once: sorted range partitions are stored with ids that go up by one within a partition, so a number is an id
+    less the first one of its group there, plus the group's rows in the partitions before (``runs``, a row for each group and
+    partition that it touches)."""
     names = [f"_o{k}" for k in range(len(order))]
-    keyed = rows.withColumns(dict(zip(names, order, strict=True))).withColumn("_one", F.lit(1))
-    counted = running_sums(keyed, by, names, "_one", "_n").drop("_one", *names)
-    sizes = rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]).agg(F.count(F.lit(1)).alias("_size"))
-    if by:
-        sizes = few(cut_lineage(sizes, "sizes"))
-    cond = F.lit(True)
+    keys = [*by, *names]
+    keyed = rows.withColumns(dict(zip(names, order, strict=True)))
+    placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*names).withColumn("_id", F.monotonically_increasing_id())
+    placed = cut_lineage(placed, "ranges").withColumn("_part", F.shiftright("_id", 33))  # the id's upper bits are the partition's
+    runs = placed.groupBy(*by, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_rows").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kinds = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    runs = runs.select(*kinds, F.col("_part").alias("_in"), (F.col("_first") - 1 - before).alias("_less"), F.sum("_rows").over(w).alias("_size"))
+    runs = few(cut_lineage(runs, "runs"))
+    cond = F.col("_part") == F.col("_in")
     for i, c in enumerate(by):
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    return counted.join(sizes, cond, "left").drop(*[f"_k{i}" for i in range(len(by))]) if by else counted.join(F.broadcast(sizes))  # one row
+    return placed.join(runs, cond).select(*rows.columns, (F.col("_id") - F.col("_less")).alias("_n"), "_size")

@@ -193,3 +193,40 @@ def test_thinned_entries_are_dealt_out_once(spark):
     plan = spectral.cross_sums(thin, ("pattern", "missing", "rep"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(user_id") == 1 and "Exchange hashpartitioning(pattern#" in plan
     assert "user_id" not in plan[plan.index("Exchange hashpartitioning(pattern#") :].splitlines()[0]
+
+
+def test_numbered_rows_are_shuffled_once(spark):
+    """Numbers come from the ids of stored ranges: no second shuffle by range and group, where several may meet in one task."""
+    from opinara.operators import ranks
+
+    rows = [("ab"[k % 2] if k % 5 else None, k * 37 % 101, k) for k in range(100)]
+    for by in (["g"], []):
+        found = ranks.numbered(spark.createDataFrame(rows, "g string, o int, v int").repartition(5), by, [F.col("o")])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+        own = lambda g: [o for h, o, _ in rows if h == g or not by]
+        assert {(r.g, r.o, r.v, r._n, r._size) for r in found.collect()} == {(g, o, v, sum(p <= o for p in own(g)), len(own(g))) for g, o, v in rows}
+
+
+def test_local_lines_meet_few_rows_one_by_one(spark, monkeypatch):
+    """Windows of many rows, equal and unequal, are found from every eighth row and the rows near their ends."""
+    from opinara.operators import curves
+
+    monkeypatch.setattr(curves, "EVERY", 8, raising=False)
+    stored = {}
+    plain = curves.cut_lineage
+    monkeypatch.setattr(curves, "cut_lineage", lambda df, name: stored.setdefault(name, plain(df, name)))
+    rng = np.random.default_rng(12)
+    x = {"ties": np.floor(rng.random(700) ** 3 * 9), "steep": rng.random(601) ** 6, "level": np.ones(40), "gap": np.repeat([0.0, 50.0, 51.0], [90, 1, 9]), "two": np.array([1.0, 3.0])}
+    rows = [(g, float(a), *map(float, rng.random(2))) for g, own in x.items() for a in own]
+    df = spark.createDataFrame(rows, "g string, x double, y double, w double").repartition(6)
+    got = {(r.g, r.span, r.fit, round(r.x, 9)): r.value for r in curves.local_lines(df, "g", "x", "y", {"raw": None, "own": "w"}, (0.04, 0.3, 1.0), 7).collect()}
+    for g in x:
+        own = np.array([r[1:] for r in rows if r[0] == g])
+        at = np.linspace(own[:, 0].min(), own[:, 0].max(), 7)
+        for span in (0.04, 0.3, 1.0):
+            for fit, w in (("raw", None), ("own", own[:, 2])):
+                want = stats.loess(own[:, 0], own[:, 1], at, span, w)
+                assert np.allclose([got[g, span, fit, round(float(p), 9)] for p in at], want, atol=1e-6), (g, span, fit)
+    assert stored["coarse"].count() <= len(rows) / 8 + 2 * len(x)
+    assert stored["fine"].groupBy("g", "span", "j").count().agg(F.max("count")).first()[0] <= 2 * 8 + 1
