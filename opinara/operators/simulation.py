@@ -6,15 +6,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.functions import stats
+from opinara.functions import arrays, hashes, stats
 
 
 #: Rows of a simulated matrix that are held at once.
 PART = 100_000
 SUMMED = 4096
+#: Draws of a value whose noise is computed in one call, for a batch of rows.
+DRAWS = 100
 
 
 def manifold_parts(l: int, rows: int, n: int, missing: float, seed, pattern: str = "random") -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,12 +150,27 @@ def dimension_error(cells: DataFrame, value: str = "pr") -> DataFrame:
 
 
 def noisy_reliability(values: DataFrame, reliability: float, draws: int, seed: int = 0) -> DataFrame:
-    """Values with normal noise of the variance that lowers each topic's reliability to a target, once per draw."""
+    """Values with normal noise of the variance that lowers each topic's reliability to a target, once per draw.
+
+    The noise is hashed from seed, draw, topic and user, so it is the same on every run and every cluster; values of no user get none
+    and are null."""
     var = values.groupBy("topic").agg(F.var_samp("value").alias("_v"))
-    noisy = values.join(F.broadcast(var), "topic").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    sd = F.sqrt(F.col("_v") * F.lit((1 - reliability) / reliability))
-    # A normal number hashed from seed, draw, topic and user: the same on every run and every cluster.
-    text = lambda k: F.concat_ws(":", F.lit(str(seed + k)), F.col("draw").cast("string"), "topic", F.col("user_id").cast("string"))
-    u = lambda k: (F.conv(F.substring(F.md5(text(k)), 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
-    z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
-    return noisy.withColumn("value", F.col("value") + sd * z).drop("_v")
+
+    size = DRAWS
+
+    @F.arrow_udf("array<double>")
+    def normals(first: pa.Array, text: pa.Array) -> pa.Array:
+        start = first.to_numpy()
+        order = np.argsort(start, kind="stable")
+        start, text = start[order], text.take(pa.array(order))
+        lists = [arrays.matrix_lists(hashes.hashed_normals(seed, range(start[s], min(start[s] + size, draws + 1)), text[s:e])) for s, e in arrays.runs(start[:, None])]
+        return pa.concat_arrays(lists).take(pa.array(np.argsort(order))) if lists else pa.array([], pa.list_(pa.float64()))
+
+    noise = F.when(F.col("user_id").isNotNull(), F.sqrt(F.col("_v") * F.lit((1 - reliability) / reliability)))
+    noisy = values.join(F.broadcast(var), "topic").withColumn("_sd", noise).drop("_v")
+    # A row carries the noise of a run of draws as a list, so that texts of many rows and draws are hashed in one call.
+    noisy = noisy.withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(size))))
+    noisy = noisy.withColumn("_z", normals("_first", F.concat_ws(":", "topic", F.col("user_id").cast("string"))))
+    # No list is empty; a plain posexplode would be preceded by a filter that computes them all once more.
+    noisy = noisy.select("*", F.posexplode_outer("_z").alias("_k", "_one"))
+    return noisy.withColumns({"value": F.col("value") + F.col("_sd") * F.col("_one"), "draw": F.col("_first") + F.col("_k")}).drop("_sd", "_first", "_z", "_k", "_one")

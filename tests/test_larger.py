@@ -1,11 +1,13 @@
 """Faults that only larger tables or several executors show, in small."""
 
+import hashlib
 import random
 import time
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from opinara.functions import stats
@@ -230,3 +232,55 @@ def test_local_lines_meet_few_rows_one_by_one(spark, monkeypatch):
                 assert np.allclose([got[g, span, fit, round(float(p), 9)] for p in at], want, atol=1e-6), (g, span, fit)
     assert stored["coarse"].count() <= len(rows) / 8 + 2 * len(x)
     assert stored["fine"].groupBy("g", "span", "j").count().agg(F.max("count")).first()[0] <= 2 * 8 + 1
+
+
+def _hashed(text: str) -> float:
+    return (int(hashlib.md5(text.encode()).hexdigest()[:10], 16) + 0.5) / float(1 << 40)
+
+
+def test_md5_of_many_texts_at_once(monkeypatch):
+    from opinara.functions import hashes
+
+    monkeypatch.setattr(hashes, "ROWS", 7)
+    monkeypatch.setattr(hashes, "SIDE", 20)
+    texts = ["", "é:22", *["x" * n for n in range(40, 70)], "y" * 119, "y" * 120, "z" * 500]
+    tails = pa.array(["before", *texts])[1:]
+    for heads in (["1:1:", "1:2:", "2:7:"], ["1:100:"], [""], ["h" * 70, "i" * 70]):
+        got = hashes.md5_numbers([h.encode() for h in heads], tails)
+        assert [[(x + 0.5) / float(1 << 40) for x in row] for row in got.tolist()] == [[_hashed(h + t) for t in texts] for h in heads]
+    assert hashes.md5_numbers([b"1:"], tails[:0]).shape == (1, 0)
+    z = hashes.hashed_normals(8, range(8, 13), tails)
+    for k, t in enumerate(texts):
+        want = [np.sqrt(-2 * np.log(_hashed(f"9:{d}:{t}"))) * np.cos(2 * np.pi * _hashed(f"10:{d}:{t}")) for d in range(8, 13)]
+        assert np.allclose(z[k], want, rtol=1e-12, atol=1e-12)
+
+
+def test_noise_is_hashed_for_many_values_at_once(spark, monkeypatch):
+    from opinara.operators import simulation
+
+    monkeypatch.setattr(simulation, "DRAWS", 4, raising=False)
+    rows = [(u, t, float(u * 7 % 11) if u != 5 else None) for u in range(30) for t in ("1-ä", "b")] + [(None, "b", 2.0), (3, None, 1.0), (9, "alone", 1.0)]
+    values = spark.createDataFrame(rows, "user_id long, topic string, value double").repartition(3)
+    found = simulation.noisy_reliability(values, 0.7, 11, seed=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and plan.count("ArrowEvalPython") == 1
+    assert found.columns == ["topic", "user_id", "value", "draw"]
+    got = {(r.topic, r.user_id, r.draw): r.value for r in found.collect()}
+    assert got.keys() == {(t, u, d) for u, t, _ in rows if t for d in range(1, 12)}
+    var = {t: np.var([v for _, s, v in rows if s == t and v is not None], ddof=1) for t in ("1-ä", "b")}
+    for u, t, v in rows:
+        for d in range(1, 12) if t else ():
+            if t == "alone" or u is None or v is None:
+                assert got[t, u, d] is None
+                continue
+            z = np.sqrt(-2 * np.log(_hashed(f"4:{d}:{t}:{u}"))) * np.cos(2 * np.pi * _hashed(f"5:{d}:{t}:{u}"))
+            assert abs(got[t, u, d] - (v + np.sqrt(var[t] * 0.3 / 0.7) * z)) < 1e-9
+
+
+def test_noise_of_values_of_no_user_is_that_of_the_sql(spark, tmp_path):
+    rows = [(k, None if k % 7 == 0 else k % 9, f"{k % 3}-T", 50_000.0 + 997 * k) for k in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").selectExpr("*", "timestamp '1995-01-01' o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {tuple(r) for r in catalogue.QUERIES["noisy_reliability"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert len(got) == 300 and got == set(con.execute(catalogue.SQL["noisy_reliability"]).fetchall())
