@@ -30,6 +30,8 @@ CELL, PIVOTS, STEP, COPIES = 4096, 2048, 512, 8192
 SLICES = 64
 #: Query copies of a slice from which on it is dealt with in several tasks.
 QUERIES = 1 << 17
+#: Rows of a box of a slice's tree at most; dimensions up to which trees leave much out; rows (times those wanted) that bound the rest.
+LEAF, TREE_DIMS, SEEDS = 24, 8, 32
 #: Bounds are widened by this share (and as much in units of the largest square), more than rounding can move them.
 SLACK = 1e-9
 
@@ -62,6 +64,90 @@ def best(q: np.ndarray, x: np.ndarray, words: np.ndarray, bound: np.ndarray, n:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
+def first_of(i: np.ndarray, j: np.ndarray, d: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, row, distance) the first ``n`` of each query by (distance, word), in that order."""
+    order = np.lexsort((words, d, i))
+    i, j, d = i[order], j[order], d[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < n
+    return i[keep], j[keep], d[keep]
+
+
+class Tree:
+    """Rows in boxes of about ``LEAF`` that halve them again and again along the widest side; for few dimensions."""
+
+    def __init__(self, x: np.ndarray, words: np.ndarray):
+        order, self.starts = halves(x)
+        self.x, self.words, self.rows = x[order], words[order], order
+        self.low, self.high = (f.reduceat(self.x, self.starts[:-1]) if len(x) else self.x for f in (np.minimum, np.maximum))
+        square = (self.x * self.x).sum(1)
+        self.wide, self.top = np.concatenate([self.x, square[:, None]], 1), square.max(initial=0.0)
+
+    def best(self, q: np.ndarray, bound: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``best``: queries of one box look only into the boxes that their bounds reach."""
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        order, starts = halves(q)
+        seeds = -(-SEEDS * n // LEAF)
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            own = order[lo:hi]
+            part, line = q[own], bound[own]
+            square = (part * part).sum(1)
+            slack = SLACK * (1 + square.max() + self.top)
+            gap = np.zeros(len(self.low))
+            for c in range(q.shape[1]):
+                side = np.maximum(np.maximum(self.low[:, c] - part[:, c].max(), part[:, c].min() - self.high[:, c]), 0.0)
+                gap += side * side
+            reached = np.flatnonzero(gap <= line.max() ** 2 + slack)
+            if len(reached) > 2 * seeds:  # the n-th of the nearest boxes' rows bounds the true one
+                first = self._rows(np.argpartition(gap, seeds)[:seeds])
+                line = np.minimum(line, np.sqrt(np.partition(squares(part, self.x[first]), n - 1, axis=1)[:, n - 1] + 2 * slack))
+                reached = np.flatnonzero(gap <= line.max() ** 2 + slack)
+            at = self._rows(reached)
+            pairs = [(np.zeros(0, int), np.zeros(0, int))]
+            left = np.concatenate([-2 * part, np.ones((len(part), 1))], 1)
+            limit = (line * line + slack - square)[:, None]
+            for s in range(0, len(at), CELL):
+                i, j = np.nonzero(left @ self.wide[at[s : s + CELL]].T <= limit)
+                pairs.append((i, at[s + j]))
+            i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            d = np.sqrt(((part[i] - self.x[j]) ** 2).sum(1))
+            near = d <= line[i]
+            i, j, d = first_of(i[near], j[near], d[near], self.words[j[near]], n)
+            found.append((own[i], self.rows[j], d))
+        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        back = np.argsort(i, kind="stable")
+        return i[back], j[back], d[back]
+
+    def _rows(self, leaves: np.ndarray) -> np.ndarray:
+        size = self.starts[leaves + 1] - self.starts[leaves]
+        return np.arange(size.sum()) + np.repeat(self.starts[leaves] - np.cumsum(size) + size, size)
+
+
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows and the starts (and end) of the boxes of at least ``LEAF // 2`` and at most ``LEAF`` rows in it."""
+    order, starts, todo = np.arange(len(x)), [], [(0, len(x))] if len(x) else []
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= LEAF:
+            starts.append(lo)
+            continue
+        part = x[order[lo:hi]]
+        c, middle = int((part.max(0) - part.min(0)).argmax()), (hi - lo) // 2
+        order[lo:hi] = order[lo:hi][np.argpartition(part[:, c], middle)]
+        todo += [(lo + middle, hi), (lo, lo + middle)]
+    return order, np.array([*starts, len(x)])
+
+
+class Rows:
+    """Rows to be searched for nearest ones: in a tree where that pays, else by comparing all."""
+
+    def __init__(self, x: np.ndarray, words: np.ndarray):
+        self.x, self.words = x, words
+        self.tree = Tree(x, words) if x.shape[1] <= TREE_DIMS and len(x) > 8 * LEAF else None
+
+    def best(self, q: np.ndarray, bound: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.tree.best(q, bound, n) if self.tree else best(q, self.x, self.words, bound, n)
+
+
 class Cells:
     """Pivots with what bounds the points of their cells."""
 
@@ -94,6 +180,12 @@ def neighbours(rows: DataFrame, k: int) -> DataFrame:
 
     Words are distinct integers and vectors have one length; rows with a null word, vector or component, or one that is not
     finite, are left out.  Fewer than k other words give as many neighbours."""
+    out = neighbour_lists(rows, k).select("word", F.posexplode("list").alias("at", "x"))
+    return out.select("word", F.col("x.neighbour").alias("neighbour"), F.col("x.distance").alias("distance"), (F.col("at") + 1).alias("rank"))
+
+
+def neighbour_lists(rows: DataFrame, k: int) -> DataFrame:
+    """(word, list): as ``neighbours``, with one array of (distance, neighbour) for each word."""
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     whole = ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     asked = rows.select(F.col("word").cast("long").alias("word"), F.col("vector").cast("array<double>").alias("vector")).where("word is not null and vector is not null").where(whole)
@@ -106,7 +198,7 @@ def neighbours(rows: DataFrame, k: int) -> DataFrame:
     sample = points.where("query = word").orderBy(F.xxhash64("vector"), "word").limit(max(1, min(PIVOTS, 2 * n // cell)))
     pivots = np.array([r.vector for r in sample.select("vector").collect()], np.float64)
     if not n:
-        return asked.select("word", F.col("word").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where("false")
+        return asked.select("word", F.array(F.struct(F.lit(0.0).alias("distance"), F.col("word").alias("neighbour"))).alias("list")).where("false")
     cells = Cells(pivots)
     placed = _placed(points, cells)
     for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("apart").alias("near"), F.max("apart").alias("far")).collect():
@@ -126,8 +218,7 @@ def neighbours(rows: DataFrame, k: int) -> DataFrame:
     lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("list"))
     named = points.where("query = word").select("query", "h1", "h2").join(lists, "query").select("h1", "h2", "list")
     others = F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("word")), 1, k)
-    out = asked.select("word", "h1", "h2").join(named, ["h1", "h2"]).select("word", F.posexplode(others).alias("at", "x"))
-    return out.select("word", F.col("x.neighbour").alias("neighbour"), F.col("x.distance").alias("distance"), (F.col("at") + 1).alias("rank"))
+    return asked.select("word", "h1", "h2").join(named, ["h1", "h2"]).select("word", others.alias("list"))
 
 
 def _placed(points: DataFrame, cells: Cells) -> DataFrame:
@@ -149,7 +240,7 @@ def _own_slices(placed: DataFrame, n: int) -> DataFrame:
         query, word = rows["query"].to_numpy(), rows["word"].to_numpy()
         x = list_matrix(rows["vector"].chunk(0))
         mine = np.flatnonzero(query == word)
-        i, j, d = best(x[mine], x, word, np.full(len(mine), np.inf), n)
+        i, j, d = Rows(x, word).best(x[mine], np.full(len(mine), np.inf), n)
         sizes = np.bincount(i, minlength=len(mine))
         ends = np.cumsum(sizes)
         bound = np.where(sizes >= n, d[np.maximum(ends - 1, 0)] if len(d) else np.inf, np.inf)
@@ -221,22 +312,22 @@ def _met(placed: DataFrame, copies: DataFrame, cells: Cells, n: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last, x, words = None, None, None
+        last, rows = None, None
         for b in batches:
             keys = np.stack([b.column(c).to_numpy() for c in range(4)], 1)
             for lo, hi in runs(keys):
                 key, part = tuple(keys[lo, :3]), b.slice(lo, hi - lo)
                 if keys[lo, 3] == 0:
                     held = [*held, part] if key == last else [part]
-                    last, x = key, None
+                    last, rows = key, None
                     continue
                 if key != last:
                     continue  # a slice without points
-                if x is None:
+                if rows is None:
                     t = pa.Table.from_batches(held).combine_chunks()
-                    x, words = list_matrix(t["vector"].chunk(0)), t["id"].to_numpy()
-                i, j, d = best(list_matrix(part.column(6)), x, words, part.column(5).to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([part.column(4).take(pa.array(i)), pa.array(words[j]), pa.array(d)], names=["query", "neighbour", "distance"])
+                    rows = Rows(list_matrix(t["vector"].chunk(0)), t["id"].to_numpy())
+                i, j, d = rows.best(list_matrix(part.column(6)), part.column(5).to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([part.column(4).take(pa.array(i)), pa.array(rows.words[j]), pa.array(d)], names=["query", "neighbour", "distance"])
 
     dealt = data.unionAll(copies).repartition("cell", "slice", "part").sortWithinPartitions("cell", "slice", "part", "side")
     return dealt.mapInArrow(run, "query long, neighbour long, distance double")
