@@ -72,6 +72,17 @@ def test_distances_of_more_queries_than_may_be_broadcast(spark, monkeypatch):
     assert all(abs(got[k] - d) < 1e-9 for k, d in want.items()) and all(got[q, 93] is None for q in range(0, 90, 2))
 
 
+def test_points_are_not_copied_for_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "PAIR_BLOCK", 10)
+    x = np.random.default_rng(7).normal(size=(200, 4))
+    points = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(x)], "word string, vector array<double>")
+    found = semantic.point_distances(points, points.where("word like '%5'"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" in plan
+    got = {(r.query, r.word): r.distance for r in found.collect()}
+    assert len(got) == 20 * 199 and all(abs(d - np.sqrt(((x[int(q)] - x[int(w)]) ** 2).sum())) < 1e-12 for (q, w), d in got.items())
+
+
 def test_matrix_of_more_rows_than_one_file_has(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "ONE_FILE_ROWS", 50)
     monkeypatch.setattr(sinks, "MATRIX_ROWS", 30)
