@@ -74,3 +74,20 @@ def test_estimates_of_points_equal_those_of_pairs(spark):
     assert want.points == got.points > 20 and all(abs(want[c] - got[c]) < 1e-9 for c in ("dimension", "lo", "hi"))
     want, got = semantic.twonn_dimension(pairs).first(), semantic.twonn_of(each.select("word", "r1", "r2").where("r1 is not null and r2 is not null")).first()
     assert want.points == got.points > 20 and abs(want.dimension - got.dimension) < 1e-9
+
+
+def test_equal_rows_have_equal_coordinates():
+    """At any place and in any company: otherwise copies are neighbours at a distance of a last bit."""
+    rng = np.random.default_rng(6)
+    columns, x = rng.normal(size=(7, 6)), rng.normal(size=(300, 7))
+    x[::3] = x[0]
+    factors = dimension.PatternFactors(columns, 1e-6)
+    parts = [factors.scores(x[s : s + n]) for s, n in ((0, 1), (0, 4), (3, 40), (0, 300))]
+    assert all((part[::3] == parts[0][0]).all() for part in parts)
+
+
+def test_neighbours_at_one_distance_give_no_estimate(spark):
+    """Each has an estimate without bound, not one of a rounding error."""
+    lists = [(k, [float(d)] * 30) for k, d in enumerate(np.random.default_rng(7).random(200))] + [(900, [0.1 + 0.01 * k for k in range(30)])]
+    df = spark.createDataFrame(lists, "word long, distances array<double>")
+    assert [r.word for r in dimension.point_estimates(df).where("d is not null").collect()] == [900]
